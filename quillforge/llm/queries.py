@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import hex_digest, prepare, table
 from .jaccard_join import jaccard_join
+from .window_dedup import window_dedup
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +17,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    kept = window_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", hex_digest(F.encode("text", "UTF-8")).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_jaccard_join,)}
+    return {f.__name__: f for f in (op3_window_dedup, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
