@@ -61,6 +61,11 @@ def keys32(h: np.ndarray, bits: int) -> np.ndarray:
     return h >> U(32 - bits)
 
 
+def block_of(doc: np.ndarray, n: int) -> np.ndarray:
+    """The block, of n, that each doc_id is dealt to."""
+    return (K.mix(doc.astype(np.int64).view(U) ^ U(0x5851F42D4C957F2D)) % U(n)).astype(np.int64)
+
+
 def packed_keys(keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     """(bucket, its sorted 32-bit keys as bytes) of one partition's keys."""
     keys = np.sort(keys)

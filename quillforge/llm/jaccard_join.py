@@ -5,16 +5,19 @@ Jaccard similarity reaches a threshold given as a fraction.
 
 1. One pass fingerprints each set; documents with equal sets are one class.
 2. One pass counts, over the whole corpus, in how many documents each shingle
-   comes (packed 32-bit keys in hash buckets). Shingles in more than `rare`
-   documents form the frequent class; the bound rises with the corpus so that
-   the list of them has at most 2^22 entries, whatever the input's size.
-3. One pass forms prefixes in the order rare before frequent. A document that
-   may lack t of its shingles needs t + 1 units: a rare shingle is a unit and is
-   indexed alone. Where these do not suffice, the prefix is extended into the
-   frequent shingles, which are dealt to a number of small classes that follows
-   the document's size; the second and each further shingle in a class is a unit
-   and all pairs of a class's prefix shingles are indexed. Two linked documents
-   share a rare prefix shingle, or two frequent ones of one class (pigeonhole).
+   comes (packed 32-bit keys in hash buckets), and answers each block of
+   documents with the counts of those of its shingles that come twice or more.
+   Nothing is broadcast. A shingle that a task meets very often is sent once with
+   its count and answered to all blocks.
+3. In each block, documents get prefixes in the order of these counts. A document
+   that may lack t of its shingles needs t + 1 units: a shingle of no other
+   document is a unit without an entry, a rare one (in at most `rare` documents)
+   is a unit and is indexed alone. Where these do not suffice, the prefix is
+   extended into the frequent shingles, which are dealt to a number of small
+   classes that follows the document's size; the second and each further shingle
+   in a class is a unit, and all pairs of a class's prefix shingles are indexed.
+   Two linked documents share a rare prefix shingle, or two frequent ones of one
+   class (pigeonhole; it holds for any order that all documents use alike).
 4. Documents sharing an index entry are joined to the entry's least document
    only, and components of these candidate edges are formed.
 5. In each component every pair is verified by exact overlap counts, in one task
@@ -33,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import bucket_bits, components, key_counts, keys32, local_roots, packed_keys, prepare, written
+from .common import block_of, bucket_bits, components, keys32, local_roots, prepare, written
 
 U = np.uint64
-#: The most frequent shingles that are broadcast (16 bytes each).
-FREQUENT_MOST = 1 << 22
+#: A shingle that a task's share of documents has more often than this is sent as one count.
+HOT = 1024
 #: Index entries that a task holds before it sends them off.
 ENTRIES = 1 << 22
 _SALT = K.splitmix(23, 4)
@@ -69,43 +72,84 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
 
 
-def frequent_shingles(docs: DataFrame, k: int, over: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of bits + 32 bits that come in more than `over` documents, ascending, and their counts."""
+def shared_shingles(docs: DataFrame, k: int, bits: int, n_blocks: int) -> DataFrame:
+    """(block, bucket, keys, counts): for each block of documents, the keys of those of its shingles that two or more documents have, and in how many they come."""
+    everywhere = np.uint32(0xFFFFFFFF)
+
+    def send(held: list) -> Iterator[pa.RecordBatch]:
+        key, block = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(key)
+        key, block = key[order], block[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([at, [len(key)]]))
+        count = np.ones(len(key), np.uint32)
+        if (hot := size > HOT).any():
+            count[at[hot]] = size[hot]
+            block[at[hot]] = everywhere
+            keep = np.repeat(~hot, size)
+            keep[at[hot]] = True
+            key, block, count = key[keep], block[keep], count[keep]
+        cuts = np.searchsorted(key, np.arange((1 << bits) + 1, dtype=U) << U(32))
+        low, hot = key.astype(np.uint32), block == everywhere
+        rows = []
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[b], cuts[b + 1])
+            rows.append((b, low[own].tobytes(), block[own].tobytes(), count[own][hot[own]].tobytes()))
+        for i in range(0, len(rows), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 1024], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "blocks", "counts"])
 
     def run(batches):
         held, total = [], 0
         for batch in batches:
-            for _, _, own in _sets(batch.column(0), k):
-                held.append(keys32(own, bits))
+            of = block_of(batch.column(0).to_numpy(zero_copy_only=False), n_blocks).astype(np.uint32)
+            for i, sizes, own in _sets(batch.column(1), k):
+                held.append((keys32(own, bits), np.repeat(of[i : i + len(sizes)], sizes)))
                 total += len(own)
                 if total >= ENTRIES:
-                    yield from packed_keys(np.concatenate(held), bits)
+                    yield from send(held)
                     held, total = [], 0
         if total:
-            yield from packed_keys(np.concatenate(held), bits)
-
-    def many(t: pa.Table) -> pa.Table:
-        bucket, keys, counts = key_counts(t)
-        keep = counts > over
-        return pa.table({"key": (keys[keep].astype(np.int64) | (np.int64(bucket) << 32)), "df": counts[keep].astype(np.int64)})
-
-    found = docs.select("text").mapInArrow(run, "bucket int, keys binary").groupBy("bucket").applyInArrow(many, "key long, df long").toArrow()
-    keys, df = found.column("key").to_numpy().astype(U), found.column("df").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], df[order]
-
-
-def prefix_entries(own: np.ndarray, df: np.ndarray, least_overlap) -> np.ndarray:
-    """Index entries of one set. df: 0 for rare shingles, else the count. least_overlap(n): shingles that a set of n shares with any it links to."""
+            yield from send(held)
+
+    def answer(t: pa.Table) -> pa.Table:
+        join = lambda c: np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t.column(c)])
+        key, block, some = join("keys"), join("blocks"), join("counts")
+        count = np.ones(len(key), np.int64)
+        count[block == everywhere] = some
+        order = np.lexsort((block, key))
+        key, block, count = key[order], block[order], count[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        at, group = np.flatnonzero(new), np.cumsum(new) - 1
+        df = np.minimum(np.add.reduceat(count, at), everywhere - 1).astype(np.uint32)
+        hot = np.logical_or.reduceat(block == everywhere, at)
+        told = (new | np.concatenate([[True], block[1:] != block[:-1]])) & ((df > 1) & ~hot)[group]
+        order = np.argsort(block[told], kind="stable")
+        own, of, n = key[told][order], block[told][order], df[group[told]][order]
+        hot_key, hot_n = key[at[hot]], df[hot]
+        to = np.arange(n_blocks) if hot.any() else np.unique(of).astype(np.int64)
+        a, z = np.searchsorted(of, to), np.searchsorted(of, to, side="right")
+        keys = [np.concatenate([own[x:y], hot_key]).tobytes() for x, y in zip(a, z, strict=True)]
+        counts = [np.concatenate([n[x:y], hot_n]).tobytes() for x, y in zip(a, z, strict=True)]
+        return pa.table({"block": pa.array(to, pa.int64()), "bucket": pa.array([t.column("bucket")[0].as_py()] * len(to), pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    packed = docs.select("doc_id", "text").mapInArrow(run, "bucket int, keys binary, blocks binary, counts binary")
+    return packed.groupBy("bucket").applyInArrow(answer, "block long, bucket int, keys binary, counts binary")
+
+
+def prefix_entries(own: np.ndarray, df: np.ndarray, least_overlap, rare: int) -> np.ndarray:
+    """Index entries of one set. df: in how many documents each shingle comes, 0 for one alone. least_overlap(n): shingles that a set of n shares with any it links to."""
     n = len(own)
-    need = n - least_overlap(n) + 1
-    rare = own[df == 0]
-    if len(rare) >= need:
-        return rare[:need]
-    often = np.flatnonzero(df)
-    often = own[often[np.lexsort((own[often], df[often]))]]
-    need -= len(rare)
-    out = [rare]
+    shared = np.flatnonzero(df)
+    need = n - least_overlap(n) + 1 - (n - len(shared))
+    if need <= 0:
+        return own[:0]
+    shared = shared[np.lexsort((own[shared], df[shared]))]
+    split = int(np.searchsorted(df[shared], rare, side="right"))
+    if split >= need:
+        return own[shared[:need]]
+    often = own[shared[split:]]
+    need -= split
+    out = [own[shared[:split]]]
     for level in sorted({n.bit_length() - 1, least_overlap(n).bit_length() - 1}):
         classes = 1 << max(0, level - 2)
         cls = (K.mix(often ^ _SALT[2]) & U(classes - 1)).astype(np.int64)
@@ -124,10 +168,10 @@ def prefix_entries(own: np.ndarray, df: np.ndarray, least_overlap) -> np.ndarray
     return np.concatenate(out)
 
 
-def candidate_edges(docs: DataFrame, k: int, num: int, den: int, frequent: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, k: int, num: int, den: int, rare: int, bits: int, n_blocks: int) -> DataFrame:
     """(a, b): a document and the least one that it shares an index entry with."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
     least_overlap = lambda n: -(-num * n // den)
+    entries = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("ids", pa.binary())])
 
     def send(sigs: list, ids: list) -> Iterator[pa.RecordBatch]:
         sig, doc = np.concatenate(sigs), np.concatenate(ids)
@@ -144,33 +188,41 @@ def candidate_edges(docs: DataFrame, k: int, num: int, den: int, frequent: tuple
         for at in range(0, len(rows), 1024):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 1024], strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "sigs", "ids"])
 
-    def run(batches):
-        keys, counts = sent.value
-        sigs, ids, total, seen = [], [], 0, set()
+    def ids(batches):
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, sizes, own in _sets(batch.column(1), k):
-                df = np.zeros(len(own), np.int64)
-                if len(keys):
-                    mine = keys32(own, bits)
-                    at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-                    df = np.where(keys[at] == mine, counts[at], 0)
-                f1, f2 = _prints(own, sizes)
-                end = np.cumsum(sizes)
-                for j, n in enumerate(sizes.tolist()):
-                    if not n or (p := (int(f1[j]), int(f2[j]))) in seen:
-                        continue
-                    seen.add(p)
-                    e = prefix_entries(own[end[j] - n : end[j]], df[end[j] - n : end[j]], least_overlap)
-                    if len(e):
-                        sigs.append(e)
-                        ids.append(np.full(len(e), doc[i + j], np.int64))
-                        total += len(e)
-                if total >= ENTRIES:
-                    yield from send(sigs, ids)
-                    sigs, ids, total, seen = [], [], 0, set()
+            doc = batch.column(0)
+            yield pa.RecordBatch.from_arrays([doc, batch.column(1), pa.array(block_of(doc.to_numpy(zero_copy_only=False), n_blocks))], ["doc_id", "text", "block"])
+
+    def enter(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x.as_py(), np.uint32).astype(U) | (U(b) << U(32)) for x, b in zip(told.column("keys"), told.column("bucket").to_pylist(), strict=True)]
+        if not keys or not len(texts):
+            return pa.Table.from_batches([], entries)
+        keys, counts = np.concatenate(keys), np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in told.column("counts")])
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        doc = texts.column("doc_id").to_numpy()
+        out, sigs, of, total, seen = [], [], [], 0, set()
+        for i, sizes, own in _sets(texts.column("text"), k):
+            mine = keys32(own, bits)
+            at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+            df = np.where(keys[at] == mine, counts[at], 0)
+            f1, f2 = _prints(own, sizes)
+            end = np.cumsum(sizes)
+            for j, n in enumerate(sizes.tolist()):
+                if not n or (p := (int(f1[j]), int(f2[j]))) in seen:
+                    continue
+                seen.add(p)
+                e = prefix_entries(own[end[j] - n : end[j]], df[end[j] - n : end[j]], least_overlap, rare)
+                if len(e):
+                    sigs.append(e)
+                    of.append(np.full(len(e), doc[i + j], np.int64))
+                    total += len(e)
+            if total >= ENTRIES:
+                out += send(sigs, of)
+                sigs, of, total = [], [], 0
         if total:
-            yield from send(sigs, ids)
+            out += send(sigs, of)
+        return pa.Table.from_batches(out, entries)
 
     def meet(t: pa.Table) -> pa.Table:
         ids = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("ids")])
@@ -185,7 +237,9 @@ def candidate_edges(docs: DataFrame, k: int, num: int, den: int, frequent: tuple
             pairs = np.unique(np.stack([ids, hub], 1)[ids != hub], axis=0)
         return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
 
-    packed = docs.select("doc_id", "text").mapInArrow(run, "bucket int, sigs binary, ids binary")
+    blocks = docs.select("doc_id", "text").mapInArrow(ids, "doc_id long, text string, block long")
+    told = shared_shingles(docs, k, bits, n_blocks)
+    packed = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(enter, "bucket int, sigs binary, ids binary")
     return packed.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
@@ -252,7 +306,7 @@ def _verified(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return rows.select("grp", "side", "doc_id", "f1", "f2", "copies", "text").mapInArrow(run, "a long, b long, w long")
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rare: int = 32, group_docs: int = 2048, group_shingles: int = 1 << 20) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rare: int = 32, block_bytes: int = 1 << 23, group_docs: int = 2048, group_shingles: int = 1 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of docs(doc_id, text).
 
     Two documents link when den * |intersection| >= num * |union| of their
@@ -267,11 +321,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rar
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     bits = bucket_bits(docs)
     prints = written(fingerprints(docs, k), "prints")
-    total = prints.agg(F.sum("n")).first()[0] or 0
-    frequent = frequent_shingles(docs, k, max(rare, total // FREQUENT_MOST), bits)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = 8 + int(total // block_bytes)
 
     classes = written(prints.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    raw = written(candidate_edges(docs, k, num, den, frequent, bits), "candidates")
+    raw = written(candidate_edges(docs, k, num, den, rare, bits, n_blocks), "candidates")
     # from documents to classes
     ends = raw.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     rep = written(prints.join(ends, "doc_id", "left_semi").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep").distinct(), "reps")
