@@ -104,7 +104,7 @@ def _packed_presence(rows: DataFrame) -> pa.Table:
 # -- operator 1 --------------------------------------------------------------------------------
 
 
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, features: int = 4096, least_chi: float = 12.0, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, features: int = 4096, least_chi: float = 12.0, epochs: int = 80, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
     """(keys ascending, weights, bias) of a linear scorer.
 
     rows: distinct 32-bit features of each document; positive: which of them are

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .classifiers import quality, toxicity
 from .common import hex_digest, prepare, table
 from .jaccard_join import jaccard_join
 from .window_dedup import window_dedup
@@ -17,6 +18,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     kept = window_dedup(table(spark, sf_dir, "documents"))
@@ -24,7 +33,7 @@ def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_window_dedup, op9_jaccard_join)}
+    return {f.__name__: f for f in (op1_toxicity, op3_window_dedup, op4_quality, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
