@@ -109,7 +109,8 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, feature
 
     rows: distinct 32-bit features of each document; positive: which of them are
     confirmed; the rest are unlabelled. Kept are features that the confirmed have
-    more often than the unlabelled by a chi-square of least_chi, the best ones first;
+    more often than the unlabelled by a chi-square of least_chi, the best ones first,
+    if at least about two in five of the documents with one are positive by the prior;
     they speak for toxicity or not at all, so that long texts don't drown them.
     """
     n_p = int(positive.sum())
@@ -123,7 +124,8 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, feature
     in_u = np.bincount(at, minlength=len(keys)) - in_p
     total = in_p + in_u
     expect = total * n_p / len(rows)
-    chi = (in_p - expect) ** 2 / np.maximum(expect, 1e-9) * ((total >= 5) & (in_p > expect))
+    pure = prior * in_p / n_p >= 0.4 * np.maximum(in_u, 0.5) / n_u  # 1 for what only positives have
+    chi = (in_p - expect) ** 2 / np.maximum(expect, 1e-9) * ((total >= 5) & pure)
     kept = np.argsort(-chi, kind="stable")[: min(features, len(keys))]
     kept = np.sort(kept[chi[kept] > least_chi])
     column = np.full(len(keys), -1)
