@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .classifiers import quality, toxicity
 from .common import hex_digest, prepare, table
 from .jaccard_join import jaccard_join
+from .mixing import ORACLE_SQL as MIXING_SQL
+from .mixing import mix_sources
 from .window_dedup import window_dedup
 
 
@@ -32,9 +34,13 @@ def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", hex_digest(F.encode("text", "UTF-8")).alias("kept_sha256"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_window_dedup, op4_quality, op9_jaccard_join)}
+    return {f.__name__: f for f in (op1_toxicity, op3_window_dedup, op4_quality, op9_jaccard_join, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": MIXING_SQL}
