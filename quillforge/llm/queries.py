@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .classifiers import quality, toxicity
 from .common import hex_digest, prepare, table
+from .decontamination import leaks
 from .jaccard_join import jaccard_join
 from .mixing import ORACLE_SQL as MIXING_SQL
 from .mixing import mix_sources
@@ -34,12 +35,16 @@ def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", hex_digest(F.encode("text", "UTF-8")).alias("kept_sha256"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_window_dedup, op4_quality, op9_jaccard_join, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op3_window_dedup, op4_quality, op8_decontamination, op9_jaccard_join, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
