@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel as K
 from .common import prepare
@@ -255,8 +256,14 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = 8000, bits: int = 18
     text scores as one without features. Rows are scored one by one, so repeated
     ones score alike.
     """
-    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _judged(quality_scores(docs, labels, most, bits), threshold)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 8000, bits: int = 18) -> DataFrame:
+    """All columns of docs (a column score apart) and the quality score of the text."""
+    prepare(docs.sparkSession)
+    docs = docs.drop("score")
     sample = _packed_shares(labelled_sample(docs, labels.dropDuplicates(["doc_id"]), "quality", most), bits)
     rows = [(np.frombuffer(f, np.uint32), np.frombuffer(x, np.float32).astype(np.float64)) for f, x in zip(sample.column("f").to_pylist(), sample.column("x").to_pylist(), strict=True)]
     order = np.random.default_rng(3).permutation(len(rows))
@@ -264,13 +271,17 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = 8000, bits: int = 18
     w, bias = fit_ftrl([rows[i] for i in order], y[order], bits)
     model = docs.sparkSession.sparkContext.broadcast((w, bias))
 
+    text = docs.columns.index("text")
+
     def run(batches):
         w, bias = model.value
         for batch in batches:
-            for i, counts, f, g in share_features(batch.column(1), bits):
+            scores = []
+            for _, counts, f, g in share_features(batch.column(text), bits):
                 of = np.repeat(np.arange(len(counts)), counts)
                 total = np.bincount(of, w[f].astype(np.float64) + w[g], len(counts))
-                score = 1 / (1 + np.exp(-np.clip(bias + SCALE * total / np.maximum(counts, 1), -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(counts)), pa.array(score)], ["doc_id", "score"])
+                scores.append(1 / (1 + np.exp(-np.clip(bias + SCALE * total / np.maximum(counts, 1), -30, 30))))
+            score = np.concatenate(scores) if scores else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
 
-    return _judged(docs.mapInArrow(run, "doc_id long, score double"), threshold)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))

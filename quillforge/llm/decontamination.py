@@ -108,7 +108,7 @@ class Items:
         self.keys = {size: np.sort(np.array(list(w), dtype=U)) for size, w in self.windows.items()}
 
 
-def _consistent(pairs: dict[tuple[int, int], tuple[int, int]]) -> tuple[int, int, int]:
+def _consistent(pairs: dict[int, tuple[int, int]]) -> tuple[int, int, int]:
     """Of the slots compared: how many, how many fit one mapping of values both ways, how many have another value."""
     there, back = defaultdict(Counter), defaultdict(Counter)
     for a, b in pairs.values():
@@ -130,16 +130,66 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 8, coverage: float = 0
     match nothing; repeated documents and items give a row each; extra columns
     are left out; an empty table on either side gives no rows.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return union_all([_leaks(docs, items, coverage, agree) for items in _pieces(benchmark, k, least, piece_bytes)])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 8, coverage: float = 0.5, agree: float = 0.8, least: int = 5, piece_bytes: int = 1 << 24) -> DataFrame:
+    """The rows of docs, all columns, whose text contains no item by the rule of leaks(). No shuffle."""
+    prepare(docs.sparkSession)
+    text = docs.columns.index("text")
+    for items in _pieces(benchmark, k, least, piece_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches, sent=sent):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[row for row, *_ in _found(batch.column(text), sent.value, coverage, agree)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _pieces(benchmark: DataFrame, k: int, least: int, piece_bytes: int) -> list[Items]:
+    """The items, in pieces of about so many bytes."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     pieces = 1 + int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // piece_bytes)
-    found = []
+    out = []
     for p in range(pieces):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == p).orderBy("item_id", "text").collect()
-        found.append(_leaks(docs, Items([r.item_id for r in own], [r.text for r in own], k, least), coverage, agree))
-    return union_all(found)
+        out.append(Items([r.item_id for r in own], [r.text for r in own], k, least))
+    return out
+
+
+def _found(texts, items: Items, coverage: float, agree: float) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """Row, place of the item, windows found, its windows, slots compared, slots changed."""
+    for i, _, data, offs in K.blocks(texts):
+        token, kind, value, counts = templates(data, offs)
+        hits = defaultdict(lambda: defaultdict(list))  # text, item: (window's place in the item, in the block, its size)
+        for size, keys in items.keys.items():
+            h, at, of = _template_windows(token, kind, counts, size)
+            hit = np.flatnonzero(_among(h, keys))
+            for x, p, d in zip(h[hit].tolist(), at[hit].tolist(), of[hit].tolist(), strict=True):
+                for item, place in items.windows[size][x]:
+                    hits[d][item].append((place, p, size))
+        for d, own in sorted(hits.items()):
+            for item, places in sorted(own.items()):
+                n = len({p for p, _, _ in places})
+                if n < coverage * items.count[item]:
+                    continue
+                kinds, values = items.slots[item]
+                # where windows recur, those on the commonest alignment are compared
+                shift = Counter(p - a for a, p, _ in places).most_common(1)[0][0]
+                pairs = {}
+                for a, p, size in places:
+                    for t in range(size) if p - a == shift else ():
+                        if kinds[a + t]:
+                            pairs[a + t] = (int(values[a + t]), int(value[p + t]))
+                slots, fit, changed = _consistent(pairs)
+                if fit >= agree * slots:
+                    yield i + d, item, n, items.count[item], slots, changed
 
 
 def _leaks(docs: DataFrame, items: Items, coverage: float, agree: float) -> DataFrame:
@@ -148,33 +198,8 @@ def _leaks(docs: DataFrame, items: Items, coverage: float, agree: float) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = sent.value
         for batch in batches:
-            ids, rows = batch.column(0), []
-            for i, _, data, offs in K.blocks(batch.column(1)):
-                token, kind, value, counts = templates(data, offs)
-                hits = defaultdict(lambda: defaultdict(list))  # document, item: (window's place in the item, in the block)
-                for size, keys in items.keys.items():
-                    h, at, of = _template_windows(token, kind, counts, size)
-                    hit = np.flatnonzero(_among(h, keys))
-                    for x, p, d in zip(h[hit].tolist(), at[hit].tolist(), of[hit].tolist(), strict=True):
-                        for item, place in items.windows[size][x]:
-                            hits[d][item].append((place, p, size))
-                for d, own in sorted(hits.items()):
-                    for item, places in sorted(own.items()):
-                        n = len({p for p, _, _ in places})
-                        if n < coverage * items.count[item]:
-                            continue
-                        kinds, values = items.slots[item]
-                        # where windows recur, those on the commonest alignment are compared
-                        shift = Counter(p - a for a, p, _ in places).most_common(1)[0][0]
-                        pairs = {}
-                        for a, p, size in places:
-                            for t in range(size) if p - a == shift else ():
-                                if kinds[a + t]:
-                                    pairs[a + t, 0] = (int(values[a + t]), int(value[p + t]))
-                        slots, fit, changed = _consistent(pairs)
-                        if fit >= agree * slots:
-                            rows.append((ids[i + d].as_py(), items.ids[item], n, items.count[item], slots, changed))
+            rows = [(batch.column(0)[row].as_py(), items.ids[item], *rest) for row, item, *rest in _found(batch.column(1), items, coverage, agree)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 6, strict=True)], ["doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_changed"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_changed"])
 
     return docs.mapInArrow(run, "doc_id long, item_id long, n_windows long, item_windows long, n_slots long, n_changed long")

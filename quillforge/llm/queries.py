@@ -13,6 +13,7 @@ from .decontamination import leaks
 from .jaccard_join import jaccard_join
 from .mixing import ORACLE_SQL as MIXING_SQL
 from .mixing import mix_sources
+from .packing import pack_tokens
 from .window_dedup import window_dedup
 
 
@@ -29,6 +30,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     kept = window_dedup(table(spark, sf_dir, "documents"))
@@ -44,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_window_dedup, op4_quality, op8_decontamination, op9_jaccard_join, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_packing, op3_window_dedup, op4_quality, op8_decontamination, op9_jaccard_join, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
