@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .classifiers import quality, toxicity
 from .common import hex_digest, prepare, table
 from .decontamination import leaks
+from .html_extraction import extract_pages
 from .jaccard_join import jaccard_join
+from .media import media_columns, media_digests
 from .mixing import ORACLE_SQL as MIXING_SQL
 from .mixing import mix_sources
 from .packing import pack_tokens
@@ -40,6 +42,14 @@ def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", hex_digest(F.encode("text", "UTF-8")).alias("kept_sha256"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(media_columns(table(spark, sf_dir, "documents")))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_packing, op3_window_dedup, op4_quality, op8_decontamination, op9_jaccard_join, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_packing, op3_window_dedup, op4_quality, op6_html_extraction, op7_media_columns, op8_decontamination, op9_jaccard_join, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
