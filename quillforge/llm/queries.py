@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_formatting import ORACLE_SQL as CHAT_SQL
+from .chat_formatting import REPLY, link_tool_calls, turns_as_calls
 from .classifiers import quality, toxicity
 from .common import hex_digest, prepare, table
 from .decontamination import leaks
@@ -42,6 +44,11 @@ def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", hex_digest(F.encode("text", "UTF-8")).alias("kept_sha256"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = link_tool_calls(turns_as_calls(table(spark, sf_dir, "conversations")), REPLY)
+    return lines.select("conv_id", "position", "turn", "kind", "call_id", "linked", "valid", F.array_join("errors", "; ").alias("errors"), "json")
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
@@ -59,8 +66,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_packing, op3_window_dedup, op4_quality, op6_html_extraction, op7_media_columns, op8_decontamination, op9_jaccard_join, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_packing, op3_window_dedup, op4_quality, op5_chat_formatting, op6_html_extraction, op7_media_columns, op8_decontamination, op9_jaccard_join, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": MIXING_SQL}
+    return {"op5_chat_formatting": CHAT_SQL, "op10_mixing": MIXING_SQL}
