@@ -30,7 +30,7 @@ from . import kernel as K
 from .common import prepare, shared_folder
 
 UNIT = 576
-MAGIC = b"LSARCH01"
+MAGIC = b"QFARCH01"
 #: id, whether the id is null, offset, length, bytes of the payload before padding, crc32 of the member.
 ENTRY = np.dtype([("id", "<i8"), ("none", "u1"), ("offset", "<u8"), ("length", "<u8"), ("payload", "<u8"), ("crc", "<u4")])
 TRAILER = "<QQ8s"
@@ -113,7 +113,7 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 1 << 26) -
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), K.plain(batch.column(1)), strict=True):
                 if out is None:
-                    name, entries, at = f"{uuid.uuid4().hex}.lsa", [], 0
+                    name, entries, at = f"{uuid.uuid4().hex}.qfa", [], 0
                     out = system.open_output_stream(f"{path}/{name}")
                 raw = text.as_buffer().to_pybytes()
                 media = to_png(padded(raw))
