@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Extensions of code files; words not worth a hint; directories without meaning of their own.
 CODE_EXTENSIONS = ["py", "js", "ts", "tsx", "jsx", "json", "yml", "yaml", "toml", "md", "sql", "sh"]
@@ -95,7 +96,7 @@ def sentences(x: Column) -> Column:
     return F.filter(F.transform(F.split(F.trim(x), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def sentence_pieces(texts: pd.Series) -> pd.Series:
     """STR-14: sentences in pieces of 350 characters at most, cut at a comma or space from 40 on, else hard."""
 
@@ -158,7 +159,7 @@ def vocabulary_prompt(terms: Column) -> Column:
     return F.when(F.size(terms) == 0, "").otherwise(F.concat(F.lit("Technical terms: "), F.array_join(terms, ", "), F.lit(".")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_accents(texts: pd.Series) -> pd.Series:
     """The part of STR-19 that no built-in has: compatibility decomposition without combining marks."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..io import importable
 
@@ -96,7 +97,7 @@ def _matcher(text: str):
 def gitignored(rules: str):
     """SRC-06: a pandas function from paths to whether the root .gitignore text excludes them."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def run(paths: pd.Series) -> pd.Series:
         return paths.map(_matcher(rules))
 
@@ -185,7 +186,7 @@ def audio_verdict(content: Column, most_bytes: int) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, "empty").when(n > most_bytes, "too large").when(audio_format(content).isNull(), "unsupported").otherwise("ok")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def wav_bytes(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """BIN-01: float samples, clipped to [-1, 1], as 16-bit PCM with a 44-byte header."""
     import struct
