@@ -314,11 +314,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rar
     document's own included; n_links counts the other documents it links with.
     A null or empty text has an empty set: linked with nothing. Fewer than k
     words are one shingle. A row with a repeated doc_id and equal text counts as
-    a further copy; extra columns are left out. An empty table gives no rows.
+    a further copy; different texts under one doc_id are one document's, so linked.
+    A row with a null doc_id is linked with nothing and has a null component_id.
+    Extra columns are left out. An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    nameless, docs = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
     bits = bucket_bits(docs)
     prints = written(fingerprints(docs, k), "prints")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -341,7 +344,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rar
     own = classes.join(label, classes.rep == label.node, "left").join(links, classes.rep == links.a, "left")
     own = own.select("n", "f1", "f2", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     full = prints.where("n > 0").join(own, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    return full.unionByName(prints.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    alone = prints.where("n = 0").unionByName(fingerprints(nameless, k))
+    return full.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def _links(docs: DataFrame, member: DataFrame, k: int, num: int, den: int) -> DataFrame:

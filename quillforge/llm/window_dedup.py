@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import bucket_bits, key_counts, keys32, packed_keys, prepare
+from .common import block_of, bucket_bits, key_counts, keys32, packed_keys, prepare
 
 U = np.uint64
 FOLD_BITS = 28
 ENTRIES = 1 << 22
 #: A window that a task meets in more blocks than this is sent once for all.
 HOT_BLOCKS = 16
+#: Stands for a null doc_id.
+LAST = (1 << 63) - 1
 
 
 def _windows(texts, k: int) -> Iterator[tuple]:
@@ -87,16 +89,12 @@ def _may_repeat(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
-def _block_of(doc: np.ndarray, n: int) -> np.ndarray:
-    return (K.mix(doc.astype(np.int64).view(U) ^ U(0x5851F42D4C957F2D)) % U(n)).astype(np.int64)
-
-
 def _earlier(docs: DataFrame, k: int, bits: int, n_blocks: int, sent) -> DataFrame:
     """(block, windows, hot, least): hashes of windows that come in a smaller document outside the block; hot windows with their least document."""
 
     def send(held: list) -> Iterator[pa.RecordBatch]:
         h, h2, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-        block = _block_of(doc, n_blocks)
+        block = block_of(doc, n_blocks)
         order = np.lexsort((doc, block, h2, h))
         h, h2, doc, block = h[order], h2[order], doc[order], block[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
@@ -136,7 +134,7 @@ def _earlier(docs: DataFrame, k: int, bits: int, n_blocks: int, sent) -> DataFra
         hs = join("h", U)
         flag = np.repeat(t.column("hot").to_numpy(), [len(x) for x in hs])
         h, h2, doc = np.concatenate(hs), np.concatenate(join("h2", np.uint32)), np.concatenate(join("doc", np.int64))
-        block = _block_of(doc, n_blocks)
+        block = block_of(doc, n_blocks)
         order = np.lexsort((doc, block, h2, h))
         h, h2, doc, block, flag = h[order], h2[order], doc[order], block[order], flag[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
@@ -161,12 +159,12 @@ def window_dedup(docs: DataFrame, k: int = 13, block_bytes: int = 1 << 23) -> Da
     text has the kept words joined by single spaces; removed has the runs taken
     out, as first word and count. Words are `[^\\x20\\x09-\\x0D]+`, unchanged. All
     windows are judged on the input. A null or empty text has no words; rows with
-    one doc_id are never smaller than each other; extra columns are left out; an
+    one doc_id are never smaller than each other; a null doc_id is greater than all; extra columns are left out; an
     empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").alias("text"))
     bits = min(bucket_bits(docs), FOLD_BITS - 3)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 8 + int(total // block_bytes)
@@ -176,7 +174,7 @@ def window_dedup(docs: DataFrame, k: int = 13, block_bytes: int = 1 << 23) -> Da
     def ids(batches):
         for batch in batches:
             doc = batch.column(0)
-            yield pa.RecordBatch.from_arrays([doc, batch.column(1), pa.array(_block_of(doc.to_numpy(zero_copy_only=False), n_blocks))], ["doc_id", "text", "block"])
+            yield pa.RecordBatch.from_arrays([doc, batch.column(1), pa.array(block_of(doc.to_numpy(zero_copy_only=False), n_blocks))], ["doc_id", "text", "block"])
 
     def finish(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
         bitmap = sent.value
@@ -224,4 +222,5 @@ def window_dedup(docs: DataFrame, k: int = 13, block_bytes: int = 1 << 23) -> Da
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "n_words": pa.array(cols[1], pa.int64()), "n_removed": pa.array(cols[2], pa.int64()), "text": pa.array(cols[3], pa.binary()).cast(pa.string()), "removed": pa.array(cols[4], pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])))})
 
     blocks = docs.mapInArrow(ids, "doc_id long, text string, block long")
-    return blocks.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, text string, removed array<struct<first:int,words:int>>")
+    out = blocks.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, text string, removed array<struct<first:int,words:int>>")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
