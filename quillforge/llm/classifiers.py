@@ -248,7 +248,7 @@ def _packed_shares(rows: DataFrame, bits: int) -> pa.Table:
     return rows.mapInArrow(run, "doc_id long, y int, f binary, x binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
 
 
-def quality(docs: DataFrame, labels: DataFrame, most: int = 8000, bits: int = 18, threshold: float = 0.3) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, most: int = 5000, bits: int = 18, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text); labels has doc_id and quality.
 
     Learns from at most `most` labelled rows, none of them held out. Without any,
@@ -260,7 +260,7 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = 8000, bits: int = 18
     return _judged(quality_scores(docs, labels, most, bits), threshold)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 8000, bits: int = 18) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 5000, bits: int = 18) -> DataFrame:
     """All columns of docs (a column score apart) and the quality score of the text."""
     prepare(docs.sparkSession)
     docs = docs.drop("score")
