@@ -165,9 +165,9 @@ def fold_accents(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
-def spoken_tokens(x: Column, fold: bool = True) -> Column:
-    """STR-19: the tokens of a transcript: folded, lower-cased, spoken separators as signs, other punctuation out. fold=False for ASCII input."""
-    x = F.concat(F.lit(" "), F.lower(fold_accents(x) if fold else x), F.lit(" "))
+def spoken_tokens(x: Column) -> Column:
+    """STR-19: the tokens of a transcript: lower-cased, spoken separators as signs, other punctuation out. x is a column of ASCII text or of fold_accents()."""
+    x = F.concat(F.lit(" "), F.lower(x), F.lit(" "))
     for pattern, sign in SPOKEN:
         x = F.regexp_replace(x, pattern, sign)
     x = F.regexp_replace(x, r"[^\p{L}\p{N}_\s./\-]", " ")

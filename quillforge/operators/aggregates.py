@@ -25,7 +25,8 @@ def mastery(attempts: DataFrame, answers: DataFrame, names: DataFrame) -> DataFr
     """AGG-05, MAP-01, TOP-09: (key, name, attempts, answered, average, ordinal), weakest first, ungrouped last."""
     per_key = per_attempt(attempts, answers).groupBy("key").agg(F.count("*").alias("attempts"), F.sum("answered").alias("answered"), (F.sum("total") / F.sum("answered")).alias("average"))
     named = per_key.join(names, "key", "left").withColumn("name", F.coalesce("name", "key"))
-    return named.withColumn("ordinal", F.row_number().over(Window.orderBy(F.col("key") == UNGROUPED, "average", "key")))
+    place = F.row_number().over(Window.orderBy(F.col("key") == UNGROUPED, "average", "key"))  # topics, not rows
+    return named.select("key", "name", "attempts", "answered", "average", place.alias("ordinal"))
 
 
 def mastery_history(attempts: DataFrame, answers: DataFrame) -> DataFrame:

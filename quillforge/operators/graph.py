@@ -104,14 +104,18 @@ def merge_groups(sizes: dict[str, int], least: int = 3, most: int = 20) -> dict[
     """
     import heapq
 
-    now, target = dict(sizes), {}
+    now = dict(sizes)
+    # a group that is folded and comes into being again is another group: each has a number
+    number, into, names = {k: i for i, k in enumerate(sizes)}, {}, list(sizes)
     up = lambda k: k.rsplit("/", 1)[0] if "/" in k else ROOT
 
     def fold(k: str) -> str:
         to = up(k)
+        if to not in number:
+            number[to] = len(names)
+            names.append(to)
         now[to] = now.get(to, 0) + now.pop(k)
-        target[k] = to
-        target.pop(to, None)
+        into[number.pop(k)] = number[to]
         return to
 
     small = [(-k.count("/"), k) for k, n in now.items() if k != ROOT and n < least]
@@ -132,12 +136,12 @@ def merge_groups(sizes: dict[str, int], least: int = 3, most: int = 20) -> dict[
         if to != ROOT:
             heapq.heappush(by_size, (now[to], -to.count("/"), to))
 
-    def end(k: str) -> str:
-        while k in target:
-            k = target[k]
-        return k
+    def end(i: int) -> str:
+        while i in into:
+            i = into[i]
+        return names[i]
 
-    return {k: end(k) for k in sizes}
+    return {k: end(i) for i, k in enumerate(sizes)}
 
 
 def partition(nodes: DataFrame, depths: DataFrame, least: int = 3, most: int = 20, most_directories: int = 1_000_000) -> DataFrame:
@@ -253,14 +257,15 @@ def build(files: DataFrame, imports: DataFrame, roots: DataFrame) -> tuple[DataF
     i = imports.withColumn("import_id", F.xxhash64("path", "raw", "kind", "names", "level"))
     py = i.where("kind IN ('py_plain', 'py_from')").withColumn("base", F.when(F.col("level") > 0, relative_base(F.col("path"), F.col("level"), F.col("raw"))).otherwise(F.col("raw")))
     from_ = prefer_submodules(py.where("kind = 'py_from' AND base IS NOT NULL").select("import_id", "base", "names").distinct(), known.select("module", "path"))
-    rest = py.join(from_.select("import_id").distinct(), "import_id", "left_anti").where("base IS NOT NULL AND base <> ''")
+    # a relative import names its module exactly, an absolute one may lead below it
+    rest = py.join(from_.select("import_id").distinct(), "import_id", "left_anti").where("level = 0")
     rest = longest_prefix(rest.withColumnRenamed("path", "source"), "base", known.withColumnRenamed("path", "found"), "module", "found")
     js = i.where("kind = 'js_relative'").withColumn("base", normal_path(F.concat(F.when(F.col("path").contains("/"), F.concat(parent_dir(F.col("path")), F.lit("/"))).otherwise(""), "raw")))
     js = first_match(js.withColumnRenamed("path", "source"), "base", files.select("path"), "path", JS_SUFFIXES)
     inner = py.select("import_id", F.col("path").alias("source")).distinct().join(from_, "import_id").select("source", F.col("path").alias("target"))
     inner = inner.unionByName(rest.where("found IS NOT NULL").select("source", F.col("found").alias("target"))).unionByName(js.where("target IS NOT NULL").select("source", "target"))
     package = F.when(F.col("kind") == "js_bare", external_name(F.col("raw"))).otherwise(F.substring_index("raw", ".", 1))
-    outer = rest.where("found IS NULL AND level = 0").select("source", "kind", "raw").unionByName(i.where("kind = 'js_bare'").select(F.col("path").alias("source"), "kind", "raw"))
+    outer = rest.where("found IS NULL").select("source", "kind", "raw").unionByName(i.where("kind = 'js_bare'").select(F.col("path").alias("source"), "kind", "raw"))
     outer = outer.select("source", F.concat(F.lit("external:"), package).alias("target"), F.lit("imports_external").alias("kind"))
     edges = inner.withColumn("kind", F.lit("imports")).unionByName(outer).dropDuplicates(["source", "target", "kind"])
     nodes = files.select(F.col("path").alias("id"), F.lit("file").alias("kind"), "language").unionByName(outer.select(F.col("target").alias("id"), F.lit("external").alias("kind"), F.lit(None).cast("string").alias("language")).distinct())

@@ -87,12 +87,12 @@ _CODE = "array_to_string(list_transform({a}, lambda t: chr(33 + list_position(w,
 @register("wer", f"WITH {_HEARD}, t AS (SELECT conv_id, turn, {_tokens_sql('ref')} AS r, {_tokens_sql('hyp')} AS p FROM h), u AS (SELECT *, list_distinct(list_concat(r, p)) AS w FROM t) SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN CASE WHEN len(p) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein({_CODE.format(a='r')}, {_CODE.format(a='p')}) / len(r) END::DOUBLE AS wer FROM u")
 def wer(spark, d):
     h = _heard(spark, d)
-    return h.select("conv_id", "turn", X.word_error_rate(X.spoken_tokens(F.col("ref"), fold=False), X.spoken_tokens(F.col("hyp"), fold=False)).alias("wer"))
+    return h.select("conv_id", "turn", X.word_error_rate(X.spoken_tokens(F.col("ref")), X.spoken_tokens(F.col("hyp"))).alias("wer"))
 
 
 @register("identifier_recall", f"WITH {_HEARD}, t AS (SELECT conv_id, turn, {_tokens_sql('ref')} AS r, {_tokens_sql('hyp')} AS p FROM h), u AS (SELECT conv_id, turn, p, list_filter(r[1:4], lambda t: length(t) > 3) AS x FROM t) SELECT conv_id, turn, CASE WHEN len(x) > 0 THEN len(list_filter(x, lambda t: list_contains(p, t))) / len(x) END AS recall FROM u")
 def identifier_recall(spark, d):
-    ref, hyp = X.spoken_tokens(F.col("ref"), fold=False), X.spoken_tokens(F.col("hyp"), fold=False)
+    ref, hyp = X.spoken_tokens(F.col("ref")), X.spoken_tokens(F.col("hyp"))
     return _heard(spark, d).select("conv_id", "turn", X.identifier_recall(F.filter(F.slice(ref, 1, 4), lambda t: F.length(t) > 3), hyp).alias("recall"))
 
 

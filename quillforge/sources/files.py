@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,10 +32,36 @@ HTTP_COMMANDS = ["uvicorn", "gunicorn", "flask run", "npm start", "npm run dev"]
 WORKER_COMMANDS = ["celery", "arq", "worker"]
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-04: (path, content, length) of all files below a directory, path from there."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return raw.select(F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("://")[-1]) + "/", "").alias("path"), "content", "length")
+def read_tree(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """SRC-04: (path, content, length) of all regular files below a directory or address, path from there, in order of paths.
+
+    Spark's own readers leave out names that begin with a dot or underscore, so
+    the names are listed once and the contents (null beyond most_bytes) are read
+    by the tasks. Symbolic links are not followed.
+    """
+    importable(spark)
+    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
+    system, base = fs.FileSystem.from_uri(uri)
+    local = isinstance(system, fs.LocalFileSystem)
+    found = [(f.path, f.size) for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
+    linked = lambda p: any(os.path.islink(os.path.join(base, *p[:i])) for i in range(1, len(p) + 1))
+    rel = sorted((f[len(base) :].lstrip("/"), n) for f, n in found)
+    rel = [(p, n) for p, n in rel if not (local and linked(p.split("/")))]
+    names = spark.createDataFrame(rel, "path string, length long").repartitionByRange(max(1, min(200, len(rel) // 64)), "path") if rel else spark.createDataFrame([], "path string, length long")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            content = []
+            for p, n in zip(batch["path"], batch["length"], strict=True):
+                if n > most_bytes:
+                    content.append(None)
+                    continue
+                with system.open_input_stream(f"{base.rstrip('/')}/{p}") as f:
+                    content.append(f.read())
+            yield pd.DataFrame({"path": batch["path"], "content": content, "length": batch["length"]})
+
+    return names.mapInPandas(run, "path string, content binary, length long")
 
 
 def file_name(path: Column) -> Column:
