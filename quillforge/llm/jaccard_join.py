@@ -268,14 +268,16 @@ def overlaps(sets: list[np.ndarray], num: int, den: int, left: int | None = None
 
 
 def _verified(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """rows: grp, side (0 or 1), doc_id, f1, f2, copies, text. Links in each group: between all its rows, or, where side 1 comes, between the sides.
+    """rows: grp, side, doc_id, f1, f2, copies, text. Links in each group: between all rows of side 0, or between side 1 and side 2.
 
     Returns (a, b, w): w > 0 has documents a and the copies that it is linked
     with there, b its least partner so far; enough to join and to count links.
     """
 
     def judged(sets, side, doc, copies):
-        split = int((side == 0).sum()) if (side == 1).any() else None
+        split = int((side == 1).sum()) if side[0] else None
+        if split == len(side):
+            return  # the other block has no document
         i, j = overlaps(sets, num, den, split)
         if not len(i):
             return
@@ -354,8 +356,8 @@ def _links(docs: DataFrame, member: DataFrame, k: int, num: int, den: int) -> Da
     member = member.withColumn("block", block)
     # within blocks, then between each two: a block is the left side of those after it, the right side of those before
     within = member.select(F.xxhash64("root", "block").alias("grp"), F.lit(0).alias("side"), "*")
-    later = member.where("parts > 1 and block < parts - 1").select(F.explode(F.expr("sequence(block + 1, parts - 1)")).alias("other"), "*").select(F.xxhash64("root", "block", "other").alias("grp"), F.lit(0).alias("side"), *member.columns)
-    earlier = member.where("parts > 1 and block > 0").select(F.explode(F.expr("sequence(0, block - 1)")).alias("other"), "*").select(F.xxhash64("root", "other", "block").alias("grp"), F.lit(1).alias("side"), *member.columns)
+    later = member.where("parts > 1 and block < parts - 1").select(F.explode(F.expr("sequence(block + 1, parts - 1)")).alias("other"), "*").select(F.xxhash64("root", "block", "other").alias("grp"), F.lit(1).alias("side"), *member.columns)
+    earlier = member.where("parts > 1 and block > 0").select(F.explode(F.expr("sequence(0, block - 1)")).alias("other"), "*").select(F.xxhash64("root", "other", "block").alias("grp"), F.lit(2).alias("side"), *member.columns)
     rows = within.unionByName(later).unionByName(earlier)
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(rows.select("node", "grp", "side", "f1", "f2", "copies"), "node").withColumnRenamed("node", "doc_id")
     return _verified(texts.repartition("grp").sortWithinPartitions("grp", "side", "doc_id"), k, num, den)
