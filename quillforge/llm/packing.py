@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,18 +67,22 @@ def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Tokens:
     """Ids of whole texts, by way of their distinct units; keeps the ids of some hundred thousand units."""
 
-    def __init__(self, encode: Callable, most: int = 300_000):
+    def __init__(self, encode: Callable, most: int = 500_000):
         self.encode, self.most = encode, most
-        self.place: dict[int, tuple[int, int]] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        for key, own in zip(keys, self.encode(texts), strict=True):
-            while self.used + len(own) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
-            self.ids[self.used : self.used + len(own)] = own
-            self.place[key] = (self.used, len(own))
-            self.used += len(own)
+        self.place: dict[int, int] = {}  # of each unit's hash: where its ids are, and in the last 32 bits how many
+        self.ids, self.used = np.zeros(1 << 20, np.int32), 0
+
+    def _learn(self, keys: list[int], texts: list[str]) -> list[int]:
+        found = self.encode(texts)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(counts.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), np.int32)])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
+        places = ((self.used + np.cumsum(counts) - counts) << 32 | counts).tolist()
+        self.place.update(zip(keys, places, strict=True))
+        self.used += total
+        return places
 
     def of(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and the count of each text."""
@@ -90,14 +95,16 @@ class Tokens:
         h = K.word_hashes(data, starts, _UNIT)
         h ^= K.mix((ends - starts).astype(U))
         keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.place]
-        if new:
+        keys, get = keys.tolist(), self.place.get
+        where = np.array([get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(where < 0)
+        if len(new):
             raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[starts[first[i]] : ends[first[i]]].decode("utf-8", "replace") for i in new])
-        where = np.array([self.place[k] for k in keys], np.int64)
-        at, size = where[inverse, 0], where[inverse, 1]
-        return self.ids[K.ranges(at, size)], K.totals(size, counts)
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            where[new] = self._learn([keys[i] for i in new.tolist()], [raw[a:z].decode("utf-8", "replace") for a, z in spans])
+        at, size = where >> 32, where & 0xFFFFFFFF
+        size = size[inverse]
+        return self.ids[K.ranges(at[inverse], size)], K.totals(size, counts)
 
 
 def best_fit_decreasing(sizes: np.ndarray, row: int) -> tuple[np.ndarray, int]:
