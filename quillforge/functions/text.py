@@ -20,6 +20,14 @@ GENERIC_DIRS = ["app", "src", "lib", "backend", "frontend", "tests", "test", "pk
 #: Spoken separators, in the order in which they are replaced.
 SPOKEN = [(r"\s+underscore\s+", "_"), (r"\s+under\s+score\s+", "_"), (r"\s+dot\s+", "."), (r"\s+slash\s+", "/"), (r"\s+forward\s+slash\s+", "/"), (r"\s+dash\s+", "-"), (r"\s+hyphen\s+", "-")]
 CODE_OMITTED = "Code example omitted."
+#: Markdown marks and what stands in for them, in the order in which they go; emphasis goes twice, for marks within marks.
+_EMPHASIS = [(r"(\*\*|\*)(?=\S)(.+?)(?<=\S)\1", "$2"), (r"(?<![A-Za-z0-9])(__|_)(?=\S)(.+?)(?<=\S)\1(?![A-Za-z0-9])", "$2")]
+MARKDOWN = [
+    (r"(?s)```.*?```", f" {CODE_OMITTED} "), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"<[^>]+>", ""),
+    (r"(?m)^\s*(?:-{3,}|\*{3,}|_{3,})\s*$", ""), (r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)^\s*(?:[-*+]|\d+[.)])\s+", ""), (r"(?m)^\s*>\s?", ""), (r"`([^`]*)`", "$1"),
+    *_EMPHASIS, *_EMPHASIS, (r"[ \t]+", " "),
+]
+#: Fixed value: the shape of an identifier, dotted name or path.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*(?:[./][A-Za-z0-9_]+)*"
 
 
@@ -71,13 +79,7 @@ def arrow_paths(x: Column) -> Column:
 
 def speakable(x: Column) -> Column:
     """STR-12: Markdown as plain sentences: code blocks named, marks dropped, lines joined."""
-    steps = [
-        (r"(?s)```.*?```", f" {CODE_OMITTED} "), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"<[^>]+>", ""),
-        (r"(?m)^\s*(?:-{3,}|\*{3,}|_{3,})\s*$", ""), (r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)^\s*(?:[-*+]|\d+[.)])\s+", ""), (r"(?m)^\s*>\s?", ""), (r"`([^`]*)`", "$1"),
-        *[(r"(\*\*|\*)(?=\S)(.+?)(?<=\S)\1", "$2"), (r"(?<![A-Za-z0-9])(__|_)(?=\S)(.+?)(?<=\S)\1(?![A-Za-z0-9])", "$2")] * 2,
-        (r"[ \t]+", " "),
-    ]
-    for pattern, by in steps:
+    for pattern, by in MARKDOWN:
         x = F.regexp_replace(x, pattern, by)
     lines = F.filter(F.transform(F.split(x, "\n"), lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))), lambda s: s != "")
     return F.array_join(lines, " ")
@@ -96,21 +98,22 @@ def sentences(x: Column) -> Column:
     return F.filter(F.transform(F.split(F.trim(x), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+#: The longest beginning of 40 to 349 characters before a comma, else before a space, else 350 characters.
+_PIECE = re.compile(r"(?s).{40,349}(?=,)|.{40,349}(?= )|.{350}")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def sentence_pieces(texts: pd.Series) -> pd.Series:
     """STR-14: sentences in pieces of 350 characters at most, cut at a comma or space from 40 on, else hard."""
 
-    def pieces(text: str) -> list[str]:
+    def pieces(text: str | None) -> list[str]:
         out = []
-        for s in re.split(r"(?<=[.!?])\s+", (text or "").strip()):
-            s = s.strip()
+        for s in filter(None, map(str.strip, re.split(r"(?<=[.!?])\s+", text or ""))):
             while len(s) > 350:
-                cut = max((c for c in (s.rfind(",", 0, 350),) if c >= 40), default=-1)
-                cut = cut if cut >= 0 else s.rfind(" ", 0, 350)
-                cut = cut if cut >= 40 else 350
-                out.append(s[:cut].strip())
-                s = s[cut:].lstrip(", ")
-            out += [s] * bool(s)
+                head = _PIECE.match(s)[0]
+                out.append(head.strip())
+                s = s[len(head) :].lstrip(", ")
+            out.append(s)
         return out
 
     return texts.map(pieces)

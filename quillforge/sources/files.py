@@ -249,3 +249,9 @@ def prompt_blocks(text: str) -> tuple[str, str]:
     if len(found) < 2:
         raise ValueError("a prompt needs two fenced blocks")
     return found[0].strip(), found[1].strip()
+
+
+def load_prompt(folder: str, name: str, version: str = "v1") -> tuple[str, str]:
+    """UDF-06, SRC-16: the blocks of a prompt's version, read on the driver."""
+    with open(os.path.join(folder, f"{name}.{version}.md"), encoding="utf-8") as f:
+        return prompt_blocks(f.read())

@@ -89,3 +89,16 @@ def day_label(at: Column, now: Column) -> Column:
 def metered(spark_rows: DataFrame, started: str, ended: str, error: str) -> DataFrame:
     """STM-09: a record for each call: ok or the error, and its duration."""
     return spark_rows.withColumns({"ok": F.col(error).isNull(), "ms": elapsed_ms(F.col(started), F.col(ended))})
+
+
+def publish(stream: DataFrame, folder: str, state: str, key: str, status: str, error: str):
+    """STM-01: a query that appends {status[, error]} messages of each key to a folder that subscribers read as a stream."""
+    message = F.to_json(F.struct(F.col(status).alias("status"), F.col(error).alias("error")))
+    return stream.select(key, message.alias("message")).writeStream.format("json").outputMode("append").option("path", folder).option("checkpointLocation", state)
+
+
+def apply_once(stream: DataFrame, path: str, state: str, key: str):
+    """STM-05, STM-06: a query that writes each batch by key, so that a batch that is delivered again replaces what it wrote."""
+    from ..sources.sinks import overwrite_by_key
+
+    return stream.writeStream.foreachBatch(lambda batch, _: overwrite_by_key(batch, path, key)).option("checkpointLocation", state)

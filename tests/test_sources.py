@@ -117,3 +117,21 @@ def test_provider_failures_lose_only_their_row(spark):
     assert rows(P.require_parsed(P.per_row(df, "id", "t", opened, ""), "a INT", ["a"])) == [(1, 1)]
     assert P.whole(df, "t", ["id"], opened, "").first().answer == "{}"
     assert S.prompt_blocks("# p\n```\nsys\n```\nx\n```\nuser {a}\n```\n") == ("sys", "user {a}")
+
+
+def test_published_messages_and_redelivered_batches(spark, tmp_path):
+    kind = "k int, status string, error string"
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(1, "ready", None), (2, "failed", "why")], kind).coalesce(1).write.parquet(source)
+    read = lambda: spark.readStream.schema(kind).parquet(source)
+    T.publish(read(), str(tmp_path / "out"), str(tmp_path / "s1"), "k", "status", "error").trigger(availableNow=True).start().awaitTermination()
+    got = rows(spark.read.schema("k int, message string").json(str(tmp_path / "out")))
+    assert got == [(1, '{"status":"ready"}'), (2, '{"status":"failed","error":"why"}')]
+    for state in ("s2", "s3"):  # the second has no memory of the first
+        T.apply_once(read(), str(tmp_path / "t"), str(tmp_path / state), "k").trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "t")).select("k", "status")) == [(1, "ready"), (2, "failed")]
+
+
+def test_prompt_versions(tmp_path):
+    (tmp_path / "p.v2.md").write_text("```\na\n```\n```\nb {x}\n```\n")
+    assert S.load_prompt(str(tmp_path), "p", "v2") == ("a", "b {x}")
