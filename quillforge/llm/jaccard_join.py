@@ -308,7 +308,7 @@ def _verified(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return rows.select("grp", "side", "doc_id", "f1", "f2", "copies", "text").mapInArrow(run, "a long, b long, w long")
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rare: int = 32, block_bytes: int = 1 << 23, group_docs: int = 2048, group_shingles: int = 1 << 20) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rare: int = 32, block_bytes: int = 1 << 23, group_docs: int = 1024, group_shingles: int = 1 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of docs(doc_id, text).
 
     Two documents link when den * |intersection| >= num * |union| of their
