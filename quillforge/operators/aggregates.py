@@ -69,8 +69,7 @@ def counts_with_zero(parents: DataFrame, rows: DataFrame, key: str, name: str =
 
 def share_report(df: DataFrame, key: str) -> DataFrame:
     """AGG-04: count of each value and of all rows, undetected ones (null) only in the total."""
-    total = df.agg(F.count("*").alias("total"))
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))  # total has one row
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).withColumn("total", df.agg(F.count("*")).scalar())
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:

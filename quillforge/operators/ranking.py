@@ -69,8 +69,7 @@ def page(df: DataFrame, order: list, n: int) -> DataFrame:
     """TOP-02, AGG-01: the first n rows of 1 to 100, and with each the count of all."""
     if not 1 <= n <= 100:
         raise ValueError("a page has 1 to 100 rows")
-    total = df.agg(F.count("*").alias("total"))
-    return df.orderBy(*order).limit(n).crossJoin(F.broadcast(total))  # total has one row
+    return df.orderBy(*order).limit(n).withColumn("total", df.agg(F.count("*")).scalar())
 
 
 def alternate(df: DataFrame, position: str) -> DataFrame:
