@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -22,9 +24,20 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+_own_folder: list[str] = []
+
+
+def _temporary() -> str:
+    """A folder of this process, removed when it ends."""
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="quillforge-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return f"file://{_own_folder[0]}"
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; one below the temporary folder where it is unset (tests on one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/quillforge-{os.getuid()}"
+    """A new path in the folder that spark.checkpoint.dir names; in a temporary one only where it is unset (tests on one machine)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _temporary()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
