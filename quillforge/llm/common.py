@@ -1,51 +1,24 @@
-"""Shared folders, packed shuffles and connected components for the operators of this subpackage."""
+"""Packed shuffles and connected components for the operators of this subpackage."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..io import importable, shared_folder, table, written
 from . import kernel as K
 
 U = np.uint64
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it, and names a checkpoint folder where none is set (tests on one machine)."""
-    sc = spark.sparkContext
-    root = str(Path(__file__).resolve().parents[2])
-    path = sc.environment.get("PYTHONPATH", "")
-    if root not in path.split(os.pathsep):
-        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quillforge-{os.getuid()}")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names."""
-    prepare(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as Parquet to the shared folder and read again: lineage is cut, and lost executors lose none of them."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Lets Python workers import this package."""
+    importable(spark)
 
 
 # -- packed shuffles -------------------------------------------------------------------------
