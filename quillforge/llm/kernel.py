@@ -1,6 +1,6 @@
 """Vectorised work on the bytes of many texts at once.
 
-Texts come as Arrow strings. They are handled in blocks of about two megabytes,
+Texts come as Arrow strings. They are handled in blocks of about one megabyte,
 so that temporary arrays stay small however many rows an Arrow batch has. A word
 is hashed as a polynomial over random 64-bit values of its bytes (mod 2^64, odd
 base), then mixed; a window or shingle is hashed from the hashes of its words.
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 _MASK = (1 << 64) - 1
 
 

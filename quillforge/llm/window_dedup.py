@@ -33,7 +33,7 @@ from .common import block_of, bucket_bits, key_counts, keys32, packed_keys, prep
 
 U = np.uint64
 FOLD_BITS = 28
-ENTRIES = 1 << 22
+ENTRIES = 1 << 21
 #: A window that a task meets in more blocks than this is sent once for all.
 HOT_BLOCKS = 16
 #: Stands for a null doc_id.
