@@ -149,3 +149,32 @@ def test_word_hashes_tell_words_apart():
                 assert seen.setdefault(w, h[at]) == h[at]
                 at += 1
     assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_against_union_find(spark, seed):
+    """Random pairs, one long chain, one star, loops and null ends."""
+    from quillforge.llm.common import components, local_roots
+
+    rng = random.Random(seed)
+    chain = rng.sample(range(1000, 5000), 300)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(90)] + list(zip(chain, chain[1:], strict=False)) + [(7000, i) for i in range(7001, 7100)] + [(1, 1), (None, 3), (4, None)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "x long, y long").repartition(5)).collect()}
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    assert got == {v: find(v) for v in root}
+    nodes = sorted(root)
+    place = {v: i for i, v in enumerate(nodes)}
+    ends = [(place[a], place[b]) for a, b in edges if a in place and b in place]
+    roots = local_roots(len(nodes), np.array([a for a, _ in ends]), np.array([b for _, b in ends]))
+    assert [nodes[i] for i in roots] == [find(v) for v in nodes]
+    assert components(spark.createDataFrame([], "x long, y long")).collect() == []
