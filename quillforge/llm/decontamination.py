@@ -118,7 +118,7 @@ def _consistent(pairs: dict[int, tuple[int, int]]) -> tuple[int, int, int]:
     return len(pairs), fit, sum(a != b for a, b in pairs.values())
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 8, coverage: float = 0.5, agree: float = 0.8, least: int = 5, piece_bytes: int = 1 << 24) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.5, agree: float = 0.8, least: int = 5, piece_bytes: int = 1 << 24) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, n_slots, n_changed): items that documents contain.
 
     docs has doc_id and text, benchmark item_id and text. An item counts as
@@ -135,7 +135,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 8, coverage: float = 0
     return union_all([_leaks(docs, items, coverage, agree) for items in _pieces(benchmark, k, least, piece_bytes)])
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 8, coverage: float = 0.5, agree: float = 0.8, least: int = 5, piece_bytes: int = 1 << 24) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.5, agree: float = 0.8, least: int = 5, piece_bytes: int = 1 << 24) -> DataFrame:
     """The rows of docs, all columns, whose text contains no item by the rule of leaks(). No shuffle."""
     prepare(docs.sparkSession)
     text = docs.columns.index("text")
