@@ -36,10 +36,18 @@ def _dotted(f) -> str | None:
 
 
 def _unit(kind: str, name: str, node, lines: list[str]) -> dict:
+    """A unit from its first decorator to its end; the signature is what stands before the colon, on one line."""
+    body = node.body[0]
+    last = min([body.lineno, *[d.lineno for d in getattr(body, "decorator_list", [])]])
+    head = lines[node.lineno - 1 : last]
+    if last == body.lineno:
+        head[-1] = head[-1].encode()[: body.col_offset].decode(errors="ignore")
+    elif len(head) > 1:
+        head.pop()
+    kept = (x.strip() for x in head)
+    signature = " ".join(x for x in kept if x and not x.startswith("#")).rstrip(": ")
     first = min([node.lineno, *[d.lineno for d in getattr(node, "decorator_list", [])]])
-    head = lines[node.lineno - 1 : node.body[0].lineno] if node.body else lines[node.lineno - 1 : node.lineno]
-    signature = re.split(r":\s*(?:#.*)?$", " ".join(x.strip() for x in head if x.strip()).split("  ")[0])[0]
-    return {"unit_type": kind, "name": name, "line_start": first, "line_end": node.end_lineno, "signature": re.sub(r"\s*:.*$", "", head[0].strip()) if len(head) == 1 else signature, "docstring": _doc(node)}
+    return {"unit_type": kind, "name": name, "line_start": first, "line_end": node.end_lineno, "signature": signature, "docstring": _doc(node)}
 
 
 def parse_python(text: str) -> dict:

@@ -46,8 +46,11 @@ def test_python_units(spark):
     src = '"""Mod."""\nimport a.b as c\nfrom ..x import y as z\n\n@deco(1)\ndef f(a,\n      b=2):\n    """ Doc. """\n    def inner(): pass\n    return g.h(i())\n\nclass WorkerSettings:\n    async def m(self): return FastAPI()\n\nif "__main__" == __name__:\n    uvicorn.run(app)\n'
     facts = E.parse_python(src)
     assert [(u["unit_type"], u["name"], u["line_start"], u["line_end"], u["docstring"]) for u in facts["units"]] == [("module", "", 1, 17, "Mod."), ("function", "f", 5, 10, "Doc."), ("class", "WorkerSettings", 12, 13, None), ("function", "WorkerSettings.m", 13, 13, None)]
+    assert [u["signature"] for u in facts["units"]][1:] == ["def f(a, b=2)", "class WorkerSettings", "async def m(self)"]
     assert facts["calls"] == ["deco", "g.h", "i", "FastAPI", "uvicorn.run"] and facts["main_guard"]
     assert [(i["raw"], i["names"], i["level"]) for i in facts["imports"]] == [("a.b", [], 0), ("..x", ["y"], 2)]
+    odd = E.parse_python("class A:\n    @deco\n    def x(self): pass\n\ndef g(a: int, *b) -> dict[str, int]: return {}\n")
+    assert [(u["name"], u["signature"], u["line_start"]) for u in odd["units"]][1:] == [("A", "class A", 1), ("A.x", "def x(self)", 2), ("g", "def g(a: int, *b) -> dict[str, int]", 5)]
     assert E.parse_python(" \n")["units"] == [] and len(E.parse_python("def (")["units"]) == 1
     files = spark.createDataFrame([("w.py", "python", src), ("manage.py", "python", "")], "path string, language string, text string")
     got = rows(E.entry_points(files, E.parse(files)).select("file", "kind"))

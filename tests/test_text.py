@@ -83,3 +83,44 @@ def test_grading(spark):
     assert not one(spark, G.valid_mcq(lit(["a"]), F.lit(0))) and one(spark, G.valid_mcq(lit(["a", "b"]), F.lit(1)))
     assert not one(spark, G.valid_short(lit("p"), lit("a"), lit(["x", " "]))) and one(spark, G.valid_blank(lit("code"), lit("a ___"), lit("b")))
     assert one(spark, G.choice_text(lit("mcq"), lit(["a"]), F.lit(4), lit("t"))) is None
+
+
+def test_wer_against_plain_distance(spark):
+    import random
+
+    def plain(r, h):
+        row = list(range(len(h) + 1))
+        for i, a in enumerate(r, 1):
+            row, before = [i], row
+            for j, b in enumerate(h, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (a != b)))
+        return row[-1] / len(r) if r else float(bool(h))
+
+    rng = random.Random(12)
+    pairs = [([rng.choice("abcdefg") for _ in range(rng.randint(0, 12))], [rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))]) for _ in range(200)]
+    df = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(pairs)], "i int, r array<string>, h array<string>")
+    got = df.select("i", X.word_error_rate(F.col("r"), F.col("h")).alias("w")).orderBy("i").collect()
+    assert [round(g.w, 9) for g in got] == [round(plain(r, h), 9) for r, h in pairs]
+
+
+def test_paths_against_a_plain_stack(spark):
+    import random
+
+    from quillforge.operators.graph import external_name, normal_path
+
+    rng = random.Random(3)
+    paths = ["/".join(rng.choice(["a", "b", ".", "..", "c.py"]) for _ in range(rng.randint(1, 8))) for _ in range(200)]
+
+    def plain(p):
+        out = []
+        for x in p.split("/"):
+            if x == "..":
+                out = out[:-1]
+            elif x not in ("", "."):
+                out.append(x)
+        return "/".join(out) or "."
+
+    df = spark.createDataFrame(list(enumerate(paths)), "i int, p string")
+    assert [r.n for r in df.select("i", normal_path(F.col("p")).alias("n")).orderBy("i").collect()] == [plain(p) for p in paths]
+    names = spark.createDataFrame([("@s/p/q",), ("@s",), ("lodash/fp",), ("react",)], "p string")
+    assert [r[0] for r in names.select(external_name(F.col("p"))).collect()] == ["@s/p", "@s", "lodash", "react"]
