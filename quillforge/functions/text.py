@@ -184,15 +184,26 @@ def word_error_rate(ref: Column, hyp: Column) -> Column:
     Each distinct token of a pair becomes one character, so that the built-in
     edit distance counts tokens.
     """
-    words = F.array_distinct(F.concat(ref, hyp))
-    code = lambda t: F.char(F.lit(33) + F.array_position(words, t) - 1)
-    coded = lambda a: F.array_join(F.transform(a, code), "")
-    return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(coded(ref), coded(hyp)) / F.size(ref))
+
+    def rate(p: Column) -> Column:
+        code = lambda t: F.char(F.lit(33) + F.array_position(p["words"], t) - 1)
+        coded = lambda a: F.array_join(F.transform(a, code), "")
+        r, h = p["r"], p["h"]
+        return F.when(F.size(r) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(coded(r), coded(h)) / F.size(r))
+
+    with_words = lambda p: F.struct(F.array_distinct(F.concat(p["r"], p["h"])).alias("words"), p["r"].alias("r"), p["h"].alias("h"))
+    return _once(F.struct(ref.alias("r"), hyp.alias("h")), lambda p: _once(with_words(p), rate))
+
+
+def _once(x: Column, f) -> Column:
+    """f(x), with x worked out once however often f uses it, within lambdas too."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def identifier_recall(expected: Column, tokens: Column) -> Column:
     """STR-21: the share of expected tokens that come exactly; null if none are expected."""
-    return F.when(F.size(expected) > 0, F.size(F.filter(expected, lambda t: F.array_contains(tokens, t))) / F.size(expected))
+    share = lambda p: F.when(F.size(p["e"]) > 0, F.size(F.filter(p["e"], lambda t: F.array_contains(p["t"], t))) / F.size(p["e"]))
+    return _once(F.struct(expected.alias("e"), tokens.alias("t")), share)
 
 
 def numbered(items: Column) -> Column:
