@@ -181,13 +181,15 @@ def spoken_tokens(x: Column) -> Column:
 def word_error_rate(ref: Column, hyp: Column) -> Column:
     """STR-20: token edit distance over the reference's length; without reference 0 if the hypothesis is empty too, else 1.
 
-    Each distinct token of a pair becomes one character, so that the built-in
-    edit distance counts tokens.
+    Each distinct token of a pair becomes one code point (surrogates left out),
+    so that the built-in edit distance counts tokens. Beyond the 1,112,031 code
+    points that there are, decode() raises an error.
     """
 
     def rate(p: Column) -> Column:
-        code = lambda t: F.char(F.lit(33) + F.array_position(p["words"], t) - 1)
-        coded = lambda a: F.array_join(F.transform(a, code), "")
+        place = lambda t: F.lit(32) + F.array_position(p["words"], t)
+        code = lambda t: F.lpad(F.hex(place(t) + F.when(place(t) >= 0xD800, 0x800).otherwise(0)), 8, "0")
+        coded = lambda a: F.decode(F.unhex(F.array_join(F.transform(a, code), "")), "UTF-32")
         r, h = p["r"], p["h"]
         return F.when(F.size(r) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(coded(r), coded(h)) / F.size(r))
 

@@ -103,6 +103,15 @@ def test_wer_against_plain_distance(spark):
     assert [round(g.w, 9) for g in got] == [round(plain(r, h), 9) for r, h in pairs]
 
 
+def test_wer_of_many_distinct_tokens(spark):
+    """Pairs with more than 256 distinct tokens."""
+    r = [f"w{i}" for i in range(300)]
+    pairs = [(r, [*r[:256], "w0", *r[257:]]), (r[:1], r[256:257]), (r, [f"v{i}" for i in range(300)]), (r, r[::-1][:1] + r[1:])]
+    df = spark.createDataFrame(pairs, "r array<string>, h array<string>")
+    got = [x.w for x in df.select(X.word_error_rate(F.col("r"), F.col("h")).alias("w")).collect()]
+    assert got == [1 / 300, 1.0, 1.0, 1 / 300]
+
+
 def test_paths_against_a_plain_stack(spark):
     import random
 
