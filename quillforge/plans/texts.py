@@ -96,6 +96,29 @@ def identifier_recall(spark, d):
     return _heard(spark, d).select("conv_id", "turn", X.identifier_recall(F.filter(F.slice(ref, 1, 4), lambda t: F.length(t) > 3), hyp).alias("recall"))
 
 
+# the twins of wer and identifier_recall fix the first 200 ASCII characters; these two take whole turns with folded accents
+
+
+def _whole(spark, d):
+    from ..io import importable
+
+    importable(spark)
+    c = table(spark, d, "conversations").where("role IN ('user', 'assistant')").select("conv_id", "turn", X.fold_accents("text").alias("ref"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return c.withColumn("hyp", F.lead("ref").over(w)).where("hyp IS NOT NULL")
+
+
+@register("wer_whole")  # no built-in of the twin's dialect folds accents: tested against the plain version
+def wer_whole(spark, d):
+    return _whole(spark, d).select("conv_id", "turn", X.word_error_rate(X.spoken_tokens(F.col("ref")), X.spoken_tokens(F.col("hyp"))).alias("wer"))
+
+
+@register("identifier_recall_whole")
+def identifier_recall_whole(spark, d):
+    ref, hyp = X.spoken_tokens(F.col("ref")), X.spoken_tokens(F.col("hyp"))
+    return _whole(spark, d).select("conv_id", "turn", X.identifier_recall(F.filter(ref, lambda t: F.length(t) > 3), hyp).alias("recall"))
+
+
 @register("token_vocabulary", r"""WITH x AS (SELECT page_id, split_part(url, '://', 2) AS path, regexp_extract_all(url || ' snake_case camelCase main.py self', '[A-Za-z_][A-Za-z0-9_]*(?:[./][A-Za-z0-9_]+)*') AS toks FROM pages),
 f AS (SELECT page_id, path, list_filter(toks, lambda t: contains(t, '_') OR contains(t, '/') OR regexp_matches(substr(t, 2), '\p{Lu}') OR (contains(t, '.') AND lower(string_split(t, '.')[-1]) IN ('py','js','ts','tsx','jsx','json','yml','yaml','toml','md','sql','sh'))) AS ok, list_filter(string_split(path, '/'), lambda p: p <> '') AS seg FROM x),
 items AS (SELECT page_id, list_concat(list_transform(ok, lambda t: {'term': t, 'weight': 1}), list_transform(list_concat([seg[-1]], list_filter(seg[1:len(seg) - 1], lambda p: lower(p) NOT IN ('app','src','lib','backend','frontend','tests','test','pkg'))), lambda t: {'term': t, 'weight': 2}), [{'term': 'Web pages', 'weight': 2}]) AS it FROM f),

@@ -112,6 +112,40 @@ def test_wer_of_many_distinct_tokens(spark):
     assert got == [1 / 300, 1.0, 1.0, 1 / 300]
 
 
+def test_wer_and_recall_of_whole_turns(spark, tmp_path):
+    """Turns of more than 200 characters with accents, against the plain rule."""
+    import random
+    import re
+    import unicodedata
+
+    from quillforge.plans import catalog
+
+    def tokens(t):
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+        return [x for x in (w.strip("./-") for w in re.sub(r"[^\w\s./\-]", " ", t).split()) if x]
+
+    def distance(r, h):
+        row = list(range(len(h) + 1))
+        for i, a in enumerate(r, 1):
+            row, before = [i], row
+            for j, b in enumerate(h, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (a != b)))
+        return row[-1]
+
+    rng = random.Random(8)
+    words = [f"mot{i}" for i in range(500)] + ["Été,", "naïve", "a_b.py", "où?"] * 20
+    base = [rng.choice(words) for _ in range(400)]
+    turns = [" ".join(base), " ".join(rng.choice(words) if rng.random() < 0.3 else w for w in base), "Café " * 60 + "fin", "cafe " * 60, ""]
+    rows = [(1, 2 * i, ("user", "assistant")[i % 2], t) for i, t in enumerate(turns)] + [(1, 1, "system", "left out")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    pairs = [(tokens(r), tokens(h)) for r, h in zip(turns, turns[1:], strict=False)]
+    got = catalog.queries()["wer_whole"](spark, str(tmp_path)).orderBy("turn").collect()
+    assert [round(x.wer, 9) for x in got] == [round(distance(r, h) / len(r), 9) for r, h in pairs]
+    long = [([t for t in r if len(t) > 3], set(h)) for r, h in pairs]
+    got = catalog.queries()["identifier_recall_whole"](spark, str(tmp_path)).orderBy("turn").collect()
+    assert [round(x.recall, 9) for x in got] == [round(sum(t in h for t in r) / len(r), 9) for r, h in long]
+
+
 def test_paths_against_a_plain_stack(spark):
     import random
 
