@@ -31,6 +31,8 @@ NUMBER, NAME, UNIT = 1, 2, 3
 #: Values: words that are numbers, and units of measure, lower-cased.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees watt watts volt volts mph kmh hz".split()
+#: Alignments so many tokens apart, at most, can belong to one occurrence of an item.
+SHIFT = 8
 _PLACE = K.splitmix(41, 4)
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?:;\n\""]] = True
@@ -118,14 +120,49 @@ def _consistent(pairs: dict[int, tuple[int, int]]) -> tuple[int, int, int]:
     return len(pairs), fit, sum(a != b for a, b in pairs.values())
 
 
+def _agreeing(places: list[tuple[int, int, int]], kinds: np.ndarray, values: np.ndarray, value: np.ndarray, enough: float, agree: float) -> tuple[int, int] | None:
+    """Slots compared and slots changed of the best alignment of an item with a text whose slots agree, if any.
+
+    Every alignment with enough windows is tested (if there is none, the commonest),
+    those with most windows first, then those with fewest changes. If none agrees,
+    windows of alignments up to SHIFT tokens apart are taken together, so that an
+    occurrence with a few words more or less is tested as one.
+    """
+    along = defaultdict(list)
+    for a, p, size in places:
+        along[p - a].append((a, p, size))
+
+    def compared(own):
+        pairs = {}
+        for a, p, size in own:
+            for t in range(size):
+                if kinds[a + t]:
+                    pairs[a + t] = (int(values[a + t]), int(value[p + t]))
+        slots, fit, changed = _consistent(pairs)
+        return (slots, changed) if fit >= agree * slots else None
+
+    whole = [own for own in along.values() if len(own) >= enough] or [max(along.values(), key=len)]
+    told = [(-len(own), t[1], t[0]) for own in whole if (t := compared(own))]
+    if told:
+        _, changed, slots = min(told)
+        return slots, changed
+    for shift in sorted(along):
+        near = [s for x in range(SHIFT, 0, -1) for s in (shift + x, shift - x) if s in along]
+        own = [w for s in [*near, shift] for w in along[s]]  # the nearest last: its values count
+        if near and len({a for a, _, _ in own}) >= enough and (t := compared(own)):
+            return t
+    return None
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.5, agree: float = 0.8, least: int = 5, piece_bytes: int = 1 << 24) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, n_slots, n_changed): items that documents contain.
 
     docs has doc_id and text, benchmark item_id and text. An item counts as
     contained if at least `coverage` of its distinct windows of k template tokens
     come in the document and at least `agree` of the compared placeholders fit one
-    mapping of values; n_changed tells how many have another value than in the
-    benchmark (0: a verbatim leak). An item with fewer than k tokens is one
+    mapping of values at one of the places where it may stand (_agreeing());
+    n_changed tells how many have another value there than in the benchmark (0: a
+    verbatim leak). An item with fewer than k tokens is one
     window; with fewer than `least` it is never matched. Null or empty texts
     match nothing; repeated documents and items give a row each; extra columns
     are left out; an empty table on either side gives no rows.
@@ -179,17 +216,9 @@ def _found(texts, items: Items, coverage: float, agree: float) -> Iterator[tuple
                 n = len({p for p, _, _ in places})
                 if n < coverage * items.count[item]:
                     continue
-                kinds, values = items.slots[item]
-                # where windows recur, those on the commonest alignment are compared
-                shift = Counter(p - a for a, p, _ in places).most_common(1)[0][0]
-                pairs = {}
-                for a, p, size in places:
-                    for t in range(size) if p - a == shift else ():
-                        if kinds[a + t]:
-                            pairs[a + t] = (int(values[a + t]), int(value[p + t]))
-                slots, fit, changed = _consistent(pairs)
-                if fit >= agree * slots:
-                    yield i + d, item, n, items.count[item], slots, changed
+                told = _agreeing(places, *items.slots[item], value, coverage * items.count[item], agree)
+                if told:
+                    yield i + d, item, n, items.count[item], *told
 
 
 def _leaks(docs: DataFrame, items: Items, coverage: float, agree: float) -> DataFrame:

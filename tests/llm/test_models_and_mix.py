@@ -173,6 +173,19 @@ def test_leaks(spark):
     assert D.leaks(df.limit(0), bench).collect() == [] and D.leaks(df, bench.limit(0)).collect() == []
 
 
+def test_leaks_of_a_later_occurrence(spark):
+    """The item's form with values that fit no mapping, then the item: verbatim, with other values, or with words put in."""
+    item = "so Ann gave Bob 5 apples and then said to Ann that she has 5 apples while the others of the group had 5 pears and 5 plums."
+    off = "so Ann gave Bob 7 apples and then said to Carl that she has 8 apples while the others of the group had 9 pears and 11 plums."
+    other = item.replace("5", "6").replace("Ann", "Eve")
+    longer = item.replace("that she has", "that she surely has")
+    texts = [f"Here it stands. {off} And then. {x} So it ends." for x in (item, other, longer, off)] + [f"Here it stands. {other} And then. {item} So it ends."]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id: r.n_changed > 0 for r in D.leaks(df, bench).collect()} == {0: False, 1: True, 2: False, 4: False}
+    assert {r.doc_id for r in D.without_leaks(df, bench).collect()} == {3}
+
+
 def test_pipeline_stages(spark):
     """Each stage by what it must do to its own input."""
     sf = "/root/testdata/sf0.001"
