@@ -270,11 +270,12 @@ def overlaps(sets: list[np.ndarray], num: int, den: int, left: int | None = None
 def _verified(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """rows: grp, side, doc_id, f1, f2, copies, text. Links in each group: between all rows of side 0, or between side 1 and side 2.
 
-    Returns (a, b, w): w > 0 has documents a and the copies that it is linked
-    with there, b its least partner so far; enough to join and to count links.
+    Returns (a, f1, f2, b, w): w > 0 has document a with the set of that fingerprint
+    and the copies that it is linked with there, b its least partner so far;
+    enough to join and to count links.
     """
 
-    def judged(sets, side, doc, copies):
+    def judged(sets, side, doc, copies, f1, f2):
         split = int((side == 1).sum()) if side[0] else None
         if split == len(side):
             return  # the other block has no document
@@ -284,7 +285,7 @@ def _verified(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
         links = np.bincount(i, copies[j], len(sets)).astype(np.int64) + np.bincount(j, copies[i], len(sets)).astype(np.int64)
         root = local_roots(len(sets), i, j)
         at = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(doc[root[at]]), pa.array(links[at])], ["a", "b", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], f1[at], f2[at], doc[root[at]], links[at])], ["a", "f1", "f2", "b", "w"])
 
     def run(batches):
         group, held = None, []
@@ -298,14 +299,15 @@ def _verified(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     r = i + j
                     if grp[r] != group:
                         if len(held) > 1:
-                            yield from judged([h[0] for h in held], *(np.array(x) for x in list(zip(*held, strict=True))[1:4]))
+                            yield from judged([h[0] for h in held], *(np.array(x) for x in list(zip(*held, strict=True))[1:]))
                         group, held = grp[r], []
-                    if p1[j] == f1[r] and p2[j] == f2[r] and not (held and held[-1][1] == side[r] and held[-1][2] == doc[r]):
-                        held.append((own[end[j] - n : end[j]].copy(), side[r], doc[r], copies[r]))
+                    own_key = (side[r], doc[r], copies[r], f1[r], f2[r])
+                    if p1[j] == f1[r] and p2[j] == f2[r] and not (held and held[-1][1:] == own_key):
+                        held.append((own[end[j] - n : end[j]].copy(), *own_key))
         if len(held) > 1:
-            yield from judged([h[0] for h in held], *(np.array(x) for x in list(zip(*held, strict=True))[1:4]))
+            yield from judged([h[0] for h in held], *(np.array(x) for x in list(zip(*held, strict=True))[1:]))
 
-    return rows.select("grp", "side", "doc_id", "f1", "f2", "copies", "text").mapInArrow(run, "a long, b long, w long")
+    return rows.select("grp", "side", "doc_id", "f1", "f2", "copies", "text").mapInArrow(run, "a long, f1 long, f2 long, b long, w long")
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rare: int = 32, block_bytes: int = 1 << 23, group_docs: int = 1024, group_shingles: int = 1 << 20) -> DataFrame:
@@ -316,7 +318,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rar
     document's own included; n_links counts the other documents it links with.
     A null or empty text has an empty set: linked with nothing. Fewer than k
     words are one shingle. A row with a repeated doc_id and equal text counts as
-    a further copy; different texts under one doc_id are one document's, so linked.
+    a further copy; different texts under one doc_id are one document's, so in one
+    component, but n_links counts one of them for another only if their sets link.
     A row with a null doc_id is linked with nothing and has a null component_id.
     Extra columns are left out. An empty table gives no rows.
     """
@@ -335,15 +338,21 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rar
     ends = raw.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     rep = written(prints.join(ends, "doc_id", "left_semi").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep").distinct(), "reps")
     edges = raw.join(rep.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
-    candidate = components(edges.where("ra <> rb").select("ra", "rb"))
+    # the classes of one document: linked by its id, and verified for n_links
+    several = prints.where("n > 0").groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y")).where("x <> y").select("doc_id")
+    own_reps = written(prints.where("n > 0").join(several, "doc_id", "left_semi").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep").distinct(), "same")
+    same = own_reps.join(own_reps.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").select("least", "rep")
+    candidate = components(edges.where("ra <> rb").select("ra", "rb").unionByName(same.select(F.col("least").alias("ra"), F.col("rep").alias("rb"))))
+    alone = same.select(F.col("rep").alias("node")).distinct().join(candidate, "node", "left_anti")
+    candidate = candidate.unionByName(alone.select("node", F.col("node").alias("root")))
     member = candidate.join(classes, F.col("node") == F.col("rep")).select("root", "node", "n", "f1", "f2", "copies")
     sizes = member.groupBy("root").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     member = written(member.join(sizes, "root"), "members").withColumn("parts", F.ceil(F.greatest(F.col("docs") / group_docs, F.col("total") / group_shingles)).cast("int"))
     found = written(_links(docs, member, k, num, den), "links")
 
-    label = components(found.select("a", "b"))
-    links = found.groupBy("a").agg(F.sum("w").alias("w"))
-    own = classes.join(label, classes.rep == label.node, "left").join(links, classes.rep == links.a, "left")
+    label = components(found.select("a", "b").unionByName(same.select(F.col("least").alias("a"), F.col("rep").alias("b"))))
+    links = found.groupBy(F.col("a").alias("rep"), "f1", "f2").agg(F.sum("w").alias("w"))
+    own = classes.join(label, classes.rep == label.node, "left").join(links, ["rep", "f1", "f2"], "left")
     own = own.select("n", "f1", "f2", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     full = prints.where("n > 0").join(own, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     alone = prints.where("n = 0").unionByName(fingerprints(nameless, k))
@@ -360,4 +369,4 @@ def _links(docs: DataFrame, member: DataFrame, k: int, num: int, den: int) -> Da
     earlier = member.where("parts > 1 and block > 0").select(F.explode(F.expr("sequence(0, block - 1)")).alias("other"), "*").select(F.xxhash64("root", "other", "block").alias("grp"), F.lit(2).alias("side"), *member.columns)
     rows = within.unionByName(later).unionByName(earlier)
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(rows.select("node", "grp", "side", "f1", "f2", "copies"), "node").withColumnRenamed("node", "doc_id")
-    return _verified(texts.repartition("grp").sortWithinPartitions("grp", "side", "doc_id"), k, num, den)
+    return _verified(texts.repartition("grp").sortWithinPartitions("grp", "side", "doc_id", "f1", "f2"), k, num, den)

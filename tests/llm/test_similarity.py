@@ -101,6 +101,18 @@ def test_jaccard_empty_null_and_repeated(spark):
     assert got == [(-1, 2, None, 0), (7, 2, 7, 2), (7, 2, 7, 2), (8, 0, 8, 0), (9, 2, 7, 2)]
 
 
+@pytest.mark.parametrize("options", [{}, {"group_docs": 2}])
+def test_jaccard_ids_with_several_texts(spark, options):
+    """Two sets of one id, each with links of its own; one set that a smaller id has too; two sets of one id that link with each other."""
+    rng = random.Random(9)
+    text = lambda: [rng.choice("abcdefghijklmnop") + str(rng.randrange(90)) for _ in range(60)]
+    near = lambda w, x: " ".join([*w[:-1], x])
+    a, b, c, d, e, f = (text() for _ in range(6))
+    docs = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a, "x")), (7, near(b, "x")), (8, near(b, "y")), (3, " ".join(c)), (9, " ".join(c)), (9, " ".join(d)), (20, " ".join(e)), (20, near(e, "x")), (30, " ".join(f)), (30, None)]
+    got = sorted((r.doc_id, r.component_id, r.n_links) for r in J.jaccard_join(frame(spark, docs), **options).collect())
+    assert got == [(3, 3, 1), (5, 5, 1), (5, 5, 2), (6, 5, 1), (7, 5, 2), (8, 5, 2), (9, 3, 0), (9, 3, 1), (20, 20, 1), (20, 20, 1), (30, 30, 0), (30, 30, 0)]
+
+
 def brute_windows(docs, k):
     first = defaultdict(lambda: float("inf"))
     key = lambda i: float("inf") if i is None else i
