@@ -6,7 +6,7 @@ works on all that the one before kept. All but the last return these columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillforge.llm.classifiers import quality_scores
@@ -26,10 +26,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word Jaccard similarity of 0.8, the one with the least doc_id."""
+    """Of each group of documents linked by five-word Jaccard similarity of 0.8, the one with the least doc_id.
+
+    A document is a doc_id with a text: rows equal in both are one, different texts
+    under one doc_id are judged each by itself. Rows with a null doc_id are all kept.
+    """
     prepare(spark)
-    first = jaccard_join(docs).where("doc_id = component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    named = docs.where("doc_id IS NOT NULL").withColumn("_key", F.xxhash64("doc_id", "text"))
+    group = jaccard_join(named.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    first = named.select("_key", "doc_id").join(group, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("first._key")
+    kept = named.join(first, "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +47,20 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0, 1 or 2 times): its words taken over its size, rounded half up."""
+    """Each row as often as the mix takes it (0, 1 or 2 times): its words taken over its size, rounded half up.
+
+    Rows of one doc_id (or none), source and size share out what the mix takes of
+    them, those with the least hash of the text first.
+    """
     prepare(spark)
-    taken = mix_sources(docs).where("size > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).where("times > 0")
-    return docs.select(*COLUMNS).join(taken, "doc_id").withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    key = ["_no_id", "_id", "_no_source", "_source", "size"]
+    keyed = lambda df: df.withColumns({"_no_id": F.isnull("doc_id"), "_id": F.coalesce("doc_id", F.lit(0)), "_no_source": F.isnull("source"), "_source": F.coalesce("source", F.lit(""))})
+    times = F.floor(F.col("taken") / F.col("size") + 0.5)
+    taken = keyed(mix_sources(docs).where("size > 0")).groupBy(*key).agg(F.count_if(times == 2).alias("_twice"), F.count_if(times >= 1).alias("_taken")).where("_taken > 0")
+    sized = keyed(docs.select(*COLUMNS)).withColumn("size", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
+    met = sized.join(taken, key).withColumn("_nth", nth).where("_nth <= _taken")
+    return met.withColumn("_time", F.explode(F.sequence(F.lit(1), F.when(F.col("_nth") <= F.col("_twice"), 2).otherwise(1)))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import base64
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline as C
 import duckdb
@@ -208,3 +208,27 @@ def test_pipeline_stages(spark):
     assert dict(times) == {i: int(t / n + 0.5) for i, (t, n) in taken.items() if n and int(t / n + 0.5)}
     assert list(by_name) == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "mixing sources", "token ids"]
     assert C.run(spark, sf).count() > 0
+
+
+def test_pipeline_null_and_repeated_ids(spark):
+    """No text is lost or multiplied where the id is null or comes with another text."""
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(90)) for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(5, a), (5, b), (5, b), (3, a), (None, c), (None, d), (None, d), (7, c), (8, None), (2, e), (2, e + " x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
+    got = C.drop_near_duplicates(spark, docs, "")
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    one = {(2, e), (2, e + " x")} & set(kept)
+    assert got.columns == C.COLUMNS and len(one) == 1
+    assert kept == Counter([(5, b), (3, a), (None, c), (None, d), (None, d), (7, c), (8, None), *one])
+
+    texts = [(i if i < 40 else 40 if i < 50 else None, text() + " z" * (i % 3)) for i in range(80)]
+    docs = spark.createDataFrame([(i, t, "en", rng.choice(["s", "t", None]), 1) for i, t in texts], DOCS).repartition(3)
+    want, most = Counter(), Counter((r.doc_id, r.source, len(r.text.split())) for r in docs.collect())
+    for r in mix_sources(docs).collect():
+        want[r.doc_id, r.source, r["size"]] += int(r.taken / r["size"] + 0.5)
+    mixed = C.mix(spark, docs, "").collect()
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixed)
+    assert got == +want and any(k[0] is None for k in got) and max(Counter(r.text for r in mixed).values()) <= 2
+    assert all(n <= 2 * most[k] for k, n in got.items())
