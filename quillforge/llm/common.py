@@ -108,7 +108,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root): the least node reachable from each node that has an edge.
 
     edges has two long columns, the ends. Alternates large-star and small-star
-    rounds until nothing changes; every round is written to the shared folder,
+    rounds until nothing changes, and raises an error if that takes more than
+    `rounds`; every round is written to the shared folder,
     and a hot node is met by partial aggregation and joins that can be split.
     Rows with a null end and loops are ignored.
     """
@@ -124,6 +125,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if (new := mark(now)) == seen:
             break
         seen = new
+    else:
+        if seen[0]:
+            raise RuntimeError(f"components are not stable after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

@@ -78,7 +78,7 @@ def bounded_graph(nodes: DataFrame, edges: DataFrame, most_nodes: int = 500, res
 
 
 def bfs_depth(nodes: DataFrame, edges: DataFrame, entries: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """GRF-04: edges from the nearest entry for each file, UNREACHABLE for none. A join and an anti-join a level; each level is written, so the plan stays short."""
+    """GRF-04: edges from the nearest entry for each file, UNREACHABLE for none. A join and an anti-join a level; each level is written, so the plan stays short. An error if a file lies at level most_rounds: those beyond would be left out."""
     files = nodes.where("kind = 'file'").select("id")
     steps = edges.join(files.withColumnRenamed("id", "source"), "source", "left_semi").join(files.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target").distinct()
     steps = written(steps, "steps")
@@ -91,6 +91,8 @@ def bfs_depth(nodes: DataFrame, edges: DataFrame, entries: DataFrame, most_round
         seen = seen.unionByName(frontier)
         if level % 8 == 0:
             seen = written(seen, "seen")
+    if not frontier.isEmpty():
+        raise RuntimeError(f"level {most_rounds} is reached, files may lie beyond it")
     return files.join(seen, "id", "left").select("id", F.coalesce("depth", F.lit(UNREACHABLE)).alias("depth"))
 
 

@@ -190,3 +190,12 @@ def test_components_against_union_find(spark, seed):
     roots = local_roots(len(nodes), np.array([a for a, _ in ends]), np.array([b for _, b in ends]))
     assert [nodes[i] for i in roots] == [find(v) for v in nodes]
     assert components(spark.createDataFrame([], "x long, y long")).collect() == []
+
+
+def test_components_raise_when_not_stable(spark):
+    from quillforge.llm.common import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "x long, y long").repartition(30)
+    assert {r.root for r in components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError, match="not stable"):
+        components(edges, 1)
