@@ -3,9 +3,9 @@
 A window is k consecutive words of one document. A word goes if a window over it
 has a word sequence that also starts in a document with a smaller doc_id.
 
-1. Sketch: each partition counts its windows in a count-min row of
-   2^(32 + bits) counters, kept sparsely; partitions' rows are merged by
-   hash bucket. Counters never underestimate, so a window whose counter is 1 is
+1. Sketch: a count-min row of 2^(32 + bits) counters, kept sparsely. Each
+   partition sends a 4-byte key for every window occurrence, repeats included,
+   to the key's hash bucket, where equal keys are counted. Counters never underestimate, so a window whose counter is 1 is
    unique. The counters of 2 or more are folded into a bit map of fixed size.
 2. Exact pass: only windows that the map holds to be repeated are grouped, by 96
    bits of hash, after each task has reduced its own to one least doc_id for each
