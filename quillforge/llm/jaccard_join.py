@@ -5,10 +5,11 @@ Jaccard similarity reaches a threshold given as a fraction.
 
 1. One pass fingerprints each set; documents with equal sets are one class.
 2. One pass counts, over the whole corpus, in how many documents each shingle
-   comes (packed 32-bit keys in hash buckets), and answers each block of
-   documents with the counts of those of its shingles that come twice or more.
-   Nothing is broadcast. A shingle that a task meets very often is sent once with
-   its count and answered to all blocks.
+   comes (packed keys of 24 bits in hash buckets), and answers each block of
+   documents with the rank by frequency, one byte, of those of its shingles that
+   come twice or more. Nothing is broadcast. A shingle that a task meets very often
+   is sent once with its count and answered to all blocks. Texts meet the answers
+   in compressed rows.
 3. In each block, documents get prefixes in the order of these counts. A document
    that may lack t of its shingles needs t + 1 units: a shingle of no other
    document is a unit without an entry, a rare one (in at most `rare` documents)
@@ -21,7 +22,8 @@ Jaccard similarity reaches a threshold given as a fraction.
 4. Documents sharing an index entry are joined to the entry's least document
    only, and components of these candidate edges are formed.
 5. In each component every pair is verified by exact overlap counts, in one task
-   while the component is small, else in tasks for pairs of its blocks.
+   while the component is small, else in tasks for pairs of its blocks. A bit map
+   of candidates, of bounded size, keeps other texts out of this shuffle.
 
 So no link is lost and pairs of documents never become rows.
 """
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import block_of, bucket_bits, components, keys32, local_roots, prepare, written
+from .common import Keys, block_of, components, id_map, in_map, key_plan, local_roots, packed_texts, prepare, row_batches, small_kind, unpacked_texts, written
 
 U = np.uint64
 #: A shingle that a task's share of documents has more often than this is sent as one count.
@@ -72,9 +74,15 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
 
 
-def shared_shingles(docs: DataFrame, k: int, bits: int, n_blocks: int) -> DataFrame:
-    """(block, bucket, keys, counts): for each block of documents, the keys of those of its shingles that two or more documents have, and in how many they come."""
-    everywhere = np.uint32(0xFFFFFFFF)
+def rank_of(df: np.ndarray) -> np.ndarray:
+    """One byte that orders counts of documents: as they are up to 64, then by eighths of a power of two; 0 and 1 stay below all shared ones."""
+    return np.where(df <= 64, df, np.minimum(64 + np.floor(8 * np.log2(np.maximum(df, 64) / 64)), 255)).astype(np.uint8)
+
+
+def shared_shingles(docs: DataFrame, k: int, plan: Keys, n_blocks: int) -> DataFrame:
+    """(block, bucket, high, low, ranks): for each block of documents, the keys of those of its shingles that two or more documents have, and rank_of() how many."""
+    kind = small_kind(n_blocks)
+    everywhere = kind(np.iinfo(kind).max)
 
     def send(held: list) -> Iterator[pa.RecordBatch]:
         key, block = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -89,21 +97,19 @@ def shared_shingles(docs: DataFrame, k: int, bits: int, n_blocks: int) -> DataFr
             keep = np.repeat(~hot, size)
             keep[at[hot]] = True
             key, block, count = key[keep], block[keep], count[keep]
-        cuts = np.searchsorted(key, np.arange((1 << bits) + 1, dtype=U) << U(32))
-        low, hot = key.astype(np.uint32), block == everywhere
+        cuts, hot = plan.cuts(key), block == everywhere
         rows = []
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[b], cuts[b + 1])
-            rows.append((b, low[own].tobytes(), block[own].tobytes(), count[own][hot[own]].tobytes()))
-        for i in range(0, len(rows), 1024):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 1024], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "blocks", "counts"])
+            rows.append((b, *plan.pack(key[own]), block[own].tobytes(), count[own][hot[own]].tobytes()))
+        yield from row_batches(rows, [pa.int32(), *[pa.binary()] * 4], ["bucket", "high", "low", "blocks", "counts"])
 
     def run(batches):
         held, total = [], 0
         for batch in batches:
-            of = block_of(batch.column(0).to_numpy(zero_copy_only=False), n_blocks).astype(np.uint32)
+            of = block_of(batch.column(0).to_numpy(zero_copy_only=False), n_blocks).astype(kind)
             for i, sizes, own in _sets(batch.column(1), k):
-                held.append((keys32(own, bits), np.repeat(of[i : i + len(sizes)], sizes)))
+                held.append((plan.of(own), np.repeat(of[i : i + len(sizes)], sizes)))
                 total += len(own)
                 if total >= ENTRIES:
                     yield from send(held)
@@ -112,32 +118,48 @@ def shared_shingles(docs: DataFrame, k: int, bits: int, n_blocks: int) -> DataFr
             yield from send(held)
 
     def answer(t: pa.Table) -> pa.Table:
-        join = lambda c: np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t.column(c)])
-        key, block, some = join("keys"), join("blocks"), join("counts")
+        key = np.concatenate(plan.unpack(t.column("high"), t.column("low")))
+        block = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column("blocks")])
         count = np.ones(len(key), np.int64)
-        count[block == everywhere] = some
+        count[block == everywhere] = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("counts")])
         order = np.lexsort((block, key))
         key, block, count = key[order], block[order], count[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         at, group = np.flatnonzero(new), np.cumsum(new) - 1
-        df = np.minimum(np.add.reduceat(count, at), everywhere - 1).astype(np.uint32)
+        df = np.add.reduceat(count, at)
+        rank = rank_of(df)
         hot = np.logical_or.reduceat(block == everywhere, at)
         told = (new | np.concatenate([[True], block[1:] != block[:-1]])) & ((df > 1) & ~hot)[group]
         order = np.argsort(block[told], kind="stable")
-        own, of, n = key[told][order], block[told][order], df[group[told]][order]
-        hot_key, hot_n = key[at[hot]], df[hot]
+        own, of, n = key[told][order], block[told][order], rank[group[told]][order]
+        hot_key, hot_n = key[at[hot]], rank[hot]
         to = np.arange(n_blocks) if hot.any() else np.unique(of).astype(np.int64)
         a, z = np.searchsorted(of, to), np.searchsorted(of, to, side="right")
-        keys = [np.concatenate([own[x:y], hot_key]).tobytes() for x, y in zip(a, z, strict=True)]
-        counts = [np.concatenate([n[x:y], hot_n]).tobytes() for x, y in zip(a, z, strict=True)]
-        return pa.table({"block": pa.array(to, pa.int64()), "bucket": pa.array([t.column("bucket")[0].as_py()] * len(to), pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+        rows = []
+        for b, x, y in zip(to.tolist(), a.tolist(), z.tolist(), strict=True):
+            keys, ranks = (own[x:y], n[x:y]) if not len(hot_key) else (np.concatenate([own[x:y], hot_key]), np.concatenate([n[x:y], hot_n]))
+            rows.append((b, t.column("bucket")[0].as_py(), *plan.pack(keys.astype(U)), ranks.tobytes()))
+        return pa.Table.from_batches(row_batches(rows, _TOLD, ["block", "bucket", "high", "low", "ranks"]), pa.schema(list(zip(["block", "bucket", "high", "low", "ranks"], _TOLD, strict=True))))
+
+    packed = docs.select("doc_id", "text").mapInArrow(run, "bucket int, high binary, low binary, blocks binary, counts binary")
+    return packed.groupBy("bucket").applyInArrow(answer, "block long, bucket int, high binary, low binary, ranks binary")
+
+
+_TOLD = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
 
-    packed = docs.select("doc_id", "text").mapInArrow(run, "bucket int, keys binary, blocks binary, counts binary")
-    return packed.groupBy("bucket").applyInArrow(answer, "block long, bucket int, keys binary, counts binary")
+def _classes(level: int, least_overlap) -> int:
+    """Classes for the frequent shingles of sets of 2^level or more: a power of two, below the overlap of any two such sets that link; 0 where they may share a single shingle."""
+    most = least_overlap(1 << level) - 1
+    return min(1 << max(0, level - 2), 1 << (most.bit_length() - 1)) if most > 0 else 0
 
 
 def prefix_entries(own: np.ndarray, df: np.ndarray, least_overlap, rare: int) -> np.ndarray:
-    """Index entries of one set. df: in how many documents each shingle comes, 0 for one alone. least_overlap(n): shingles that a set of n shares with any it links to."""
+    """Index entries of one set. df: what orders its shingles, 0 for one that no other document has, else as the number of documents with it. least_overlap(n): shingles that a set of n shares with any it links to.
+
+    Two sets that link have sizes within a factor of the threshold, so that the
+    levels from least_overlap(n) to n of both have one in common.
+    """
     n = len(own)
     shared = np.flatnonzero(df)
     need = n - least_overlap(n) + 1 - (n - len(shared))
@@ -150,8 +172,10 @@ def prefix_entries(own: np.ndarray, df: np.ndarray, least_overlap, rare: int) ->
     often = own[shared[split:]]
     need -= split
     out = [own[shared[:split]]]
-    for level in sorted({n.bit_length() - 1, least_overlap(n).bit_length() - 1}):
-        classes = 1 << max(0, level - 2)
+    for level in range(least_overlap(n).bit_length() - 1, n.bit_length()):
+        if not (classes := _classes(level, least_overlap)):
+            out.append(K.mix(often[:need] ^ _SALT[3]))
+            continue
         cls = (K.mix(often ^ _SALT[2]) & U(classes - 1)).astype(np.int64)
         again = np.ones(len(often), dtype=bool)
         again[np.unique(cls, return_index=True)[1]] = False
@@ -168,10 +192,11 @@ def prefix_entries(own: np.ndarray, df: np.ndarray, least_overlap, rare: int) ->
     return np.concatenate(out)
 
 
-def candidate_edges(docs: DataFrame, k: int, num: int, den: int, rare: int, bits: int, n_blocks: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, k: int, num: int, den: int, rare: int, plan: Keys, n_blocks: int) -> DataFrame:
     """(a, b): a document and the least one that it shares an index entry with."""
     least_overlap = lambda n: -(-num * n // den)
     entries = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("ids", pa.binary())])
+    rare, bits = int(rank_of(np.array([rare]))[0]), plan.bits
 
     def send(sigs: list, ids: list) -> Iterator[pa.RecordBatch]:
         sig, doc = np.concatenate(sigs), np.concatenate(ids)
@@ -185,27 +210,21 @@ def candidate_edges(docs: DataFrame, k: int, num: int, den: int, rare: int, bits
         cuts = np.searchsorted(sig, np.arange(1, 1 << bits, dtype=U) << U(64 - bits))
         cuts = np.concatenate([[0], cuts, [len(sig)]])
         rows += [(b, sig[cuts[b] : cuts[b + 1]].tobytes(), doc[cuts[b] : cuts[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cuts)).tolist()]
-        for at in range(0, len(rows), 1024):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 1024], strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "sigs", "ids"])
-
-    def ids(batches):
-        for batch in batches:
-            doc = batch.column(0)
-            yield pa.RecordBatch.from_arrays([doc, batch.column(1), pa.array(block_of(doc.to_numpy(zero_copy_only=False), n_blocks))], ["doc_id", "text", "block"])
+        yield from row_batches(rows, [pa.int32(), pa.binary(), pa.binary()], ["bucket", "sigs", "ids"])
 
     def enter(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_py(), np.uint32).astype(U) | (U(b) << U(32)) for x, b in zip(told.column("keys"), told.column("bucket").to_pylist(), strict=True)]
-        if not keys or not len(texts):
+        if not len(told) or not len(texts):
             return pa.Table.from_batches([], entries)
-        keys, counts = np.concatenate(keys), np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in told.column("counts")])
+        keys = np.concatenate([x.astype(U) | (U(b) << U(plan.width)) for x, b in zip(plan.unpack(told.column("high"), told.column("low")), told.column("bucket").to_pylist(), strict=True)])
+        ranks = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in told.column("ranks")])
         order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        doc = texts.column("doc_id").to_numpy()
+        keys, ranks = keys[order], ranks[order]
+        doc, texts = unpacked_texts(texts)
         out, sigs, of, total, seen = [], [], [], 0, set()
-        for i, sizes, own in _sets(texts.column("text"), k):
-            mine = keys32(own, bits)
+        for i, sizes, own in _sets(texts, k):
+            mine = plan.of(own)
             at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-            df = np.where(keys[at] == mine, counts[at], 0)
+            df = np.where(keys[at] == mine, ranks[at], 0)
             f1, f2 = _prints(own, sizes)
             end = np.cumsum(sizes)
             for j, n in enumerate(sizes.tolist()):
@@ -237,9 +256,8 @@ def candidate_edges(docs: DataFrame, k: int, num: int, den: int, rare: int, bits
             pairs = np.unique(np.stack([ids, hub], 1)[ids != hub], axis=0)
         return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
 
-    blocks = docs.select("doc_id", "text").mapInArrow(ids, "doc_id long, text string, block long")
-    told = shared_shingles(docs, k, bits, n_blocks)
-    packed = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(enter, "bucket int, sigs binary, ids binary")
+    told = shared_shingles(docs, k, plan, n_blocks)
+    packed = packed_texts(docs, n_blocks).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(enter, "bucket int, sigs binary, ids binary")
     return packed.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
@@ -327,13 +345,12 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rar
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     nameless, docs = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
-    bits = bucket_bits(docs)
     prints = written(fingerprints(docs, k), "prints")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = 8 + int(total // block_bytes)
+    n_blocks, plan = 8 + int(total // block_bytes), key_plan(total)
 
     classes = written(prints.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    raw = written(candidate_edges(docs, k, num, den, rare, bits, n_blocks), "candidates")
+    raw = written(candidate_edges(docs, k, num, den, rare, plan, n_blocks), "candidates")
     # from documents to classes
     ends = raw.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     rep = written(prints.join(ends, "doc_id", "left_semi").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep").distinct(), "reps")
@@ -368,5 +385,11 @@ def _links(docs: DataFrame, member: DataFrame, k: int, num: int, den: int) -> Da
     later = member.where("parts > 1 and block < parts - 1").select(F.explode(F.expr("sequence(block + 1, parts - 1)")).alias("other"), "*").select(F.xxhash64("root", "block", "other").alias("grp"), F.lit(1).alias("side"), *member.columns)
     earlier = member.where("parts > 1 and block > 0").select(F.explode(F.expr("sequence(0, block - 1)")).alias("other"), "*").select(F.xxhash64("root", "other", "block").alias("grp"), F.lit(2).alias("side"), *member.columns)
     rows = within.unionByName(later).unionByName(earlier)
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(rows.select("node", "grp", "side", "f1", "f2", "copies"), "node").withColumnRenamed("node", "doc_id")
+    sent = docs.sparkSession.sparkContext.broadcast(id_map(member.select("node")))  # 32 MB at most
+
+    def candidates(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_map(sent.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    texts = docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(candidates, "node long, text string").join(rows.select("node", "grp", "side", "f1", "f2", "copies"), "node").withColumnRenamed("node", "doc_id")
     return _verified(texts.repartition("grp").sortWithinPartitions("grp", "side", "doc_id", "f1", "f2"), k, num, den)

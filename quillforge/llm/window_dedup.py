@@ -3,10 +3,12 @@
 A window is k consecutive words of one document. A word goes if a window over it
 has a word sequence that also starts in a document with a smaller doc_id.
 
-1. Sketch: a count-min row of 2^(32 + bits) counters, kept sparsely. Each
-   partition sends a 4-byte key for every window occurrence, repeats included,
-   to the key's hash bucket, where equal keys are counted. Counters never underestimate, so a window whose counter is 1 is
-   unique. The counters of 2 or more are folded into a bit map of fixed size.
+1. Sketch: count-min, two rows of 2^32 or more counters each (about 32 counters
+   for each window). Each partition counts its own windows in rows of its own, and
+   sends the counters that are not 0, about two bytes each, to hash buckets, where
+   the partitions' counters are added. A counter never underestimates, so a
+   window with a counter of 1 in some row is unique. Counters of 2 or more are
+   folded into a bit map for each row.
 2. Exact pass: only windows that the map holds to be repeated are grouped, by 96
    bits of hash, after each task has reduced its own to one least doc_id for each
    window and block of documents. A window that a task sees in many blocks is
@@ -14,8 +16,8 @@ has a word sequence that also starts in a document with a smaller doc_id.
 3. Each block of documents gets the windows that some smaller document outside
    it has, adds those repeated within it, and removes the words they cover.
 
-The bit map is 32 MB at any size of the input. On a corpus of far more windows it
-fills up and sends more windows to the exact pass, but it never loses one.
+The bit maps have 32 MB at any size of the input. On a corpus of far more repeated
+windows they fill up and send more windows to the exact pass, but never lose one.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import block_of, bucket_bits, key_counts, keys32, packed_keys, prepare
+from .common import Keys, block_of, key_plan, packed_texts, prepare, row_batches, unpacked_texts
 
 U = np.uint64
-FOLD_BITS = 28
+#: Bits of the map that a row of the sketch is folded into.
+MAP_BITS = 27
+_SALT = K.splitmix(29, 8)
 ENTRIES = 1 << 21
 #: A window that a task meets in more blocks than this is sent once for all.
 HOT_BLOCKS = 16
@@ -47,46 +51,77 @@ def _windows(texts, k: int) -> Iterator[tuple]:
         yield i, j, data, offs, counts, words, *K.windows(words, counts, k)
 
 
-def repeated_map(docs: DataFrame, k: int, bits: int) -> np.ndarray:
-    """The merged sketch as a bit map: a bit is set if a window there may come twice or more."""
-    fold = U(32 + bits - FOLD_BITS)
-    slice_bits = max(3, FOLD_BITS - bits)
+def repeated_map(docs: DataFrame, k: int, plan: Keys, rows: int) -> list[np.ndarray]:
+    """For each row of the merged sketch a bit map: a bit is set if a window there may come twice or more."""
+    spare = U(plan.bits + plan.width - MAP_BITS)
+    slice_bits = MAP_BITS - plan.bits
+
+    def sketch(held: list) -> Iterator[pa.RecordBatch]:
+        """A partition's share: its counters that are not 0, those of 1 and those above apart."""
+        h = np.concatenate(held)
+        out = []
+        for row in range(rows):
+            keys = np.sort(plan.of(_in_row(h, row)))
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            count = np.diff(np.concatenate([at, [len(keys)]])).astype(np.uint32)
+            keys = keys[at]
+            for more in (False, True):
+                own, n = keys[(count > 1) == more], count[(count > 1) == more]
+                cuts = plan.cuts(own)
+                out += [(row, b, *plan.pack(own[cuts[b] : cuts[b + 1]]), n[cuts[b] : cuts[b + 1]].tobytes() if more else b"") for b in np.flatnonzero(np.diff(cuts)).tolist()]
+        yield from row_batches(out, [pa.int32(), pa.int32(), *[pa.binary()] * 3], ["row", "bucket", "high", "low", "counts"])
 
     def run(batches):
         held, total = [], 0
         for batch in batches:
             for _, _, _, _, _, _, h, _, _ in _windows(batch.column(0), k):
-                held.append(keys32(h, bits))
+                held.append(h)
                 total += len(h)
                 if total >= ENTRIES:
-                    yield from packed_keys(np.concatenate(held), bits)
+                    yield from sketch(held)
                     held, total = [], 0
         if total:
-            yield from packed_keys(np.concatenate(held), bits)
+            yield from sketch(held)
 
     def merge(t: pa.Table) -> pa.Table:
-        bucket, keys, counts = key_counts(t)
-        at = np.unique((keys[counts > 1].astype(U) | (U(bucket) << U(32))) >> fold)
-        part = at >> U(slice_bits)
-        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(at) else []
-        rows = []
-        for a, b in zip(cut, [*cut[1:], len(at)], strict=True) if len(at) else []:
-            bitmap = np.zeros(1 << slice_bits, dtype=bool)
-            bitmap[(at[a:b] & U((1 << slice_bits) - 1)).astype(np.int64)] = True
-            rows.append((int(part[a]), np.packbits(bitmap, bitorder="little").tobytes()))
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "map": pa.array([r[1] for r in rows], pa.binary())})
-
-    found = docs.select("text").mapInArrow(run, "bucket int, keys binary").groupBy("bucket").applyInArrow(merge, "part long, map binary").toArrow()
-    out = np.zeros(1 << (FOLD_BITS - 3), dtype=np.uint8)
+        """Adds the partitions' counters of one bucket, and folds those of two or more into bits."""
+        own = plan.unpack(t.column("high"), t.column("low"))
+        count = np.concatenate([np.frombuffer(c.as_buffer(), np.uint32) if len(c.as_buffer()) else np.ones(len(x), np.uint32) for x, c in zip(own, t.column("counts"), strict=True)])
+        keys = np.concatenate(own)
+        order = np.argsort(keys)
+        keys, count = keys[order], count[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        twice = keys[at][np.add.reduceat(count.astype(np.int64), at) > 1]
+        bits = np.zeros(1 << slice_bits, dtype=bool)
+        bits[(twice >> spare).astype(np.int64)] = True
+        return pa.table({"row": t.column("row").slice(0, 1), "bucket": t.column("bucket").slice(0, 1), "map": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    sketches = docs.select("text").mapInArrow(run, "row int, bucket int, high binary, low binary, counts binary")
+    found = sketches.groupBy("row", "bucket").applyInArrow(merge, "row int, bucket int, map binary").toArrow()
+    out = [np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8) for _ in range(rows)]
     step = 1 << (slice_bits - 3)
-    for part, bitmap in zip(found.column("part").to_pylist(), found.column("map").to_pylist(), strict=True):
-        out[part * step : (part + 1) * step] |= np.frombuffer(bitmap, np.uint8)
+    for row, bucket, own in zip(found.column("row").to_pylist(), found.column("bucket").to_pylist(), found.column("map"), strict=True):
+        out[row][bucket * step : (bucket + 1) * step] = np.frombuffer(own.as_buffer(), np.uint8)
     return out
 
 
-def _may_repeat(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> U(64 - FOLD_BITS)
-    return (bitmap[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1) == 1
+def _in_row(h: np.ndarray, row: int) -> np.ndarray:
+    """The hash that places a window in a row of the sketch."""
+    return K.mix(h ^ _SALT[row]) if row else h
+
+
+def _may_repeat(maps: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+    may = np.ones(len(h), dtype=bool)
+    for row, bits in enumerate(maps):
+        left = np.flatnonzero(may)
+        at = _in_row(h[left], row) >> U(62 - len(bits).bit_length())  # a bit for each of 2^n places
+        may[left] = (bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1) == 1
+    return may
+
+
+def _ids(doc: np.ndarray) -> bytes:
+    """In four bytes each where all fit, else in eight."""
+    return doc.astype(np.uint32 if 0 <= doc.min() and doc.max() < 1 << 32 else np.int64).tobytes()
 
 
 def _earlier(docs: DataFrame, k: int, bits: int, n_blocks: int, sent) -> DataFrame:
@@ -108,9 +143,8 @@ def _earlier(docs: DataFrame, k: int, bits: int, n_blocks: int, sent) -> DataFra
         parts = [(h[keep], h2[keep], doc[keep], 0), (h[at[hot]], h2[at[hot]], least[hot], 1)]
         for h, h2, doc, flag in parts:
             cuts = np.concatenate([[0], np.searchsorted(h, np.arange(1, 1 << bits, dtype=U) << U(64 - bits)), [len(h)]])
-            rows = [(b, flag, h[a:z].tobytes(), h2[a:z].tobytes(), doc[a:z].tobytes()) for b in np.flatnonzero(np.diff(cuts)).tolist() for a, z in [(cuts[b], cuts[b + 1])]]
-            for i in range(0, len(rows), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 1024], strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "hot", "h", "h2", "doc"])
+            rows = [(b, flag, h[a:z].tobytes(), h2[a:z].tobytes(), _ids(doc[a:z])) for b in np.flatnonzero(np.diff(cuts)).tolist() for a, z in [(cuts[b], cuts[b + 1])]]
+            yield from row_batches(rows, [pa.int32(), pa.int32(), *[pa.binary()] * 3], ["bucket", "hot", "h", "h2", "doc"])
 
     def run(batches):
         bitmap = sent.value
@@ -130,10 +164,11 @@ def _earlier(docs: DataFrame, k: int, bits: int, n_blocks: int, sent) -> DataFra
             yield from send(held)
 
     def meet(t: pa.Table) -> pa.Table:
-        join = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in t.column(c)]
+        join = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in t.column(c)]
         hs = join("h", U)
         flag = np.repeat(t.column("hot").to_numpy(), [len(x) for x in hs])
-        h, h2, doc = np.concatenate(hs), np.concatenate(join("h2", np.uint32)), np.concatenate(join("doc", np.int64))
+        ids = [np.frombuffer(x.as_buffer(), np.int64 if len(x.as_buffer()) == 8 * len(own) else np.uint32).astype(np.int64) for x, own in zip(t.column("doc"), hs, strict=True)]
+        h, h2, doc = np.concatenate(hs), np.concatenate(join("h2", np.uint32)), np.concatenate(ids)
         block = block_of(doc, n_blocks)
         order = np.lexsort((doc, block, h2, h))
         h, h2, doc, block, flag = h[order], h2[order], doc[order], block[order], flag[order]
@@ -153,37 +188,35 @@ def _earlier(docs: DataFrame, k: int, bits: int, n_blocks: int, sent) -> DataFra
     return packed.groupBy("bucket").applyInArrow(meet, "block long, windows binary, hot binary, least binary")
 
 
-def window_dedup(docs: DataFrame, k: int = 13, block_bytes: int = 1 << 23) -> DataFrame:
+def window_dedup(docs: DataFrame, k: int = 13, block_bytes: int = 1 << 23, rows: int = 2) -> DataFrame:
     """(doc_id, n_words, n_removed, text, removed) for each row of docs(doc_id, text).
 
     text has the kept words joined by single spaces; removed has the runs taken
     out, as first word and count. Words are `[^\\x20\\x09-\\x0D]+`, unchanged. All
     windows are judged on the input. A null or empty text has no words; rows with
-    one doc_id are never smaller than each other; a null doc_id is greater than all; extra columns are left out; an
-    empty table gives no rows.
+    one doc_id are never smaller than each other; a null doc_id counts as 2^63 - 1,
+    the greatest; extra columns are left out; an empty table gives no rows. rows:
+    rows of the sketch.
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").alias("text"))
-    bits = min(bucket_bits(docs), FOLD_BITS - 3)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    named, nameless = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL").withColumn("doc_id", F.lit(LAST))
+    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 8 + int(total // block_bytes)
-    sent = spark.sparkContext.broadcast(repeated_map(docs, k, bits))
-    earlier = _earlier(docs, k, bits, n_blocks, sent)
-
-    def ids(batches):
-        for batch in batches:
-            doc = batch.column(0)
-            yield pa.RecordBatch.from_arrays([doc, batch.column(1), pa.array(block_of(doc.to_numpy(zero_copy_only=False), n_blocks))], ["doc_id", "text", "block"])
+    plan = key_plan(total)
+    sent = spark.sparkContext.broadcast(repeated_map(docs, k, plan, rows))
+    earlier = _earlier(docs, k, plan.bits, n_blocks, sent)
 
     def finish(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
         bitmap = sent.value
-        doc = texts.column("doc_id").to_numpy()
-        join = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in told.column(c))])
+        none = np.repeat(texts.column("none").to_numpy(zero_copy_only=False), [len(x.as_buffer()) // 8 for x in texts.column("ids")])
+        doc, arr = unpacked_texts(texts)
+        join = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in told.column(c))])
         outer, hot, least = np.sort(join("windows", U)), join("hot", U), join("least", np.int64)
         order = np.argsort(hot)
         hot, least = hot[order], least[order]
-        arr = K.plain(texts.column("text"))
         got = []
         for i, j, _, _, counts, _, h, at, of in _windows(arr, k):
             may = _may_repeat(bitmap, h)
@@ -217,10 +250,9 @@ def window_dedup(docs: DataFrame, k: int = 13, block_bytes: int = 1 << 23) -> Da
                 words = raw[offs[r] : offs[r + 1]].split()
                 mask = gone[first[r] : first[r + 1]]
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-                rows.append((int(doc[i + r]), len(words), int(mask.sum()), b" ".join(compress(words, ~mask) if len(edge) else words), [{"first": int(a), "words": int(z - a)} for a, z in zip(edge[::2], edge[1::2], strict=True)]))
+                rows.append((None if none[i + r] else int(doc[i + r]), len(words), int(mask.sum()), b" ".join(compress(words, ~mask) if len(edge) else words), [{"first": int(a), "words": int(z - a)} for a, z in zip(edge[::2], edge[1::2], strict=True)]))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "n_words": pa.array(cols[1], pa.int64()), "n_removed": pa.array(cols[2], pa.int64()), "text": pa.array(cols[3], pa.binary()).cast(pa.string()), "removed": pa.array(cols[4], pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])))})
 
-    blocks = docs.mapInArrow(ids, "doc_id long, text string, block long")
-    out = blocks.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, text string, removed array<struct<first:int,words:int>>")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+    blocks = packed_texts(named, n_blocks).withColumn("none", F.lit(False)).unionByName(packed_texts(nameless, n_blocks).withColumn("none", F.lit(True)))
+    return blocks.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, text string, removed array<struct<first:int,words:int>>")

@@ -10,6 +10,7 @@ import pytest
 from quillforge.llm import jaccard_join as J
 from quillforge.llm import kernel as K
 from quillforge.llm import window_dedup as W
+from quillforge.llm.common import Keys as K2
 
 KIND = "doc_id long, text string, score double, block long, rep string, a int"
 
@@ -94,6 +95,66 @@ def test_jaccard_prefixes_lose_no_link():
         assert entries[0] & entries[1]
 
 
+@pytest.mark.parametrize("percent", [10, 20, 30, 40, 50, 60, 80, 100])
+def test_jaccard_prefixes_at_any_threshold(percent):
+    """No pair of linked sets without a common entry, at low thresholds and in small sets too."""
+    rng = np.random.default_rng(percent)
+    least = lambda n: -(-percent * n // 100)
+    seen = 0
+    for _ in range(40):
+        pool = rng.integers(0, 1 << 62, int(rng.integers(6, 70))).astype(np.uint64)
+        sets = [np.unique(rng.choice(pool, int(rng.integers(1, 40)))) for _ in range(14)]
+        df_of = {int(v): sum(v in x for x in sets) for v in pool}
+        rare = int(rng.integers(1, 4))
+        entries = [set(J.prefix_entries(x, np.array([df_of[int(v)] if df_of[int(v)] > 1 else 0 for v in x]), least, rare).tolist()) for x in sets]
+        for i, x in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(x, sets[j]))
+                if both and 100 * both >= percent * (len(x) + len(sets[j]) - both) and not np.array_equal(x, sets[j]):
+                    seen += 1
+                    assert entries[i] & entries[j]
+    assert seen or percent >= 80
+
+
+def test_ranks_keep_the_order_of_counts():
+    df = np.unique(np.concatenate([np.arange(300), np.geomspace(300, 1e12, 400).astype(np.int64)]))
+    rank = J.rank_of(df).astype(int)
+    assert (np.diff(rank) >= 0).all()
+    assert (rank[df <= 64] == df[df <= 64]).all()
+
+
+def test_id_maps_and_packed_texts(spark):
+    from quillforge.llm.common import id_map, in_map, packed_texts, unpacked_texts
+
+    ids = list(range(-50, 4000, 7)) + [2**63 - 1, -(2**63)]
+    bits = id_map(spark.createDataFrame([(i,) for i in ids], "x long").repartition(3))
+    assert in_map(bits, np.array(ids)).all()
+    assert in_map(bits, np.arange(10**6, 10**6 + 2000)).mean() < 0.2
+    assert not id_map(spark.createDataFrame([], "x long")).any()
+    texts = [(i, x) for i, x in enumerate(["", None, "é" * 10, "a b", "x" * 100_000] * 3)]
+    got = []
+    for r in packed_texts(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), 4, limit=50).toArrow().to_batches(max_chunksize=1):
+        doc, own = unpacked_texts(pa.Table.from_batches([r]))
+        got += zip(doc.tolist(), own.to_pylist(), strict=True)
+    assert sorted(got) == [(i, x or "") for i, x in texts]
+
+
+def test_very_long_texts(spark):
+    """A text of many blocks, near copies of it, and a passage of it in another."""
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    near = [*long[:-9], *["new"] * 9]
+    docs = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[500:600])), (2**63 - 1, " ".join(near)), (None, " ".join(long[:40]))]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in J.jaccard_join(frame(spark, docs)).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 0), 2**63 - 1: (1, 2), None: (None, 0)}
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in W.window_dedup(frame(spark, docs)).collect()}
+    assert got[1] == (150_000, 0)
+    assert got[3] == (100, 100)
+    assert got[2] == (150_000, 150_000 - 9)
+    assert got[2**63 - 1] == (150_000, 150_000)
+    assert got[None] == (40, 40)
+
+
 def test_jaccard_empty_null_and_repeated(spark):
     assert J.jaccard_join(frame(spark, [])).collect() == []
     docs = [(7, "a b c d e f"), (7, "a b c d e f"), (9, "A B c d e f"), (None, "a b c d e f"), (8, None)]
@@ -140,6 +201,17 @@ def test_window_dedup_against_brute_force(spark, seed, hot, k, monkeypatch):
     assert all(sum(x.words for x in r.removed) == r.n_removed for r in got)
 
 
+@pytest.mark.parametrize("rows", [1, 3])
+def test_window_dedup_with_other_sketches(spark, rows, monkeypatch):
+    """Narrow maps fill up and lose nothing; wide keys; shares of a few windows."""
+    monkeypatch.setattr(W, "MAP_BITS", 13)
+    monkeypatch.setattr(W, "ENTRIES", 50)
+    monkeypatch.setattr(W, "key_plan", lambda total: K2(9, 32))
+    docs = corpus(17)
+    got = W.window_dedup(frame(spark, docs), 5, block_bytes=1000, rows=rows).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == brute_windows(docs, 5)
+
+
 def test_window_dedup_empty(spark):
     assert W.window_dedup(frame(spark, [])).collect() == []
 
