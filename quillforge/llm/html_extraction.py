@@ -4,16 +4,21 @@ The page becomes a tree. Blocks of text (paragraphs and the like) earn points fo
 their length and commas; they pass all of them to their parent, half to its
 parent, and falling shares further up. A container's points are discounted by its
 link density (characters in links over all characters). The best container is
-kept with those of its siblings that score enough or read like prose. Elements
-that never hold the article (menus, headers, footers, sidebars, forms, scripts,
-adverts, notices, comments of readers) are left out beforehand, by tag, role and
-words in class and id.
+kept with those of its siblings that score enough or read like prose.
+
+Elements that never hold the article (scripts, menus, headers, footers, asides,
+what is hidden) are left out beforehand by their tag. Forms, and elements whose
+class, id or role names a menu, sidebar, notice, advert or the like, are doubtful:
+a form is left out unless most of the page's points lie in it, a named element
+unless nearly nothing would be left, so that a layout's name or a form around the
+whole page costs no article. Comments of readers, adverts and consent boxes stay out.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is no markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that are never part of the article.
-NEVER = frozenset("head script style noscript template nav header footer aside form button select option textarea input iframe object embed svg canvas audio video dialog menu title noframes xmp".split())
+NEVER = frozenset("head script style noscript template nav header footer aside button select option textarea input iframe object embed svg canvas audio video dialog menu title noframes xmp".split())
 #: Elements that make a block of their own.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Blocks whose text earns points.
@@ -39,11 +44,24 @@ CLOSES = {
 }
 #: Where the search for an element to close ends.
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",), "option": ("select",)}
+#: What a start tag's element ends, and what bounds that, by the element that is open.
+ENDED_BY = {x: [t for t, own in CLOSES.items() if x in own] for own in CLOSES.values() for x in own}
+BOUNDED_BY = {x: [t for t, own in SCOPE.items() if x in own] for own in SCOPE.values() for x in own}
+#: Where the search for an open paragraph ends.
+BOUNDARY = frozenset("table td th li div article section main blockquote body button".split())
 #: Roles, and words in class or id, of what is not the article.
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 UNLIKELY = re.compile(r"(?:^|[\s_-])(?:banners?|breadcrumbs?|header|login|masthead|modal|notices?|overlay|pagination|pager|promo\w*|related|replies|respond|share|sharing|signup|social|toolbar|widgets?)(?:$|[\s_-])", re.I)
 #: The same, whatever other words stand with them.
 NEVER_NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|menu|nav|navbar|navigation|newsletter|popup|shoutbox|sidebar|sidenav|sponsor\w*|subscribe)(?:$|[\s_-])", re.I)
+#: Of these, what is never the article even where nothing else is left.
+FOREIGN = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|commentlist|consent|cookies?|disqus|gdpr|newsletter|popup|sponsor\w*|subscribe)(?:$|[\s_-])", re.I)
+#: A name of several parts that tells how a page is laid out, not what an element is: no-sidebar, with-nav, comments-open.
+LAYOUT = re.compile(r"(?:^|\s)(?:(?:no|without|with|has|hide|show)[_-]\S+|\S+[_-](?:open|closed|on|off|enabled|disabled|visible|hidden))(?=$|\s)", re.I)
+#: How doubtful an element is: a form, a name that a layout may have too, a name of what never belongs to the article.
+FORM, NAMED, OTHERS = 1, 2, 3
+#: The share of the page's points that keeps a form or, where the rest has less than the second share, a named element.
+MOST, NEXT_TO_NOTHING = 0.5, 0.1
 #: What looks unlikely by a word but may hold the article all the same.
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 
@@ -54,50 +72,66 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("kids", "links", "out", "parent", "points", "size", "tag")
+    __slots__ = ("closable", "doubt", "kids", "links", "out", "paragraph", "parent", "points", "size", "tag", "worth")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, out: bool = False, doubt: int = 0):
+        self.tag, self.parent, self.out, self.doubt = tag, parent, out, doubt
         self.kids: list[Node | str] = []
-        self.points = 0.0
+        self.points = self.worth = 0.0
         self.size = self.links = 0
-
-
-def _left_out(tag: str, attributes: str) -> bool:
+        #: The open paragraph that a block here would end.
+        self.paragraph: Node | None = self if tag == "p" else None if parent is None or tag in BOUNDARY else parent.paragraph
+        #: By tag, the outermost open element that its start tag would end; shared with the parent while nothing changes.
+        self.closable: dict[str, Node] = {} if parent is None else parent.closable
+        ends = [t for t in ENDED_BY.get(tag, ()) if t not in self.closable]
+        bounds = [t for t in BOUNDED_BY.get(tag, ()) if t in self.closable]
+        if ends or bounds:
+            self.closable = {t: n for t, n in self.closable.items() if t not in bounds} | dict.fromkeys((t for t in ends if t not in BOUNDED_BY.get(tag, ())), self)
+
+
+def _judged(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element is left out, and how doubtful it is."""
     if tag in NEVER:
-        return True
+        return True, 0
+    doubt = FORM if tag == "form" else 0
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
+        return False, doubt
     names = []
     for m in _ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         value = html.unescape(m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "")
         if key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and _HIDDEN.search(value)):
-            return True
+            return True, 0
         if key == "role" and value.strip().lower() in ROLES:
-            return True
+            doubt = max(doubt, FORM if value.strip().lower() == "form" else NAMED)
         if key in ("class", "id"):
             names.append(value)
-    own = " ".join(names)
-    return bool(own) and bool(NEVER_NAMED.search(own) or (UNLIKELY.search(own) and not LIKELY.search(own)))
-
-
-def _within_article(node: Node | None) -> bool:
-    """A header in an article is the article's own."""
-    while node is not None and node.tag != "article":
-        node = node.parent
-    return node is not None
+    own = LAYOUT.sub(" ", " ".join(names))
+    if own and (NEVER_NAMED.search(own) or (UNLIKELY.search(own) and not LIKELY.search(own))):
+        doubt = OTHERS if FOREIGN.search(own) else NAMED
+    return False, doubt
 
 
 def parse(page: str) -> Node:
-    """The tree of a page, with the ends of elements that HTML leaves out put in."""
-    root = node = Node("#root", None, False)
+    """The tree of a page, with the ends of elements that HTML leaves out put in. Linear in the page: an end tag without an open element is passed over by a count, what a start tag ends is kept at each node."""
+    root = node = Node("#root", None)
     at, lower = 0, None
+    inside: Counter[str] = Counter()  # open elements by tag
+    in_article = 0
 
     def text(s: str) -> None:
         if s and not node.out:
             node.kids.append(html.unescape(s) if "&" in s else s)
 
+    def close(last: Node) -> Node:
+        """Closes all open elements up to and with `last`."""
+        up = node
+        while True:
+            inside[up.tag] -= 1
+            if up is last:
+                return up.parent
+            up = up.parent
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
@@ -109,29 +143,21 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if inside[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = close(up)
             elif tag == "p":
                 node.kids.append(Node("p", node, node.out))
             continue
-        if tag in BLOCK or tag == "p":  # an open paragraph ends where a block begins
-            up = node
-            while up.parent is not None and up.tag not in ("p", "table", "td", "th", "li", "div", "article", "section", "main", "blockquote", "body", "button"):
-                up = up.parent
-            if up.tag == "p" and up.parent is not None:
-                node = up.parent
-        if tag in CLOSES:
-            up, close = node, None
-            while up.parent is not None and up.tag not in SCOPE.get(tag, ()):
-                if up.tag in CLOSES[tag]:
-                    close = up
-                up = up.parent
-            if close is not None:
-                node = close.parent
-        new = Node(tag, node, node.out or (_left_out(tag, m[3] or "") and not (tag == "header" and _within_article(node))))
+        if tag in BLOCK and node.paragraph is not None:  # an open paragraph ends where a block begins
+            node = close(node.paragraph)
+        if tag in CLOSES and tag in node.closable:
+            node = close(node.closable[tag])
+        in_article = inside["article"]
+        out, doubt = _judged(tag, m[3] or "")
+        new = Node(tag, node, node.out or (out and not (tag == "header" and in_article)), doubt)
         node.kids.append(new)
         if tag in RAW:
             lower = page.lower() if lower is None else lower
@@ -144,6 +170,7 @@ def parse(page: str) -> Node:
             at = len(page) if stop < 0 else stop + 1
         elif tag not in VOID and not (m[3] or "").endswith("/"):
             node = new
+            inside[tag] += 1
     return root
 
 
@@ -152,6 +179,8 @@ def _measured(root: Node) -> list[Node]:
     order, stack = [], [root]
     while stack:
         node = stack.pop()
+        node.size = node.links = 0
+        node.points = 0.0
         order.append(node)
         stack += [k for k in node.kids if isinstance(k, Node) and not k.out]
     order.reverse()
@@ -167,6 +196,36 @@ def _measured(root: Node) -> list[Node]:
     return order
 
 
+def _points(node: Node) -> float:
+    """What a node's own text is worth: for its length and commas, less what is in links."""
+    own = _own_text(node) if node.tag in PARAGRAPH and node.size else ""
+    return (1 + own.count(",") + min(len(own) / 100, 30)) * (1 - _density(node)) if own else 0.0
+
+
+def settle(root: Node) -> None:
+    """Decides which doubtful elements are left out."""
+    order = _measured(root)
+    if not any(n.doubt for n in order):
+        return
+    for node in order:
+        node.worth = _points(node) + sum(k.worth for k in node.kids if isinstance(k, Node) and not k.out)
+    total = root.worth
+    doubtful = [n for n in order if n.doubt]
+    for node in doubtful:
+        node.out = node.doubt != FORM or node.worth <= MOST * total
+    lost, stack = 0.0, [root]
+    while stack:
+        node = stack.pop()
+        if node.out:
+            lost += node.worth
+        else:
+            stack += [k for k in node.kids if isinstance(k, Node) and (k.doubt or not k.out)]
+    if total and total - lost < NEXT_TO_NOTHING * total:
+        for node in doubtful:
+            if node.doubt == NAMED and node.worth > MOST * total:
+                node.out = False
+
+
 def _own_text(node: Node) -> str:
     """Text of a node that is in no block below it."""
     parts, stack = [], list(reversed(node.kids))
@@ -185,15 +244,12 @@ def _density(node: Node) -> float:
 
 def choose(root: Node) -> list[Node]:
     """The best container and the siblings kept with it, in page order; none for a page without text."""
+    settle(root)
     order = _measured(root)
     scored = set()
     for node in order:
-        if node.tag not in PARAGRAPH or not node.size:
-            continue
-        own = _own_text(node)
-        if not own:
+        if not (points := _points(node)):
             continue
-        points = (1 + own.count(",") + min(len(own) / 100, 30)) * (1 - _density(node))
         up, share = node.parent, 1.0
         for level in range(4):
             if up is None:
@@ -263,7 +319,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     space within a block is one space, blocks are joined by a line break; nothing
     else is dropped or cut. Pages are handled one by one, so repeated rows come
     out alike; extra columns are left out; an empty table gives no rows. Unclosed
-    and misnested tags are closed as HTML does, and any depth is handled.
+    and misnested tags are closed as HTML does; time and memory follow a page's
+    length, however deep or broken it is.
     """
     prepare(pages.sparkSession)
 

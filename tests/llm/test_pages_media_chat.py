@@ -2,7 +2,11 @@
 
 import hashlib
 import json
+import random
+import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import pytest
 from quillforge.llm import chat_formatting as T
@@ -28,6 +32,14 @@ TEXT = "This is a long paragraph of the article, with commas, and with enough wo
         ("<p>unclosed <b>tags <i>everywhere", "unclosed tags everywhere"),
         ("<", "<"),
         (f"<article><div role=navigation>skip</div><p>{TEXT}</p><div class=advert>{TEXT}</div></article>", TEXT),
+        # names that tell of a layout, and a form around all
+        (f"<div class='content no-sidebar'><p>{TEXT}</p></div>", TEXT),
+        (f"<body><div class='page with-nav'><p>{TEXT}</p></div><nav>x</nav></body>", TEXT),
+        (f"<div class='post comments-open'><p>{TEXT}</p></div><div class=comments><p>{TEXT}</p><p>{TEXT}</p></div>", TEXT),
+        (f"<body><form action=/><p>{TEXT}</p><div class=menu>a b</div><p>{TEXT}</p><select><option>x</select></form></body>", f"{TEXT}\n{TEXT}"),
+        (f"<div class='sidebar'><p>{TEXT}</p><p>{TEXT}</p></div><footer>end</footer>", f"{TEXT}\n{TEXT}"),
+        (f"<div><p>{TEXT}</p><p>{TEXT}</p><form><label>Mail</label><p>write, to, us</p></form></div>", f"{TEXT}\n{TEXT}"),
+        (f"<div class=comments><p>{TEXT}</p></div>", ""),
     ],
 )
 def test_main_text(page, text):
@@ -40,6 +52,145 @@ def test_deep_and_long_pages():
     assert H.main_text("<article>" + "".join(f"<p>{x}</p>" for x in many) + "</article>") == "\n".join(many)
 
 
+@pytest.mark.parametrize("page", ["<span>{n}<p>{n}", "<span>{n}</div>{n}", "<p><table><td><span>{n}<p></p>{n}", "<ul>{n}<li>{n}", "<div><p><b>{n}", "<table><tr><td>{n}", "<a href='{n}", "<!-- {n}", "<b class={n}>"])
+def test_broken_pages_take_linear_time(page):
+    """60,000 of each tag: seconds where time is linear, minutes where it is quadratic."""
+    page = re.sub(r"((?:<[^{]*>)?)\{n\}", lambda m: (m[1] or "<") * 60_000, page) + TEXT
+    start = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - start < 15
+
+
+class Plain(HTMLParser):
+    """The same rules, written plainly, for well-formed pages: lists for elements, recursion, every sum worked out anew."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = ["#root", [], None, False]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attributes):
+        names = " ".join(v or "" for k, v in attributes if k in ("class", "id"))
+        out = tag in H.NEVER or bool(H.NEVER_NAMED.search(H.LAYOUT.sub(" ", names)))
+        new = [tag, [], self.at, out]
+        self.at[1].append(new)
+        if tag not in H.VOID:
+            self.at = new
+
+    def handle_endtag(self, tag):
+        assert self.at[0] == tag, "not well-formed"
+        self.at = self.at[2]
+
+    def handle_data(self, data):
+        self.at[1].append(data)
+
+    def all(self, node):
+        return [node, *(x for k in node[1] if isinstance(k, list) and not k[3] for x in self.all(k))]
+
+    def size(self, node, in_links, linked=False):
+        """Characters below a node, of all or of those in links."""
+        linked = linked or node[0] == "a"
+        return sum(len(" ".join(k.split())) * (linked or not in_links) if isinstance(k, str) else 0 if k[3] else self.size(k, in_links, linked) for k in node[1])
+
+    def density(self, node):
+        whole = self.size(node, False)
+        return self.size(node, True) / whole if whole else 0
+
+    def own(self, node):
+        return " ".join("".join(k if isinstance(k, str) else "" if k[3] or k[0] in H.BLOCK else self.raw(k) for k in node[1]).split())
+
+    def raw(self, node):
+        return "".join(k if isinstance(k, str) else "" if k[3] or k[0] in H.BLOCK else self.raw(k) for k in node[1])
+
+    def earned(self, node):
+        own = self.own(node) if node[0] in H.PARAGRAPH else ""
+        return (1 + own.count(",") + min(len(own) / 100, 30)) * (1 - self.density(node)) if own else 0
+
+    def points(self, node):
+        shares = {0: 1, 1: 0.5, 2: 0.25, 3: 0.5 / 3}
+
+        def below(n, depth):
+            return sum(self.earned(k) * shares[depth] + (below(k, depth + 1) if depth < 3 else 0) for k in n[1] if isinstance(k, list) and not k[3])
+
+        return below(node, 0)
+
+    def text(self):
+        scores = [(self.points(n) * (1 - self.density(n)), n) for n in self.all(self.root) if n[0] not in ("#root", "html", "p", "b", "i", "em", "strong", "span", "a") and any(self.earned(x) for x in self.all(n)[1:])]
+        most = max(s for s, _ in scores)
+        best = next(n for s, n in scores if s == most)
+        while best[2][0] in ("article", "main"):
+            best = best[2]
+        kept = []
+        for k in best[2][1]:
+            if isinstance(k, str) or k[3]:
+                continue
+            own = self.own(k)
+            if k is best or self.points(k) * (1 - self.density(k)) >= max(10, most / 5):
+                kept.append(k)
+            elif k[0] in ("p", "h1", "h2") and best[0] not in ("article", "main", "body"):
+                d = self.density(k)
+                if k[0] != "p" or (len(own) > 80 and d < 0.25) or (own.endswith((".", "!", "?")) and not d):
+                    kept.append(k)
+        lines = []
+        for k in kept:
+            lines += self.lines(k)
+        return "\n".join(lines)
+
+    def lines(self, node):
+        """The blocks of a node in page order."""
+        out, part = [], ""
+
+        def visit(n):
+            nonlocal part
+            for k in n[1]:
+                if isinstance(k, str):
+                    part += k
+                elif k[3]:
+                    continue
+                elif k[0] == "br":
+                    part += " "
+                elif k[0] in H.BLOCK:
+                    flush()
+                    visit(k)
+                    flush()
+                else:
+                    visit(k)
+
+        def flush():
+            nonlocal part
+            if part.split():
+                out.append(" ".join(part.split()))
+            part = ""
+
+        visit(node)
+        flush()
+        return out
+
+
+def generated_page(seed):
+    """A well-formed page and the blocks of its article."""
+    rng = random.Random(seed)
+    prose = lambda n: " ".join(rng.choice(["one", "two,", "three", "caf\u00e9,", "a", "longer-word", "so."]) for _ in range(n)) + " end."
+    link = lambda: f"<a href='/{rng.randrange(99)}'>{prose(2)}</a>"
+    blocks = [prose(rng.randint(15, 90)) for _ in range(rng.randint(2, 9))]
+    inner = [f"<p>{b}</p>" if rng.random() < 0.7 else f"<p>{b[: len(b) // 2]}<b>{b[len(b) // 2 :]}</b></p>" for b in blocks]
+    if rng.random() < 0.3:
+        inner.insert(1, f"<div class=advert><p>{prose(30)}</p></div>")
+    article = rng.choice(["<article>%s</article>", "<div class='post-content'>%s</div>", "<main><section>%s</section></main>", "<div class='entry no-sidebar'><div>%s</div></div>"]) % "".join(inner)
+    junk = [f"<nav><ul><li>{link()}</li><li>{link()}</li></ul></nav>", f"<aside><p>{prose(40)}</p></aside>", f"<div class=comments><p>{prose(60)}</p><p>{prose(50)}</p></div>", f"<footer><p>{prose(20)}</p></footer>", f"<div>{link()} {link()} {link()}</div>", f"<script>var x = '{prose(30)}';</script>"]
+    before, after = rng.sample(junk, rng.randint(0, 3)), rng.sample(junk, rng.randint(0, 3))
+    return f"<html><head><title>{prose(4)}</title></head><body>{''.join(before)}{article}{''.join(after)}</body></html>", [" ".join(b.split()) for b in blocks]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_generated_pages_against_a_plain_extractor(seed):
+    page, blocks = generated_page(seed)
+    got = H.main_text(page)
+    assert got == Plain(page).text()
+    assert got.split("\n") == blocks
+
+
 def test_pages_frame(spark):
     kind = "page_id long, url string, html string, text string"
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", f"<p>{TEXT}", "x"), (None, None, "", None)], kind)
