@@ -2,20 +2,24 @@
 
 A text becomes a template: lower-cased words, with numbers, names and units of
 measure replaced by typed placeholders, a run of one kind by one. Windows of
-consecutive template tokens are hashed; documents' windows are joined with the
-benchmark's by hash. Where a document has enough of an item's windows, the values
-in the placeholders are compared: an item's value must always stand for the same
-value in the document and the other way round. So a question with other numbers or
-names is caught, and a text that only has a similar form is not.
-
-The benchmark's windows are held in a hash table that is sent to the executors in
-pieces of a bounded size; a larger benchmark takes more passes over the documents.
+consecutive template tokens are hashed; documents' windows are hash-joined with the
+benchmark's. Where a document has enough of an item's windows, the values in the
+placeholders are compared: an item's value must always stand for the same value in
+the document and the other way round. So a question with other numbers or names is
+caught, and a text that only has a similar form is not. Items too short for a
+window, or of little but placeholders, are matched exactly, word by word.
+
+One pass over the documents, however large the benchmark is: a bit map of the
+benchmark's window hashes, of bounded size, picks the windows that may meet one.
+These alone are shuffled for the join, salted, so that a window of very many
+documents is met in several tasks. Nothing of the benchmark but the map is sent to
+the executors.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +28,17 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .classifiers import _WORDS, WORD
-from .common import prepare, union_all
+from .common import id_map, in_map, prepare, row_batches, written
 
 U = np.uint64
 NUMBER, NAME, UNIT = 1, 2, 3
 #: Values: words that are numbers, and units of measure, lower-cased.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees watt watts volt volts mph kmh hz".split()
+#: Words in a window of an item that is matched exactly (all of a shorter one).
+EXACT = 8
+#: Tasks that the documents' windows of one hash are dealt to.
+SALTS = 16
 #: Alignments so many tokens apart, at most, can belong to one occurrence of an item.
 SHIFT = 8
 _PLACE = K.splitmix(41, 4)
@@ -51,12 +59,12 @@ def _among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h if len(keys) else np.zeros(len(h), bool)
 
 
-def templates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes, kinds (0: a word), values of the placeholders, and the tokens of each text."""
+def templates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes, kinds (0: a word), values of the placeholders, and the tokens of each text; hashes of the plain words, and the words of each text."""
     starts, ends, counts = K.spans(data, offs, ~WORD)
     n = len(starts)
     if not n:
-        return np.zeros(0, U), np.zeros(0, np.int8), np.zeros(0, U), counts
+        return np.zeros(0, U), np.zeros(0, np.int8), np.zeros(0, U), counts, np.zeros(0, U), counts
     h = K.word_hashes(data, starts, _WORDS)
     of = np.repeat(np.arange(len(counts)), counts)
     first = np.concatenate([[True], of[1:] != of[:-1]])
@@ -76,7 +84,7 @@ def templates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     value = np.add.reduceat(h * (_PLACE[0] | U(1)), at)
     kind = kind[at]
     token = np.where(kind == 0, h[at], _PLACE[kind])
-    return token, kind, value, np.bincount(of[at], minlength=len(counts))
+    return token, kind, value, np.bincount(of[at], minlength=len(counts)), h, counts
 
 
 def _template_windows(token: np.ndarray, kind: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,27 +95,41 @@ def _template_windows(token: np.ndarray, kind: np.ndarray, counts: np.ndarray, k
     return h[full], at[full], of[full]
 
 
-class Items:
-    """The windows of some benchmark items, by their hash."""
-
-    def __init__(self, ids: list[int], texts: list[str], k: int, least: int):
-        self.windows: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        self.count, self.ids, self.slots = Counter(), ids, {}
-        for i, _, data, offs in K.blocks(pa.array(texts, pa.large_string())):
-            token, kind, value, counts = templates(data, offs)
-            first = np.concatenate([[0], np.cumsum(counts)])
-            for j, n in enumerate(counts.tolist()):
-                size = min(k, n)
-                if size < least:
-                    continue
-                own = slice(first[j], first[j + 1])
-                self.slots[i + j] = (kind[own], value[own])
-                h, at, _ = _template_windows(token[own], kind[own], np.array([n]), size)
-                for x, p in zip(h.tolist(), at.tolist(), strict=True):
-                    self.windows[size][x].append((i + j, p))
-                self.count[i + j] = len(h)
-        self.windows = {size: dict(w) for size, w in self.windows.items()}
-        self.keys = {size: np.sort(np.array(list(w), dtype=U)) for size, w in self.windows.items()}
+def _exact_windows(h: np.ndarray, counts: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of plain words; those of fewer than `least` words are whole texts only."""
+    got = K.windows(h, counts, size, seed=90 + size)
+    if size >= least:
+        return got
+    whole = counts[got[2]] == size
+    return tuple(x[whole] for x in got)
+
+
+_ITEM_WINDOWS = "h long, item long, item_id long, place int, n_windows int, size int, kinds binary, slots binary"
+
+
+def item_windows(benchmark: DataFrame, k: int, least: int) -> DataFrame:
+    """A row for each window of each item: its hash, its place in the item, how many the item has; size 0 and the kinds and values of its k tokens, or, of an item that is matched exactly, the words of a window."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i, _, data, offs in K.blocks(batch.column(2)):
+                token, kind, value, counts, word, words = templates(data, offs)
+                end, word_end = np.cumsum(counts), np.cumsum(words)
+                for j, (n, m) in enumerate(zip(counts.tolist(), words.tolist(), strict=True)):
+                    item, item_id = batch.column(0)[i + j].as_py(), batch.column(1)[i + j].as_py()
+                    kinds, values = kind[end[j] - n : end[j]], value[end[j] - n : end[j]]
+                    h, at, _ = _template_windows(token[end[j] - n : end[j]], kinds, np.array([n]), k)
+                    for x, p in zip(h.view(np.int64).tolist(), at.tolist(), strict=True):
+                        rows.append((x, item, item_id, p, len(h), 0, kinds[p : p + k].tobytes(), values[p : p + k].tobytes()))
+                    if not len(h) and m:
+                        size = min(m, EXACT)
+                        h, at, _ = _exact_windows(word[word_end[j] - m : word_end[j]], np.array([m]), size, least)
+                        rows += [(x, item, item_id, p, len(h), size, b"", b"") for x, p in zip(h.view(np.int64).tolist(), at.tolist(), strict=True)]
+            yield from row_batches(rows, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["h", "item", "item_id", "place", "n_windows", "size", "kinds", "slots"])
+
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
+    return items.mapInArrow(run, _ITEM_WINDOWS)
 
 
 def _consistent(pairs: dict[int, tuple[int, int]]) -> tuple[int, int, int]:
@@ -120,41 +142,103 @@ def _consistent(pairs: dict[int, tuple[int, int]]) -> tuple[int, int, int]:
     return len(pairs), fit, sum(a != b for a, b in pairs.values())
 
 
-def _agreeing(places: list[tuple[int, int, int]], kinds: np.ndarray, values: np.ndarray, value: np.ndarray, enough: float, agree: float) -> tuple[int, int] | None:
+def _agreeing(along: dict[int, dict[int, list]], enough: float, agree: float) -> tuple[int, int] | None:
     """Slots compared and slots changed of the best alignment of an item with a text whose slots agree, if any.
 
-    Every alignment with enough windows is tested (if there is none, the commonest),
-    those with most windows first, then those with fewest changes. If none agrees,
-    windows of alignments up to SHIFT tokens apart are taken together, so that an
-    occurrence with a few words more or less is tested as one.
+    along: for each shift between item and text, by place in the item, the slots
+    (place, item's value, text's value) of the window there. Every alignment with
+    enough windows is tested (if there is none, the commonest), those with most
+    windows first, then those with fewest changes. If none agrees, windows of
+    alignments up to SHIFT tokens apart are taken together, so that an occurrence
+    with a few words more or less is tested as one.
     """
-    along = defaultdict(list)
-    for a, p, size in places:
-        along[p - a].append((a, p, size))
-
-    def compared(own):
-        pairs = {}
-        for a, p, size in own:
-            for t in range(size):
-                if kinds[a + t]:
-                    pairs[a + t] = (int(values[a + t]), int(value[p + t]))
+
+    def compared(windows):
+        pairs = {place: (a, b) for slots in windows for place, a, b in slots}
         slots, fit, changed = _consistent(pairs)
         return (slots, changed) if fit >= agree * slots else None
 
     whole = [own for own in along.values() if len(own) >= enough] or [max(along.values(), key=len)]
-    told = [(-len(own), t[1], t[0]) for own in whole if (t := compared(own))]
+    told = [(-len(own), t[1], t[0]) for own in whole if (t := compared(own.values()))]
     if told:
         _, changed, slots = min(told)
         return slots, changed
     for shift in sorted(along):
         near = [s for x in range(SHIFT, 0, -1) for s in (shift + x, shift - x) if s in along]
-        own = [w for s in [*near, shift] for w in along[s]]  # the nearest last: its values count
-        if near and len({a for a, _, _ in own}) >= enough and (t := compared(own)):
+        own = [s for s in [*near, shift] if s in along]  # the nearest last: its values count
+        if near and len({p for s in own for p in along[s]}) >= enough and (t := compared([w for s in own for w in along[s].values()])):
             return t
     return None
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.5, agree: float = 0.8, least: int = 5, piece_bytes: int = 1 << 24) -> DataFrame:
+def _judged(rows: DataFrame, k: int, coverage: float, agree: float) -> DataFrame:
+    """The items that texts contain. rows: windows that a text (k1, k2) and an item both have, those of one text and item one after the other."""
+
+    def judge(held: list) -> tuple | None:
+        k1, k2, _, item_id, n_windows, size = held[0][:6]
+        along = defaultdict(dict)
+        for *_, place, at, kinds, mine, its in held:
+            slots = ()
+            if any(kinds):
+                a, b = np.frombuffer(mine, np.int64), np.frombuffer(its, np.int64)
+                slots = [(place + t, int(a[t]), int(b[t])) for t in range(k) if kinds[t]]
+            along[at - place][place] = slots
+        n = len({p for own in along.values() for p in own})
+        if size:
+            return (k1, k2, item_id, n, n_windows, 0, 0) if any(len(own) == n_windows for own in along.values()) else None
+        told = _agreeing(along, coverage * n_windows, agree) if n >= coverage * n_windows else None
+        return told and (k1, k2, item_id, n, n_windows, *told)
+
+    def run(batches):
+        names = ["k1", "k2", "item_id", "n_windows", "item_windows", "n_slots", "n_changed"]
+        told = []
+        each = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True))
+        for _, held in groupby(each, key=lambda row: row[:3]):
+            if found := judge(list(held)):
+                told.append(found)
+            if len(told) == 1024:
+                yield from row_batches(told, [pa.int64()] * 7, names)
+                told = []
+        yield from row_batches(told, [pa.int64()] * 7, names)
+
+    needed = rows.select("k1", "k2", "item", "item_id", "n_windows", "size", "place", "at", "kinds", "slots", "values")
+    return needed.mapInArrow(run, "k1 long, k2 long, item_id long, n_windows long, item_windows long, n_slots long, n_changed long")
+
+
+def _found(texts: DataFrame, benchmark: DataFrame, k: int, coverage: float, agree: float, least: int, map_bits: int) -> DataFrame:
+    """(k1, k2, item_id, n_windows, item_windows, n_slots, n_changed) for texts with the keys k1 and k2 and a text."""
+    spark = texts.sparkSession
+    items = written(item_windows(benchmark, k, least), "items")
+    sizes = sorted(r["size"] for r in items.where("size > 0").select("size").distinct().collect())  # EXACT at most
+    sent = spark.sparkContext.broadcast(id_map(items.select("h"), map_bits))
+
+    def run(batches):
+        hits = sent.value
+        for batch in batches:
+            k1, k2 = batch.column(0), batch.column(1)
+            for i, _, data, offs in K.blocks(batch.column(2)):
+                token, kind, value, counts, word, words = templates(data, offs)
+                of_template = _template_windows(token, kind, counts, k)
+                for size in (0, *sizes):
+                    h, at, of = of_template if not size else _exact_windows(word, words, size, least)
+                    hit = in_map(hits, h.view(np.int64))
+                    if not hit.any():
+                        continue
+                    h, at, of = h[hit], at[hit], of[hit]
+                    begin = np.cumsum(words if size else counts) - (words if size else counts)
+                    row = pa.array(of + i)
+                    values = value[at[:, None] + np.arange(k)].tobytes() if not size else None
+                    values = pa.nulls(len(at), pa.binary()) if values is None else pa.Array.from_buffers(pa.binary(8 * k), len(at), [None, pa.py_buffer(values)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([k1.take(row), k2.take(row), pa.array(h.view(np.int64)), pa.array((at - begin[of]).astype(np.int32)), values], ["k1", "k2", "h", "at", "values"])
+
+    met = texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, h long, at int, values binary")
+    met = met.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int"))
+    salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = met.join(salted, ["h", "salt"])
+    return _judged(joined.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "item"), k, coverage, agree)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.5, agree: float = 0.8, least: int = 3, map_bits: int = 28) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, n_slots, n_changed): items that documents contain.
 
     docs has doc_id and text, benchmark item_id and text. An item counts as
@@ -162,73 +246,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0
     come in the document and at least `agree` of the compared placeholders fit one
     mapping of values at one of the places where it may stand (_agreeing());
     n_changed tells how many have another value there than in the benchmark (0: a
-    verbatim leak). An item with fewer than k tokens is one
-    window; with fewer than `least` it is never matched. Null or empty texts
-    match nothing; repeated documents and items give a row each; extra columns
-    are left out; an empty table on either side gives no rows.
+    verbatim leak). Windows that are placeholders by more than half don't count. An
+    item without any window that does counts as contained where all its words, in
+    lower case, come one after the other; one of fewer than `least` words only in a
+    document that has no others. Items without words are never matched. Null or
+    empty texts match nothing; repeated documents and items give a row each; null
+    ids stay null; extra columns are left out; an empty table on either side gives
+    no rows. map_bits bounds the bit map of the benchmark: a full map costs time only.
     """
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return union_all([_leaks(docs, items, coverage, agree) for items in _pieces(benchmark, k, least, piece_bytes)])
+    texts = docs.select(F.monotonically_increasing_id().alias("k1"), F.col("doc_id").cast("long").alias("k2"), F.col("text").alias("text"))
+    return _found(texts, benchmark, k, coverage, agree, least, map_bits).drop("k1").withColumnRenamed("k2", "doc_id")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.5, agree: float = 0.8, least: int = 5, piece_bytes: int = 1 << 24) -> DataFrame:
-    """The rows of docs, all columns, whose text contains no item by the rule of leaks(). No shuffle."""
-    prepare(docs.sparkSession)
-    text = docs.columns.index("text")
-    for items in _pieces(benchmark, k, least, piece_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.5, agree: float = 0.8, least: int = 3, map_bits: int = 28) -> DataFrame:
+    """The rows of docs, all columns, whose text contains no item by the rule of leaks().
 
-        def run(batches, sent=sent):
+    Texts found are known by two 64-bit hashes. A bit map of these, of bounded size,
+    parts the rows: those not in it are kept as they are read, only the others are
+    compared with the texts found. Repeated rows are kept or go alike; null and
+    empty texts stay; an empty benchmark keeps all.
+    """
+    prepare(docs.sparkSession)
+    one, two = "_text_hash_1", "_text_hash_2"
+    keyed = docs.withColumns({one: F.xxhash64("text"), two: F.xxhash64(F.lit(1), "text")})
+    found = _found(keyed.select(F.col(one).alias("k1"), F.col(two).alias("k2"), "text"), benchmark, k, coverage, agree, least, map_bits)
+    found = written(found.select(F.col("k1").alias(one), F.col("k2").alias(two)).distinct(), "found")
+    sent = docs.sparkSession.sparkContext.broadcast(id_map(found.select(one), map_bits))
+    at = keyed.columns.index(one)
+
+    def part(keep: bool):
+        def run(batches):
             for batch in batches:
-                keep = np.ones(batch.num_rows, dtype=bool)
-                keep[[row for row, *_ in _found(batch.column(text), sent.value, coverage, agree)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
-
-
-def _pieces(benchmark: DataFrame, k: int, least: int, piece_bytes: int) -> list[Items]:
-    """The items, in pieces of about so many bytes."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pieces = 1 + int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // piece_bytes)
-    out = []
-    for p in range(pieces):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == p).orderBy("item_id", "text").collect()
-        out.append(Items([r.item_id for r in own], [r.text for r in own], k, least))
-    return out
-
-
-def _found(texts, items: Items, coverage: float, agree: float) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """Row, place of the item, windows found, its windows, slots compared, slots changed."""
-    for i, _, data, offs in K.blocks(texts):
-        token, kind, value, counts = templates(data, offs)
-        hits = defaultdict(lambda: defaultdict(list))  # text, item: (window's place in the item, in the block, its size)
-        for size, keys in items.keys.items():
-            h, at, of = _template_windows(token, kind, counts, size)
-            hit = np.flatnonzero(_among(h, keys))
-            for x, p, d in zip(h[hit].tolist(), at[hit].tolist(), of[hit].tolist(), strict=True):
-                for item, place in items.windows[size][x]:
-                    hits[d][item].append((place, p, size))
-        for d, own in sorted(hits.items()):
-            for item, places in sorted(own.items()):
-                n = len({p for p, _, _ in places})
-                if n < coverage * items.count[item]:
-                    continue
-                told = _agreeing(places, *items.slots[item], value, coverage * items.count[item], agree)
-                if told:
-                    yield i + d, item, n, items.count[item], *told
-
-
-def _leaks(docs: DataFrame, items: Items, coverage: float, agree: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sent.value
-        for batch in batches:
-            rows = [(batch.column(0)[row].as_py(), items.ids[item], *rest) for row, item, *rest in _found(batch.column(1), items, coverage, agree)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_changed"])
+                yield batch.filter(pa.array(in_map(sent.value, batch.column(at).to_numpy(zero_copy_only=False)) != keep))
+
+        return keyed.mapInArrow(run, keyed.schema)
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, n_windows long, item_windows long, n_slots long, n_changed long")
+    return part(True).unionByName(part(False).join(found, [one, two], "left_anti").select(*keyed.columns)).drop(one, two)
