@@ -5,7 +5,9 @@ stops at twice its size and the excess is shared anew. The target is allocated i
 blocks of equal words by the highest quotients target / (2 k + 1), first to the
 sources, then within a source to its shards by their sizes. Only quotients near
 the cut are formed: three rows for each source or shard, however many blocks there
-are. In a shard, documents lie in seeded order and the quota is a seeded run of
+are. What a source's blocks lack of its target, or have too much, its shards give in
+words, one after the other, so that sources smaller than a block get theirs too. In a
+shard, documents lie in seeded order and the quota is a seeded run of
 blocks that wraps around, after whole rounds where it exceeds the shard.
 """
 
@@ -36,11 +38,13 @@ _STEPS = [
     ("shard_floors", "SELECT *, CAST(greatest(floor(q * (1 - slack) - 0.5D), 0) AS BIGINT) AS a, CAST(ceil(q * (1 + slack) + 1.5D) AS BIGINT) AS z FROM (SELECT *, CASE WHEN quota > 0 THEN m / (2D * quota) ELSE 0D END AS slack FROM shares)"),
     ("shard_quotients", "SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY CAST(cell_size AS DOUBLE) / (2 * k + 1) DESC, shard, k) AS rank, quota - sum_a AS seats FROM (SELECT *, explode(sequence(a, z)) AS k FROM (SELECT *, sum(a) OVER (PARTITION BY source) AS sum_a FROM shard_floors))"),
     ("shard_won", "SELECT source AS s, shard AS t, count(*) AS more FROM shard_quotients WHERE rank <= seats GROUP BY source, shard"),
+    ("block_words", "SELECT f.source, f.shard, f.cell_size, f.source_size, f.target, least((f.a + coalesce(w.more, 0)) * {block}, 2 * f.cell_size) AS words FROM shard_floors f LEFT JOIN shard_won w ON f.source <=> w.s AND f.shard = w.t"),
+    ("owed", "SELECT *, CAST(floor(target + 0.5D) AS BIGINT) - sum(words) OVER (PARTITION BY source) AS rest, coalesce(sum(2 * cell_size - words) OVER (PARTITION BY source ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room_before, coalesce(sum(words) OVER (PARTITION BY source ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before FROM block_words"),
+    ("finished", "SELECT source, shard, cell_size, source_size, target, words + CASE WHEN rest >= 0 THEN least(greatest(rest - room_before, 0), 2 * cell_size - words) ELSE -least(greatest(-rest - words_before, 0), words) END AS quota_words FROM owed"),
     (
         "runs",
-        "SELECT f.source, f.shard, f.cell_size, f.source_size, f.target, least((f.a + coalesce(w.more, 0)) * {block}, 2 * f.cell_size) AS quota_words, "
-        "pmod(CAST(conv(substr(md5(concat('{seed}/', coalesce(f.source, ''), '/', f.shard)), 1, 8), 16, 10) AS BIGINT), greatest(CAST(ceil(f.cell_size / CAST({block} AS DOUBLE)) AS BIGINT), 1)) * {block} AS start "
-        "FROM shard_floors f LEFT JOIN shard_won w ON f.source <=> w.s AND f.shard = w.t",
+        "SELECT source, shard, cell_size, source_size, target, CAST(quota_words AS BIGINT) AS quota_words, "
+        "pmod(CAST(conv(substr(md5(concat('{seed}/', coalesce(source, ''), '/', shard)), 1, 8), 16, 10) AS BIGINT), greatest(CAST(ceil(cell_size / CAST({block} AS DOUBLE)) AS BIGINT), 1)) * {block} AS start FROM finished",
     ),
 ]
 
@@ -103,7 +107,8 @@ def _twin() -> str:
         if name == "capped":
             sql = "SELECT *, (total - cap_before) / (all_w - w_before) > CAST(2 * source_size AS DOUBLE) / w AS full_up FROM filled"
         steps.append((name, sql))
-    steps.append(("runs", f"SELECT f.source, f.shard, f.cell_size, f.source_size, f.target, least((f.a + coalesce(w.more, 0)) * 32, 2 * f.cell_size) AS quota_words, ({number(chr(109) + 'd5(' + chr(39) + 'mix/' + chr(39) + ' || coalesce(f.source, ' + chr(39) * 2 + ') || ' + chr(39) + '/' + chr(39) + ' || f.shard)')} % greatest(CAST(ceil(f.cell_size / CAST(32 AS DOUBLE)) AS BIGINT), 1)) * 32 AS start FROM shard_floors f LEFT JOIN shard_won w ON f.source IS NOT DISTINCT FROM w.s AND f.shard = w.t"))
+    seeded = number("md5('mix/' || coalesce(source, '') || '/' || shard)")
+    steps.append(("runs", f"SELECT source, shard, cell_size, source_size, target, CAST(quota_words AS BIGINT) AS quota_words, ({seeded} % greatest(CAST(ceil(cell_size / CAST(32 AS DOUBLE)) AS BIGINT), 1)) * 32 AS start FROM finished"))
     steps.append(("placed", "SELECT doc_id, source, size, shard, coalesce(CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS at_word FROM dealt"))
     steps.append(("met", "SELECT p.doc_id, p.size, p.at_word, r.source_size, r.target, r.cell_size, r.start, r.quota_words // greatest(r.cell_size, 1) AS rounds, r.start + r.quota_words % greatest(r.cell_size, 1) AS stop FROM placed p JOIN runs r ON p.source IS NOT DISTINCT FROM r.source AND p.shard = r.shard"))
     last = "SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, coalesce(target, 0) AS target, CAST(CASE WHEN cell_size > 0 THEN rounds * size + greatest(least(at_word + size, stop) - greatest(at_word, start), 0) + greatest(least(at_word + size, stop - cell_size) - at_word, 0) ELSE 0 END AS BIGINT) AS taken FROM met"
