@@ -1,14 +1,18 @@
 """Operators 1 and 4: classifiers over hashed word n-grams, trained with numpy.
 
-Both learn from a bounded sample (the bound is a parameter) and score every whole
-text in one pass without a shuffle; a model is a weight table of fixed size.
+Both learn labels from a bounded sample (the bound is a parameter) and score every
+whole text in one pass without a shuffle; a model is a weight table of fixed size.
 
 Operator 1, toxicity: non-negative positive-unlabelled learning. Confirmed toxic
-documents are the positives, other documents, whatever they are, the unlabelled
-ones. With the class prior p, the risk is p R+(P, +1) + max(0, R(U, -1) - p R(P, -1))
-under the sigmoid loss; where the second part falls below zero, its gradient is
-taken with the opposite sign. Features: which lower-cased words and which
-beginnings of words a document has.
+documents are the positives, all documents that may teach, whatever they are, the
+unlabelled ones. With the class prior p, the risk is p R+(P, +1) + max(0, R(U, -1) -
+p R(P, -1)) under the sigmoid loss; where the second part falls below zero, its
+gradient is taken with the opposite sign. Features: which lower-cased words and
+which beginnings of words a document has. They are picked by counts over all
+unlabelled documents. These are then dealt to shards of some thousands. In each of some
+rounds every shard trains in minibatches against the positives, from the mean of the
+shards' weights after the round before. So all documents take part, no task holds
+more than a shard, and a small corpus is one shard.
 
 Operator 4, quality: logistic regression by follow-the-regularised-leader
 updates (per-coordinate rates, L1 and L2). Features: the shares of hashed tokens
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .common import prepare
+from .common import block_of, prepare, row_batches, written
 
 U = np.uint64
 _SALT = K.splitmix(31, 6)
@@ -83,12 +87,18 @@ def share_features(texts, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarr
 # -- samples -----------------------------------------------------------------------------------
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, extra: Column | None = None) -> DataFrame:
-    """At most `most` labelled rows (doc_id, y, text) that may teach, picked by hash of their ids; docs are whole."""
+def teaching(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y): the label of each document that is not held out; of several labels of one document the greatest."""
     rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, extra: Column | None = None) -> DataFrame:
+    """At most `most` labelled rows (doc_id, y, text) that may teach, picked by hash of their ids; texts are whole, of several under one id the least."""
+    rows = teaching(labels, label)
     rows = rows if extra is None else rows.where(extra)
     picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def _packed_presence(rows: DataFrame) -> pa.Table:
@@ -105,52 +115,45 @@ def _packed_presence(rows: DataFrame) -> pa.Table:
 # -- operator 1 --------------------------------------------------------------------------------
 
 
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, features: int = 4096, least_chi: float = 12.0, epochs: int = 80, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
-    """(keys ascending, weights, bias) of a linear scorer.
+def pick_features(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: float, prior: float, most: int = 4096, least_chi: float = 12.0) -> np.ndarray:
+    """Places of the features that speak for toxicity, ascending.
 
-    rows: distinct 32-bit features of each document; positive: which of them are
-    confirmed; the rest are unlabelled. Kept are features that the confirmed have
-    more often than the unlabelled by a chi-square of least_chi, the best ones first,
-    if at least about two in five of the documents with one are positive by the prior;
-    they speak for toxicity or not at all, so that long texts don't drown them.
+    in_p, in_u: how many of the n_p confirmed and n_u unlabelled documents have each.
+    Kept are those that the confirmed have more often by a chi-square of least_chi,
+    the best ones first, if at least about two in five of the documents with one
+    are positive by the prior; they speak for toxicity or not at all, so that long
+    texts don't drown them.
     """
-    n_p = int(positive.sum())
-    n_u = len(rows) - n_p
-    if not n_p or not n_u:
-        return np.zeros(0, np.uint32), np.zeros(0), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    flat = np.concatenate(rows)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    keys, at = np.unique(flat, return_inverse=True)
-    in_p = np.bincount(at, positive[of], len(keys))
-    in_u = np.bincount(at, minlength=len(keys)) - in_p
     total = in_p + in_u
-    expect = total * n_p / len(rows)
+    expect = total * n_p / (n_p + n_u)
     pure = prior * in_p / n_p >= 0.4 * np.maximum(in_u, 0.5) / n_u  # 1 for what only positives have
     chi = (in_p - expect) ** 2 / np.maximum(expect, 1e-9) * ((total >= 5) & pure)
-    kept = np.argsort(-chi, kind="stable")[: min(features, len(keys))]
-    kept = np.sort(kept[chi[kept] > least_chi])
-    column = np.full(len(keys), -1)
-    column[kept] = np.arange(len(kept))
-    use = column[at] >= 0
-    col, of = column[at][use], of[use]
-    start = np.searchsorted(of, np.arange(len(rows) + 1))
+    kept = np.argsort(-chi, kind="stable")[:most]
+    return np.sort(kept[chi[kept] > least_chi])
+
+
+def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], w: np.ndarray, bias: float, prior: float, epochs: int = 80, rate: float = 0.1, decay: float = 1e-5, seed: int = 5, batch: int = 256) -> tuple[np.ndarray, float]:
+    """Weights, none negative, and bias of a linear scorer, by Adam steps from given ones on the non-negative risk over minibatches. positive, unlabelled: the features that each document has."""
+    n_features = len(w)
+    n_p, n_u = len(positive), len(unlabelled)
+    rows = [*positive, *unlabelled]
+    col = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
     rng = np.random.default_rng(seed)
-    w, bias = np.zeros(len(kept)), float(np.log(prior / (1 - prior)))
-    m, v, step = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), 0
-    where_p, where_u = np.flatnonzero(positive), np.flatnonzero(~positive)
-    batches = max(1, n_u // 256)
+    m, v, step = np.zeros(n_features + 1), np.zeros(n_features + 1), 0
+    where_p, where_u = np.arange(n_p), np.arange(n_p, n_p + n_u)
+    batches = max(1, n_u // batch)
     for _ in range(epochs):
         parts_u = np.array_split(rng.permutation(where_u), batches)
         parts_p = np.array_split(rng.permutation(np.resize(rng.permutation(where_p), max(n_p, batches * 16))), batches)
         for own_p, own_u in zip(parts_p, parts_u, strict=True):
-            grad = np.zeros(len(kept) + 1)
             slope = {}
             for name, own in (("p", own_p), ("u", own_u)):
                 size = start[own + 1] - start[own]
                 c = col[K.ranges(start[own], size)]
                 s = 1 / (1 + np.exp(-np.clip(K.totals(w[c], size) + bias, -30, 30)))
                 d = s * (1 - s) / len(own)
-                slope[name] = (s.mean(), np.append(np.bincount(c, np.repeat(d, size), len(kept)), d.sum()))
+                slope[name] = (s.mean(), np.append(np.bincount(c, np.repeat(d, size), n_features), d.sum()))
             negative = slope["u"][0] - prior * slope["p"][0]  # R(U, -1) - p R(P, -1); the sigmoid loss of -1 is the score
             if negative >= 0:
                 grad = slope["u"][1] - 2 * prior * slope["p"][1]
@@ -163,41 +166,126 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, feature
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             w = np.maximum(w - move[:-1], 0)
             bias -= move[-1]
-    return keys[kept], w, float(bias)
+    return w, float(bias)
+
+
+def _places(keys: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of hashed features the places among sorted 32-bit keys, and which text each is of; others go."""
+    f = (own >> U(32)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(keys, f), len(keys) - 1)
+    hit = keys[at] == f
+    return at[hit], np.repeat(np.arange(len(sizes)), sizes)[hit]
+
+
+def unlabelled_counts(texts: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """How many of the texts (one column) have each of the features; tasks send one vector each, in slices."""
+    sent, slices = texts.sparkSession.sparkContext.broadcast(keys), 16
+    cuts = np.linspace(0, len(keys), slices + 1).astype(int)
+
+    def run(batches):
+        keys = sent.value
+        count = np.zeros(len(keys), np.int64)
+        for batch in batches:
+            for _, sizes, own in presence_features(batch.column(0)):
+                at, of = _places(keys, own, sizes)
+                count += np.bincount(np.unique(at * len(sizes) + of) // max(len(sizes), 1), minlength=len(keys))
+        if count.any():
+            rows = [(i, count[cuts[i] : cuts[i + 1]].tobytes()) for i in range(slices)]
+            yield from row_batches(rows, [pa.int32(), pa.binary()], ["slice", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in t.column("counts"))
+        return pa.table({"slice": t.column("slice").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    got = texts.mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").toArrow()
+    out = np.zeros(len(keys), np.int64)
+    for i, x in zip(got.column("slice").to_pylist(), got.column("counts"), strict=True):
+        out[cuts[i] : cuts[i + 1]] = np.frombuffer(x.as_buffer(), np.int64)
+    return out
+
+
+def sharded_nnpu(docs: DataFrame, keys: np.ndarray, positive: list[np.ndarray], n_docs: int, prior: float, shard: int, rounds: int, epochs: int) -> tuple[np.ndarray, float]:
+    """Weights and bias by iterative mixing: in each round every shard of about `shard` of the unlabelled docs(doc_id, text) trains from the last round's mean, against all the positives (places among the keys)."""
+    n_shards = max(1, round(n_docs / shard))
+    w, bias = np.zeros(len(keys)), float(np.log(prior / (1 - prior)))
+    sent = docs.sparkSession.sparkContext.broadcast((keys, positive))
+
+    def patterns(batches):
+        keys = sent.value[0]
+        for batch in batches:
+            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, sizes, own in presence_features(batch.column(1)):
+                at, of = _places(keys, own, sizes)
+                cut = np.searchsorted(of, np.arange(len(sizes) + 1))
+                rows = [at[a:z].astype(np.uint16).tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(block_of(doc[i : i + len(sizes)], n_shards)), batch.column(0).slice(i, len(sizes)), pa.array(rows, pa.binary())], ["shard", "doc_id", "f"])
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by("shard")
+        total = sum(np.frombuffer(x.as_buffer()) for x in t.column("w"))
+        return pa.table({"shard": t.column("shard").slice(0, 1), "w": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64())})
+
+    kind = "shard long, w binary, n long"
+    dealt = written(docs.mapInArrow(patterns, "shard long, doc_id long, f binary"), "patterns")
+
+    def training(w: np.ndarray, bias: float, turn: int):
+        def fit(t: pa.Table) -> pa.Table:
+            t = t.sort_by([("doc_id", "ascending"), ("f", "ascending")])
+            rows = [np.unique(np.frombuffer(x.as_buffer(), np.uint16)) for x in t.column("f")]
+            own, b = train_nnpu(sent.value[1], rows, w, bias, prior, epochs, rate=0.1 / (1 + turn), seed=5 + turn)
+            return pa.table({"shard": t.column("shard").slice(0, 1), "w": pa.array([(np.append(own, b) * len(rows)).tobytes()], pa.binary()), "n": pa.array([len(rows)], pa.int64())})
 
+        return fit
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000) -> DataFrame:
+    for turn in range(rounds):
+        got = dealt.groupBy("shard").applyInArrow(training(w, bias, turn), kind).groupBy(F.col("shard") % 64).applyInArrow(add, kind).toArrow()  # 64 vectors at most
+        got = add(got)
+        mean = np.frombuffer(got.column("w")[0].as_buffer()) / got.column("n")[0].as_py()
+        w, bias = mean[:-1], float(mean[-1])
+    return w, bias
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, shard: int = 8000, rounds: int = 8, epochs: int = 10) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text); labels has doc_id and toxic.
 
-    Learns from at most most_positive confirmed toxic rows and most_unlabelled
-    other documents, none of them held out; the class prior is the share of
-    toxic rows among the labelled ones that may teach. Without any such row, or
-    without positives, all scores are the prior. A null or empty text scores as
-    one without features. Rows are scored one by one, so repeated ones score alike.
+    Learns from at most most_positive confirmed toxic rows and from all documents
+    as unlabelled ones, in shards of about `shard`, none of them held out; the class
+    prior is the share of toxic rows among the labelled ones that may teach. Several
+    labels of one document count as the greatest. Without any such row, or without
+    positives, all scores are the prior. A null or empty text scores as one without
+    features; a null doc_id teaches nothing. Rows are scored one by one, so repeated
+    ones score alike; extra columns are left out; an empty table gives no rows.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    labels = labels.select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    may = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    n, hits = may.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("int"))).first()
+    n, hits = teaching(labels, "toxic").agg(F.count("*"), F.sum((F.col("y") == 1).cast("int"))).first()
     prior = min(max((hits or 0) / n, 1e-3), 0.95) if n else 1e-3
-    positive = _packed_presence(labelled_sample(docs, labels, "toxic", most_positive, F.col("y") == 1))
-    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.lit(0).alias("y"))
-    other = _packed_presence(labelled_sample(docs, ids, "y", most_unlabelled))
-    rows = [np.frombuffer(x, np.uint32) for t in (positive, other) for x in t.column("f").to_pylist()]
-    keys, w, bias = fit_nnpu(rows, np.arange(len(rows)) < len(positive), prior)
-    model = docs.sparkSession.sparkContext.broadcast((keys, w, bias))
+    confirmed = [np.frombuffer(x.as_buffer(), np.uint32) for x in _packed_presence(labelled_sample(docs, labels, "toxic", most_positive, F.col("y") == 1)).column("f")]
+    teach = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    n_docs = teach.count()
+    keys, w, bias = np.zeros(0, np.uint32), np.zeros(0), float(np.log(prior / (1 - prior)))
+    if confirmed and n_docs:
+        keys, in_p = np.unique(np.concatenate([np.unique(x) for x in confirmed]), return_counts=True)
+        keys, in_p = keys[in_p > 1], in_p[in_p > 1]
+        if len(keys):
+            # the unlabelled weigh as a shard of them would, however many there are, so that the test is alike at every size
+            weight = min(1.0, shard / n_docs)
+            kept = pick_features(in_p, len(confirmed), unlabelled_counts(teach.select("text"), keys) * weight, n_docs * weight, prior)
+            keys = keys[kept]
+        if len(keys):
+            positive = [np.searchsorted(keys, x[np.isin(x, keys)]) for x in (np.unique(x) for x in confirmed)]
+            w, bias = sharded_nnpu(teach, keys, positive, n_docs, prior, shard, rounds, epochs)
+    model = spark.sparkContext.broadcast((keys, w, bias))
 
     def run(batches):
         keys, w, bias = model.value
         for batch in batches:
             for i, sizes, own in presence_features(batch.column(1)):
-                of = np.repeat(np.arange(len(sizes)), sizes)
                 score = np.full(len(sizes), bias)
                 if len(keys) and len(own):
-                    f = (own >> U(32)).astype(np.uint32)
-                    at = np.minimum(np.searchsorted(keys, f), len(keys) - 1)
-                    score += np.bincount(of, np.where(keys[at] == f, w[at], 0.0), len(sizes))
+                    at, of = _places(keys, own, sizes)
+                    score += np.bincount(of, w[at], len(sizes))
                 score = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sizes)), pa.array(score)], ["doc_id", "score"])
 
@@ -217,7 +305,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int
     last = 1 << bits
     for _ in range(epochs):
         for (f, x), truth in zip(rows, y, strict=True):
-            at, x = np.append(f, last), np.append(x, 1.0)
+            at, x = np.append(f, last), np.append(x.astype(np.float64), 1.0)
             own_z, own_n = z[at], n[at]
             own = np.where(np.abs(own_z) <= l1, 0.0, -(own_z - np.sign(own_z) * l1) / ((beta + np.sqrt(own_n)) / alpha + l2))
             g = (1 / (1 + np.exp(-np.clip(own @ x, -30, 30))) - truth) * x
@@ -234,6 +322,8 @@ SCALE = 10.0
 
 
 def _packed_shares(rows: DataFrame, bits: int) -> pa.Table:
+    """(doc_id, y, n, f, times): tokens of each text, its features and how often each comes, a byte each where that does."""
+
     def run(batches):
         for batch in batches:
             for i, counts, f, g in share_features(batch.column(2), bits):
@@ -242,30 +332,41 @@ def _packed_shares(rows: DataFrame, bits: int) -> pa.Table:
                 for e, n in zip(end.tolist(), counts.tolist(), strict=True):
                     own, times = np.unique(np.concatenate([f[e - n : e], g[e - n : e]]), return_counts=True)
                     keys.append(own.tobytes())
-                    values.append((SCALE * times / max(n, 1)).astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(counts)), batch.column(1).slice(i, len(counts)), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "y", "f", "x"])
+                    values.append(times.astype(np.uint8 if len(times) and times.max() < 256 else np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(counts)), batch.column(1).slice(i, len(counts)), pa.array(counts), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "y", "n", "f", "times"])
+
+    return rows.mapInArrow(run, "doc_id long, y int, n long, f binary, times binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("n", "ascending")])
+
 
-    return rows.mapInArrow(run, "doc_id long, y int, f binary, x binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+def _unpacked_shares(sample: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features and values of each document: SCALE times a feature's share of the tokens."""
+    rows = []
+    for f, times, n in zip(sample.column("f"), sample.column("times"), sample.column("n").to_pylist(), strict=True):
+        f, times = np.frombuffer(f.as_buffer(), np.uint32), times.as_buffer()
+        times = np.frombuffer(times, np.uint8 if len(times) == len(f) else np.uint32)
+        rows.append((f, (SCALE * times / max(n, 1)).astype(np.float32)))
+    return rows
 
 
-def quality(docs: DataFrame, labels: DataFrame, most: int = 5000, bits: int = 18, threshold: float = 0.3) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, most: int = 8000, bits: int = 18, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text); labels has doc_id and quality.
 
-    Learns from at most `most` labelled rows, none of them held out. Without any,
-    all scores are 0.5; with labels of one kind, they tend to it. A null or empty
-    text scores as one without features. Rows are scored one by one, so repeated
-    ones score alike.
+    Learns from at most `most` labelled rows, none of them held out; several labels
+    of one document count as the greatest. Without any, all scores are 0.5; with
+    labels of one kind, they tend to it. A null or empty text scores as one without
+    features. Rows are scored one by one, so repeated ones score alike; extra
+    columns are left out; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return _judged(quality_scores(docs, labels, most, bits), threshold)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 5000, bits: int = 18) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 8000, bits: int = 18) -> DataFrame:
     """All columns of docs (a column score apart) and the quality score of the text."""
     prepare(docs.sparkSession)
     docs = docs.drop("score")
-    sample = _packed_shares(labelled_sample(docs, labels.dropDuplicates(["doc_id"]), "quality", most), bits)
-    rows = [(np.frombuffer(f, np.uint32), np.frombuffer(x, np.float32).astype(np.float64)) for f, x in zip(sample.column("f").to_pylist(), sample.column("x").to_pylist(), strict=True)]
+    sample = _packed_shares(labelled_sample(docs, labels, "quality", most), bits)
+    rows = _unpacked_shares(sample)
     order = np.random.default_rng(3).permutation(len(rows))
     y = (sample.column("y").to_numpy() == 1).astype(float)
     w, bias = fit_ftrl([rows[i] for i in order], y[order], bits)

@@ -356,3 +356,110 @@ def test_pipeline_null_and_repeated_ids(spark):
     got = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixed)
     assert got == +want and any(k[0] is None for k in got) and max(Counter(r.text for r in mixed).values()) <= 2
     assert all(n <= 2 * most[k] for k, n in got.items())
+
+
+def test_small_sources_get_their_words(spark):
+    """Sources of 1 to 40 words beside a large one: each takes its target to the word, no document more than twice its size."""
+    docs = [(i, " ".join(["w"] * n), "en", f"s{n:02d}", 1) for i, n in enumerate(range(1, 41))] + [(100 + i, "x " * 500, "en", "large", 1) for i in range(40)] + [(900, "a b c d e", "en", None, 1), (901, "f g", "en", None, 1)]
+    df = spark.createDataFrame(docs, DOCS)
+    rows = mix_sources(df).collect()
+    want, taken, target = plain_targets({s: sum(len(t.split()) for _, t, _, x, _ in docs if x == s) for s in {d[3] for d in docs}}), defaultdict(int), {}
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r["size"]
+    for s, t in want.items():
+        assert abs(target[s] - t) < 1e-6 and abs(taken[s] - t) <= 0.5 + 1e-6
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert sorted((r[0], r[4]) for r in con.execute(ORACLE_SQL).fetchall()) == sorted((r.doc_id, r.taken) for r in rows)
+
+
+def test_nnpu_against_plain_loops():
+    """The same minibatches, one document and one feature at a time; some with the sign of the gradient switched."""
+    import math
+
+    rng = random.Random(3)
+    for prior in (0.05, 0.9):
+        positive = [sorted(rng.sample(range(6), rng.randint(prior > 0.5, 4))) for _ in range(9)]
+        unlabelled = [sorted(rng.sample(range(6), rng.choice([0, 0, 1, 2]) if prior < 0.5 else 0)) for _ in range(40)]
+        got, bias = L.train_nnpu([np.array(x, np.int64) for x in positive], [np.array(x, np.int64) for x in unlabelled], np.zeros(6), math.log(prior / (1 - prior)), prior, epochs=30, batch=16)
+        rows, order = positive + unlabelled, np.random.default_rng(5)
+        w, b = [0.0] * 6, math.log(prior / (1 - prior))
+        m, v, step, batches, switched = [0.0] * 7, [0.0] * 7, 0, 40 // 16, 0
+        for _ in range(30):
+            parts_u = np.array_split(order.permutation(np.arange(9, 49)), batches)
+            parts_p = np.array_split(order.permutation(np.resize(order.permutation(np.arange(9)), max(9, batches * 16))), batches)
+            for own_p, own_u in zip(parts_p, parts_u, strict=True):
+                risk, slope = {}, {}
+                for name, own in (("p", own_p), ("u", own_u)):
+                    risk[name], slope[name] = 0.0, [0.0] * 7
+                    for i in own:
+                        s = 1 / (1 + math.exp(-(sum(w[f] for f in rows[i]) + b)))
+                        risk[name] += s / len(own)
+                        for f in [*rows[i], 6]:
+                            slope[name][f] += s * (1 - s) / len(own)
+                # risk of P as toxic: 1 - s; of U and P as clean: s
+                if risk["u"] - prior * risk["p"] >= 0:
+                    grad = [u - prior * p - prior * p for u, p in zip(slope["u"], slope["p"], strict=True)]
+                else:
+                    grad, switched = [prior * p - u for u, p in zip(slope["u"], slope["p"], strict=True)], switched + 1
+                step += 1
+                for f in range(7):
+                    g = grad[f] + (1e-5 * w[f] if f < 6 else 0)
+                    m[f], v[f] = 0.9 * m[f] + 0.1 * g, 0.999 * v[f] + 0.001 * g * g
+                    move = 0.1 * (m[f] / (1 - 0.9**step)) / (math.sqrt(v[f] / (1 - 0.999**step)) + 1e-8)
+                    if f < 6:
+                        w[f] = max(w[f] - move, 0.0)
+                    else:
+                        b -= move
+        assert np.allclose(got, w, atol=1e-9, rtol=0) and abs(bias - b) < 1e-9
+        assert switched or prior < 0.5
+
+
+def test_ftrl_against_plain_loops():
+    import math
+
+    rng = random.Random(4)
+    rows = [sorted(rng.sample(range(16), rng.randint(0, 6))) for _ in range(60)]
+    values = [[rng.random() * 3 for _ in r] for r in rows]
+    y = [int(3 in r or rng.random() < 0.2) for r in rows]
+    got, bias = L.fit_ftrl([(np.array(r, np.uint32), np.array(x, np.float32)) for r, x in zip(rows, values, strict=True)], np.array(y, float), 4)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.001
+    z, n = [0.0] * 17, [0.0] * 17
+    weight = lambda f: 0.0 if abs(z[f]) <= l1 else -(z[f] - math.copysign(l1, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+    for _ in range(3):
+        for r, x, truth in zip(rows, values, y, strict=True):
+            pairs = [*zip(r, (float(np.float32(a)) for a in x), strict=True), (16, 1.0)]
+            w = {f: weight(f) for f, _ in pairs}
+            p = 1 / (1 + math.exp(-sum(w[f] * a for f, a in pairs)))
+            for f, a in pairs:
+                g = (p - truth) * a
+                sigma = (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha
+                z[f] += g - sigma * w[f]
+                n[f] += g * g
+    assert np.allclose(got, [weight(f) for f in range(16)], atol=1e-6) and abs(bias - weight(16)) < 1e-9
+
+
+def test_classifiers_with_repeated_and_clashing_rows(spark, labelled):
+    """Conflicting labels count as the greatest, whatever their order; columns named like ours; one very long text; several shards."""
+    docs, labels = labelled
+    from pyspark.sql import functions as F
+
+    twice = labels.unionByName(labels.select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic")))
+    more = docs.withColumns({"score": F.lit("x"), "held_out": F.lit(1), "y": F.lit(2), "shard": F.lit("s"), "f": F.lit(b"")}).unionByName(
+        docs.limit(1).select(F.lit(10_000).cast("long").alias("doc_id"), F.repeat(F.concat("text", F.lit(" ")), 3000).alias("text"), "lang", "source", "n_chars", F.lit("x").alias("score"), F.lit(1).alias("held_out"), F.lit(2).alias("y"), F.lit("s").alias("shard"), F.lit(b"").alias("f"))
+    )
+    for score in (L.quality, L.toxicity):
+        a = {r.doc_id: r.score for r in score(docs, labels).collect()}
+        b = [(r.doc_id, r.score) for r in score(docs.unionByName(docs.limit(5)), twice).collect()]
+        assert len(b) == len(a) + 5
+        if score is L.quality:
+            assert all(abs(a[i] - s) < 1e-12 for i, s in b)
+        assert len({i for i, _ in b}) == len(a) and all(len({s for j, s in b if j == i}) == 1 for i in [r.doc_id for r in docs.limit(5).collect()])
+        assert score(more, labels).count() == len(a) + 1
+    assert L.quality_scores(more, labels).columns == [c for c in more.columns if c != "score"] + ["score"]
+    rows = L.toxicity(docs, labels, shard=300).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.toxic for r in rows) / len(rows) >= 0.97
+    again = L.toxicity(docs.repartition(7), labels, shard=300).collect()
+    assert {r.doc_id: r.score for r in again} == {r.doc_id: r.score for r in L.toxicity(docs, labels, shard=300).collect()}
