@@ -32,8 +32,13 @@ TOKEN = r"[A-Za-z_][A-Za-z0-9_]*(?:[./][A-Za-z0-9_]+)*"
 
 
 def normal(x: Column) -> Column:
-    """STR-01, STR-02: lower case, white space collapsed and trimmed."""
-    return F.lower(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
+    """STR-01, STR-02: white space collapsed and trimmed, letters folded so that those which differ in case only are alike."""
+    return folded(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
+
+
+def folded(x: Column) -> Column:
+    """Full case folding by the built-ins: what upper case spells out (ß as SS, ﬁ as FI) is lowered again; the dotless i is no i, and a final sigma is a sigma."""
+    return F.translate(F.lower(F.upper(F.translate(x, "ı", "\ue000"))), "\ue000ς", "ıσ")
 
 
 def or_default(x: Column, default: Column) -> Column:

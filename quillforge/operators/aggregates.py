@@ -75,13 +75,14 @@ def share_report(df: DataFrame, key: str) -> DataFrame:
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """AGG-13: for each group the value at index round-half-even(share * (n - 1)) of the ascending ones; null for none.
 
-    Values are ranked by a window, not collected, so a group may have any size.
+    Rows are counted by value before anything is ordered, so a window sees one row
+    for each distinct value of a group, however many rows the group has.
     """
     w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_c"))
+    upto = counts.withColumns({"_z": F.sum("_c").over(w.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(w)})
     at = lambda p: F.bround(F.lit(p) * (F.col("_n") - 1)).cast("long")
-    found = ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == at(p), F.col(value))).alias(n) for n, p in shares.items()])
-    return df.select(*keys).distinct().join(found, keys, "left")
+    return upto.groupBy(*keys).agg(*[F.min(F.when((F.col("_c") > 0) & (F.col("_z") > at(p)), F.col(value))).alias(n) for n, p in shares.items()])
 
 
 def report(scores: DataFrame, outer: list[str], inner: str, p50: str = "latency_p50", p95: str = "latency_p95") -> DataFrame:

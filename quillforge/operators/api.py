@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import joined_lines
+from .ranking import first_per_group
 
 
 def owned(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
@@ -59,6 +60,11 @@ def first_where(rows: DataFrame, condition: Column, order: list) -> DataFrame:
     return rows.where(condition).orderBy(*order).limit(1)
 
 
+def first_of_each(rows: DataFrame, condition: Column, keys: list[str], order: list) -> DataFrame:
+    """JON-18 for all keys at once: of each, the first row that fulfils a condition."""
+    return first_per_group(rows.where(condition), keys, order)
+
+
 def vocabulary_sources(questions: DataFrame, citations: DataFrame, quizzes: DataFrame, guides: DataFrame, groups: DataFrame) -> DataFrame:
     """JON-19: the snippet and path a question was drawn from, and its group's name in the snapshot of its guide; null where a link lacks."""
     q = questions.join(citations.select("citation_id", "file_path", "snippet"), "citation_id", "left")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import re
 import warnings
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..io import importable
+from . import javascript
 
 UNITS = "path string, unit_type string, name string, line_start int, line_end int, signature string, docstring string"
 FACTS = "path string, main_guard boolean, calls array<string>, imports array<struct<raw:string,kind:string,names:array<string>,level:int>>, units array<struct<unit_type:string,name:string,line_start:int,line_end:int,signature:string,docstring:string>>"
@@ -85,45 +85,18 @@ def parse_python(text: str) -> dict:
     return out
 
 
-_JS_UNIT = re.compile(
-    r"^(?P<export>export\s+(?:default\s+)?)?(?:(?P<fn>(?:async\s+)?function\s*\*?\s*(?P<fname>[A-Za-z_$][\w$]*)\s*\([^)]*\))|(?P<cls>class\s+(?P<cname>[A-Za-z_$][\w$]*)[^{]*)|(?P<var>(?:const|let|var)\s+(?P<vname>[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)))",
-    re.M,
-)
-_JS_METHOD = re.compile(r"^\s+(?:static\s+|async\s+|get\s+|set\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b)([A-Za-z_$#][\w$]*)\s*\([^)]*\)\s*\{", re.M)
-_JS_IMPORT = re.compile(r"""^\s*(?:import\s+(?:[^"';]*?\s+from\s+)?|export\s+[^"';]*?\s+from\s+)["']([^"']+)["']""", re.M)
-_JS_REQUIRE = re.compile(r"""\brequire\(\s*["']([^"']+)["']\s*\)""")
-
-
-def _js_end(text: str, at: int) -> int:
-    """The end of the block or statement that begins at a place."""
-    brace, stop = text.find("{", at), text.find("\n", at)
-    if brace < 0 or (0 <= stop < brace and "=>" in text[at:stop] and "{" not in text[at:stop]):
-        return stop if stop >= 0 else len(text)
-    depth = 0
-    for m in re.finditer(r"[{}]", text[brace:]):
-        depth += 1 if m[0] == "{" else -1
-        if not depth:
-            return brace + m.end()
-    return len(text)
-
-
 def parse_javascript(text: str) -> dict:
-    """TVF-07..09: top-level functions, classes, methods and function constants, by patterns; imports and single-string requires."""
+    """TVF-07..09: top-level functions, classes, methods and functions given to names, with documentation comments; import statements and single-string requires."""
     out = {"main_guard": False, "calls": [], "imports": [], "units": []}
     if not text.strip():
         return out
-    line = lambda at: text.count("\n", 0, at) + 1
-    out["units"].append({"unit_type": "module", "name": "", "line_start": 1, "line_end": text.count("\n") + 1, "signature": None, "docstring": None})
-    for m in _JS_UNIT.finditer(text):
-        end = _js_end(text, m.start())
-        before = re.search(r"/\*\*((?:(?!\*/).)*)\*/\s*$", text[: m.start()], re.S)
-        doc = "\n".join(x for x in (re.sub(r"^\s*\*?\s?", "", s).strip() for s in before[1].split("\n")) if x) if before else None
-        name, kind = m["fname"] or m["cname"] or m["vname"], "class" if m["cls"] else "function"
-        out["units"].append({"unit_type": kind, "name": name, "line_start": line(m.start()), "line_end": line(end - 1), "signature": (m["fn"] or m["cls"] or m["var"]).strip(), "docstring": doc or None})
-        for k in _JS_METHOD.finditer(text, m.end(), end) if m["cls"] else ():
-            out["units"].append({"unit_type": "function", "name": f"{name}.{k[1]}", "line_start": line(k.start(1)), "line_end": line(_js_end(text, k.start()) - 1), "signature": k[0].strip(" \n{"), "docstring": None})
-    for raw in dict.fromkeys(_JS_IMPORT.findall(text) + _JS_REQUIRE.findall(text)):
-        out["imports"].append({"raw": raw, "kind": "js_relative" if raw.startswith(".") else "js_bare", "names": [], "level": 0})
+    module = {"unit_type": "module", "name": "", "line_start": 1, "line_end": text.count("\n") + 1, "signature": None, "docstring": None}
+    try:
+        units, raws = javascript.parse(text)
+    except RecursionError:  # templates and elements nested by the hundred
+        units, raws = [], []
+    out["units"] = [module, *units]
+    out["imports"] = [{"raw": raw, "kind": "js_relative" if raw.startswith(".") else "js_bare", "names": [], "level": 0} for raw in raws]
     return out
 
 

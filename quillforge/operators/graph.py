@@ -56,7 +56,8 @@ def decision_points(nodes: DataFrame, edges: DataFrame, modules: DataFrame, infr
 
 
 def bounded_graph(nodes: DataFrame, edges: DataFrame, most_nodes: int = 500, reserve: int = 100, most_edges: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """TOP-03: files by id, with slots held back for external nodes next to any file and filled by those next to kept files; slots not used go back to files."""
+    """TOP-03: files by id, with slots held back for external nodes next to any file and filled by those next to kept files; slots not used go back to files. Both tables are written once: the three steps read them."""
+    nodes, edges = written(nodes.select("id", "kind"), "nodes"), written(edges.select("source", "target", "kind"), "edges")
     files, others = nodes.where("kind = 'file'").select("id", "kind"), nodes.where("kind <> 'file'").select("id", "kind")
 
     def next_to(some: DataFrame) -> DataFrame:
@@ -77,22 +78,20 @@ def bounded_graph(nodes: DataFrame, edges: DataFrame, most_nodes: int = 500, res
     return all_kept, inner.select("source", "target", "kind").orderBy("source", "target", "kind").limit(most_edges)
 
 
-def bfs_depth(nodes: DataFrame, edges: DataFrame, entries: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """GRF-04: edges from the nearest entry for each file, UNREACHABLE for none. A join and an anti-join a level; each level is written, so the plan stays short. An error if a file lies at level most_rounds: those beyond would be left out."""
+def bfs_depth(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """GRF-04: edges from the nearest entry for each file, UNREACHABLE for none. A join and an anti-join a level, as many levels as there are; each level is written, so the plan stays short, and adds files, so the loop ends."""
     files = nodes.where("kind = 'file'").select("id")
     steps = edges.join(files.withColumnRenamed("id", "source"), "source", "left_semi").join(files.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target").distinct()
     steps = written(steps, "steps")
     frontier = written(files.join(entries.select("id").distinct(), "id", "left_semi").withColumn("depth", F.lit(0)), "depth0")
     seen, level = frontier, 0
-    while not frontier.isEmpty() and level < most_rounds:
+    while not frontier.isEmpty():
         level += 1
         reached = frontier.join(steps, F.col("id") == F.col("source")).select(F.col("target").alias("id")).distinct()
         frontier = written(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)), f"depth{level}")
         seen = seen.unionByName(frontier)
         if level % 8 == 0:
             seen = written(seen, "seen")
-    if not frontier.isEmpty():
-        raise RuntimeError(f"level {most_rounds} is reached, files may lie beyond it")
     return files.join(seen, "id", "left").select("id", F.coalesce("depth", F.lit(UNREACHABLE)).alias("depth"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..io import global_position
+from ..io import global_position, written
 
 
 def first_per_group(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -19,11 +19,27 @@ def latest_per_group(df: DataFrame, keys: list, at: str, tie: str) -> DataFrame:
     return first_per_group(df.where(F.col(at).isNotNull()), keys, [F.col(at).desc(), F.col(tie).asc()])
 
 
-def round_robin(df: DataFrame, tier: Column, bucket: Column, order: list, name: str = "position") -> DataFrame:
-    """WIN-07: tier by tier, one row of each bucket (in order of buckets, null as '') in every round."""
+def round_robin(df: DataFrame, tier: Column, bucket: Column, order: list, name: str = "position", most: int | None = None) -> DataFrame:
+    """WIN-07: tier by tier, one row of each bucket (in order of buckets, null as '') in every round; order must be total.
+
+    With `most`, only the first so many: each bucket hands on that many of its rows
+    at most, cut before the shuffle. Without, rows are numbered in their bucket by
+    sorted ranges, so that a bucket of any size is no single task's.
+    """
     df = df.withColumns({"_tier": tier, "_bucket": F.coalesce(bucket.cast("string"), F.lit(""))})
-    df = df.withColumn("_round", F.row_number().over(Window.partitionBy("_tier", "_bucket").orderBy(*order)))
-    return global_position(df, ["_tier", "_round", "_bucket"], name).drop("_tier", "_bucket", "_round")
+    if most is not None:
+        first = df.withColumn("_round", F.row_number().over(Window.partitionBy("_tier", "_bucket").orderBy(*order))).where(F.col("_round") <= most)
+        return top(first, ["_tier", "_round", "_bucket"], most, name).drop("_tier", "_bucket", "_round")
+    placed = position_in_group(df, ["_tier", "_bucket"], order, "_round")
+    return global_position(placed, ["_tier", "_round", "_bucket"], name).drop("_tier", "_bucket", "_round")
+
+
+def position_in_group(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """Each row's place, from 1, in its group (null keys are a group too), without a task for each group: the place among all rows less that of the group's first."""
+    placed = written(global_position(df, [*keys, *order], "_place"), "placed")
+    begins = placed.groupBy(*keys).agg(F.min("_place").alias("_begin")).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return placed.join(begins, same).withColumn(name, F.col("_place") - F.col("_begin") + 1).select(*df.columns, name)
 
 
 def top(df: DataFrame, order: list, n: int, name: str = "position") -> DataFrame:

@@ -66,9 +66,15 @@ def import_lists(spark, d):
     return P.imports_of(edges(spark, d).withColumn("ord", F.lit(0))).select("source", F.array_join("targets", ",").alias("targets"))
 
 
-@register("first_in_progress", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey = 7 ORDER BY o_orderdate, o_orderkey LIMIT 1")
+@register("first_in_progress", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'O' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1) ON c_custkey = o_custkey")
 def first_in_progress(spark, d):
-    return P.first_where(table(spark, d, "orders"), (F.col("o_orderstatus") == "O") & (F.col("o_custkey") == 7), ["o_orderdate", "o_orderkey"]).select("o_orderkey")
+    open_ = P.first_of_each(table(spark, d, "orders"), F.col("o_orderstatus") == "O", ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    return table(spark, d, "customer").join(open_, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
+@register("in_progress_probe", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 1")
+def in_progress_probe(spark, d):
+    return P.first_where(table(spark, d, "orders"), F.col("o_orderstatus") == "O", ["o_orderdate", "o_orderkey"]).select("o_orderkey")
 
 
 @register("latest_row", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")

@@ -1,4 +1,4 @@
-"""Queries about graphs and versions. Parts are files (externals from size 45 on); consecutive parts of an order are edges; brands are groups; line items before and from June 1998 are two versions."""
+"""Queries about graphs and versions. Parts are files (externals from size 45 on); consecutive parts of an order are edges; a brand and size is a group, to which nine in ten parts belong; line items before and from June 1998 are two versions."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
 def raw_edges(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     line = table(spark, d, "lineitem").withColumn("next", F.lead("l_partkey").over(w))
-    return line.where("l_quantity <= 2 AND next IS NOT NULL AND next <> l_partkey").select("l_partkey", "next", "l_shipdate")
+    return line.where("next IS NOT NULL AND next <> l_partkey").select("l_partkey", "next", "l_shipdate")
 
 
 def edges(spark: SparkSession, d: str, when=None) -> DataFrame:
@@ -44,7 +44,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 _PARTS = """p AS (SELECT p_partkey, CASE WHEN p_size >= 45 THEN 'external:' || ['arq','celery','redis','kafka','sqlalchemy','httpx','requests','boto3','numpy','pandas','click'][p_partkey % 11 + 1] ELSE 'p/' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS id,
   CASE WHEN p_size >= 45 THEN 'external' ELSE 'file' END AS kind, p_brand AS brand, p_size AS size FROM part),
-raw AS (SELECT * FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS next, l_quantity, l_shipdate FROM lineitem) WHERE l_quantity <= 2 AND next <> l_partkey),
+raw AS (SELECT * FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS next, l_shipdate FROM lineitem) WHERE next <> l_partkey),
 n AS (SELECT DISTINCT id, kind FROM p), f AS (SELECT id FROM n WHERE kind = 'file')"""
 
 
@@ -109,7 +109,7 @@ def bounded_graph(spark, d):
     return G.bounded_graph(nodes(spark, d), edges(spark, d), 40, 6, 50)[0]
 
 
-@register("bounded_graph_edges", f"{_GRAPH}, k AS (SELECT id FROM f QUALIFY row_number() OVER (ORDER BY id) <= 391 UNION ALL SELECT 'external:' || x FROM (SELECT unnest(['arq','boto3','celery','click','httpx','kafka','numpy','pandas','redis']) AS x)) SELECT source, target, kind FROM e WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k) ORDER BY ALL LIMIT 50")
+@register("bounded_graph_edges", f"{_BOUND.replace('40 -', '400 -').replace('least(6,', 'least(9,')} SELECT source, target, kind FROM e WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k) ORDER BY ALL LIMIT 50")
 def bounded_graph_edges(spark, d):
     return G.bounded_graph(nodes(spark, d), edges(spark, d), 400, 9, 50)[1]
 
@@ -118,8 +118,8 @@ def _entries(spark, d):
     return parts(spark, d).where("size = 1").select("id")
 
 
-@register("bfs_depth", f"""WITH RECURSIVE {_PARTS}, {_edges_sql()}, {_INNER}, r(id, depth) AS (SELECT id, 0 FROM p WHERE size = 1 UNION SELECT i.target, depth + 1 FROM r JOIN i ON r.id = i.source WHERE depth < 30)
-SELECT f.id, CAST(coalesce(min(depth), 1073741824) AS INTEGER) AS depth FROM f LEFT JOIN r ON f.id = r.id GROUP BY f.id""")
+@register("bfs_depth", f"""WITH RECURSIVE {_PARTS}, {_edges_sql()}, {_INNER}, r(id, depth) USING KEY (id) AS (SELECT id, 0 FROM p WHERE size = 1 UNION SELECT i.target, min(r.depth + 1) FROM r JOIN i ON r.id = i.source LEFT JOIN recurring.r AS seen ON seen.id = i.target WHERE seen.id IS NULL GROUP BY i.target)
+SELECT f.id, CAST(coalesce(depth, 1073741824) AS INTEGER) AS depth FROM f LEFT JOIN r ON f.id = r.id""")
 def bfs_depth(spark, d):
     return G.bfs_depth(nodes(spark, d), edges(spark, d), _entries(spark, d))
 
@@ -149,11 +149,11 @@ def directory_tree(spark, d):
 
 
 _CONTRACT = "SELECT DISTINCT a.brand AS \"from\", coalesce(b.brand, CASE WHEN e.target LIKE 'external:%' THEN e.target END) AS \"to\" FROM {e} e JOIN g a ON e.source = a.id LEFT JOIN g b ON e.target = b.id WHERE a.brand <> coalesce(b.brand, CASE WHEN e.target LIKE 'external:%' THEN e.target END)"
-_GROUPS = "g AS (SELECT id, brand FROM p WHERE kind = 'file' AND p_partkey % 10 <> 0)"
+_GROUPS = "g AS (SELECT id, brand || '/' || size AS brand FROM p WHERE kind = 'file' AND p_partkey % 10 <> 0)"
 
 
 def _groups(spark, d):
-    return parts(spark, d).where("kind = 'file' AND p_partkey % 10 <> 0").select("id", F.col("brand").alias("group"))
+    return parts(spark, d).where("kind = 'file' AND p_partkey % 10 <> 0").select("id", F.concat_ws("/", "brand", F.col("size").cast("string")).alias("group"))
 
 
 @register("graph_contraction", f"{_GRAPH}, {_GROUPS} {_CONTRACT.format(e='e')}")
@@ -171,8 +171,8 @@ def dependency_diff(spark, d):
 
 def _members(spark, d, when):
     line, p = table(spark, d, "lineitem").where(when), table(spark, d, "part")
-    # membership of a version: every ninth part of a brand that has a shipped line then
-    rows = line.join(p, line.l_partkey == p.p_partkey).where("p_partkey % 9 = 0").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("key"), F.format_string("%06d", "p_partkey").alias("m")).distinct()
+    # membership of a version: the parts of a brand and size that have a shipped line then
+    rows = line.join(p, line.l_partkey == p.p_partkey).select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("key"), F.format_string("%06d", "p_partkey").alias("m")).distinct()
     return rows.groupBy("key").agg(F.collect_list("m").alias("members"))
 
 
@@ -181,7 +181,7 @@ def _versions(spark, d):
     return _members(spark, d, at), _members(spark, d, F.col("l_shipdate") >= F.lit("1998-09-01").cast("timestamp_ntz"))
 
 
-_VERSIONS = "v AS (SELECT p_brand || '/' || p_size AS key, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS m, l_shipdate FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 9 = 0), b AS (SELECT key, list_sort(list(DISTINCT m)) AS mem FROM v WHERE l_shipdate < '1996-01-01' GROUP BY key), a AS (SELECT key, list_sort(list(DISTINCT m)) AS mem FROM v WHERE l_shipdate >= '1998-09-01' GROUP BY key)"
+_VERSIONS = "v AS (SELECT p_brand || '/' || p_size AS key, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS m, l_shipdate FROM lineitem JOIN part ON l_partkey = p_partkey), b AS (SELECT key, list_sort(list(DISTINCT m)) AS mem FROM v WHERE l_shipdate < '1996-01-01' GROUP BY key), a AS (SELECT key, list_sort(list(DISTINCT m)) AS mem FROM v WHERE l_shipdate >= '1998-09-01' GROUP BY key)"
 
 
 @register("subsystem_diff", f"""WITH {_VERSIONS}, j AS (SELECT coalesce(a.key, b.key) AS key, a.mem AS am, b.mem AS bm FROM a FULL JOIN b ON a.key = b.key)
@@ -218,7 +218,7 @@ def neighbours(spark, d):
     return G.neighbours(edges(spark, d)).select("id", F.array_join("imported_by", ",").alias("imported_by"), F.array_join("imports", ",").alias("imports"))
 
 
-@register("leftover_groups", f"WITH {_PARTS} SELECT f.id, CASE WHEN g.id IS NULL THEN 'Other' ELSE g.brand END AS \"group\", CAST(g.id IS NULL AS INTEGER) AS last FROM f LEFT JOIN (SELECT id, brand FROM p WHERE kind = 'file' AND p_partkey % 10 <> 0) g ON f.id = g.id")
+@register("leftover_groups", f"WITH {_PARTS} SELECT f.id, CASE WHEN g.id IS NULL THEN 'Other' ELSE g.brand END AS \"group\", CAST(g.id IS NULL AS INTEGER) AS last FROM f LEFT JOIN (SELECT id, brand || '/' || size AS brand FROM p WHERE kind = 'file' AND p_partkey % 10 <> 0) g ON f.id = g.id")
 def leftover_groups(spark, d):
     return J.leftovers(nodes(spark, d).where("kind = 'file'").select("id"), _groups(spark, d), "id", "group")
 
@@ -273,8 +273,11 @@ def package_roots(spark, d):
     return G.package_roots(_python_paths(spark, d))
 
 
-@register("module_map", rf"""WITH {_PY}, m AS (SELECT path, root, replace(regexp_replace(regexp_replace(CASE WHEN root = '' THEN path ELSE substr(path, length(root) + 2) END, '\.[^./]*$', ''), '(^|/)__init__$', ''), '/', '.') AS module FROM q JOIN roots ON root = '' OR starts_with(path, root || '/') WHERE path LIKE '%.py')
-SELECT module, path FROM m WHERE module <> '' QUALIFY row_number() OVER (PARTITION BY module ORDER BY root = '' DESC, length(root) - length(replace(root, '/', '')) DESC, root, CASE WHEN root = '' THEN path END DESC, path) = 1""")
+_MODULES = rf"""{_PY}, m AS (SELECT path, root, replace(regexp_replace(regexp_replace(CASE WHEN root = '' THEN path ELSE substr(path, length(root) + 2) END, '\.[^./]*$', ''), '(^|/)__init__$', ''), '/', '.') AS module FROM q JOIN roots ON root = '' OR starts_with(path, root || '/') WHERE path LIKE '%.py'),
+mm AS (SELECT module, path FROM m WHERE module <> '' QUALIFY row_number() OVER (PARTITION BY module ORDER BY root = '' DESC, length(root) - length(replace(root, '/', '')) DESC, root, CASE WHEN root = '' THEN path END DESC, path) = 1)"""
+
+
+@register("module_map", f"WITH {_MODULES} SELECT module, path FROM mm")
 def module_map(spark, d):
     paths = _python_paths(spark, d)
     return G.module_map(paths, G.package_roots(paths))
@@ -295,14 +298,19 @@ def normal_path(spark, d):
 def _imports(spark, d):
     """Python files of _python_paths that import each other, absolutely and relatively."""
     files = _python_paths(spark, d).where("path LIKE '%.py'").withColumn("language", F.lit("python"))
-    spread = files.withColumn("k", F.pmod(F.xxhash64("path"), F.lit(5)).cast("int"))
+    spread = files.withColumn("k", (F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("long") % 5).cast("int"))
     raw = F.element_at(F.array(*map(F.lit, ["brand_11.m1", "brand_12", "..m2", "numpy.linalg", "."])), F.col("k") + 1)
     level = F.element_at(F.array(*map(F.lit, [0, 0, 2, 0, 1])), F.col("k") + 1)
     names = F.when(F.col("k").isin(1, 4), F.array(F.lit("m3"), F.lit("thing"))).otherwise(F.array().cast("array<string>"))
     return files, spread.select("path", raw.alias("raw"), F.when(F.col("k") == 3, "py_plain").otherwise("py_from").alias("kind"), names.alias("names"), level.alias("level"))
 
 
-@register("dependency_graph")  # tested on fixtures with all kinds of imports
+@register("dependency_graph", f"""WITH {_MODULES}, i AS (SELECT path AS source, CAST('0x' || substr(md5(path), 1, 8) AS BIGINT) % 5 AS k, string_split(path, '/') AS parts FROM q WHERE path LIKE '%.py'),
+b AS (SELECT source, k, CASE k WHEN 0 THEN 'brand_11.m1' WHEN 1 THEN 'brand_12' WHEN 2 THEN array_to_string(list_append(parts[1:len(parts) - 2], 'm2'), '.') WHEN 4 THEN array_to_string(parts[1:len(parts) - 1], '.') END AS base FROM i),
+sub AS (SELECT source, mm.path AS target FROM b JOIN mm ON mm.module IN (base || '.m3', base || '.thing') WHERE k IN (1, 4)),
+own AS (SELECT source, mm.path AS target FROM b JOIN mm ON mm.module = base WHERE k <> 3 AND source NOT IN (SELECT source FROM sub)),
+met AS (SELECT * FROM sub UNION ALL SELECT * FROM own), above AS (SELECT source, mm.path AS target FROM b LEFT JOIN mm ON mm.module = CASE k WHEN 0 THEN 'brand_11' WHEN 3 THEN 'numpy' END WHERE k IN (0, 1, 3) AND source NOT IN (SELECT source FROM met))
+SELECT source, target, 'imports' AS kind FROM met UNION SELECT source, target, 'imports' FROM above WHERE target IS NOT NULL UNION SELECT source, 'external:' || CASE k WHEN 0 THEN 'brand_11' WHEN 1 THEN 'brand_12' ELSE 'numpy' END, 'imports_external' FROM above JOIN b USING (source) WHERE target IS NULL""")
 def dependency_graph(spark, d):
     files, imports = _imports(spark, d)
     return G.build(files, imports, G.package_roots(files))[1]

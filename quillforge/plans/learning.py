@@ -134,7 +134,7 @@ def language_counts(spark, d):
 # -- seeds of questions: documents are citations, their range is (source, n_chars), the claim their text, the tier follows the language
 
 _TIER = "CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END"
-_SEED = f"""s AS (SELECT doc_id, source, n_chars, {_TIER} AS prio, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS claim FROM documents WHERE lang = 'en' OR doc_id % 2 = 0),
+_SEED = f"""s AS (SELECT doc_id, source, n_chars, {_TIER} AS prio, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS claim FROM documents),
 r AS (SELECT *, min(doc_id) OVER (PARTITION BY source, n_chars) AS seen FROM s QUALIFY row_number() OVER (PARTITION BY source, n_chars ORDER BY prio, doc_id) = 1),
 c AS (SELECT * FROM r WHERE claim <> '' QUALIFY row_number() OVER (PARTITION BY sha256(claim) ORDER BY prio, source, n_chars, seen) = 1)"""
 
@@ -142,7 +142,7 @@ c AS (SELECT * FROM r WHERE claim <> '' QUALIFY row_number() OVER (PARTITION BY
 def citations(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.text import normal
 
-    docs = table(spark, d, "documents").where("lang = 'en' OR doc_id % 2 = 0")
+    docs = table(spark, d, "documents")
     prio = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).when(F.col("lang") == "de", 2).otherwise(3)
     return docs.select("doc_id", "source", "n_chars", prio.alias("prio"), F.sha2(normal(F.col("text")), 256).alias("claim"))
 
@@ -162,21 +162,17 @@ def seed_range_dedup(spark, d):
     return by_range(spark, d).select("doc_id", "source", "n_chars", "prio")
 
 
-# white space and letters beyond ASCII are treated alike by both engines here
-_EN = _SEED.replace("WHERE lang = 'en' OR doc_id % 2 = 0", "WHERE lang = 'en'")
-
-
-@register("seed_claim_dedup", f"WITH {_EN} SELECT doc_id, source, n_chars FROM c")
+@register("seed_claim_dedup", f"WITH {_SEED} SELECT doc_id, source, n_chars FROM c")
 def seed_claim_dedup(spark, d):
-    return by_claim(spark, d).where("prio = 0").select("doc_id", "source", "n_chars")
+    return by_claim(spark, d).select("doc_id", "source", "n_chars")
 
 
-def _robin(spark, d):
-    rows = by_claim(spark, d).where("prio = 0").withColumn("tier", F.pmod("n_chars", F.lit(3)))
-    return R.round_robin(rows, F.col("tier"), F.col("source"), ["n_chars", "doc_id"])
+def _robin(spark, d, most=None):
+    rows = by_claim(spark, d).withColumn("tier", F.pmod("n_chars", F.lit(3)))
+    return R.round_robin(rows, F.col("tier"), F.col("source"), ["n_chars", "doc_id"], most=most)
 
 
-_ROBIN = f"WITH {_EN}, q AS (SELECT *, n_chars % 3 AS tier, row_number() OVER (PARTITION BY n_chars % 3, source ORDER BY n_chars, doc_id) AS round FROM c), o AS (SELECT *, row_number() OVER (ORDER BY tier, round, source) AS position FROM q)"
+_ROBIN = f"WITH {_SEED}, q AS (SELECT *, n_chars % 3 AS tier, row_number() OVER (PARTITION BY n_chars % 3, source ORDER BY n_chars, doc_id) AS round FROM c), o AS (SELECT *, row_number() OVER (ORDER BY tier, round, source) AS position FROM q)"
 
 
 @register("seed_round_robin", f"{_ROBIN} SELECT doc_id, source, tier, CAST(position AS BIGINT) AS position FROM o")
@@ -186,7 +182,7 @@ def seed_round_robin(spark, d):
 
 @register("seed_pipeline", f"{_ROBIN} SELECT doc_id, source, CAST(position AS BIGINT) AS position, CAST((position - 1) % 2 AS INTEGER) AS half FROM o WHERE position <= 12")
 def seed_pipeline(spark, d):
-    return R.alternate(_robin(spark, d).where("position <= 12"), "position").select("doc_id", "source", "position", "half")
+    return R.alternate(_robin(spark, d, 12), "position").select("doc_id", "source", "position", "half")
 
 
 _CHUNK = "WITH u AS (SELECT l_suppkey AS file, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem), c AS (SELECT file, CAST(ceil(n / 60) AS INTEGER) AS chunk_index, count(*) AS n FROM u GROUP BY ALL UNION ALL SELECT s_suppkey, 1, 0 FROM supplier WHERE s_suppkey NOT IN (SELECT file FROM u))"

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..io import importable
+from ..io import importable, written
 
 #: Directories and extensions that never count; the most bytes of a file.
 IGNORED_DIRS = [".git", "node_modules", "__pycache__", ".venv", "venv", "env", "dist", "build", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".next", ".turbo", "target", "vendor", ".idea", ".vscode"]
@@ -35,31 +35,42 @@ WORKER_COMMANDS = ["celery", "arq", "worker"]
 def read_tree(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """SRC-04: (path, content, length) of all regular files below a directory or address, path from there, in order of paths.
 
-    Spark's own readers leave out names that begin with a dot or underscore, so
-    the names are listed once and the contents (null beyond most_bytes) are read
-    by the tasks. Symbolic links are not followed.
+    Spark's own readers leave out names that begin with a dot or underscore. So
+    directories are listed here, one level after the other, each by a task; then
+    tasks read the contents (null beyond most_bytes). Symbolic links are not followed.
     """
     importable(spark)
     uri = root if "://" in root else f"file://{os.path.abspath(root)}"
-    system, base = fs.FileSystem.from_uri(uri)
-    local = isinstance(system, fs.LocalFileSystem)
-    found = [(f.path, f.size) for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
-    linked = lambda p: any(os.path.islink(os.path.join(base, *p[:i])) for i in range(1, len(p) + 1))
-    rel = sorted((f[len(base) :].lstrip("/"), n) for f, n in found)
-    rel = [(p, n) for p, n in rel if not (local and linked(p.split("/")))]
-    names = spark.createDataFrame(rel, "path string, length long").repartitionByRange(max(1, min(200, len(rel) // 64)), "path") if rel else spark.createDataFrame([], "path string, length long")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(uri)
+        base, local = base.rstrip("/"), isinstance(system, fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch["path"]:
+                rows = []
+                for f in system.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))):
+                    if f.type in (fs.FileType.File, fs.FileType.Directory) and not (local and os.path.islink(f.path)):
+                        rows.append((f.path[len(base) :].lstrip("/"), f.size, f.type == fs.FileType.Directory))
+                yield pd.DataFrame(rows, columns=["path", "length", "folder"]).astype({"length": "Int64"})
+
+    folders, levels = spark.createDataFrame([("",)], "path string"), []
+    while not folders.isEmpty():
+        levels.append(written(folders.mapInPandas(listed, "path string, length long, folder boolean"), "listing"))
+        folders = levels[-1].where("folder").select("path").repartition("path")
+    names = levels[0]
+    for level in levels[1:]:
+        names = names.unionByName(level)
+    names = names.where("NOT folder").select("path", "length").repartitionByRange("path").sortWithinPartitions("path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = fs.FileSystem.from_uri(uri)
         for batch in batches:
-            content = []
-            for p, n in zip(batch["path"], batch["length"], strict=True):
-                if n > most_bytes:
-                    content.append(None)
-                    continue
-                with system.open_input_stream(f"{base.rstrip('/')}/{p}") as f:
-                    content.append(f.read())
-            yield pd.DataFrame({"path": batch["path"], "content": content, "length": batch["length"]})
+            for path, length in zip(batch["path"], batch["length"], strict=True):
+                content = None
+                if length <= most_bytes:
+                    with system.open_input_stream(f"{base.rstrip('/')}/{path}") as f:
+                        content = f.read()
+                yield pd.DataFrame({"path": [path], "content": [content], "length": [length]})
 
     return names.mapInPandas(run, "path string, content binary, length long")
 
@@ -243,6 +254,14 @@ def resample(samples: Column, source: int, target: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), value)).otherwise(F.array().cast("array<double>"))
 
 
+def prompts(files: DataFrame) -> DataFrame:
+    """UDF-06, SRC-16: (name, version, system, user) of prompt files `name.v1.md`, each with two fenced blocks at least; files(path, text). A file without them is an error when it is read."""
+    blocks = F.regexp_extract_all("text", F.lit(r"(?ms)^```[^\n]*\n(.*?)^```"), 1)
+    block = lambda n: F.when(F.size(blocks) >= 2, F.trim(F.regexp_replace(F.get(blocks, F.lit(n)), r"^\s+|\s+$", ""))).otherwise(F.raise_error(F.concat(F.lit("a prompt needs two fenced blocks: "), "path")))
+    stem = F.regexp_extract("path", r"([^/]*)\.v(\d+)\.md$", 1)
+    return files.where(F.col("path").rlike(r"\.v\d+\.md$")).select(stem.alias("name"), F.regexp_extract("path", r"\.v(\d+)\.md$", 1).cast("int").alias("version"), block(0).alias("system"), block(1).alias("user"))
+
+
 def prompt_blocks(text: str) -> tuple[str, str]:
     """SRC-16: the two fenced blocks of a prompt file; an error if they lack."""
     found = re.findall(r"^```[^\n]*\n(.*?)^```", text, re.S | re.M)

@@ -17,6 +17,23 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str], order
     return existing.unionByName(first.join(existing.select(*keys), keys, "left_anti"))
 
 
+def versioned_update(rows: DataFrame, writes: DataFrame, key: str, order: list, version: str = "version", value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """DML-03: the table after a batch of concurrent writes, and the writes refused.
+
+    A table of files has no row lock. Each write names the version that it has
+    read; of the writes of a batch to one row, the first by `order` (total) that
+    names the row's version wins and raises it, all others are refused and have
+    to read again. writes(key, version, value, ...).
+    """
+    now = writes.join(rows.select(key, F.col(version).alias("_now")), key, "left")
+    fits = F.col(version) == F.col("_now")
+    nth = F.row_number().over(Window.partitionBy(key, fits).orderBy(*order))
+    judged = now.withColumn("_wins", fits & (nth == 1))
+    won = judged.where("_wins").select(key, (F.col(version) + 1).alias(version), value)
+    after = rows.select(key, version, value).join(won, key, "left_anti").unionByName(won)
+    return after, judged.where(~F.coalesce("_wins", F.lit(False))).drop("_now", "_wins")
+
+
 def latest_of_log(log: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
     """SNK-05: the last row of each key, with the number of rows that changed anything (a repeated value is no change)."""
     w = Window.partitionBy(*keys).orderBy(*order)

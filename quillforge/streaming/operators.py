@@ -54,13 +54,13 @@ def progress(updates: DataFrame, state: DataFrame, key: str, at: str, tie: str,
     return both.withColumns({"_over": over, "_before": before}).where((F.col("_over") == 0) & ~F.col(status).eqNullSafe(F.col("_before"))).drop("_over", "_before")
 
 
-def status_stream(stream: DataFrame, key: str, status: str, at: str) -> DataFrame:
-    """STM-03 as a stream: the status of each key after every batch, kept as state."""
+def status_stream(stream: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:
+    """STM-03 as a stream: the status of each key after every batch, kept as state; a batch is taken in the given order."""
 
     def step(key_, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else None
         for batch in batches:
-            for s in batch.sort_values(at)[status]:
+            for s in batch.sort_values(order)[status]:
                 if now != "ready" and not (now == "failed" and s != "ready"):
                     now = s
         state.update((now,))
@@ -81,9 +81,37 @@ def elapsed_ms(a: Column, b: Column) -> Column:
 
 
 def day_label(at: Column, now: Column) -> Column:
-    """DAT-05."""
+    """DAT-05: "Today, 14:20", "Yesterday, 09:05" or "3 Aug, 09:05"; a time to come is today's."""
     days = F.datediff(now, at)
-    return F.when(days == 0, "Today").when(days == 1, "Yesterday").otherwise(F.date_format(at, "yyyy-MM-dd"))
+    day = F.when(days <= 0, "Today").when(days == 1, "Yesterday").otherwise(F.date_format(at, "d MMM"))
+    return F.concat(day, F.lit(", "), F.date_format(at, "HH:mm"))
+
+
+def job_outcomes(log: DataFrame, key: str, at: str, tie: str, event: str, now: Column, seconds: int = 1800) -> DataFrame:
+    """STM-05: (key, deliveries, outcome): what a queue that delivers at least once makes of each job's events `start` and `done`.
+
+    A start that no `done` follows within `seconds` has timed out and is delivered
+    again; a job is done with its first timely `done`, later events change nothing.
+    """
+    w = Window.partitionBy(key).orderBy(at, tie)
+    rows = log.withColumn("_start", F.last(F.when(F.col(event) == "start", F.col(at)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    timely = (F.col(event) == "done") & (F.unix_micros(at) - F.unix_micros("_start") <= seconds * 1_000_000)
+    rows = rows.withColumn("_over", F.coalesce(F.max(timely.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    kept = rows.where("_over = 0").groupBy(key).agg(F.count_if(F.col(event) == "start").alias("deliveries"), F.max(timely.cast("int")).alias("_done"), F.max("_start").alias("_last"))
+    late = F.unix_micros(now) - F.unix_micros("_last") > seconds * 1_000_000
+    return kept.select(key, "deliveries", F.when(F.col("_done") == 1, "done").when(F.col("_last").isNull(), "queued").when(late, "timed out").otherwise("running").alias("outcome"))
+
+
+def polled(states: DataFrame, key: str, at: str, since: Column, status: str = "status", every: int = 2, most: int = 300) -> DataFrame:
+    """STM-07: (key, polls, seen): what a client sees that asks every `every` seconds from `since` on until a state is terminal or `most` seconds are over.
+
+    polls counts the questions up to the first one at or after a terminal state;
+    seen is that state, null where the deadline comes first.
+    """
+    after = F.greatest((F.unix_micros(at) - F.unix_micros(since)) / 1e6, F.lit(0.0))
+    ends = states.where(F.col(status).isin(TERMINAL)).groupBy(key).agg(F.min_by(F.struct(F.col(status).alias("s"), F.ceil(after / every).alias("n")), F.col(at)).alias("_e"))
+    in_time = F.col("_e.n") * every <= most
+    return states.select(key).distinct().join(ends, key, "left").select(key, F.when(in_time, F.col("_e.n") + 1).otherwise(most // every + 1).cast("long").alias("polls"), F.when(in_time, F.col("_e.s")).alias("seen"))
 
 
 def metered(spark_rows: DataFrame, started: str, ended: str, error: str) -> DataFrame:

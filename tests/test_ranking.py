@@ -75,6 +75,8 @@ def test_seed_chain_against_plain_version(spark):
         df = R.first_per_group(df, ["claim"], ["prio", "f", "a", "seen"])
         got = R.round_robin(df, F.col("prio"), F.col("bucket"), ["f", "a", "ord"]).orderBy("position").select("ord").collect()
         assert [r.ord for r in got] == plain_seeds(items)
+        first = R.round_robin(df, F.col("prio"), F.col("bucket"), ["f", "a", "ord"], most=5).orderBy("position").collect()
+        assert [(r.ord, r.position) for r in first] == [(x, i + 1) for i, x in enumerate(plain_seeds(items)[:5])]
 
 
 def plain_chunks(files, size, most):

@@ -2,6 +2,7 @@ import io
 import zipfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 from quillforge.operators import extract as E
 from quillforge.operators import providers as P
@@ -63,6 +64,86 @@ def test_javascript_units():
     assert got == [("module", "", 1, 15), ("function", "run", 3, 5), ("class", "K", 6, 10), ("function", "K.go", 7, 9), ("function", "f", 11, 13)]
 
 
+JS = r"""// head
+import React, { useState } from "react";
+import type { X } from './types';
+import "./side.css";
+import('lazy');
+export { a } from "./reexported";
+
+/** Adds.
+ *  Two numbers.
+ */
+export function add(a, b = "}{") {
+  const x = require("./inner");
+  return a / b / 2; // } not code
+}
+
+const greet = async (name: string): Promise<{ a: number }> => {
+  return `hi ${name + `${{a: "}"}.a}`} }`;
+};
+export const short = x => x + 1, other = (a, b) =>
+  a
+  + b;
+const re = /[/}"]+\/"/g, plain = 5;
+/** A class. */
+// between
+export default class Widget<T extends { a: 1 }> extends Base {
+  static count = 0;
+  field = () => { return 1; };
+  constructor(a) { super(a); }
+  /** Runs. */
+  static async run(x: number): void { if (x) { require('two' ) } }
+  get value() { return this.#p; }
+  #p = 1
+  *gen() { yield "}" }
+  sig(a: string): void;
+  [computed]() {}
+}
+function* gen() { }
+interface I { f(): void; }
+type T2 = { a: string };
+function Comp({ a }: { a: string }): JSX.Element {
+  return <div className="x" onClick={() => { go("}"); }}>Don't {a ? <b>it's {`x`}</b> : null} {'{'} <br/></div>;
+}
+let v = <any>foo;
+export const generic = <T,>(x: T): T => x;
+if (v) { function hidden() {} require(`tpl`); obj.require("no"); require("a", "b"); require("c", 1) }
+function overload(a: string): string;
+function overload(a: any): any { return a }
+module.exports = { f: function () {} };
+var old = function named(a) { return a }
+"""
+
+
+def test_javascript_grammar():
+    """Braces and quotes in strings, templates, comments, patterns and elements; types; what is no unit and no import."""
+    got = E.parse_javascript(JS)
+    assert [(u["name"], u["line_start"], u["line_end"], u["signature"], u["docstring"]) for u in got["units"][1:]] == [
+        ("add", 11, 14, 'export function add(a, b = "}{")', "Adds.\nTwo numbers."),
+        ("greet", 16, 18, "const greet = async (name: string): Promise<{ a: number }> =>", None),
+        ("short", 19, 19, "export const short = x =>", None),
+        ("other", 19, 21, "export const short = x => x + 1, other = (a, b) =>", None),
+        ("Widget", 25, 36, "export default class Widget<T extends { a: 1 }> extends Base", None),
+        ("Widget.constructor", 28, 28, "constructor(a)", None),
+        ("Widget.run", 30, 30, "static async run(x: number): void", "Runs."),
+        ("Widget.value", 31, 31, "get value()", None),
+        ("Widget.gen", 33, 33, "*gen()", None),
+        ("Widget.[computed]", 35, 35, "[computed]()", None),
+        ("Comp", 40, 42, "function Comp({ a }: { a: string }): JSX.Element", None),
+        ("generic", 44, 44, "export const generic = <T,>(x: T): T =>", None),
+        ("overload", 47, 47, "function overload(a: any): any", None),
+        ("old", 49, 49, "var old = function named(a)", None),
+    ]
+    assert [(i["raw"], i["kind"]) for i in got["imports"]] == [("react", "js_bare"), ("./types", "js_relative"), ("./side.css", "js_relative"), ("./inner", "js_relative"), ("two", "js_bare"), ("c", "js_bare")]
+
+
+@pytest.mark.parametrize("src", ["function f(){\n", "const a = <div>", "`${", "f(()=>{", "a<", "}", "class A { m() { return `}` } }\n", "/** x */ function f() { return /a}/ }\n", "'", "<a b={", "//", "/*"])
+def test_javascript_of_any_form(src):
+    """Broken and long sources end, in time that follows their length."""
+    assert E.parse_javascript(src * 5000)["units"][0]["unit_type"] == "module"
+
+
 def test_audio(spark):
     df = spark.createDataFrame([([0.0, 1.0, -2.0], 8000)], "s array<double>, r int")
     wav = df.select(S.wav_bytes("s", "r").alias("w")).first().w
@@ -138,3 +219,82 @@ def test_published_messages_and_redelivered_batches(spark, tmp_path):
 def test_prompt_versions(tmp_path):
     (tmp_path / "p.v2.md").write_text("```\na\n```\n```\nb {x}\n```\n")
     assert S.load_prompt(str(tmp_path), "p", "v2") == ("a", "b {x}")
+
+
+def test_repositories(spark, tmp_path):
+    """A pinned commit, the tip, an empty repository, one that is not there, a link, a file that is too large."""
+    from quillforge.sources import repositories as V
+
+    run = lambda *a: V._git("-c", "user.name=q", "-c", "user.email=q@localhost", *a, seconds=30, cwd=str(tmp_path / "a"))
+    for name in ("a", "empty"):
+        (tmp_path / name).mkdir()
+        V._git("init", "--quiet", seconds=30, cwd=str(tmp_path / name))
+    run("config", "uploadpack.allowReachableSHA1InWant", "true")
+    (tmp_path / "a" / "app.py").write_bytes(b"x = 1\n")
+    (tmp_path / "a" / "big").write_bytes(b"y" * 100)
+    (tmp_path / "a" / "link").symlink_to("app.py")
+    run("add", "--all")
+    run("commit", "--quiet", "-m", "one")
+    first = run("rev-parse", "HEAD").decode().strip()
+    (tmp_path / "a" / "app.py").write_bytes(b"x = 2\n")
+    run("commit", "--quiet", "-a", "-m", "two")
+    second = run("rev-parse", "HEAD").decode().strip()
+    url = f"file://{tmp_path}/a"
+    rows = [(url, first), (url, None), (f"file://{tmp_path}/empty", None), (f"file://{tmp_path}/none", None), (url, "0" * 40), (None, None)]
+    got = V.git_files(spark.createDataFrame(rows, "url string, commit string"), most_bytes=50).collect()
+    assert sorted((r.commit, r.path, r.content and bytes(r.content), r.length) for r in got if r.path) == sorted([(first, "app.py", b"x = 1\n", 6), (first, "big", None, 100), (second, "app.py", b"x = 2\n", 6), (second, "big", None, 100)])
+    assert sorted((str(r.url).rsplit("/", 1)[-1], bool(r.error)) for r in got if not r.path) == [("None", True), ("a", True), ("empty", False), ("none", True)]
+    heads = {str(r.url).rsplit("/", 1)[-1]: (r.reachable, r["head"]) for r in V.remote_heads(spark.createDataFrame([(u,) for u in {r[0] for r in rows}], "url string")).collect()}
+    assert heads == {"a": (True, second), "empty": (True, None), "none": (False, None), "None": (False, None)}
+
+
+def test_a_hung_remote_is_killed(tmp_path):
+    import subprocess
+    import time
+
+    from quillforge.sources import repositories as V
+
+    slow = tmp_path / "git-remote-slow"
+    slow.write_text("#!/bin/sh\nexec sleep 60\n")
+    slow.chmod(0o755)
+    began = time.monotonic()
+    with pytest.raises((subprocess.TimeoutExpired, subprocess.CalledProcessError)):
+        V._git("-c", "protocol.allow=always", "ls-remote", f"ext::{slow} x", seconds=1)
+    assert time.monotonic() - began < 20
+
+
+def test_versioned_update(spark):
+    have = spark.createDataFrame([("a", 1, "old"), ("b", 4, "old"), ("c", 2, "old")], "k string, version int, value string")
+    writes = spark.createDataFrame([("a", 1, "second", 2), ("a", 1, "first", 1), ("a", 2, "early", 0), ("b", 3, "stale", 1), ("d", 1, "unknown", 1), ("c", None, "blind", 1)], "k string, version int, value string, at int")
+    after, refused = sinks.versioned_update(have, writes, "k", ["at"])
+    assert rows(after) == [("a", 2, "first"), ("b", 4, "old"), ("c", 2, "old")]
+    assert sorted(r.value for r in refused.collect()) == ["blind", "early", "second", "stale", "unknown"]
+
+
+def test_queue_and_polls(spark):
+    stamp = lambda s: F.timestamp_seconds(F.lit(s) + F.col("at"))
+    log = spark.createDataFrame([("done", "start", 0, 1), ("done", "done", 1800, 2), ("done", "start", 1900, 3), ("late", "start", 0, 1), ("late", "done", 1801, 2), ("late", "start", 1802, 3), ("now", "start", 3000, 1), ("odd", "done", 5, 1)], "job string, event string, at long, n int")
+    got = T.job_outcomes(log.withColumn("at", stamp(0)), "job", "at", "n", "event", F.timestamp_seconds(F.lit(4000)))
+    assert {r.job: (r.deliveries, r.outcome) for r in got.collect()} == {"done": (1, "done"), "late": (2, "timed out"), "now": (1, "running"), "odd": (0, "queued")}
+    states = spark.createDataFrame([("a", "pending", 0), ("a", "ready", 4), ("b", "failed", 5), ("b", "ready", 6), ("c", "ready", 301), ("d", "parsing", 1), ("e", "ready", 300)], "k string, status string, at long")
+    got = T.polled(states.withColumn("at", stamp(0)), "k", "at", F.timestamp_seconds(F.lit(0)))
+    assert {r.k: (r.polls, r.seen) for r in got.collect()} == {"a": (3, "ready"), "b": (4, "failed"), "c": (151, None), "d": (151, None), "e": (151, "ready")}
+
+
+def test_prompts_of_all_versions(spark):
+    body = "# x\n```a\nsystem\n lines\n```\n\n```\nuser\n```\n```\nmore\n```\n"
+    files = spark.createDataFrame([("p/one.v2.md", body), ("one.v10.md", body.replace("user", "you")), ("readme.md", "no blocks")], "path string, text string")
+    assert rows(S.prompts(files)) == [("one", 2, "system\n lines", "user"), ("one", 10, "system\n lines", "you")]
+    with pytest.raises(Exception, match="two fenced blocks"):
+        S.prompts(spark.createDataFrame([("bad.v1.md", "none")], "path string, text string")).collect()
+
+
+def test_shared_folder_is_refused_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from quillforge import io as Q
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="share"):
+        Q.shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context), "x")
+    assert Q.shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: "hdfs://n/c/"), sparkContext=context), "x").startswith("hdfs://n/c/x-")

@@ -139,10 +139,10 @@ def test_wer_and_recall_of_whole_turns(spark, tmp_path):
     rows = [(1, 2 * i, ("user", "assistant")[i % 2], t) for i, t in enumerate(turns)] + [(1, 1, "system", "left out")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     pairs = [(tokens(r), tokens(h)) for r, h in zip(turns, turns[1:], strict=False)]
-    got = catalog.queries()["wer_whole"](spark, str(tmp_path)).orderBy("turn").collect()
+    got = catalog.queries()["wer"](spark, str(tmp_path)).orderBy("turn").collect()
     assert [round(x.wer, 9) for x in got] == [round(distance(r, h) / len(r), 9) for r, h in pairs]
     long = [([t for t in r if len(t) > 3], set(h)) for r, h in pairs]
-    got = catalog.queries()["identifier_recall_whole"](spark, str(tmp_path)).orderBy("turn").collect()
+    got = catalog.queries()["identifier_recall"](spark, str(tmp_path)).orderBy("turn").collect()
     assert [round(x.recall, 9) for x in got] == [round(sum(t in h for t in r) / len(r), 9) for r, h in long]
 
 
@@ -167,3 +167,15 @@ def test_paths_against_a_plain_stack(spark):
     assert [r.n for r in df.select("i", normal_path(F.col("p")).alias("n")).orderBy("i").collect()] == [plain(p) for p in paths]
     names = spark.createDataFrame([("@s/p/q",), ("@s",), ("lodash/fp",), ("react",)], "p string")
     assert [r[0] for r in names.select(external_name(F.col("p"))).collect()] == ["@s/p", "@s", "lodash", "react"]
+
+
+@pytest.mark.parametrize("text", ["STRASSE", "straße", "ﬁn", "ΣΊΣΥΦΟΣ", "σίσυφος", "İstanbul", "ısı", "ÀÉ ñ", "ŉ", "ſ", ""])
+def test_folded_as_casefold(spark, text):
+    assert one(spark, X.folded(lit(text))) == text.casefold()
+
+
+def test_day_labels(spark):
+    from quillforge.streaming import operators as T
+
+    label = lambda at: one(spark, T.day_label(F.lit(at).cast("timestamp_ntz"), F.lit("2024-03-05 10:00:00").cast("timestamp_ntz")))
+    assert [label(x) for x in ("2024-03-05 00:00:00", "2024-03-05 09:05:30", "2024-03-06 14:20:00", "2024-03-04 23:59:59", "2024-03-03 09:05:00")] == ["Today, 00:00", "Today, 09:05", "Today, 14:20", "Yesterday, 23:59", "3 Mar, 09:05"]
