@@ -2,9 +2,11 @@
 
 Calls and results are joined by conversation and identifier. Calls may refer to
 results of other calls ("$ref:<id>" as a string in their arguments); such calls are
-put after those, level by level, in rounds over the edges alone, however long a
-conversation is. Each event becomes one line of canonical JSON: sorted keys, no
-white space, no needless escapes. No conversation is gathered in one row.
+put after those, in rounds over the edges alone: a round follows all chains as far
+as they lie in one range of turns, so that long chains take few rounds. Each event
+becomes one line of canonical JSON: sorted keys, no white space, no needless
+escapes. Events are ordered by ranges of the whole table, so that no conversation is
+gathered in one row or sorted in one task.
 """
 
 from __future__ import annotations
@@ -12,13 +14,15 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from ..io import global_position
+from .common import prepare, row_batches, union_all, written
 
 _KEY = ["conv_id", "call_id"]
 
@@ -94,26 +98,54 @@ def _no_constant(name: str):
 
 def _levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, at, level, cyclic): the turn at which each call can be made, and how many calls it waits for in a row."""
-    own = calls.groupBy(*_KEY).agg(F.min_by("arguments", F.struct("turn", "seq", "name")).alias("arguments"), F.min("turn").alias("at"))
-    edges = own.select(*_KEY, F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$ref:([^"]+)"'), 1))).alias("ref"))
+    own = calls.groupBy(*_KEY).agg(F.min_by("arguments", F.struct("turn", "seq", "name", "arguments")).alias("arguments"), F.min("turn").alias("at"))
+    edges = own.select(*_KEY, "at", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$ref:([^"]+)"'), 1))).alias("ref"))
     edges = written(edges.join(own.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"], "left_semi"), "refs")
     state = own.select(*_KEY, "at")
     if edges.isEmpty():
         return state.withColumns({"level": F.lit(0), "cyclic": F.lit(False)})
-    state = written(state, "calls")
-    waiting = edges.select(*_KEY).distinct()
-    done = written(state.join(waiting, _KEY, "left_anti").withColumn("level", F.lit(0)), "levels")
-    open_ = written(edges.join(state, _KEY), "open")
+    new = written(state.join(edges.select(*_KEY).distinct(), _KEY, "left_anti").withColumn("level", F.lit(0)), "levels")
+    done = [new]
+    open_ = edges.withColumns({"ref_at": F.lit(None).cast("long"), "ref_level": F.lit(None).cast("int")})
     while True:
-        reached = open_.join(done.select("conv_id", F.col("call_id").alias("ref"), F.col("at").alias("ref_at"), "level"), ["conv_id", "ref"], "left")
-        ready = reached.groupBy(*_KEY).agg(F.bool_and(F.col("level").isNotNull()).alias("all"), F.greatest(F.max("at"), F.max("ref_at")).alias("at"), (F.max("level") + 1).alias("level")).where("all").drop("all")
-        ready = written(ready, "ready")
-        if ready.isEmpty():
+        known = new.select("conv_id", F.col("call_id").alias("ref"), F.col("at").alias("_at"), F.col("level").alias("_level"))
+        open_ = open_.join(known, ["conv_id", "ref"], "left").withColumns({"ref_at": F.coalesce("ref_at", "_at"), "ref_level": F.coalesce("ref_level", "_level")}).drop("_at", "_level")
+        open_ = written(open_.select("conv_id", "call_id", "at", "ref", "ref_at", "ref_level"), "open")
+        new = written(open_.repartitionByRange("conv_id", "at", "call_id").mapInArrow(_follow, "conv_id long, call_id string, at long, level int"), "levels")
+        if new.isEmpty():
             break
-        done = written(done.unionByName(ready), "levels")
-        open_ = written(open_.join(ready.select(*_KEY), _KEY, "left_anti"), "open")
+        done.append(new)
+        open_ = open_.join(new.select(*_KEY), _KEY, "left_anti")
     left = open_.groupBy(*_KEY).agg(F.max("at").alias("at")).withColumns({"level": F.lit(0), "cyclic": F.lit(True)})
-    return done.withColumn("cyclic", F.lit(False)).unionByName(left)
+    return union_all([*(x.withColumn("cyclic", F.lit(False)) for x in done), left])
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The calls of a range of turns that can be made: all they refer to is known, or becomes known here."""
+    at: dict[tuple, int | None] = {}
+    level: dict[tuple, int] = {}
+    missing: dict[tuple, int] = defaultdict(int)
+    waiting: dict[tuple, list] = defaultdict(list)
+    later = lambda a, b: b if a is None else a if b is None else max(a, b)
+    for batch in batches:
+        for conv, call, own_at, ref, ref_at, ref_level in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key = (conv, call)
+            at[key], level[key] = later(at.get(key), own_at), level.get(key, 0)
+            if ref_level is None:
+                missing[key] += 1
+                waiting[conv, ref].append(key)
+            else:
+                at[key], level[key] = later(at[key], ref_at), max(level[key], ref_level + 1)
+    ready, out = [k for k in at if not missing[k]], []
+    while ready:
+        key = ready.pop()
+        out.append((*key, at[key], level[key]))
+        for k in waiting.pop(key, ()):
+            at[k], level[k] = later(at[k], at[key]), max(level[k], level[key] + 1)
+            missing[k] -= 1
+            if not missing[k]:
+                ready.append(k)
+    yield from row_batches(out, [pa.int64(), pa.string(), pa.int64(), pa.int32()], ["conv_id", "call_id", "at", "level"])
 
 
 def link_tool_calls(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -135,25 +167,24 @@ def link_tool_calls(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     e = events.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("seq").cast("int").alias("seq"), "role", "text", "call_id", "name", "arguments")
     is_call = F.col("name").isNotNull() & F.col("call_id").isNotNull()
     e = e.withColumn("kind", F.when(is_call, "call").when(F.col("role") == "tool", "result").otherwise("message"))
-    place = F.struct("turn", "seq", F.xxhash64("text", "name", "arguments").alias("h"))
     calls, results = e.where("kind = 'call'"), e.where("kind = 'result' AND call_id IS NOT NULL")
-    # of each identifier, the first of each kind
-    first_calls = calls.groupBy(*_KEY).agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    first_results = results.groupBy(*_KEY).agg(F.min(place).alias("first"), F.count("*").alias("n"))
     levels = _levels(calls)
-    calls = calls.withColumn("own", place).join(first_calls.join(levels, _KEY, "left"), _KEY, "left").join(first_results.select(*_KEY, F.lit(True).alias("other")), _KEY, "left")
-    results = results.withColumn("own", place).join(first_results, _KEY, "left").join(levels.withColumn("other", F.lit(True)), _KEY, "left")
-    both = calls.unionByName(results)
-    both = both.withColumns({"same": F.coalesce(F.col("own") == F.col("first"), F.lit(False)), "other": F.coalesce("other", F.lit(False)), "cyclic": F.coalesce("cyclic", F.lit(False))})
-    later = F.row_number().over(Window.partitionBy(*_KEY, "kind").orderBy("turn", "seq", "own")) > 1
-    both = both.withColumn("repeat", F.when(F.col("n") > 1, later).otherwise(False)).withColumn("same", F.col("same") & ~F.col("repeat"))
+    calls = calls.join(levels, _KEY, "left").join(results.select(*_KEY).distinct().withColumn("other", F.lit(True)), _KEY, "left")
+    results = results.join(levels.withColumn("other", F.lit(True)), _KEY, "left")
+    both = calls.unionByName(results).withColumns({"other": F.coalesce("other", F.lit(False)), "cyclic": F.coalesce("cyclic", F.lit(False)) & (F.col("kind") == "call")})
     rank = F.when(F.col("kind") == "call", 2 * F.col("level")).when(F.col("turn") > F.col("at"), 0).otherwise(2 * F.col("level") + 1)
-    both = both.select(*e.columns, F.greatest("turn", F.coalesce("at", "turn")).alias("at"), F.coalesce(rank, F.lit(0)).alias("rank"), (F.col("same") & F.col("other")).alias("linked"), "repeat", F.when(F.col("kind") == "call", F.col("cyclic")).otherwise(False).alias("cyclic"), "other")
+    both = both.select(*e.columns, F.greatest("turn", F.coalesce("at", "turn")).alias("at"), F.coalesce(rank, F.lit(0)).alias("rank"), "cyclic", "other")
     rest = e.where("kind = 'message' OR (kind = 'result' AND call_id IS NULL)")
     no = F.lit(False)
-    rest = rest.select(*e.columns, F.col("turn").alias("at"), F.lit(0).alias("rank"), no.alias("linked"), no.alias("repeat"), no.alias("cyclic"), no.alias("other"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("at").asc_nulls_first(), "rank", "turn", "seq", "kind", "call_id", F.xxhash64("text", "name", "arguments"))
-    placed = both.unionByName(rest).withColumn("position", F.row_number().over(order).cast("long"))
+    rest = rest.select(*e.columns, F.col("turn").alias("at"), F.lit(0).alias("rank"), no.alias("cyclic"), no.alias("other"))
+    order = ["conv_id", F.col("at").asc_nulls_first(), "rank", "turn", "seq", "kind", "call_id", F.xxhash64("text", "name", "arguments", "role")]
+    placed = written(global_position(both.unionByName(rest), order, "place"), "placed")
+    # where each conversation begins, and the first event of each kind and identifier
+    begins = placed.groupBy(F.col("conv_id").alias("conv")).agg(F.min("place").alias("begin"))
+    firsts = placed.where("kind <> 'message' AND call_id IS NOT NULL AND conv_id IS NOT NULL").groupBy(*_KEY, "kind").agg(F.min("place").alias("first"))
+    placed = placed.join(begins, F.col("conv_id").eqNullSafe(F.col("conv"))).join(firsts, [*_KEY, "kind"], "left")
+    is_first = F.coalesce(F.col("place") == F.col("first"), F.lit(False))
+    placed = placed.withColumns({"position": F.col("place") - F.col("begin") + 1, "linked": is_first & F.col("other"), "repeat": F.coalesce(F.col("place") > F.col("first"), F.lit(False))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,16 +215,22 @@ def link_tool_calls(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return placed.select(*needed).mapInArrow(run, "conv_id long, position long, turn long, seq int, kind string, call_id string, linked boolean, valid boolean, errors array<string>, json string")
 
 
-#: The tool by which the query over plain conversations sees turns: a user's turn calls it, the assistant's next turn is the result.
-REPLY = {"reply": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}}
+#: The tool by which the query over plain conversations sees turns: a user's turn calls it, the assistant's next turn is the result; it refers to the call two turns before.
+REPLY = {"reply": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"after": {"type": "string"}, "prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}}
 
 
 def turns_as_calls(conversations: DataFrame) -> DataFrame:
-    """Events of plain conversations (conv_id, turn, role, text): user turns as calls of `reply`, assistant turns as the results of the turn before."""
-    user, reply = F.col("role") == "user", F.col("role") == "assistant"
-    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")), {"ignoreNullFields": "false"})
+    """Events of plain conversations (conv_id, turn, role, text).
+
+    User turns are calls of `reply` that refer to the call two turns before, if
+    there is one, so that a conversation is a chain; assistant turns are the
+    results of the turn before. Rows without a turn are messages.
+    """
+    user, reply = (F.col("turn").isNotNull() & F.col("role").eqNullSafe(r) for r in ("user", "assistant"))
+    as_json = lambda *c: F.to_json(F.struct(*c, F.col("text").alias("prompt"), F.col("turn").alias("turn")), {"ignoreNullFields": "false"})
+    arguments = F.when(F.col("turn") > 1, as_json(F.concat(F.lit("$ref:turn-"), F.col("turn") - 2).alias("after"))).otherwise(as_json())
     return conversations.select(
-        "conv_id", "turn", F.lit(0).alias("seq"), F.when(reply, "tool").otherwise(F.col("role")).alias("role"), F.when(~user | user.isNull(), F.col("text")).alias("text"),
+        "conv_id", "turn", F.lit(0).alias("seq"), F.when(reply, "tool").otherwise(F.col("role")).alias("role"), F.when(~user, F.col("text")).alias("text"),
         F.when(user, F.concat(F.lit("turn-"), F.col("turn"))).when(reply, F.concat(F.lit("turn-"), F.col("turn") - 1)).alias("call_id"),
         F.when(user, "reply").alias("name"), F.when(user, arguments).alias("arguments"),
     )
@@ -202,7 +239,7 @@ def turns_as_calls(conversations: DataFrame) -> DataFrame:
 #: The query over conversations in DuckDB's dialect.
 ORACLE_SQL = r"""
 WITH e AS (
-  SELECT conv_id, turn, role, text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+  SELECT conv_id, turn, role, text, CASE WHEN turn IS NULL THEN 'message' WHEN role = 'user' THEN 'call' WHEN role = 'assistant' THEN 'result' ELSE 'message' END AS kind,
     CASE role WHEN 'user' THEN 'turn-' || turn WHEN 'assistant' THEN 'turn-' || (turn - 1) END AS call_id
   FROM conversations
 ), f AS (
@@ -212,6 +249,6 @@ SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS B
   CASE WHEN kind = 'message' OR other THEN '' WHEN kind = 'call' THEN 'no result' ELSE 'no call' END AS errors,
   CASE kind WHEN 'message' THEN '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '"}'
     WHEN 'result' THEN '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"id":"' || call_id || '","role":"tool","type":"tool_result"}'
-    ELSE '{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply","role":"assistant","type":"tool_call"}' END AS json
+    ELSE '{"arguments":{' || CASE WHEN turn > 1 THEN '"after":"$ref:turn-' || (turn - 2) || '",' ELSE '' END || '"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply","role":"assistant","type":"tool_call"}' END AS json
 FROM f
 """

@@ -155,6 +155,21 @@ class ArchiveReader(DataSourceReader):
         system, path = _filesystem(archive)
         return system.open_input_file(path)
 
+    def _directory(self, partition: Range) -> np.ndarray:
+        """The directory at an archive's end, tried anew with a new handle where a read fails or gives what can't be one."""
+        why = None
+        for _ in range(self.attempts):
+            try:
+                with self._open(partition.archive) as f:
+                    start, size, magic = struct.unpack(TRAILER, f.read_at(TRAILER_BYTES, partition.size - TRAILER_BYTES))
+                    raw = f.read_at(size, start) if magic == MAGIC else b""
+                if magic == MAGIC and len(raw) == size:
+                    return np.frombuffer(raw, ENTRY)
+                why = ValueError(f"{partition.archive} is no archive")
+            except (OSError, struct.error) as x:
+                why = x
+        raise OSError(f"{partition.archive}: its directory can't be read") from why
+
     def _again(self, archive: str, e) -> tuple[bytes, int]:
         """A member read by its offset alone, with a new handle each time."""
         why = None
@@ -172,12 +187,9 @@ class ArchiveReader(DataSourceReader):
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("attempts", pa.int32())])
         if partition is None or not partition.archive:
             return
+        entries = self._directory(partition)
+        entries = entries[(entries["offset"] >= partition.start) & (entries["offset"] < partition.end)]
         with self._open(partition.archive) as f:
-            start, size, magic = struct.unpack(TRAILER, f.read_at(TRAILER_BYTES, partition.size - TRAILER_BYTES))
-            if magic != MAGIC:
-                raise ValueError(f"{partition.archive} is no archive")
-            entries = np.frombuffer(f.read_at(size, start), ENTRY)
-            entries = entries[(entries["offset"] >= partition.start) & (entries["offset"] < partition.end)]
             rows, held = [], 0
             for e in entries:
                 try:
