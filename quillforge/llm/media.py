@@ -17,6 +17,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -155,14 +156,14 @@ class ArchiveReader(DataSourceReader):
         system, path = _filesystem(archive)
         return system.open_input_file(path)
 
-    def _directory(self, partition: Range) -> np.ndarray:
-        """The directory at an archive's end, tried anew with a new handle where a read fails or gives what can't be one."""
+    def _directory(self, f, partition: Range) -> np.ndarray:
+        """The directory at an archive's end, read by f or, where that fails or gives what can't be one, with new handles."""
         why = None
-        for _ in range(self.attempts):
+        for attempt in range(self.attempts):
             try:
-                with self._open(partition.archive) as f:
-                    start, size, magic = struct.unpack(TRAILER, f.read_at(TRAILER_BYTES, partition.size - TRAILER_BYTES))
-                    raw = f.read_at(size, start) if magic == MAGIC else b""
+                with nullcontext(f) if not attempt else self._open(partition.archive) as own:
+                    start, size, magic = struct.unpack(TRAILER, own.read_at(TRAILER_BYTES, partition.size - TRAILER_BYTES))
+                    raw = own.read_at(size, start) if magic == MAGIC else b""
                 if magic == MAGIC and len(raw) == size:
                     return np.frombuffer(raw, ENTRY)
                 why = ValueError(f"{partition.archive} is no archive")
@@ -187,9 +188,9 @@ class ArchiveReader(DataSourceReader):
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("attempts", pa.int32())])
         if partition is None or not partition.archive:
             return
-        entries = self._directory(partition)
-        entries = entries[(entries["offset"] >= partition.start) & (entries["offset"] < partition.end)]
         with self._open(partition.archive) as f:
+            entries = self._directory(f, partition)
+            entries = entries[(entries["offset"] >= partition.start) & (entries["offset"] < partition.end)]
             rows, held = [], 0
             for e in entries:
                 try:

@@ -307,3 +307,112 @@ def test_plain_conversations(spark):
     df = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (1, 3, "user", "")], "conv_id long, turn long, role string, text string")
     got = {r.turn: (r.kind, r.linked, "; ".join(r.errors)) for r in T.link_tool_calls(T.turns_as_calls(df), T.REPLY).collect()}
     assert got == {0: ("message", False, ""), 1: ("call", True, ""), 2: ("result", True, ""), 3: ("call", False, "no result; $.prompt: length")}
+
+
+def test_rows_without_turn_keep_their_text(spark):
+    df = spark.createDataFrame([(1, None, "user", "prompt"), (1, None, "assistant", "answer"), (1, 1, "user", "hi"), (None, 1, "user", "alone"), (1, 1, None, "who")], "conv_id long, turn long, role string, text string")
+    got = sorted((str(r.conv_id), str(r.turn), r.kind, r.json) for r in T.link_tool_calls(T.turns_as_calls(df), T.REPLY).collect())
+    assert got == [
+        ("1", "1", "call", '{"arguments":{"prompt":"hi","turn":1},"id":"turn-1","name":"reply","role":"assistant","type":"tool_call"}'), ("1", "1", "message", '{"content":"who","role":null}'),
+        ("1", "None", "message", '{"content":"answer","role":"assistant"}'), ("1", "None", "message", '{"content":"prompt","role":"user"}'),
+        ("None", "1", "call", '{"arguments":{"prompt":"alone","turn":1},"id":"turn-1","name":"reply","role":"assistant","type":"tool_call"}'),
+    ]
+
+
+def test_long_conversations_and_chains(spark):
+    """A chain of 400 calls of one turn in reverse, one over 300 turns, and a conversation of 3,000 messages."""
+    n = 400
+    events = [call(1, 0, f"c{i}", json.dumps({"a": f"$ref:c{i - 1}"} if i else {"a": 1}), seq=n - i) for i in range(n)]
+    events += [call(2, i, f"t{i}", json.dumps({"a": f"$ref:t{i - 1}"} if i else {"a": 1})) for i in range(300)]
+    events += [(3, i, 0, "user", f"m{i}", None, None, None) for i in range(3000)]
+    got = lines(spark, events)
+    assert [g[3] for g in got if g[0] == 1] == [f"c{i}" for i in range(n)]
+    assert [g[3] for g in got if g[0] == 2] == [f"t{i}" for i in range(300)]
+    assert [(g[1], g[6]["content"]) for g in got if g[0] == 3] == [(i + 1, f"m{i}") for i in range(3000)]
+
+
+def plain_links(events):
+    """(conversation, position, kind, id, linked, repeated, cyclic) by loops; events are distinct in what orders them."""
+    out = []
+    for conv in {e[0] for e in events}:
+        own = [e for e in events if e[0] == conv]
+        kind = lambda e: "call" if e[6] is not None and e[5] is not None else "result" if e[3] == "tool" else "message"
+        first = {}
+        for e in sorted((e for e in own if kind(e) != "message" and e[5] is not None), key=lambda e: (e[1], e[2])):
+            first.setdefault((kind(e), e[5]), e)
+        calls = {i: e for (k, i), e in first.items() if k == "call"}
+        refs = {i: [r for r in set(re.findall(r'"\$ref:([^"]+)"', e[7])) if r in calls] for i, e in calls.items()}
+        at, level = {}, {}
+        while True:
+            ready = [i for i in calls if i not in level and all(r in level for r in refs[i])]
+            if not ready:
+                break
+            for i in ready:
+                at[i], level[i] = max([calls[i][1], *(at[r] for r in refs[i])]), max([0, *(level[r] + 1 for r in refs[i])])
+        cyclic = set(calls) - set(level)
+        rows = []
+        for e in own:
+            k, i = kind(e), e[5]
+            when, rank = e[1], 0
+            if k != "message" and i in calls:
+                when = max(e[1], at.get(i, calls[i][1]))
+                rank = 2 * level.get(i, 0) if k == "call" else 0 if e[1] > at.get(i, calls[i][1]) else 2 * level.get(i, 0) + 1
+            rows.append(((when, rank, e[1], e[2], k), e, k, i))
+        for n, (_, e, k, i) in enumerate(sorted(rows, key=lambda r: r[0])):
+            mine = k != "message" and i is not None and first[k, i] is e
+            other = k != "message" and (("result" if k == "call" else "call"), i) in first
+            out.append((conv, n + 1, k, i, mine and other, k != "message" and i is not None and not mine, k == "call" and i in cyclic))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_against_plain_version(spark, seed):
+    rng = random.Random(seed)
+    events = []
+    for conv in range(6):
+        for i in range(rng.randint(0, 25)):
+            ident, turn = f"i{rng.randrange(8)}", i // rng.choice([1, 3])
+            what = rng.random()
+            if what < 0.5:
+                events.append(call(conv, turn, ident, json.dumps({"a": f"$ref:i{rng.randrange(8)}", "b": [f"$ref:i{rng.randrange(12)}"]} if rng.random() < 0.6 else {"a": 1}), seq=i))
+            elif what < 0.8:
+                events.append((conv, turn, i, "tool", f"r{i}", ident if rng.random() < 0.9 else None, None, None))
+            else:
+                events.append((conv, turn, i, "user", f"m{i}", None, None, None))
+    got = sorted(((g[0], g[1], g[2], g[3], g[4], "duplicate id" in g[5], "cyclic" in g[5]) for g in lines(spark, events)), key=str)
+    assert got == plain_links(events)
+
+
+def test_equal_rows_of_chats(spark):
+    """Of equal calls one is linked, the others are duplicates; equal messages all stay."""
+    events = [call(1, 0, "x", '{"a":1}')] * 3 + [result(1, 1, "x")] * 2 + [(1, 2, 0, "user", "m", None, None, None)] * 2
+    got = lines(spark, events)
+    assert [(g[2], g[4], g[5]) for g in got] == [("call", True, "")] + [("call", False, "duplicate id")] * 2 + [("result", True, ""), ("result", False, "duplicate id")] + [("message", False, "")] * 2
+
+
+def test_directory_is_read_again(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string").coalesce(1)
+    index = str(tmp_path / "index")
+    M.write_archives(df, f"file://{tmp_path}/archives").write.parquet(index)
+    reader, opened, real = M.ArchiveReader({"path": f"file://{index}"}), [], M.ArchiveReader._open
+
+    class Broken:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            return None
+
+        def read_at(self, size, at):
+            raise OSError("not yet")
+
+    def flaky(self, archive):
+        opened.append(archive)
+        return Broken() if len(opened) < 2 else real(self, archive)
+
+    monkeypatch.setattr(M.ArchiveReader, "_open", flaky)
+    whole = reader.partitions()[0]
+    assert len(reader._directory(flaky(reader, whole.archive), whole)) == 5 and len(opened) == 2
+    monkeypatch.setattr(M.ArchiveReader, "_open", lambda self, archive: Broken())
+    with pytest.raises(OSError, match="directory"):
+        list(reader.read(whole))
