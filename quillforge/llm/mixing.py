@@ -49,18 +49,18 @@ _STEPS = [
 ]
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = 32, least_shards: int = 16, seed: str = "mix") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) for each row of docs(doc_id, text, source).
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = 32, least_shards: int = 16, seed: str = "mix", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source) and the columns `also` for each row of docs(doc_id, text, source).
 
     taken is the number of words that the mix takes of a document, repeats
     counted: 0 to twice its size. A null text has size 0; a null source is a
     source of its own, the last. Equal rows are told apart by nothing, so one or
-    the other may be taken. Extra columns are left out. An empty table, or one
+    the other may be taken. Other columns are left out. An empty table, or one
     without words, gives targets of 0.
     """
     spark = docs.sparkSession
     sized = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size")).withColumn("h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), *also).withColumn("h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))),
         "sizes",
     )
     total = sized.agg(F.sum("size")).first()[0] or 0
@@ -70,12 +70,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int
     text = "WITH " + ",\n".join(f"{name} AS ({sql.format(**values, sized_df='{sized_df}')})" for name, sql in steps) + "\nSELECT * FROM runs"
     runs = written(spark.sql(text, sized_df=sized), "runs")
     placed = spark.sql(
-        """
-        SELECT doc_id, source, size, shard, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
-        FROM (SELECT *, pmod(CAST(conv(substr(h, 1, 8), 16, 10) AS BIGINT), {shards}) AS shard FROM {sized_df})
+        f"""
+        SELECT {", ".join(["doc_id", "source", "size", "shard", *also])}, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+        FROM (SELECT *, pmod(CAST(conv(substr(h, 1, 8), 16, 10) AS BIGINT), {shards}) AS shard FROM {{sized_df}})
         """,
         sized_df=sized,
-        shards=shards,
     )
     joined = placed.join(runs.withColumnsRenamed({"source": "s", "shard": "t"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("t")))
     cell = F.greatest("cell_size", F.lit(1))
@@ -85,7 +84,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int
     wrapped = F.greatest(F.least(F.col("at") + F.col("size"), end - F.col("cell_size")) - F.col("at"), F.lit(0))
     rounds = F.floor(F.col("quota_words") / cell)
     taken = F.when(F.col("cell_size") > 0, rounds * F.col("size") + ahead + wrapped).otherwise(0).cast("long")
-    return joined.select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken"), "source")
+    return joined.select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken"), "source", *also)
 
 
 def _twin() -> str:
