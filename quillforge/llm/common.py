@@ -76,7 +76,7 @@ def row_batches(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -
 PACKED = "block long, ids binary, sizes binary, raw long, data binary"
 
 
-def packed_texts(docs: DataFrame, n_blocks: int, limit: int = 1 << 24) -> DataFrame:
+def packed_texts(docs: DataFrame, n_blocks: int, limit: int = 1 << 23) -> DataFrame:
     """The columns doc_id (not null) and text, dealt to blocks: the texts of one block in about `limit` bytes of input are one compressed row; a null text is empty."""
     codec = lambda: pa.Codec("zstd", compression_level=1)
 

@@ -44,7 +44,7 @@ U = np.uint64
 #: A shingle that a task's share of documents has more often than this is sent as one count.
 HOT = 1024
 #: Index entries that a task holds before it sends them off.
-ENTRIES = 1 << 21
+ENTRIES = 1 << 20
 _SALT = K.splitmix(23, 4)
 
 

@@ -37,7 +37,7 @@ U = np.uint64
 #: Bits of the map that a row of the sketch is folded into.
 MAP_BITS = 27
 _SALT = K.splitmix(29, 8)
-ENTRIES = 1 << 21
+ENTRIES = 1 << 20
 #: A window that a task meets in more blocks than this is sent once for all.
 HOT_BLOCKS = 16
 #: Stands for a null doc_id.
@@ -157,7 +157,7 @@ def _earlier(docs: DataFrame, k: int, bits: int, n_blocks: int, sent) -> DataFra
                     h2 = K.windows(words, counts, k, seed=2)[0][may].astype(np.uint32)
                     held.append((h[may], h2, ids[i:j][of[may]]))
                     total += len(h2)
-                if total >= ENTRIES // 2:
+                if total >= ENTRIES:
                     yield from send(held)
                     held, total = [], 0
         if total:
