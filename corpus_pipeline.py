@@ -20,7 +20,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier gives 0.3 or more."""
+    """Documents that the quality classifier gives 0.3 or more.
+
+    Each row is scored by its text alone: rows without an id, repeated rows and ids
+    stay or go by it; a null or empty text scores as one without features. An empty
+    table stays empty; columns other than those of `documents` are left out.
+    """
     prepare(spark)
     return quality_scores(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("score >= 0.3").select(*COLUMNS)
 
@@ -29,7 +34,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of documents linked by five-word Jaccard similarity of 0.8, the one with the least doc_id.
 
     A document is a doc_id with a text: rows equal in both are one, different texts
-    under one doc_id are judged each by itself. Rows with a null doc_id are all kept.
+    under one doc_id are judged each by itself. Rows with a null doc_id are all kept,
+    and so are those with a null or empty text, one of each doc_id. An empty table
+    stays empty; columns other than those of `documents` are left out.
     """
     prepare(spark)
     docs = docs.select(*COLUMNS)
@@ -41,7 +48,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item.
+
+    Each row is judged by its text alone, so repeated rows and ids stay or go alike;
+    a null or empty text contains nothing. An empty table, and any against an empty
+    benchmark, stays as it is; columns other than those of `documents` are left out.
+    """
     prepare(spark)
     return without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
@@ -49,22 +61,23 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it (0, 1 or 2 times): its words taken over its size, rounded half up.
 
-    Rows of one doc_id (or none), source and size share out what the mix takes of
-    them, those with the least hash of the text first.
+    Rows with one doc_id (or none), source and text share out what the mix takes of
+    them. Rows without words go; a null source is a source of its own; an empty
+    table stays empty; columns other than those of `documents` are left out.
     """
     prepare(spark)
-    key = ["_no_id", "_id", "_no_source", "_source", "size"]
+    docs = docs.select(*COLUMNS).withColumn("_hash", F.xxhash64("text"))
+    key = ["_no_id", "_id", "_no_source", "_source", "_hash"]
     keyed = lambda df: df.withColumns({"_no_id": F.isnull("doc_id"), "_id": F.coalesce("doc_id", F.lit(0)), "_no_source": F.isnull("source"), "_source": F.coalesce("source", F.lit(""))})
     times = F.floor(F.col("taken") / F.col("size") + 0.5)
-    taken = keyed(mix_sources(docs).where("size > 0")).groupBy(*key).agg(F.count_if(times == 2).alias("_twice"), F.count_if(times >= 1).alias("_taken")).where("_taken > 0")
-    sized = keyed(docs.select(*COLUMNS)).withColumn("size", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
-    met = sized.join(taken, key).withColumn("_nth", nth).where("_nth <= _taken")
+    taken = keyed(mix_sources(docs, also=("_hash",)).where("size > 0")).groupBy(*key).agg(F.count_if(times == 2).alias("_twice"), F.count_if(times >= 1).alias("_taken")).where("_taken > 0")
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("lang", "n_chars"))
+    met = keyed(docs).join(taken, key).withColumn("_nth", nth).where("_nth <= _taken")
     return met.withColumn("_time", F.explode(F.sequence(F.lit(1), F.when(F.col("_nth") <= F.col("_twice"), 2).otherwise(1)))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of 2,048 token ids."""
+    """Rows of 2,048 token ids, of all rows; a null or empty text has none. An empty table gives no rows; other columns are left out."""
     prepare(spark)
     return pack_tokens(docs)
 
