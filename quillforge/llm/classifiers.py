@@ -22,7 +22,7 @@ run of other signs, and a token that repeats the one before it is a feature of i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -299,7 +299,7 @@ def _judged(scored: DataFrame, threshold: float) -> DataFrame:
 # -- operator 4 --------------------------------------------------------------------------------
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001) -> tuple[np.ndarray, float]:
+def fit_ftrl(rows: Iterable[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001) -> tuple[np.ndarray, float]:
     """Weights of the hashed features, and the bias, after FTRL-proximal updates, one document at a time."""
     z, n, w = (np.zeros((1 << bits) + 1) for _ in range(3))
     last = 1 << bits
@@ -321,7 +321,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int
 SCALE = 10.0
 
 
-def _packed_shares(rows: DataFrame, bits: int) -> pa.Table:
+def _packed_shares(rows: DataFrame, bits: int) -> DataFrame:
     """(doc_id, y, n, f, times): tokens of each text, its features and how often each comes, a byte each where that does."""
 
     def run(batches):
@@ -335,17 +335,21 @@ def _packed_shares(rows: DataFrame, bits: int) -> pa.Table:
                     values.append(times.astype(np.uint8 if len(times) and times.max() < 256 else np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(counts)), batch.column(1).slice(i, len(counts)), pa.array(counts), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "y", "n", "f", "times"])
 
-    return rows.mapInArrow(run, "doc_id long, y int, n long, f binary, times binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("n", "ascending")])
+    return rows.mapInArrow(run, "doc_id long, y int, n long, f binary, times binary")
 
 
-def _unpacked_shares(sample: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features and values of each document: SCALE times a feature's share of the tokens."""
-    rows = []
-    for f, times, n in zip(sample.column("f"), sample.column("times"), sample.column("n").to_pylist(), strict=True):
-        f, times = np.frombuffer(f.as_buffer(), np.uint32), times.as_buffer()
-        times = np.frombuffer(times, np.uint8 if len(times) == len(f) else np.uint32)
-        rows.append((f, (SCALE * times / max(n, 1)).astype(np.float32)))
-    return rows
+class _Shares:
+    """Features and values of the documents of a packed sample, in a given order, worked out anew each time: SCALE times a feature's share of the tokens."""
+
+    def __init__(self, sample: pa.Table, order: np.ndarray):
+        self.sample, self.order = sample.combine_chunks(), order
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        keys, times, n = (self.sample.column(c) for c in ("f", "times", "n"))
+        for i in self.order.tolist():
+            f, t = np.frombuffer(keys[i].as_buffer(), np.uint32), times[i].as_buffer()
+            t = np.frombuffer(t, np.uint8 if len(t) == len(f) else np.uint32)
+            yield f, (SCALE * t / max(n[i].as_py(), 1)).astype(np.float32)
 
 
 def quality(docs: DataFrame, labels: DataFrame, most: int = 8000, bits: int = 18, threshold: float = 0.3) -> DataFrame:
@@ -365,11 +369,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 8000, bits: i
     """All columns of docs (a column score apart) and the quality score of the text."""
     prepare(docs.sparkSession)
     docs = docs.drop("score")
-    sample = _packed_shares(labelled_sample(docs, labels, "quality", most), bits)
-    rows = _unpacked_shares(sample)
-    order = np.random.default_rng(3).permutation(len(rows))
-    y = (sample.column("y").to_numpy() == 1).astype(float)
-    w, bias = fit_ftrl([rows[i] for i in order], y[order], bits)
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("n", "ascending")])
+        order = np.random.default_rng(3).permutation(len(t))
+        w, bias = fit_ftrl(_Shares(t, order), (t.column("y").to_numpy() == 1).astype(float)[order], bits)
+        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "bias": pa.array([bias])})
+
+    # the sample is bounded: one task trains on it, and the driver gets the weights only
+    trained = _packed_shares(labelled_sample(docs, labels, "quality", most), bits).withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "w binary, bias double").first()
+    w, bias = (np.frombuffer(trained["w"], np.float32), trained["bias"]) if trained else (np.zeros(1 << bits, np.float32), 0.0)
     model = docs.sparkSession.sparkContext.broadcast((w, bias))
 
     text = docs.columns.index("text")

@@ -463,3 +463,64 @@ def test_classifiers_with_repeated_and_clashing_rows(spark, labelled):
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) >= 0.97
     again = L.toxicity(docs.repartition(7), labels, shard=300).collect()
     assert {r.doc_id: r.score for r in again} == {r.doc_id: r.score for r in L.toxicity(docs, labels, shard=300).collect()}
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Each stage on no rows, on null and empty texts and other nulls, on repeated rows and with clashing columns."""
+    sf = "/root/testdata/sf0.001"
+    clash = "size int, score string, component_id string, _key string, _hash int, source_size int, item_id long, k1 long, salt int"
+    extra = (1, "x", "c", "k", 2, 3, 4, 5, 6)
+    rows = [(1, None, None, None, None), (2, "", "en", "", 0), (None, None, None, None, None), (None, "some words stand here and nowhere else", "en", "s", 4), (3, "these are the words of a plain text", None, None, None), (3, "these are the words of a plain text", None, None, None)]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], f"{DOCS}, {clash}").repartition(2)
+    want = Counter((r[0], r[1]) for r in rows)
+    for name, stage in C.STAGES[:-1]:
+        empty = stage(spark, docs.limit(0), sf)
+        assert empty.columns == C.COLUMNS and empty.collect() == []
+        kept = stage(spark, docs, sf)
+        assert kept.columns == C.COLUMNS
+        got = Counter((r.doc_id, r.text) for r in kept.collect())
+        if name == "n-gram Jaccard join":
+            assert got == want - Counter([(3, rows[4][1])])
+        elif name == "benchmark decontamination":
+            assert got == want
+        elif name == "mixing sources":
+            assert set(got) == {(None, rows[3][1]), (3, rows[4][1])} and all(n <= 2 * want[k] for k, n in got.items())
+        else:
+            assert all(n == want[k] for k, n in got.items())
+    assert C.pack(spark, docs.limit(0), sf).collect() == []
+    assert sum(len(r.doc_ids) for r in C.pack(spark, docs, sf).collect()) == 6
+    # against an empty benchmark all stays
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert C.drop_leaks(spark, docs, str(tmp_path)).count() == 6
+
+
+def test_pipeline_against_plain_versions(spark):
+    """run() on the smallest table: scores and what the mix takes by their operators, all else by loops over the texts."""
+    import tiktoken
+
+    from test_similarity import brute_components
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = {r.doc_id for r in L.quality(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("score >= 0.3").collect()}
+    kept = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good]
+    kept = [(i, t) for i, t in kept if i in {i for i, _, c, _ in brute_components(kept) if i == c}]
+    found = {i for i, _, _ in plain_leaks(kept, [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])}
+    left = docs.where(docs.doc_id.isin([i for i, _ in kept if i not in found]))
+    times = {r.doc_id: int(r.taken / r["size"] + 0.5) for r in mix_sources(left).collect() if r["size"]}
+    want = Counter({r.text: 0 for r in left.collect()})
+    for r in left.collect():
+        want[r.text] += times.get(r.doc_id, 0)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.VOCABULARY, "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got, parts = Counter(), defaultdict(list)
+    for r in C.run(spark, sf).collect():
+        ids = np.frombuffer(r.ids, np.uint16)
+        for k, (doc, piece) in enumerate(zip(r.doc_ids, r.pieces, strict=True)):
+            parts[r.pack, doc].append((piece, ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()))
+    for own in parts.values():  # a row that is taken twice has its pieces twice, all alike
+        n = sum(p == 0 for p, _ in own)
+        whole = {p: x for p, x in own}
+        assert len(own) == n * len(whole)
+        got[enc.decode([x for p in sorted(whole) for x in whole[p]])] += n
+    assert got == +want and len(got) > 50
