@@ -13,7 +13,7 @@ blocks that wraps around, after whole rounds where it exceeds the shard.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
@@ -49,6 +49,19 @@ _STEPS = [
 ]
 
 
+#: Steps that are written: small tables (a row for each source and shard) that several others read, so that plans stay short.
+_WRITTEN = ("cells", "floors", "shard_floors", "runs")
+
+
+def _upto(spark: SparkSession, last: str, made: dict[str, DataFrame], values: dict) -> DataFrame:
+    """The step `last`, from the tables made so far."""
+    names = [name for name, _ in _STEPS]
+    begin = max([names.index(m) + 1 for m in made if m in names], default=0)
+    tables = [f"{m} AS (SELECT * FROM {{{m}_df}})" for m in made]
+    steps = [f"{name} AS ({sql.format(**values)})" for name, sql in _STEPS[begin : names.index(last) + 1]]
+    return spark.sql("WITH " + ",\n".join([*tables, *steps]) + f"\nSELECT * FROM {last}", **{f"{m}_df": df for m, df in made.items()})
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = 32, least_shards: int = 16, seed: str = "mix", also: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source) and the columns `also` for each row of docs(doc_id, text, source).
 
@@ -66,9 +79,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int
     total = sized.agg(F.sum("size")).first()[0] or 0
     shards = max(least_shards, total // SHARD_WORDS)
     values = {"shards": shards, "weights": ", ".join(map(str, weights)), "n_weights": len(weights), "block": block, "seed": seed}
-    steps = [("sized", "SELECT * FROM {sized_df}"), *_STEPS]
-    text = "WITH " + ",\n".join(f"{name} AS ({sql.format(**values, sized_df='{sized_df}')})" for name, sql in steps) + "\nSELECT * FROM runs"
-    runs = written(spark.sql(text, sized_df=sized), "runs")
+    made = {"sized": sized}
+    for last in _WRITTEN:
+        made[last] = written(_upto(spark, last, made, values), last)
+    runs = made["runs"]
     placed = spark.sql(
         f"""
         SELECT {", ".join(["doc_id", "source", "size", "shard", *also])}, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
