@@ -18,8 +18,13 @@ U = np.uint64
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package."""
+    """Lets Python workers import this package; batches for them have 16 MB at most (Spark's own bound of 64 MB is held several times over by each task), unless the session sets a bound of its own."""
     importable(spark)
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, "16m")
+
+
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 # -- packed shuffles -------------------------------------------------------------------------
