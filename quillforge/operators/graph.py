@@ -271,3 +271,36 @@ def build(files: DataFrame, imports: DataFrame, roots: DataFrame) -> tuple[DataF
     edges = inner.withColumn("kind", F.lit("imports")).unionByName(outer).dropDuplicates(["source", "target", "kind"])
     nodes = files.select(F.col("path").alias("id"), F.lit("file").alias("kind"), "language").unionByName(outer.select(F.col("target").alias("id"), F.lit("external").alias("kind"), F.lit(None).cast("string").alias("language")).distinct())
     return nodes, edges
+
+
+def grade_drawing(nodes: DataFrame, edges: DataFrame, drawn_nodes: DataFrame, drawn_edges: DataFrame, key: str, alike: float = 0.8, penalty: float = 0.1) -> DataFrame:
+    """GRF-13: (key, node_share, edge_share, extraneous, score) of drawings against reference graphs.
+
+    nodes(key, id, label), edges(key, source, target). A reference node is found
+    in the drawn node whose label is most like its own (one less the edit distance
+    over the longer length, at least `alike`; ties by id), where that drawn node has
+    no reference node more like it. An edge is found if both ends are and the drawn
+    edge has its direction. Score: 0.6 of the edges' share and 0.4 of the nodes',
+    less `penalty` times the share of what is drawn without a counterpart, in 0 to
+    1. A reference without edges counts as found in its edges.
+    """
+    nodes, drawn_nodes = (n.select(key, "id", "label").distinct() for n in (nodes, drawn_nodes))
+    edges, drawn_edges = (e.select(key, "source", "target").distinct() for e in (edges, drawn_edges))
+    a, b = F.lower("label"), F.lower("_label")
+    longer = F.greatest(F.length(a), F.length(b), F.lit(1))
+    pairs = nodes.join(drawn_nodes.select(key, F.col("id").alias("drawn"), F.col("label").alias("_label")), key).where(F.abs(F.length(a) - F.length(b)) <= F.lit(1 - alike) * longer + F.lit(1e-9))
+    pairs = pairs.withColumn("like", 1 - F.levenshtein(a, b) / longer).where(F.col("like") >= alike)
+    best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(key, "id").orderBy(F.desc("like"), "drawn"))).where("_n = 1")
+    best = best.withColumn("_n", F.row_number().over(Window.partitionBy(key, "drawn").orderBy(F.desc("like"), "id"))).where("_n = 1").select(key, "id", "drawn")
+    ends = edges.join(best.select(key, F.col("id").alias("source"), F.col("drawn").alias("_source")), [key, "source"]).join(best.select(key, F.col("id").alias("target"), F.col("drawn").alias("_target")), [key, "target"])
+    found = ends.select(key, F.col("_source").alias("source"), F.col("_target").alias("target")).distinct().join(drawn_edges, [key, "source", "target"])
+    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    out = count(nodes, "_nodes")
+    for df, name in ((edges, "_edges"), (best, "_met"), (found, "_found"), (drawn_nodes, "_drawn"), (drawn_edges, "_arrows")):
+        out = out.join(count(df, name), key, "left")
+    out = out.na.fill(0)
+    node_share = F.col("_met") / F.col("_nodes")
+    edge_share = F.when(F.col("_edges") > 0, F.col("_found") / F.col("_edges")).otherwise(1.0)
+    extra = F.col("_drawn") - F.col("_met") + F.col("_arrows") - F.col("_found")
+    score = 0.6 * edge_share + 0.4 * node_share - F.lit(penalty) * (extra / F.greatest(F.col("_drawn") + F.col("_arrows"), F.lit(1)))
+    return out.select(key, node_share.alias("node_share"), edge_share.alias("edge_share"), extra.alias("extraneous"), F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"))

@@ -112,3 +112,25 @@ def valid_refs(refs: DataFrame, modules: DataFrame, path: str, start: str, end:
 def allow_list(truth: DataFrame, output: DataFrame, key: str, field: str, fallback: Column) -> DataFrame:
     """FLT-13: model output only for known keys; keys or values that lack get the fallback."""
     return truth.join(output.select(key, F.nullif(F.col(field), F.lit("")).alias("_given")), key, "left").withColumn(field, F.coalesce("_given", fallback)).drop("_given")
+
+
+def asof(left: DataFrame, right: DataFrame, key: str, at: str, order: str, value: str, bucket: str = "day") -> DataFrame:
+    """Each row of left with the value of the latest row of right of its key at or before its time, null for none.
+
+    Time is cut into buckets. A row meets the rows of its own bucket by a window
+    over (key, bucket), and for what lies before it the last value of the earlier
+    buckets, so that a key of any size is split by time. left(key, at, ...),
+    right(key, at, order, value); `order` breaks ties of time, the greatest counts.
+    """
+    cut = F.date_trunc(bucket, F.col(at).cast("timestamp"))
+    r = right.select(key, at, F.col(order).alias("_order"), F.struct(F.col(value).alias("v")).alias("_v")).withColumns({"_bucket": cut, "_side": F.lit(0)})
+    rows = left.withColumns({"_bucket": cut, "_side": F.lit(1), "_row": F.struct(*left.columns)}).select(key, at, "_bucket", "_side", "_row")
+    both = r.select(key, at, "_bucket", "_side", "_order", "_v").unionByName(rows, allowMissingColumns=True)
+    within = Window.partitionBy(key, "_bucket").orderBy(at, "_side", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("_own", F.last("_v", ignorenulls=True).over(within)).where("_side = 1")
+    # for each bucket of either side, the last value of the buckets before it
+    last = r.groupBy(key, "_bucket").agg(F.max_by("_v", F.struct(at, "_order")).alias("_last")).unionByName(rows.select(key, "_bucket").distinct(), allowMissingColumns=True)
+    last = last.groupBy(key, "_bucket").agg(F.max("_last").alias("_last"))
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.withColumn("_before", F.last("_last", ignorenulls=True).over(before)).select(key, "_bucket", "_before")
+    return own.join(carried, [key, "_bucket"], "left").select("_row.*", F.coalesce("_own", "_before")["v"].alias(value))

@@ -12,6 +12,8 @@ from ..functions import text as X
 from ..io import shared_folder, table
 from ..operators import aggregates as A
 from ..operators import extract as E
+from ..operators import graph as G
+from ..operators import joins as J
 from ..operators import providers as P
 from ..operators import ranking as R
 from ..sources import files as S
@@ -368,10 +370,32 @@ def event_sessions(spark, d):
     return e.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n")
 
 
-@register("drawing_grade", """WITH e AS (SELECT l_partkey % 40 AS a, l_suppkey % 40 AS b, l_orderkey % 50 AS q, l_linenumber % 2 AS side FROM lineitem), t AS (SELECT DISTINCT q, a, b FROM e WHERE side = 0), s AS (SELECT DISTINCT q, a, b FROM e WHERE side = 1),
-x AS (SELECT q, count(*) AS n FROM t GROUP BY q), y AS (SELECT t.q, count(*) AS hit FROM t JOIN s USING (q, a, b) GROUP BY t.q) SELECT x.q AS question, coalesce(hit, 0) / n AS edge_share FROM x LEFT JOIN y ON x.q = y.q""")
+@register("asof_join", """SELECT o_orderkey, coalesce(e.event_id, -1) AS event_id FROM (SELECT o_orderkey, o_custkey % 100 AS u, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (o_orderkey % 40000) AS at_time FROM orders) o ASOF LEFT JOIN (SELECT user_id % 100 AS u, ts, max(event_id) AS event_id FROM events GROUP BY ALL) e ON o.u = e.u AND o.at_time >= e.ts""")
+def asof_join(spark, d):
+    """The latest event before each order, -1 for none."""
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("o_orderkey") % 40000).cast("int"))
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("u"), at.alias("at"), "o_orderkey")
+    e = table(spark, d, "events").select((F.col("user_id") % 100).alias("u"), F.col("ts").alias("at"), "event_id")
+    return J.asof(o, e, "u", "at", "event_id", "event_id").select("o_orderkey", F.coalesce("event_id", F.lit(-1)).alias("event_id"))
+
+
+_DRAWN = """l AS (SELECT l_orderkey AS q, l_partkey AS id, p_name AS label, l_linestatus AS status, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS next FROM lineitem JOIN part ON l_partkey = p_partkey),
+n AS (SELECT DISTINCT q, id, label FROM l), e AS (SELECT DISTINCT q, id AS source, next AS target FROM l WHERE next IS NOT NULL),
+dn AS (SELECT DISTINCT q, id * 10 AS id, CASE id % 3 WHEN 0 THEN upper(label) WHEN 1 THEN label || 'x' ELSE reverse(label) END AS label FROM l), de AS (SELECT DISTINCT q, CASE WHEN status = 'F' THEN id ELSE next END * 10 AS source, CASE WHEN status = 'F' THEN next ELSE id END * 10 AS target FROM l WHERE next IS NOT NULL)"""
+
+
+@register("drawing_grade", f"""WITH {_DRAWN}, s AS (SELECT n.q, n.id, dn.id AS drawn, 1 - levenshtein(lower(n.label), lower(dn.label)) / greatest(length(n.label), length(dn.label)) AS alike FROM n JOIN dn ON n.q = dn.q),
+b AS (SELECT * FROM (SELECT * FROM s WHERE alike >= 0.8 QUALIFY row_number() OVER (PARTITION BY q, id ORDER BY alike DESC, drawn) = 1) QUALIFY row_number() OVER (PARTITION BY q, drawn ORDER BY alike DESC, id) = 1),
+f AS (SELECT DISTINCT e.q, x.drawn AS source, y.drawn AS target FROM e JOIN b x ON e.q = x.q AND e.source = x.id JOIN b y ON e.q = y.q AND e.target = y.id JOIN de ON de.q = e.q AND de.source = x.drawn AND de.target = y.drawn),
+c AS (SELECT q, count(*) AS nodes, (SELECT count(*) FROM e WHERE e.q = n.q) AS edges, (SELECT count(*) FROM b WHERE b.q = n.q) AS met, (SELECT count(*) FROM f WHERE f.q = n.q) AS found, (SELECT count(*) FROM dn WHERE dn.q = n.q) AS drawn, (SELECT count(*) FROM de WHERE de.q = n.q) AS arrows FROM n GROUP BY q),
+g AS (SELECT q, met / nodes AS node_share, CASE WHEN edges > 0 THEN found / edges ELSE CAST(1 AS DOUBLE) END AS edge_share, drawn - met + arrows - found AS extraneous, drawn + arrows AS whole FROM c)
+SELECT q, node_share, edge_share, extraneous, least(greatest(CAST(0.6 AS DOUBLE) * edge_share + CAST(0.4 AS DOUBLE) * node_share - CAST(0.1 AS DOUBLE) * (extraneous / whole), 0), 1) AS score FROM g""")
 def drawing_grade(spark, d):
-    """GRF-13 in part: the share of a drawing's expected edges that were drawn."""
-    e = table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("question"), (F.col("l_partkey") % 40).alias("a"), (F.col("l_suppkey") % 40).alias("b"), (F.col("l_linenumber") % 2).alias("side")).distinct()
-    t, s = e.where("side = 0").drop("side"), e.where("side = 1").drop("side").withColumn("hit", F.lit(1))
-    return t.join(s, ["question", "a", "b"], "left").groupBy("question").agg((F.count("hit") / F.count("*")).alias("edge_share"))
+    """GRF-13: an order's parts and their sequence are the reference; drawn with other letters, other names, and some arrows the wrong way."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    line, part = table(spark, d, "lineitem").withColumn("next", F.lead("l_partkey").over(w)), table(spark, d, "part")
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("id"), F.col("p_name").alias("label"), "next", (F.col("l_linestatus") == "F").alias("right"))
+    label = F.when(F.col("id") % 3 == 0, F.upper("label")).when(F.col("id") % 3 == 1, F.concat("label", F.lit("x"))).otherwise(F.reverse("label"))
+    steps = rows.where("next IS NOT NULL")
+    arrow = lambda a, b: F.when(F.col("right"), F.col(a)).otherwise(F.col(b)) * 10
+    return G.grade_drawing(rows, steps.select("q", F.col("id").alias("source"), F.col("next").alias("target")), rows.select("q", (F.col("id") * 10).alias("id"), label.alias("label")), steps.select("q", arrow("id", "next").alias("source"), arrow("next", "id").alias("target")), "q")

@@ -137,3 +137,16 @@ def test_bfs_follows_a_long_chain_to_its_end(spark):
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(24)], "source string, target string")
     entries = spark.createDataFrame([("n0",)], "id string")
     assert {r.id: r.depth for r in bfs_depth(nodes, edges, entries).collect()} == {f"n{i}": i for i in range(25)} | {"n25": 1 << 30}
+
+
+def test_drawings(spark):
+    """A missing edge and a mislabelled node; labels alike; two reference nodes like one drawn node; nothing drawn; no edges."""
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    nodes = frame([("a", 1, "Auth Service"), ("a", 2, "Database"), ("a", 3, "Worker"), ("b", 1, "Cache 1"), ("b", 2, "Cache 2"), ("c", 1, "Alone"), ("d", 1, "Never drawn")], "q string, id long, label string")
+    edges = frame([("a", 1, 2), ("a", 2, 3), ("b", 1, 2)], "q string, source long, target long")
+    drawn = frame([("a", 10, "auth servise"), ("a", 20, "database"), ("a", 30, "something else"), ("b", 10, "Cache 2"), ("c", 10, "alone")], "q string, id long, label string")
+    arrows = frame([("a", 10, 20), ("a", 30, 20)], "q string, source long, target long")
+    got = {r.q: (round(r.node_share, 6), round(r.edge_share, 6), r.extraneous, round(r.score, 6)) for r in G.grade_drawing(nodes, edges, drawn, arrows, "q").collect()}
+    assert got == {
+        "a": (round(2 / 3, 6), 0.5, 2, round(0.3 + 0.4 * 2 / 3 - 0.1 * 2 / 5, 6)), "b": (0.5, 0.0, 0, 0.2), "c": (1.0, 1.0, 0, 1.0), "d": (0.0, 1.0, 0, 0.6),
+    }

@@ -113,3 +113,22 @@ def test_archive_guard(spark):
     df = spark.createDataFrame(e, "a string, i int, p string, n long")
     got = {r.a: r.verdict for r in R.guard_archive(df, ["a"], ["i"], "n", "p", 3, 100).collect()}
     assert got == {"many": "too many files", "big": "too large", "up": "outside", "abs": "outside", "ok": "ok"}
+
+
+def test_asof_against_plain_version(spark):
+    """Ties of time, times on the edge of a bucket, keys of one side only, gaps of many buckets."""
+    import datetime as dt
+    import random
+
+    from quillforge.operators import joins as J
+
+    rng = random.Random(7)
+    at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.choice([0, 12, 24, 24, 36, 240, rng.randrange(500)]))
+    left = [(rng.choice(["a", "b", "l"]), at(), i) for i in range(120)]
+    right = [(rng.choice(["a", "b", "r"]), at(), i, f"v{i}" if i % 9 else None) for i in range(60)]
+    got = J.asof(spark.createDataFrame(left, "k string, at timestamp_ntz, id int"), spark.createDataFrame(right, "k string, at timestamp_ntz, n int, v string"), "k", "at", "n", "v").collect()
+    want = {}
+    for k, t, i in left:
+        seen = max(((u, n, v) for x, u, n, v in right if x == k and u <= t), key=lambda x: x[:2], default=(0, 0, None))
+        want[i] = seen[2]
+    assert {r.id: r.v for r in got} == want and len(got) == 120
