@@ -119,10 +119,10 @@ def unpacked_texts(t: pa.Table) -> tuple[np.ndarray, pa.Array]:
 # -- sets of ids as bit maps -------------------------------------------------------------------
 
 
-def id_map(ids: DataFrame, most_bits: int = 28) -> np.ndarray:
-    """A bit map of hashed ids (one long column, no nulls): about 16 bits for each id, 2^most_bits at most (32 MB). An id that is not in it may seem to be, never the other way round."""
+def id_map(ids: DataFrame, most_bits: int = 28, each: int = 64) -> np.ndarray:
+    """A bit map of hashed ids (one long column, no nulls): about `each` bits for each id, 2^most_bits at most (32 MB). Of the ids that are not in it one in `each` seems to be, while it is not full; never the other way round."""
     n = ids.count()
-    bits = min(most_bits, max(16, int(np.ceil(np.log2(max(1, n) * 16)))))
+    bits = min(most_bits, max(16, int(np.ceil(np.log2(max(1, n) * each)))))
     slices = max(0, bits - 20)  # of 128 KB
 
     def place(batches):

@@ -172,7 +172,7 @@ def _agreeing(along: dict[int, dict[int, list]], enough: float, agree: float) ->
     return None
 
 
-def _judged(rows: DataFrame, k: int, coverage: float, agree: float) -> DataFrame:
+def _judged(rows: DataFrame, k: int, coverage: float, agree: float, fewest: int) -> DataFrame:
     """The items that texts contain. rows: windows that a text (k1, k2) and an item both have, those of one text and item one after the other."""
 
     def judge(held: list) -> tuple | None:
@@ -187,7 +187,8 @@ def _judged(rows: DataFrame, k: int, coverage: float, agree: float) -> DataFrame
         n = len({p for own in along.values() for p in own})
         if size:
             return (k1, k2, item_id, n, n_windows, 0, 0) if any(len(own) == n_windows for own in along.values()) else None
-        told = _agreeing(along, coverage * n_windows, agree) if n >= coverage * n_windows else None
+        enough = max(coverage * n_windows, min(n_windows, fewest))
+        told = _agreeing(along, enough, agree) if n >= enough else None
         return told and (k1, k2, item_id, n, n_windows, *told)
 
     def run(batches):
@@ -206,12 +207,12 @@ def _judged(rows: DataFrame, k: int, coverage: float, agree: float) -> DataFrame
     return needed.mapInArrow(run, "k1 long, k2 long, item_id long, n_windows long, item_windows long, n_slots long, n_changed long")
 
 
-def _found(texts: DataFrame, benchmark: DataFrame, k: int, coverage: float, agree: float, least: int, map_bits: int) -> DataFrame:
+def _found(texts: DataFrame, benchmark: DataFrame, k: int, coverage: float, agree: float, least: int, fewest: int, map_bits: int) -> DataFrame:
     """(k1, k2, item_id, n_windows, item_windows, n_slots, n_changed) for texts with the keys k1 and k2 and a text."""
     spark = texts.sparkSession
     items = written(item_windows(benchmark, k, least), "items")
     sizes = sorted(r["size"] for r in items.where("size > 0").select("size").distinct().collect())  # EXACT at most
-    sent = spark.sparkContext.broadcast(id_map(items.select("h"), map_bits))
+    sent = spark.sparkContext.broadcast(id_map(items.select("h"), map_bits, each=2048))
 
     def run(batches):
         hits = sent.value
@@ -236,15 +237,15 @@ def _found(texts: DataFrame, benchmark: DataFrame, k: int, coverage: float, agre
     met = met.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int"))
     salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = met.join(salted.hint("merge"), ["h", "salt"])  # a benchmark of any size; its windows are no driver's
-    return _judged(joined.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "item"), k, coverage, agree)
+    return _judged(joined.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "item"), k, coverage, agree, fewest)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.5, agree: float = 0.8, least: int = 3, map_bits: int = 28) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.33, agree: float = 0.8, least: int = 3, fewest: int = 4, map_bits: int = 28) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, n_slots, n_changed): items that documents contain.
 
     docs has doc_id and text, benchmark item_id and text. An item counts as
-    contained if at least `coverage` of its distinct windows of k template tokens
-    come in the document and at least `agree` of the compared placeholders fit one
+    contained if at least `coverage` of its windows of k template tokens, and `fewest`
+    of them or all, come in the document and at least `agree` of the compared placeholders fit one
     mapping of values at one of the places where it may stand (_agreeing());
     n_changed tells how many have another value there than in the benchmark (0: a
     verbatim leak). Windows that are placeholders by more than half don't count. An
@@ -257,10 +258,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.monotonically_increasing_id().alias("k1"), F.col("doc_id").cast("long").alias("k2"), F.col("text").alias("text"))
-    return _found(texts, benchmark, k, coverage, agree, least, map_bits).drop("k1").withColumnRenamed("k2", "doc_id")
+    return _found(texts, benchmark, k, coverage, agree, least, fewest, map_bits).drop("k1").withColumnRenamed("k2", "doc_id")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.5, agree: float = 0.8, least: int = 3, map_bits: int = 28) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.33, agree: float = 0.8, least: int = 3, fewest: int = 4, map_bits: int = 28) -> DataFrame:
     """The rows of docs, all columns, whose text contains no item by the rule of leaks().
 
     Texts found are known by two 64-bit hashes. A bit map of these, of bounded size,
@@ -271,7 +272,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: f
     prepare(docs.sparkSession)
     one, two = "_text_hash_1", "_text_hash_2"
     keyed = docs.withColumns({one: F.xxhash64("text"), two: F.xxhash64(F.lit(1), "text")})
-    found = _found(keyed.select(F.col(one).alias("k1"), F.col(two).alias("k2"), "text"), benchmark, k, coverage, agree, least, map_bits)
+    found = _found(keyed.select(F.col(one).alias("k1"), F.col(two).alias("k2"), "text"), benchmark, k, coverage, agree, least, fewest, map_bits)
     found = written(found.select(F.col("k1").alias(one), F.col("k2").alias(two)).distinct(), "found")
     sent = docs.sparkSession.sparkContext.broadcast(id_map(found.select(one), map_bits))
     at = keyed.columns.index(one)
