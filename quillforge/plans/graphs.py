@@ -313,7 +313,7 @@ met AS (SELECT * FROM sub UNION ALL SELECT * FROM own), above AS (SELECT source,
 SELECT source, target, 'imports' AS kind FROM met UNION SELECT source, target, 'imports' FROM above WHERE target IS NOT NULL UNION SELECT source, 'external:' || CASE k WHEN 0 THEN 'brand_11' WHEN 1 THEN 'brand_12' ELSE 'numpy' END, 'imports_external' FROM above JOIN b USING (source) WHERE target IS NULL""")
 def dependency_graph(spark, d):
     files, imports = _imports(spark, d)
-    return G.build(files, imports, G.package_roots(files))[1]
+    return G.build(files, imports, G.package_roots(_python_paths(spark, d)))[1]
 
 
 @register("labels_and_names", r"""SELECT p_partkey, 'M' || (p_size % 5) || ' ' || upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS label, CASE WHEN p_size = 1 THEN 'Project root' ELSE upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || ' ' || p_size END AS name,
