@@ -68,17 +68,19 @@ LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("closable", "doubt", "kids", "links", "out", "paragraph", "parent", "points", "size", "tag", "worth")
+    __slots__ = ("chars", "closable", "doubt", "kids", "links", "out", "own", "paragraph", "parent", "points", "size", "tag", "worth")
 
     def __init__(self, tag: str, parent: Node | None, out: bool = False, doubt: int = 0):
         self.tag, self.parent, self.out, self.doubt = tag, parent, out, doubt
         self.kids: list[Node | str] = []
         self.points = self.worth = 0.0
         self.size = self.links = 0
+        #: Characters of its own strings, and commas and characters of _own_text(), once they are known.
+        self.chars: int | None = None
+        self.own: tuple[int, int] | None = None
         #: The open paragraph that a block here would end.
         self.paragraph: Node | None = self if tag == "p" else None if parent is None or tag in BOUNDARY else parent.paragraph
         #: By tag, the outermost open element that its start tag would end; shared with the parent while nothing changes.
@@ -185,10 +187,11 @@ def _measured(root: Node) -> list[Node]:
         stack += [k for k in node.kids if isinstance(k, Node) and not k.out]
     order.reverse()
     for node in order:
+        if node.chars is None:
+            node.chars = sum(len(" ".join(k.split())) for k in node.kids if isinstance(k, str))
+        node.size = node.chars
         for k in node.kids:
-            if isinstance(k, str):
-                node.size += len(_SPACE.sub(" ", k).strip())
-            elif not k.out:
+            if not isinstance(k, str) and not k.out:
                 node.size += k.size
                 node.links += k.links
         if node.tag == "a":
@@ -198,8 +201,13 @@ def _measured(root: Node) -> list[Node]:
 
 def _points(node: Node) -> float:
     """What a node's own text is worth: for its length and commas, less what is in links."""
-    own = _own_text(node) if node.tag in PARAGRAPH and node.size else ""
-    return (1 + own.count(",") + min(len(own) / 100, 30)) * (1 - _density(node)) if own else 0.0
+    if node.tag not in PARAGRAPH or not node.size:
+        return 0.0
+    if node.own is None:
+        text = _own_text(node)
+        node.own = text.count(","), len(text)
+    commas, length = node.own
+    return (1 + commas + min(length / 100, 30)) * (1 - _density(node)) if length else 0.0
 
 
 def settle(root: Node) -> None:
@@ -224,6 +232,13 @@ def settle(root: Node) -> None:
         for node in doubtful:
             if node.doubt == NAMED and node.worth > MOST * total:
                 node.out = False
+    changed: set[Node] = set()
+    for node in doubtful:  # what is left out within a line is no part of its block's text
+        up = node.parent if node.out and node.tag not in BLOCK else None
+        while up is not None and up not in changed:
+            up.own = None
+            changed.add(up)
+            up = None if up.tag in BLOCK else up.parent
 
 
 def _own_text(node: Node) -> str:
@@ -235,7 +250,7 @@ def _own_text(node: Node) -> str:
             parts.append(k)
         elif not k.out and k.tag not in BLOCK:
             stack += reversed(k.kids)
-    return _SPACE.sub(" ", "".join(parts)).strip()
+    return " ".join("".join(parts).split())
 
 
 def _density(node: Node) -> float:
@@ -284,7 +299,7 @@ def blocks(nodes: list[Node]) -> list[str]:
     out, parts = [], []
 
     def end() -> None:
-        if parts and (s := _SPACE.sub(" ", "".join(parts)).strip()):
+        if parts and (s := " ".join("".join(parts).split())):
             out.append(s)
         parts.clear()
 

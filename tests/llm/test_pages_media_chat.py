@@ -40,6 +40,7 @@ TEXT = "This is a long paragraph of the article, with commas, and with enough wo
         (f"<div class='sidebar'><p>{TEXT}</p><p>{TEXT}</p></div><footer>end</footer>", f"{TEXT}\n{TEXT}"),
         (f"<div><p>{TEXT}</p><p>{TEXT}</p><form><label>Mail</label><p>write, to, us</p></form></div>", f"{TEXT}\n{TEXT}"),
         (f"<div class=comments><p>{TEXT}</p></div>", ""),
+        (f"<div><p>{TEXT} <span class=advert>buy, buy, buy</span> <b><i class=menu>x</i>end</b></p><p>{TEXT}</p></div>", f"{TEXT} end\n{TEXT}"),
     ],
 )
 def test_main_text(page, text):
