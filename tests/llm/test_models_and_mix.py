@@ -525,3 +525,37 @@ def test_pipeline_against_plain_versions(spark):
         assert len(own) == n * len(whole)
         got[enc.decode([x for p in sorted(whole) for x in whole[p]])] += n
     assert got == +want and len(got) > 50
+
+
+def test_packing_long_repeated_and_clashing(spark):
+    """A text of several shares, one that fills rows exactly, rows with one doc_id or none, columns named like the result's."""
+    import tiktoken
+
+    rng = random.Random(5)
+    texts = [(1, " ".join(rng.choice(["alpha", "beta,", "Γάμμα", "12"]) for _ in range(6000))), (2, "twice"), (2, "twice"), (None, "no id"), (None, None), (3, "a" * 64), (4, None)]
+    docs = spark.createDataFrame([(i, t, "p", 1, b"x", 2) for i, t in texts], "doc_id long, text string, pack string, row int, ids binary, n_tokens int").coalesce(1)
+    rows = P.pack_tokens(docs, row=64, tokens=300).collect()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.VOCABULARY, "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter((i, len(enc.encode(t or "", disallowed_special=()))) for i, t in texts)
+    got, ids = Counter(), defaultdict(dict)
+    for r in rows:
+        cu = r.cu_seqlens
+        own = np.frombuffer(r.ids, np.uint16)
+        for k, (doc, piece) in enumerate(zip(r.doc_ids, r.pieces, strict=True)):
+            got[doc] += cu[k + 1] - cu[k]
+            if doc == 1:
+                ids[doc][piece] = own[cu[k] : cu[k + 1]].tolist()
+    assert got == Counter({i: sum(n * c for (j, n), c in want.items() if j == i) for i, _ in texts})
+    assert enc.decode([x for p in sorted(ids[1]) for x in ids[1][p]]) == texts[0][1]
+    assert sum(r.doc_ids.count(2) for r in rows) == 2 and sum(r.doc_ids.count(None) for r in rows) == 2
+
+
+def test_mix_with_clashing_columns_and_equal_rows(spark):
+    rows = [(i % 40, "w " * (i % 7), "en", f"s{i % 3}", 1) for i in range(200)]
+    plain = spark.createDataFrame(rows, DOCS)
+    clash = spark.createDataFrame([(*r, "x", 5, 6.0, "t", 7) for r in rows], f"{DOCS}, h string, size int, target double, shard string, cells int").repartition(3)
+    a, b = (sorted(map(tuple, mix_sources(x).collect())) for x in (plain, clash))
+    assert a == b and len(a) == 200
+    again = mix_sources(clash.withColumn("also", clash.text), also=("also",))
+    assert again.columns[-1] == "also" and sorted(tuple(r)[:-1] for r in again.collect()) == a

@@ -417,3 +417,14 @@ def test_directory_is_read_again(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(M.ArchiveReader, "_open", lambda self, archive: Broken())
     with pytest.raises(OSError, match="directory"):
         list(reader.read(whole))
+
+
+def test_media_of_a_very_long_text(spark):
+    """A text of 5 MB beside short ones, with columns named like the archive's."""
+    texts = {1: "é~" * 1_700_000, 2: "short", 3: "x" * 576}
+    df = spark.createDataFrame([(i, t, b"m", 9, "a") for i, t in texts.items()], "doc_id long, text string, media binary, n_bytes int, archive string")
+    rows = M.media_digests(M.media_columns(df)).collect()
+    for r in rows:
+        p = M.padded(texts[r.doc_id].encode())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(texts[r.doc_id].encode()), len(p), hashlib.sha256(p).hexdigest())
+    assert len(rows) == 3
