@@ -101,15 +101,40 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, e
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
-def _packed_presence(rows: DataFrame) -> pa.Table:
+def _packed_presence(rows: DataFrame) -> DataFrame:
+    """(doc_id, y, f): the distinct features of each text, as 32-bit hashes."""
+
     def run(batches):
         for batch in batches:
             for i, sizes, own in presence_features(batch.column(2)):
                 end = np.cumsum(sizes)
                 bits = (own >> U(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sizes)), batch.column(1).slice(i, len(sizes)), pa.array([bits[e - n : e].tobytes() for e, n in zip(end, sizes, strict=True)], pa.binary())], ["doc_id", "y", "f"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sizes)), batch.column(1).slice(i, len(sizes)), pa.array([np.unique(bits[e - n : e]).tobytes() for e, n in zip(end, sizes, strict=True)], pa.binary())], ["doc_id", "y", "f"])
+
+    return rows.mapInArrow(run, "doc_id long, y int, f binary")
+
+
+def _shared_features(packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The features that two or more rows of a bounded sample have, ascending, and how many have each."""
+
+    def count(t: pa.Table) -> pa.Table:
+        keys, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("f")]), return_counts=True)
+        return pa.table({"keys": pa.array([keys[n > 1].tobytes()], pa.binary()), "n": pa.array([n[n > 1].astype(np.uint32).tobytes()], pa.binary())})
+
+    got = packed.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(count, "keys binary, n binary").first()
+    return tuple(np.frombuffer(x, np.uint32) for x in got) if got else (np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+
+
+def _kept_features(packed: DataFrame, keys: np.ndarray) -> list[np.ndarray]:
+    """Of each row its features among the keys, by their places, in order of ids."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [np.flatnonzero(np.isin(keys, np.frombuffer(x.as_buffer(), np.uint32))).astype(np.uint16).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "f"])
 
-    return rows.mapInArrow(run, "doc_id long, y int, f binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    got = packed.select("doc_id", "f").mapInArrow(run, "doc_id long, f binary").toArrow().sort_by("doc_id")
+    return [np.frombuffer(x.as_buffer(), np.uint16) for x in got.column("f")]
 
 
 # -- operator 1 --------------------------------------------------------------------------------
@@ -261,21 +286,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, shar
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n, hits = teaching(labels, "toxic").agg(F.count("*"), F.sum((F.col("y") == 1).cast("int"))).first()
     prior = min(max((hits or 0) / n, 1e-3), 0.95) if n else 1e-3
-    confirmed = [np.frombuffer(x.as_buffer(), np.uint32) for x in _packed_presence(labelled_sample(docs, labels, "toxic", most_positive, F.col("y") == 1)).column("f")]
+    confirmed = written(_packed_presence(labelled_sample(docs, labels, "toxic", most_positive, F.col("y") == 1)), "confirmed")
+    n_confirmed = confirmed.count()
     teach = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     n_docs = teach.count()
     keys, w, bias = np.zeros(0, np.uint32), np.zeros(0), float(np.log(prior / (1 - prior)))
-    if confirmed and n_docs:
-        keys, in_p = np.unique(np.concatenate([np.unique(x) for x in confirmed]), return_counts=True)
-        keys, in_p = keys[in_p > 1], in_p[in_p > 1]
+    if n_confirmed and n_docs:
+        keys, in_p = _shared_features(confirmed)
         if len(keys):
             # the unlabelled weigh as a shard of them would, however many there are, so that the test is alike at every size
             weight = min(1.0, shard / n_docs)
-            kept = pick_features(in_p, len(confirmed), unlabelled_counts(teach.select("text"), keys) * weight, n_docs * weight, prior)
-            keys = keys[kept]
+            keys = keys[pick_features(in_p, n_confirmed, unlabelled_counts(teach.select("text"), keys) * weight, n_docs * weight, prior)]
         if len(keys):
-            positive = [np.searchsorted(keys, x[np.isin(x, keys)]) for x in (np.unique(x) for x in confirmed)]
-            w, bias = sharded_nnpu(teach, keys, positive, n_docs, prior, shard, rounds, epochs)
+            w, bias = sharded_nnpu(teach, keys, _kept_features(confirmed, keys), n_docs, prior, shard, rounds, epochs)
     model = spark.sparkContext.broadcast((keys, w, bias))
 
     def run(batches):
