@@ -41,6 +41,8 @@ EXACT = 8
 SALTS = 8
 #: Alignments so many tokens apart, at most, can belong to one occurrence of an item.
 SHIFT = 8
+#: Texts that a task remembers in order to pass over their copies.
+KEYS = 1 << 16
 _PLACE = K.splitmix(41, 4)
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?:;\n\""]] = True
@@ -172,6 +174,17 @@ def _agreeing(along: dict[int, dict[int, list]], enough: float, agree: float) ->
     return None
 
 
+def _new(seen: set, k1: list, k2: list) -> list[bool]:
+    """Which keys a task meets for the first time, as far as it remembers (KEYS of them)."""
+    out = []
+    for key in zip(k1, k2, strict=True):
+        out.append(key not in seen)
+        if len(seen) >= KEYS:
+            seen.clear()
+        seen.add(key)
+    return out
+
+
 def _judged(rows: DataFrame, k: int, coverage: float, agree: float, fewest: int) -> DataFrame:
     """The items that texts contain. rows: windows that a text (k1, k2) and an item both have, those of one text and item one after the other."""
 
@@ -207,16 +220,18 @@ def _judged(rows: DataFrame, k: int, coverage: float, agree: float, fewest: int)
     return needed.mapInArrow(run, "k1 long, k2 long, item_id long, n_windows long, item_windows long, n_slots long, n_changed long")
 
 
-def _found(texts: DataFrame, benchmark: DataFrame, k: int, coverage: float, agree: float, least: int, fewest: int, map_bits: int) -> DataFrame:
-    """(k1, k2, item_id, n_windows, item_windows, n_slots, n_changed) for texts with the keys k1 and k2 and a text."""
+def _found(texts: DataFrame, benchmark: DataFrame, k: int, coverage: float, agree: float, least: int, fewest: int, map_bits: int, copies: bool = False) -> DataFrame:
+    """(k1, k2, item_id, n_windows, item_windows, n_slots, n_changed) for texts with the keys k1 and k2 and a text. copies: rows of one key have one text, which is judged once."""
     spark = texts.sparkSession
     items = written(item_windows(benchmark, k, least), "items")
     sizes = sorted(r["size"] for r in items.where("size > 0").select("size").distinct().collect())  # EXACT at most
     sent = spark.sparkContext.broadcast(id_map(items.select("h"), map_bits, each=2048))
 
     def run(batches):
-        hits = sent.value
+        hits, seen = sent.value, set()
         for batch in batches:
+            if copies:
+                batch = batch.filter(pa.array(_new(seen, batch.column(0).to_pylist(), batch.column(1).to_pylist()), pa.bool_()))
             k1, k2 = batch.column(0), batch.column(1)
             for i, _, data, offs in K.blocks(batch.column(2)):
                 token, kind, value, counts, word, words = templates(data, offs)
@@ -234,6 +249,8 @@ def _found(texts: DataFrame, benchmark: DataFrame, k: int, coverage: float, agre
                     yield pa.RecordBatch.from_arrays([k1.take(row), k2.take(row), pa.array(h.view(np.int64)), pa.array((at - begin[of]).astype(np.int32)), values], ["k1", "k2", "h", "at", "values"])
 
     met = texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, h long, at int, values binary")
+    if copies:
+        met = met.distinct()  # each task has sent a text's windows once; here they meet by window
     met = met.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int"))
     salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = met.join(salted.hint("merge"), ["h", "salt"])  # a benchmark of any size; its windows are no driver's
@@ -264,7 +281,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0
 def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.33, agree: float = 0.8, least: int = 3, fewest: int = 4, map_bits: int = 28) -> DataFrame:
     """The rows of docs, all columns, whose text contains no item by the rule of leaks().
 
-    Texts found are known by two 64-bit hashes. A bit map of these, of bounded size,
+    Texts found are known by two 64-bit hashes; copies of a text are judged once, so
+    that a group of copies of any size is one text's work. A bit map of these, of bounded size,
     parts the rows: those not in it are kept as they are read, only the others are
     compared with the texts found. Repeated rows are kept or go alike; null and
     empty texts stay; an empty benchmark keeps all.
@@ -272,7 +290,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: f
     prepare(docs.sparkSession)
     one, two = "_text_hash_1", "_text_hash_2"
     keyed = docs.withColumns({one: F.xxhash64("text"), two: F.xxhash64(F.lit(1), "text")})
-    found = _found(keyed.select(F.col(one).alias("k1"), F.col(two).alias("k2"), "text"), benchmark, k, coverage, agree, least, fewest, map_bits)
+    found = _found(keyed.select(F.col(one).alias("k1"), F.col(two).alias("k2"), "text"), benchmark, k, coverage, agree, least, fewest, map_bits, copies=True)
     found = written(found.select(F.col("k1").alias(one), F.col("k2").alias(two)).distinct(), "found")
     sent = docs.sparkSession.sparkContext.broadcast(id_map(found.select(one), map_bits))
     at = keyed.columns.index(one)

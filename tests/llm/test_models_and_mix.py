@@ -174,6 +174,18 @@ def test_leaks(spark):
     assert D.leaks(df.limit(0), bench).collect() == [] and D.leaks(df, bench.limit(0)).collect() == []
 
 
+def test_leaking_copies_are_judged_once(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank at dawn"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(i, f"before it {item} after it") for i in range(300)] + [(1000 + i, f"quite another text of number {i} that holds nothing of note") for i in range(50)]
+    rows += [(2000, None), (2001, ""), (None, f"before it {item} after it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {r.doc_id for r in D.without_leaks(docs, bench).collect()} == {*range(1000, 1050), 2000, 2001}
+    assert D._new(seen := set(), [1, 1, 2, 1], [1, 1, 1, 2]) == [True, False, True, True] and len(seen) == 3
+    many = D._new(set(), [*range(D.KEYS + 5), 0], [0] * (D.KEYS + 6))
+    assert all(many)  # forgotten keys are judged again, never passed over
+
+
 def test_leaks_of_a_later_occurrence(spark):
     """The item's form with values that fit no mapping, then the item: verbatim, with other values, or with words put in."""
     item = "so Ann gave Bob 5 apples and then said to Ann that she has 5 apples while the others of the group had 5 pears and 5 plums."
