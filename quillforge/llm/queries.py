@@ -18,6 +18,8 @@ from .media import media_columns, media_digests
 from .mixing import ORACLE_SQL as MIXING_SQL
 from .mixing import mix_sources
 from .packing import pack_tokens
+from .simhash import simhash_dedup
+from .spelling import spelling_variants
 from .window_dedup import window_dedup
 
 
@@ -65,8 +67,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_packing, op3_window_dedup, op4_quality, op5_chat_formatting, op6_html_extraction, op7_media_columns, op8_decontamination, op9_jaccard_join, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_packing, op3_window_dedup, op4_quality, op5_chat_formatting, op6_html_extraction, op7_media_columns, op8_decontamination, op9_jaccard_join, op10_mixing, op11_simhash_dedup, op12_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
