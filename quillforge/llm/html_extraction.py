@@ -4,14 +4,20 @@ The page becomes a tree. Blocks of text (paragraphs and the like) earn points fo
 their length and commas; they pass all of them to their parent, half to its
 parent, and falling shares further up. A container's points are discounted by its
 link density (characters in links over all characters). The best container is
-kept with those of its siblings that score enough or read like prose.
+kept. On the way up from it, what stands beside it is part of the same article as long
+as no element is reached that is an article or named as one, nor the page's body:
+sections, lists, tables and bare text are kept there unless a quarter of their characters are in links.
+From there on only headings are kept, and beside the best container itself what scores a fifth of
+its points (ten at least), paragraphs that read like prose, and elements of its own tag and class.
 
 Elements that never hold the article (scripts, menus, headers, footers, asides,
 what is hidden) are left out beforehand by their tag. Forms, and elements whose
 class, id or role names a menu, sidebar, notice, advert or the like, are doubtful:
 a form is left out unless most of the page's points lie in it, a named element
-unless nearly nothing would be left, so that a layout's name or a form around the
-whole page costs no article. Comments of readers, adverts and consent boxes stay out.
+unless nearly nothing, or no sentence, would be left, so that a layout's name or a form around the
+whole page costs no article. What is named only as comments of readers, adverts or consent boxes stays out; with
+other names beside (newsletter issue-12) it is kept where it has most of the points and no
+sentence would be left without it. A list named a menu, without any link, is a list as any other.
 """
 
 from __future__ import annotations
@@ -58,8 +64,13 @@ NEVER_NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|commentlist|c
 FOREIGN = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|commentlist|consent|cookies?|disqus|gdpr|newsletter|popup|sponsor\w*|subscribe)(?:$|[\s_-])", re.I)
 #: A name of several parts that tells how a page is laid out, not what an element is: no-sidebar, with-nav, comments-open.
 LAYOUT = re.compile(r"(?:^|\s)(?:(?:no|without|with|has|hide|show)[_-]\S+|\S+[_-](?:open|closed|on|off|enabled|disabled|visible|hidden))(?=$|\s)", re.I)
-#: How doubtful an element is: a form, a name that a layout may have too, a name of what never belongs to the article.
-FORM, NAMED, OTHERS = 1, 2, 3
+#: What a navigation may be called, and a list of dishes too, if it is one of these.
+LISTS = frozenset("ul ol dl table".split())
+MENU = re.compile(r"(?:^|[\s_-])menu(?:$|[\s_-])", re.I)
+#: How doubtful an element is: a form, a menu, a name that a layout may have too, a name of what doesn't belong to the article among other names or alone.
+FORM, MENUS, NAMED, MIXED, OTHERS = 1, 2, 3, 4, 5
+#: The link density below which what stands beside the best container is kept; points of a container further out, and their share of the best one's.
+LINKED, LEAST_POINTS, LEAST_SHARE = 0.25, 10.0, 0.2
 #: The share of the page's points that keeps a form or, where the rest has less than the second share, a named element.
 MOST, NEXT_TO_NOTHING = 0.5, 0.1
 #: What looks unlikely by a word but may hold the article all the same.
@@ -71,10 +82,10 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("chars", "closable", "doubt", "kids", "links", "out", "own", "paragraph", "parent", "points", "size", "tag", "worth")
+    __slots__ = ("chars", "closable", "doubt", "kids", "links", "names", "out", "own", "paragraph", "parent", "points", "size", "tag", "worth")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool = False, doubt: int = 0):
-        self.tag, self.parent, self.out, self.doubt = tag, parent, out, doubt
+    def __init__(self, tag: str, parent: Node | None, out: bool = False, doubt: int = 0, names: str = ""):
+        self.tag, self.parent, self.out, self.doubt, self.names = tag, parent, out, doubt, names
         self.kids: list[Node | str] = []
         self.points = self.worth = 0.0
         self.size = self.links = 0
@@ -91,27 +102,31 @@ class Node:
             self.closable = {t: n for t, n in self.closable.items() if t not in bounds} | dict.fromkeys((t for t in ends if t not in BOUNDED_BY.get(tag, ())), self)
 
 
-def _judged(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether an element is left out, and how doubtful it is."""
+def _judged(tag: str, attributes: str) -> tuple[bool, int, str]:
+    """Whether an element is left out, how doubtful it is, and its class and id."""
     if tag in NEVER:
-        return True, 0
+        return True, 0, ""
     doubt = FORM if tag == "form" else 0
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False, doubt
+        return False, doubt, ""
     names = []
     for m in _ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         value = html.unescape(m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "")
         if key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and _HIDDEN.search(value)):
-            return True, 0
+            return True, 0, ""
         if key == "role" and value.strip().lower() in ROLES:
             doubt = max(doubt, FORM if value.strip().lower() == "form" else NAMED)
         if key in ("class", "id"):
             names.append(value)
-    own = LAYOUT.sub(" ", " ".join(names))
+    whole = " ".join(names)
+    own = LAYOUT.sub(" ", whole)
     if own and (NEVER_NAMED.search(own) or (UNLIKELY.search(own) and not LIKELY.search(own))):
-        doubt = OTHERS if FOREIGN.search(own) else NAMED
-    return False, doubt
+        if FOREIGN.search(own):
+            doubt = OTHERS if all(FOREIGN.search(LAYOUT.sub(" ", x)) for x in whole.split()) else MIXED
+        else:
+            doubt = NAMED if doubt == NAMED or NEVER_NAMED.search(rest := MENU.sub(" ", own)) or UNLIKELY.search(rest) or tag not in LISTS else MENUS
+    return False, doubt, whole
 
 
 def parse(page: str) -> Node:
@@ -158,8 +173,8 @@ def parse(page: str) -> Node:
         if tag in CLOSES and tag in node.closable:
             node = close(node.closable[tag])
         in_article = inside["article"]
-        out, doubt = _judged(tag, m[3] or "")
-        new = Node(tag, node, node.out or (out and not (tag == "header" and in_article)), doubt)
+        out, doubt, names = _judged(tag, m[3] or "")
+        new = Node(tag, node, node.out or (out and not (tag == "header" and in_article)), doubt, names)
         node.kids.append(new)
         if tag in RAW:
             lower = page.lower() if lower is None else lower
@@ -215,12 +230,15 @@ def settle(root: Node) -> None:
     order = _measured(root)
     if not any(n.doubt for n in order):
         return
+    for node in order:
+        node.out = node.doubt == OTHERS
+    order = _measured(root)
     for node in order:
         node.worth = _points(node) + sum(k.worth for k in node.kids if isinstance(k, Node) and not k.out)
     total = root.worth
     doubtful = [n for n in order if n.doubt]
     for node in doubtful:
-        node.out = node.doubt != FORM or node.worth <= MOST * total
+        node.out = node.worth <= MOST * total if node.doubt == FORM else node.links > 0 if node.doubt == MENUS else True
     lost, stack = 0.0, [root]
     while stack:
         node = stack.pop()
@@ -228,10 +246,11 @@ def settle(root: Node) -> None:
             lost += node.worth
         else:
             stack += [k for k in node.kids if isinstance(k, Node) and (k.doubt or not k.out)]
-    if total and total - lost < NEXT_TO_NOTHING * total:
-        for node in doubtful:
-            if node.doubt == NAMED and node.worth > MOST * total:
-                node.out = False
+    large = [n for n in doubtful if n.doubt in (MENUS, NAMED, MIXED) and n.out and n.worth > MOST * total]
+    if large:
+        silent = not _speaks(root)
+        for node in large:
+            node.out = not (silent or (node.doubt != MIXED and total - lost < NEXT_TO_NOTHING * total))
     changed: set[Node] = set()
     for node in doubtful:  # what is left out within a line is no part of its block's text
         up = node.parent if node.out and node.tag not in BLOCK else None
@@ -241,6 +260,17 @@ def settle(root: Node) -> None:
             up = None if up.tag in BLOCK else up.parent
 
 
+def _speaks(root: Node) -> bool:
+    """Whether a sentence is left of what is kept."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in PARAGRAPH and node.tag not in ("h1", "h2", "h3", "h4", "h5", "h6") and _density(node) < MOST and _own_text(node).endswith((".", "!", "?", "…")):
+            return True
+        stack += [k for k in node.kids if isinstance(k, Node) and not k.out]
+    return False
+
+
 def _own_text(node: Node) -> str:
     """Text of a node that is in no block below it."""
     parts, stack = [], list(reversed(node.kids))
@@ -257,8 +287,8 @@ def _density(node: Node) -> float:
     return node.links / node.size if node.size else 0.0
 
 
-def choose(root: Node) -> list[Node]:
-    """The best container and the siblings kept with it, in page order; none for a page without text."""
+def choose(root: Node) -> list:
+    """The best container and what is kept with it, in page order; none for a page without text."""
     settle(root)
     order = _measured(root)
     scored = set()
@@ -279,23 +309,77 @@ def choose(root: Node) -> list[Node]:
     if best is None:
         whole = [n for n in order if n.tag in ("body", "#root") and n.size]
         return whole[:1]
-    while best.parent is not None and best.parent.tag in ("article", "main"):  # an article is kept whole
+    up = best
+    while up is not None and up.tag != "article":
+        up = up.parent
+    if up is not None:  # an article is kept whole
+        best = up
+    while best.parent is not None and best.parent.tag in ("article", "main"):
         best = best.parent
-    kept = []
-    for k in best.parent.kids if best.parent is not None else [best]:
-        if not isinstance(k, Node) or k.out:
-            continue
-        if k is best or k.points * (1 - _density(k)) >= max(10.0, most * 0.2):
-            kept.append(k)
-        elif k.tag in ("p", "h1", "h2") and best.tag not in ("article", "main", "body"):
-            own = _own_text(k)
-            if k.tag != "p" or (len(own) > 80 and _density(k) < 0.25) or (own.endswith((".", "!", "?")) and not k.links):
-                kept.append(k)
-    return kept
+    return _around(best, most)
+
+
+def _around(best: Node, most: float) -> list:
+    """The best container and what is kept beside it and its ancestors, in page order: elements, strings, and None where something between is left out."""
+    whole = best.tag in ("article", "main")
+    settled = whole or _likely(best)
+    before: list = []  # last ones first
+    after: list = []
+    node = best
+    while node.parent is not None and node.tag != "body":
+        up = node.parent
+        near = not settled and up.tag not in ("body", "html", "#root") and node.tag not in ("td", "th", "tr", "tbody")
+        at = next(i for i, k in enumerate(up.kids) if k is node)
+        sieve = lambda kids: [k if _belongs(k, best, most, near, whole, node is best) else None for k in kids]  # noqa: B023, E731
+        before += reversed(sieve(up.kids[:at]))
+        after += sieve(up.kids[at + 1 :])
+        settled = settled or _likely(up)
+        node = up
+    return [*reversed(before), best, *after]
+
+
+def _likely(node: Node) -> bool:
+    return bool(node.names) and LIKELY.search(node.names) is not None
+
+
+def _belongs(k: Node | str, best: Node, most: float, near: bool, whole: bool, first: bool) -> bool:
+    """Whether what stands beside the best container (first), or an ancestor of it, is part of the article."""
+    if isinstance(k, str):
+        return near
+    if k.out or not k.size:
+        return False
+    dense = _density(k)
+    if near and dense < LINKED:
+        return True
+    if first and k.points * (1 - dense) >= max(LEAST_POINTS, most * LEAST_SHARE):
+        return True
+    if whole:
+        return False
+    if first and k.tag == "p":
+        own = _own_text(k)
+        return (len(own) > 80 and dense < LINKED) or (own.endswith((".", "!", "?")) and not k.links)
+    if first and k.tag == best.tag and k.names == best.names and dense < LINKED:
+        return True
+    return dense < LINKED and _heading(k)
+
+
+def _heading(node: Node) -> bool:
+    """Whether all text of an element is in headings of the two upper levels."""
+    stack, found = [node], False
+    while stack:
+        k = stack.pop()
+        if isinstance(k, str):
+            if k.strip():
+                return False
+        elif k.tag in ("h1", "h2"):
+            found = found or k.size > 0
+        elif not k.out:
+            stack += k.kids
+    return found
 
 
-def blocks(nodes: list[Node]) -> list[str]:
-    """The text blocks below some nodes, in page order."""
+def blocks(nodes: list) -> list[str]:
+    """The text blocks of some elements and strings, in page order; a None ends one."""
     out, parts = [], []
 
     def end() -> None:
@@ -304,6 +388,9 @@ def blocks(nodes: list[Node]) -> list[str]:
         parts.clear()
 
     for top in nodes:
+        if top is None:
+            end()
+            continue
         stack: list = [(top, False)]
         while stack:
             k, done = stack.pop()
@@ -318,7 +405,7 @@ def blocks(nodes: list[Node]) -> list[str]:
                     end()
                     stack.append((k, True))
                 stack += [(x, False) for x in reversed(k.kids)]
-        end()
+    end()
     return out
 
 
@@ -335,7 +422,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     else is dropped or cut. Pages are handled one by one, so repeated rows come
     out alike; extra columns are left out; an empty table gives no rows. Unclosed
     and misnested tags are closed as HTML does; time and memory follow a page's
-    length, however deep or broken it is.
+    length, however deep or broken it is. What is kept beside the best container
+    is told by LINKED, LEAST_POINTS and LEAST_SHARE, what doubtful elements need by MOST and NEXT_TO_NOTHING.
     """
     prepare(pages.sparkSession)
 

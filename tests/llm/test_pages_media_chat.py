@@ -41,6 +41,16 @@ TEXT = "This is a long paragraph of the article, with commas, and with enough wo
         (f"<div><p>{TEXT}</p><p>{TEXT}</p><form><label>Mail</label><p>write, to, us</p></form></div>", f"{TEXT}\n{TEXT}"),
         (f"<div class=comments><p>{TEXT}</p></div>", ""),
         (f"<div><p>{TEXT} <span class=advert>buy, buy, buy</span> <b><i class=menu>x</i>end</b></p><p>{TEXT}</p></div>", f"{TEXT} end\n{TEXT}"),
+        # all sections of the article, its lists and bare text; foreign words in a wrapper's name
+        (f"<body><nav>x</nav><div class=content><section><p>{TEXT}</p><p>{TEXT}</p></section><section><h2>Two</h2><p>Short.</p></section><section><p>{TEXT}</p></section></div><footer>f</footer></body>", f"{TEXT}\n{TEXT}\nTwo\nShort.\n{TEXT}"),
+        (f"<body><div class=content><div><p>{TEXT}</p><p>{TEXT}</p></div><p>{TEXT}</p><ul><li>one<li>two</ul>bare <i>text</i> here<div>{TEXT}</div></div></body>", f"{TEXT}\n{TEXT}\n{TEXT}\none\ntwo\nbare text here\n{TEXT}"),
+        (f"<body><div><div><p>{TEXT}</p><p>{TEXT}</p></div><div><a href=1>Read</a> <a href=2>this</a></div><div>The end</div></div></body>", f"{TEXT}\n{TEXT}\nThe end"),
+        (f"<body><nav>x</nav><div class='newsletter issue-12'><h1>Issue</h1><p>{TEXT}</p></div></body>", f"Issue\n{TEXT}"),
+        (f"<body><div class='has-comments ads'><p>{TEXT}</p><p>{TEXT}</p></div><footer>f</footer></body>", f"{TEXT}\n{TEXT}"),
+        (f"<body><div class=post><p>A short post.</p></div><div class='comments big'><p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p></div></body>", "A short post."),
+        (f"<body><div class=top><h1>Dinner</h1></div><div class=content><p>{TEXT}</p><ul class=menu-list><li>Soup<li>Fish</ul><ul class=menu><li><a href=1>Home</a></ul></div></body>", f"Dinner\n{TEXT}\nSoup\nFish"),
+        (f"<body><article><div><section><p>{TEXT}</p><p>{TEXT}</p></section><section><p>Few words.</p></section></div></article><div class=box><p>{TEXT}</p></div></body>", f"{TEXT}\n{TEXT}\nFew words."),
+        (f"<body><div class=part><p>{TEXT}</p><p>{TEXT}</p></div><div class=part><p>Few words</p></div><div class=other><p>Not this</p></div></body>", f"{TEXT}\n{TEXT}\nFew words"),
     ],
 )
 def test_main_text(page, text):
@@ -192,6 +202,48 @@ def test_generated_pages_against_a_plain_extractor(seed):
     assert got.split("\n") == blocks
 
 
+def article_page(seed):
+    """A page whose article is in parts of any kind, in a wrapper of any name, and its blocks; nothing here is judged by a rule."""
+    rng = random.Random(1000 + seed)
+    prose = lambda n: " ".join(rng.choice(["one", "two,", "three", "café,", "a", "longer-word", "so."]) for _ in range(n)) + " end."
+    truth = []
+
+    def block(tag, n):
+        truth.append(prose(n))
+        return f"<{tag}>{truth[-1]}</{tag}>"
+
+    def part(kind):
+        head = block("h2", 3) if rng.random() < 0.5 else ""
+        if kind == "long":
+            return head + "".join(block("p", rng.randint(20, 80)) for _ in range(rng.randint(2, 5)))
+        if kind == "short":
+            return head + block("p", rng.randint(1, 6))
+        if kind == "list":
+            tag = rng.choice(["ul", "ol", "ul class=menu-list"])
+            return f"{head}<{tag}>{''.join(block('li', rng.randint(1, 5)) for _ in range(3))}</{tag[:2]}>"
+        return head + rng.choice([lambda: block("pre", 8), lambda: block("blockquote", 8), lambda: f"<table><tr>{block('td', 2)}{block('td', 3)}</tr></table>"])()
+
+    title = ""
+    if rng.random() < 0.5:
+        title = rng.choice(["%s", "<div class=headline>%s</div>"]) % block("h1", 4)
+    kinds = ["long", *rng.choices(["long", "short", "list", "other"], k=rng.randint(0, 4))]
+    rng.shuffle(kinds)
+    box = rng.choice(["%s", "<section>%s</section>", "<div>%s</div>", "<div class=part>%s</div>"])
+    body = "".join(box % part(k) for k in kinds)
+    wrapper = rng.choice(["<div class=content>%s</div>", "<div id=wrap><div class='post-text'>%s</div></div>", "<article>%s</article>", "<article><div>%s</div></article>", "<div class='newsletter issue-12'>%s</div>", "<div class='has-comments ads'>%s</div>", "<div id=x><div>%s</div></div>", "<form action=/><div>%s</div></form>"])
+    if wrapper.startswith("<article"):
+        title, truth[:] = "", truth[1:] if title else truth  # an article brings its own heading
+    link = lambda: f"<a href='/{rng.randrange(99)}'>{prose(2)}</a>"
+    junk = [f"<nav><ul><li>{link()}</li></ul></nav>", f"<aside><p>{prose(40)}</p></aside>", f"<div class=comments><p>{prose(60)}</p><p>{prose(50)}</p></div>", f"<footer><p>{prose(20)}</p></footer>", f"<div>{link()} {link()}</div>"]
+    return f"<html><body>{''.join(rng.sample(junk, 2))}{title}{wrapper % body}{''.join(rng.sample(junk, 2))}</body></html>", [" ".join(b.split()) for b in truth]
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_articles_of_many_parts_are_whole(seed):
+    page, blocks = article_page(seed)
+    assert H.main_text(page).split("\n") == blocks
+
+
 def test_pages_frame(spark):
     kind = "page_id long, url string, html string, text string"
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", f"<p>{TEXT}", "x"), (None, None, "", None)], kind)
