@@ -46,10 +46,15 @@ def or_default(x: Column, default: Column) -> Column:
     return F.coalesce(F.nullif(x, F.lit("")), default)
 
 
+def _after(x: Column, n: int) -> Column:
+    """All that follows the first n characters."""
+    return F.substring(x, F.lit(n + 1), F.char_length(x))
+
+
 def _title(x: Column) -> Column:
     """Each run of letters with a capital first and the others small."""
     parts = F.regexp_extract_all(x, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20)))), "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(_after(p, 1)))), "")
 
 
 def fallback_label(path: Column) -> Column:
@@ -126,7 +131,7 @@ def sentence_pieces(texts: pd.Series) -> pd.Series:
 
 def looks_technical(t: Column) -> Column:
     """STR-15: an underscore, a slash, an inner capital, or the extension of a code file."""
-    return t.contains("_") | t.contains("/") | F.substring(t, 2, 1 << 20).rlike(r"\p{Lu}") | (t.contains(".") & F.lower(F.substring_index(t, ".", -1)).isin(CODE_EXTENSIONS))
+    return t.contains("_") | t.contains("/") | t.rlike(r"(?s)^.+\p{Lu}") | (t.contains(".") & F.lower(F.substring_index(t, ".", -1)).isin(CODE_EXTENSIONS))
 
 
 def technical_terms(x: Column) -> Column:

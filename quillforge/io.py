@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether there is any file below a path."""
+    try:
+        return not spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").limit(1).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
+def file_stream(spark: SparkSession, path: str, most_files: int = 0) -> DataFrame:
+    """The rows of a Parquet folder, or of a single file, as a stream of its files, with the columns that it has now; most_files: how many files a batch takes (0: all there are).
+
+    A file stream refuses the path of a single file but takes a pattern; this one fits the one path only.
+    """
+    path = path.rstrip("/")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if most_files:
+        reader = reader.option("maxFilesPerTrigger", most_files)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def global_position(df: DataFrame, order: list, name: str = "position") -> DataFrame:
     """Adds each row's place, from 1, in the total order, without gathering rows in one task.
 

@@ -97,6 +97,21 @@ def report(scores: DataFrame, outer: list[str], inner: str, p50: str = "latency_
     return sums.join(nearest_rank(labelled, keys, "latency", {p50: 0.5, p95: 0.95}), keys)
 
 
+def compared(scores: DataFrame, outer: list[str], inner: str, flag: str, means: list[str], median: str) -> DataFrame:
+    """SNK-08: by (outer, inner) and by outer alone ('all'), side by side without and with `flag` (plain, hinted): rows, means, their change, and a median.
+
+    A measure that one side lacks is null there, and so is the change.
+    """
+    sides = {"plain": ~F.col(flag), "hinted": F.col(flag)}
+    labelled = scores.withColumn(inner, F.explode(F.array(F.col(inner), F.lit("all"))))
+    keys = [*outer, inner]
+    sums = labelled.groupBy(*keys).agg(*[F.count_if(on).alias(f"n_{s}") for s, on in sides.items()], *[F.avg(F.when(on, F.col(m))).alias(f"_{m}_{s}") for m in means for s, on in sides.items()])
+    shown = [c for m in means for c in (F.round(f"_{m}_plain", 6).alias(f"{m}_plain"), F.round(f"_{m}_hinted", 6).alias(f"{m}_hinted"), F.round(F.col(f"_{m}_hinted") - F.col(f"_{m}_plain"), 6).alias(f"{m}_change"))]
+    half = nearest_rank(labelled.select(*keys, flag, median), [*keys, flag], median, {"p50": 0.5})
+    halves = half.groupBy(*keys).agg(*[F.max(F.when(on, F.col("p50"))).alias(f"{median}_p50_{s}") for s, on in sides.items()])
+    return sums.join(halves, keys).select(*keys, *[f"n_{s}" for s in sides], *shown, *[f"{median}_p50_{s}" for s in sides])
+
+
 def cost(rate_per: dict[str, float], model: str, amount: str, per: float) -> Column:
     """AGG-20: rate of the model times amount / per, to 6 places; null for an unknown model or amount."""
     rates = F.create_map(*[F.lit(x) for kv in rate_per.items() for x in kv])

@@ -47,7 +47,7 @@ def decision_points(nodes: DataFrame, edges: DataFrame, modules: DataFrame, infr
 
     modules(id, line_start, line_end).
     """
-    used = edges.where((F.col("kind") == "imports_external") & F.col("target").startswith("external:")).select(F.col("source").alias("id"), F.substring("target", 10, 1 << 20).alias("package"))
+    used = edges.where((F.col("kind") == "imports_external") & F.col("target").startswith("external:")).select(F.col("source").alias("id"), F.regexp_replace("target", "^external:", "").alias("package"))
     used = used.where(F.col("package").isin(infra)).groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("package")), ", ").alias("packages"))
     scored = degrees(nodes, edges, False).join(used, "id", "left").where("packages IS NOT NULL OR degree > 0")
     reason = F.when(F.col("packages").isNotNull(), F.concat(F.lit("imports infra package(s): "), "packages")).otherwise(F.concat(F.lit("fan-in+fan-out="), F.col("degree").cast("string")))

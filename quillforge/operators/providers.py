@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..io import importable
+from ..io import importable, stored
 
 
 class Provider(Protocol):
@@ -48,6 +48,40 @@ def per_row(rows: DataFrame, key: str, message: str, open_provider: Callable[[],
     return rows.select(key, message).mapInPandas(run, f"{key} {kind}, answer string")
 
 
+def call_key(message: Column, system: str, version: str, model: str) -> Column:
+    """UDF-05: what an answer depends on, as one hash: prompt version, model, instructions and input. A null input is not the empty one."""
+    return F.sha2(F.to_json(F.struct(F.lit(version).alias("v"), F.lit(model).alias("m"), F.lit(system).alias("s"), message.alias("t"))), 256)
+
+
+def cached(rows: DataFrame, key: str, message: str, open_provider: Callable[[], Provider], system: str, version: str, model: str, cache: str, most_calls_at_once: int = 64) -> DataFrame:
+    """UDF-05, SNK-04: (key, answer) for each row, answered from the Parquet folder `cache` (call, answer) where that has the call.
+
+    Equal inputs are one call; only calls that the cache lacks are made, by most_calls_at_once
+    tasks at most, and their answers appended. A call that fails is not stored, and so is made
+    again by the next run. Where two runs have stored one call, the least answer counts.
+    """
+    spark = rows.sparkSession
+    asked = rows.select(key, F.col(message).alias("_message"), call_key(F.col(message), system, version, model).alias("call"))
+    store = lambda: spark.read.schema("call string, answer string").parquet(cache)
+    missing = asked.select("call", "_message").dropDuplicates(["call"])
+    if stored(spark, cache):
+        missing = missing.join(store().select("call").distinct(), "call", "left_anti")
+    made = per_row(missing.repartition(most_calls_at_once, "call"), "call", "_message", open_provider, system)
+    made.where("answer IS NOT NULL").write.mode("append").parquet(cache)
+    return asked.join(store().groupBy("call").agg(F.min("answer").alias("answer")), "call", "left").select(key, "answer")
+
+
+def observed(answers: DataFrame, name: str, answer: str = "answer") -> tuple[DataFrame, Observation]:
+    """STM-09: the answers, and what is counted while they are made: calls, failed ones, and characters; to be read once they have been written."""
+    counts = Observation(name)
+    return answers.observe(counts, *call_metrics(answer)), counts
+
+
+def call_metrics(answer: str) -> list[Column]:
+    a = F.col(answer)
+    return [F.count(F.lit(1)).alias("calls"), F.count_if(a.isNull()).alias("failed"), F.coalesce(F.sum(F.char_length(a)), F.lit(0)).alias("chars")]
+
+
 def require_parsed(answers: DataFrame, schema: str, required: list[str]) -> DataFrame:
     """UDF-02: answers as typed columns; rows that don't parse or lack a required field go."""
     parsed = answers.withColumn("_p", F.from_json("answer", schema)).where("_p IS NOT NULL")

@@ -177,11 +177,11 @@ def _members(spark, d, when):
 
 
 def _versions(spark, d):
-    at = F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")
-    return _members(spark, d, at), _members(spark, d, F.col("l_shipdate") >= F.lit("1998-09-01").cast("timestamp_ntz"))
+    at = F.col("l_shipdate") < F.lit(CUT).cast("timestamp_ntz")
+    return _members(spark, d, at), _members(spark, d, ~at)
 
 
-_VERSIONS = "v AS (SELECT p_brand || '/' || p_size AS key, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS m, l_shipdate FROM lineitem JOIN part ON l_partkey = p_partkey), b AS (SELECT key, list_sort(list(DISTINCT m)) AS mem FROM v WHERE l_shipdate < '1996-01-01' GROUP BY key), a AS (SELECT key, list_sort(list(DISTINCT m)) AS mem FROM v WHERE l_shipdate >= '1998-09-01' GROUP BY key)"
+_VERSIONS = f"v AS (SELECT p_brand || '/' || p_size AS key, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS m, l_shipdate FROM lineitem JOIN part ON l_partkey = p_partkey), b AS (SELECT key, list_sort(list(DISTINCT m)) AS mem FROM v WHERE l_shipdate < '{CUT}' GROUP BY key), a AS (SELECT key, list_sort(list(DISTINCT m)) AS mem FROM v WHERE l_shipdate >= '{CUT}' GROUP BY key)"
 
 
 @register("subsystem_diff", f"""WITH {_VERSIONS}, j AS (SELECT coalesce(a.key, b.key) AS key, a.mem AS am, b.mem AS bm FROM a FULL JOIN b ON a.key = b.key)

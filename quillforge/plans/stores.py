@@ -8,16 +8,19 @@ import zipfile
 
 import pandas as pd
 from pyarrow import fs
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..io import importable, shared_folder, table
 from ..operators import extract as E
+from ..operators import providers as P
 from ..sources import files as S
 from ..sources import repositories as V
 from ..sources import sinks
 from ..streaming import operators as T
+from ..streaming import stateful as R
 from .catalog import register
 
 # -- archives and trees: nations are the files, regions the archives (25 rows at any size)
@@ -141,7 +144,7 @@ def wav_export(spark, d):
     """BIN-01."""
     importable(spark)
     made = _samples(spark, d).select("event_id", S.wav_bytes("samples", F.lit(16000)).alias("w"))
-    return made.select("event_id", F.octet_length("w").alias("bytes"), F.hex(F.substring("w", 45, 1 << 20)).alias("data"))
+    return made.select("event_id", F.octet_length("w").alias("bytes"), F.hex(F.substring("w", F.lit(45), F.octet_length("w"))).alias("data"))
 
 
 @register("resampled", f"""WITH {_SAMPLES}, v AS (SELECT event_id, samples, len(samples) AS n, CAST(floor(len(samples) * CAST(16000 AS DOUBLE) / 24000) AS BIGINT) AS c FROM s)
@@ -165,6 +168,80 @@ def snapshot_overwrite(spark, d):
     return spark.read.schema(orders.schema).parquet(path).select("o_orderkey", "o_orderpriority", "version")
 
 
+@register("published_snapshot", """WITH t AS (SELECT o_orderstatus AS status, count(*) AS orders FROM orders GROUP BY ALL) SELECT o_orderkey, CAST(2 AS INTEGER) AS version, orders FROM orders JOIN t ON o_orderstatus = status UNION ALL SELECT o_orderkey, 1, orders FROM orders JOIN t ON o_orderstatus = status WHERE o_orderstatus = 'F'""")
+def published_snapshot(spark, d):
+    """SNK-01..03: two versions of two tables; a third one stops before its last table and is not seen. The rows of the last and of the first version."""
+    o, root = table(spark, d, "orders"), shared_folder(spark, "published")
+
+    def tables(rows: DataFrame, version: int) -> dict[str, DataFrame]:
+        return {"rows": rows.select("o_orderkey", "o_orderstatus", F.lit(version).alias("version")), "counts": rows.groupBy("o_orderstatus").agg(F.count("*").alias("orders"))}
+
+    sinks.publish(tables(o.where("o_orderstatus = 'F'"), 1), root, 1)
+    sinks.publish(tables(o, 2), root, 2)
+    try:
+        sinks.publish(tables(o, 3) | {"wrong": o.select(F.raise_error(F.lit("stopped")).alias("x"))}, root, 3)
+    except PySparkException:
+        pass
+    read = lambda v: sinks.published(spark, root, "rows", v).join(sinks.published(spark, root, "counts", v), "o_orderstatus")
+    return read(None).unionByName(read(1)).select("o_orderkey", "version", "orders")
+
+
+@register("schema_versions", """SELECT p_partkey, CAST(p_size AS BIGINT) AS size, CASE WHEN p_partkey % 2 = 0 THEN 0 WHEN p_partkey % 5 > 0 THEN CAST(p_partkey % 7 AS INTEGER) END AS chunk_index, CASE WHEN p_partkey % 2 = 0 THEN 'none' ELSE p_brand END AS brand FROM part""")
+def schema_versions(spark, d):
+    """DDL-01: files of two schemas; the second has two more columns and a wider one."""
+    part, path = table(spark, d, "part"), shared_folder(spark, "schemas")
+    part.where("p_partkey % 2 = 0").select("p_partkey", F.col("p_size").cast("int").alias("size")).write.parquet(f"{path}/schema_version=1")
+    index = F.when(F.col("p_partkey") % 5 > 0, F.col("p_partkey") % 7).cast("int")
+    new = part.where("p_partkey % 2 = 1").select("p_partkey", F.col("p_size").cast("long").alias("size"), index.alias("chunk_index"), F.col("p_brand").alias("brand"))
+    new.write.parquet(f"{path}/schema_version=2")
+    return sinks.evolved(spark, path, new.schema, {"chunk_index": F.lit(0), "brand": F.lit("none")})
+
+
+@register("cached_calls", "SELECT doc_id, lang || ' ' || length(text) % 50 AS answer FROM documents WHERE lang <> 'de' UNION ALL SELECT doc_id, NULL FROM documents WHERE lang = 'de'")
+def cached_calls(spark, d):
+    """UDF-05: a call for each language and length; those that fail are not stored. The second run finds all others in the cache: its provider knows no answer."""
+    rows, cache = table(spark, d, "documents").select("doc_id", F.concat("lang", F.lit(" "), (F.char_length("text") % 50).cast("string")).alias("message")), shared_folder(spark, "answers")
+
+    def rule(message: str) -> str:
+        if message.startswith("de"):
+            raise ValueError(message)
+        return message
+
+    for answer in (rule, lambda _: "called again"):
+        kept = rows if answer is rule else rows.where(~F.startswith("message", F.lit("de")))
+        out = P.cached(kept, "doc_id", "message", lambda answer=answer: P.Canned(answer), "Echo.", "v1", "canned", cache)
+    return out.unionByName(rows.where(F.startswith("message", F.lit("de"))).select("doc_id", F.lit(None).cast("string").alias("answer")))
+
+
+@register("observed_calls", "SELECT count(*) AS calls, count(*) FILTER (length(text) % 5 = 0) AS failed, CAST(sum(length(text)) FILTER (length(text) % 5 > 0) AS BIGINT) AS chars FROM documents")
+def observed_calls(spark, d):
+    """STM-09: what the calls count while their answers are written."""
+
+    def rule(text: str) -> str:
+        if len(text) % 5 == 0:
+            raise ValueError
+        return text
+
+    answers, counts = P.observed(P.per_row(table(spark, d, "documents"), "doc_id", "text", lambda: P.Canned(rule), "Echo."), "calls")
+    answers.write.parquet(shared_folder(spark, "observed"))
+    return spark.createDataFrame([counts.get], "calls long, failed long, chars long")
+
+
+@register("observed_stream", "SELECT event_type, count(*) AS calls, count(*) FILTER (event_id % 5 = 0) AS failed, CAST(coalesce(sum(length(props)) FILTER (event_id % 5 > 0), 0) AS BIGINT) AS chars FROM events GROUP BY event_type")
+def observed_stream(spark, d):
+    """STM-09 on a stream: each batch reports what it has counted while it was written; a batch is one kind of event here."""
+    e = table(spark, d, "events").select("event_type", F.when(F.col("event_id") % 5 > 0, F.col("props")).alias("answer"))
+    source, out, state, seen = (shared_folder(spark, f"metered-{x}") for x in ("in", "out", "state", "seen"))
+    for kind in sorted(r[0] for r in e.select("event_type").distinct().collect()):  # a handful
+        e.where(F.col("event_type") == kind).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(e.schema).parquet(source).observe("calls", *P.call_metrics("answer"))
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        told = [p.observedMetrics["calls"] for p in query.recentProgress if p.numInputRows]
+        spark.createDataFrame([(kind, r["calls"], r["failed"], r["chars"]) for r in told], "event_type string, calls long, failed long, chars long").write.mode("append").json(seen)
+    return spark.read.schema("event_type string, calls long, failed long, chars long").json(seen).groupBy("event_type").agg(*[F.sum(c).alias(c) for c in ("calls", "failed", "chars")])
+
+
 @register("versioned_update", """WITH w AS (SELECT user_id, event_id % 3 AS version, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_id % 3 = 1)
 SELECT u.user_id, CAST(CASE WHEN event_id IS NULL THEN 1 ELSE 2 END AS INTEGER) AS version, coalesce(event_id, -1) AS value, CAST((SELECT count(*) FROM events e WHERE e.user_id = u.user_id) - CASE WHEN event_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS refused FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN w ON w.user_id = u.user_id AND n = 1""")
 def versioned_update(spark, d):
@@ -218,11 +295,53 @@ def published_messages(spark, d):
 
 @register("redelivered_once", "SELECT event_id, user_id, CAST(event_id % 10 AS INTEGER) AS shard FROM events")
 def redelivered_once(spark, d):
-    """STM-05, STM-06: a batch that is delivered twice, by a second run without the first one's memory, is written once."""
-    from .texts import _events_stream
-
-    out = shared_folder(spark, "applied")
-    for _ in range(2):
-        s = _events_stream(spark, d).select("event_id", "user_id", (F.col("event_id") % 10).cast("int").alias("shard"))
-        T.apply_once(s, out, shared_folder(spark, "applied-state"), "shard").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("event_id long, user_id long, shard int").parquet(out)
+    """STM-05, STM-06: a growing log is read in three batches with the same shards, then as a whole by a run without the first one's memory; each event is written once."""
+    source, out, state = (shared_folder(spark, f"applied-{x}") for x in ("in", "out", "state"))
+    events = table(spark, d, "events").select("event_id", "user_id", (F.col("event_id") % 10).cast("int").alias("shard"))
+
+    def read(memory: str) -> None:
+        T.apply_once(spark.readStream.schema(events.schema).parquet(source), out, memory, ["event_id"]).trigger(availableNow=True).start().awaitTermination()
+
+    for part in range(3):
+        events.where(F.pmod("event_id", F.lit(3)) == part).write.mode("append").parquet(source)
+        read(state)
+    read(shared_folder(spark, "applied-state"))
+    return T.applied(spark, out, events.schema).select(*events.columns)
+
+
+# -- streams with state: the log comes in parts, each of them a batch
+
+
+def _in_parts(spark, rows: DataFrame, at: str, name: str, stream, last: DataFrame | None = None) -> DataFrame:
+    """What stream(frame) has appended when `rows` has come in three parts by time, and then, if there is one, `last`."""
+    source, out, state = (shared_folder(spark, f"{name}-{x}") for x in ("in", "out", "state"))
+    cuts = [F.lit(x).cast("timestamp") for x in ("2024-01-10 12:30:00", "2024-01-20 00:15:00")]
+    parts = [rows.where(F.col(at) < cuts[0]), rows.where((F.col(at) >= cuts[0]) & (F.col(at) < cuts[1])), rows.where(F.col(at) >= cuts[1])]
+    schema = None
+    with R.keyed_state(spark):
+        for part in [*parts, *([last] if last is not None else [])]:
+            part.write.mode("append").parquet(source)
+            made = stream(spark.readStream.schema(rows.schema).parquet(source))
+            schema = made.schema
+            made.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
+@register("limited_stream", "SELECT event_id, user_id, strftime(ts, '%Y%m%d%H') AS hour, row_number() OVER w AS n, row_number() OVER w <= 2 AS allowed FROM events WINDOW w AS (PARTITION BY user_id, strftime(ts, '%Y%m%d%H') ORDER BY ts, event_id)")
+def limited_stream(spark, d):
+    """STM-04: each call is counted and judged in the batch that it comes in."""
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return _in_parts(spark, e, "ts", "limited", lambda s: R.limited(s, "user_id", "ts", "event_id", 2)).select("event_id", "user_id", "hour", "n", "allowed")
+
+
+@register("progress_stream", """WITH s AS (SELECT user_id, event_id, CASE WHEN event_id % 11 = 0 THEN 'ready' WHEN event_id % 13 = 0 THEN 'failed' ELSE ['pending', 'parsing', 'analyzing', 'generating'][event_id % 4 + 1] END AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+e AS (SELECT user_id, min(n) FILTER (status IN ('ready', 'failed')) AS last FROM s GROUP BY user_id), k AS (SELECT s.*, last FROM s JOIN e USING (user_id) WHERE last IS NULL OR n <= last)
+SELECT user_id, event_id, status, 'table' AS via FROM k WHERE n = 1 UNION ALL SELECT user_id, event_id, status, 'message' FROM k WHERE event_id % 3 > 0 AND (n > 1 OR last IS NULL OR last > 1) UNION ALL SELECT user_id, event_id, status, 'poll' FROM k WHERE n = last AND n > 1 AND event_id % 3 = 0""")
+def progress_stream(spark, d):
+    """STM-02: every third message is lost; a terminal state that it told is read from the table. A last row of another key moves the time on."""
+    i = F.col("event_id")
+    status = F.when(i % 11 == 0, "ready").when(i % 13 == 0, "failed").otherwise(F.element_at(F.array(*map(F.lit, T.STAGES)), (i % 4 + 1).cast("int")))
+    told = F.explode(F.when(i % 3 == 0, F.array(F.lit("table"))).otherwise(F.array(F.lit("table"), F.lit("message"))))
+    rows = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), i.alias("tie"), status.alias("status"), told.alias("via"))
+    tick = rows.limit(1).select(F.lit(None).cast("long").alias("user_id"), F.lit("2100-01-01").cast("timestamp").alias("at"), F.lit(0).cast("long").alias("tie"), F.lit("pending").alias("status"), F.lit("tick").alias("via"))
+    return _in_parts(spark, rows, "at", "progress", lambda s: R.subscribed(s, "user_id"), tick).select("user_id", F.col("tie").alias("event_id"), "status", "via")

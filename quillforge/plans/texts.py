@@ -164,10 +164,10 @@ def rate_limit_hourly(spark, d):
 
 def _log(spark, d):
     states = F.array(*map(F.lit, ["pending", "parsing", "analyzing", "generating", "failed", "ready"]))
-    return table(spark, d, "events").where("event_id % 3 > 0").select("user_id", "ts", "event_id", F.element_at(states, F.least(F.col("event_id") % 7 + 1, F.when(F.col("user_id") % 5 == 0, 6).when(F.col("user_id") % 5 < 3, 5).otherwise(4)).cast("int")).alias("status"))
+    return table(spark, d, "events").select("user_id", "ts", "event_id", F.element_at(states, F.least(F.col("event_id") % 7 + 1, F.when(F.col("user_id") % 5 == 0, 6).when(F.col("user_id") % 5 < 3, 5).otherwise(4)).cast("int")).alias("status"))
 
 
-_LOG = "g AS (SELECT user_id, ts, event_id, ['pending','parsing','analyzing','generating','failed','ready'][least(event_id % 7 + 1, CASE WHEN user_id % 5 = 0 THEN 6 WHEN user_id % 5 < 3 THEN 5 ELSE 4 END)] AS status FROM events WHERE event_id % 3 > 0)"
+_LOG = "g AS (SELECT user_id, ts, event_id, ['pending','parsing','analyzing','generating','failed','ready'][least(event_id % 7 + 1, CASE WHEN user_id % 5 = 0 THEN 6 WHEN user_id % 5 < 3 THEN 5 ELSE 4 END)] AS status FROM events)"
 
 
 @register("status_machine", f"""WITH {_LOG} SELECT user_id, CASE WHEN bool_or(status = 'ready') THEN 'ready' WHEN bool_or(status = 'failed') THEN 'failed' ELSE arg_max(status, ts::VARCHAR || lpad(event_id::VARCHAR, 12, '0')) END AS status,
@@ -253,7 +253,7 @@ def stream_status(spark, d):
 # -- rendering and files
 
 
-@register("markdown_export", """WITH c AS (SELECT DISTINCT n_regionkey AS g, s_nationkey AS s, s_name AS file, CAST(s_suppkey % 9 + 1 AS INTEGER) AS a, CAST(s_suppkey % 9 + 3 AS INTEGER) AS z FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0),
+@register("markdown_export", """WITH c AS (SELECT DISTINCT n_regionkey AS g, s_nationkey AS s, s_name AS file, CAST(s_suppkey % 9 + 1 AS INTEGER) AS a, CAST(s_suppkey % 9 + 3 AS INTEGER) AS z FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 l AS (SELECT r_regionkey AS g, -1 AS ord, 0 AS part, '' AS file, 0 AS at_line, '# ' || r_name || chr(10) || chr(10) || 'Version 1' || CASE WHEN r_regionkey % 2 = 0 THEN chr(10) || chr(10) || 'Commit c' || r_regionkey ELSE '' END AS line FROM region
 UNION ALL SELECT n_regionkey, n_nationkey, 0, '', 0, chr(10) || '## ' || n_name || chr(10) || chr(10) || 'Nation.' || CASE WHEN n_nationkey % 3 = 0 THEN chr(10) || chr(10) || '```mermaid' || chr(10) || 'graph TD' || chr(10) || '```' ELSE '' END FROM nation
 UNION ALL SELECT g, s, 1, file, a, '- `' || file || ':' || a || '-' || z || '`' FROM c) SELECT g AS guide_id, string_agg(line, chr(10) ORDER BY ord, part, file, at_line) || chr(10) AS text FROM l GROUP BY g""")
@@ -261,10 +261,18 @@ def markdown_export(spark, d):
     r, n, s = (table(spark, d, t) for t in ("region", "nation", "supplier"))
     guide = r.select(F.col("r_regionkey").alias("guide_id"), F.col("r_name").alias("title"), F.lit(1).alias("version"), F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("c"), F.col("r_regionkey").cast("string"))).alias("commit"))
     sections = n.select(F.col("n_regionkey").alias("guide_id"), F.col("n_nationkey").alias("section_id"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("heading"), F.lit("Nation.").alias("body"), F.when(F.col("n_nationkey") % 3 == 0, "graph TD").alias("diagram"))
-    cited = s.where("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("section_id"), F.col("s_name").alias("file"), (F.col("s_suppkey") % 9 + 1).cast("int").alias("line_start"), (F.col("s_suppkey") % 9 + 3).cast("int").alias("line_end"))
+    cited = s.select(F.col("s_nationkey").alias("section_id"), F.col("s_name").alias("file"), (F.col("s_suppkey") % 9 + 1).cast("int").alias("line_start"), (F.col("s_suppkey") % 9 + 3).cast("int").alias("line_end"))
     return sinks.markdown(guide, sections, cited)
 
 
+@register("report_comparison", f"""WITH {_SCORES}, g AS (SELECT backend, CASE WHEN grouping(category) = 1 THEN 'all' ELSE category END AS category, count(*) FILTER (NOT hinted) AS n_plain, count(*) FILTER (hinted) AS n_hinted, avg(wer) FILTER (NOT hinted) AS w0, avg(wer) FILTER (hinted) AS w1, avg(recall) FILTER (NOT hinted) AS r0, avg(recall) FILTER (hinted) AS r1,
+list_sort(list(latency) FILTER (NOT hinted))[CAST(round_even(CAST(0.5 AS DOUBLE) * (count(*) FILTER (NOT hinted) - 1), 0) AS INTEGER) + 1] AS latency_p50_plain, list_sort(list(latency) FILTER (hinted))[CAST(round_even(CAST(0.5 AS DOUBLE) * (count(*) FILTER (hinted) - 1), 0) AS INTEGER) + 1] AS latency_p50_hinted FROM s GROUP BY GROUPING SETS ((backend, category), (backend)))
+SELECT backend, category, n_plain, n_hinted, round(w0, 6) AS wer_plain, round(w1, 6) AS wer_hinted, round(w1 - w0, 6) AS wer_change, round(r0, 6) AS recall_plain, round(r1, 6) AS recall_hinted, round(r1 - r0, 6) AS recall_change, latency_p50_plain, latency_p50_hinted FROM g""")
+def report_comparison(spark, d):
+    """SNK-08: whether hints help, by backend and category."""
+    return A.compared(_scores(spark, d), ["backend"], "category", "hinted", ["wer", "recall"], "latency")
+
+
 @register("report_markdown", f"""WITH {_SCORES}, r AS (SELECT backend, hinted, count(*) AS n, CAST(sum(cost) AS BIGINT) AS total FROM s GROUP BY backend, hinted)
 SELECT '| backend | hinted | n | cost |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || backend || ' | ' || hinted || ' | ' || n || ' | ' || coalesce(CAST(total AS VARCHAR), '—') || ' |', chr(10) ORDER BY backend, hinted) AS text FROM r""")
 def report_markdown(spark, d):

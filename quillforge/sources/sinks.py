@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..io import stored
 
 
 def overwrite_by_key(df: DataFrame, path: str, key: str) -> None:
@@ -11,6 +16,62 @@ def overwrite_by_key(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
+def publish(tables: dict[str, DataFrame], root: str, version: int) -> None:
+    """SNK-01..03: writes all tables of a version, and then, as its last step, one row that names it.
+
+    Readers (published()) take the greatest version that is named, so they see all tables of
+    one version or of the one before, whenever a write stops. A version that was
+    not finished is written again from the start; one that is published is left as it is.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    if version in published_versions(spark, root):
+        return
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/version={version}/{name}")
+    spark.createDataFrame([(version, sorted(tables))], "version long, tables array<string>").coalesce(1).write.mode("append").json(f"{root}/published")
+
+
+def published_versions(spark: SparkSession, root: str) -> list[int]:
+    """The versions that can be read, ascending."""
+    if not stored(spark, f"{root}/published"):
+        return []
+    return sorted(r["version"] for r in spark.read.schema("version long").json(f"{root}/published").distinct().collect())
+
+
+def published(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """SNK-01..03: a table of the last published version, or of an older one."""
+    have = published_versions(spark, root)
+    if not have or (version is not None and version not in have):
+        raise ValueError(f"{root}: version {version} is not published" if have else f"{root}: nothing is published")
+    return spark.read.parquet(f"{root}/version={have[-1] if version is None else version}/{name}")
+
+
+#: What a type may become without a loss.
+_WIDER = {"byte": 0, "short": 1, "integer": 2, "long": 3}
+
+
+def evolved(spark: SparkSession, path: str, schema: StructType, defaults: dict[str, Column]) -> DataFrame:
+    """DDL-01: rows of all files below path/schema_version=N, as `schema` says.
+
+    A column that a version's files don't have takes its default (null without one); one that they have
+    keeps its values, nulls too. Integers may have become wider, float may have become double; any
+    other change of type is refused, and so are files with a column that the schema lacks.
+    """
+    versions = sorted(r["schema_version"] for r in spark.read.parquet(path).select("schema_version").distinct().collect())  # a handful of folders
+    parts = []
+    for v in versions:
+        df = spark.read.parquet(f"{path}/schema_version={v}")
+        own, wanted = {f.name: f.dataType for f in df.schema}, {f.name: f.dataType for f in schema}
+        if gone := sorted(set(own) - set(wanted)):
+            raise ValueError(f"schema_version={v}: {gone} would be lost")
+        for name, kind in own.items():
+            a, b = kind.typeName(), wanted[name].typeName()
+            if kind != wanted[name] and not (_WIDER.get(a, 9) < _WIDER.get(b, -1)) and (a, b) != ("float", "double"):
+                raise ValueError(f"schema_version={v}: {name} is {kind.simpleString()}, not {wanted[name].simpleString()}")
+        parts.append(df.select(*[(F.col(f.name) if f.name in own else defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in schema]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str], order: list) -> DataFrame:
     """SNK-04, DML-04: all existing rows and the first new row of each key that they lack."""
     first = new.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from ..io import stored
 
 #: STM-03: the states in order; failed never replaces ready.
 STAGES = ["pending", "parsing", "analyzing", "generating"]
@@ -125,8 +128,28 @@ def publish(stream: DataFrame, folder: str, state: str, key: str, status: str, e
     return stream.select(key, message.alias("message")).writeStream.format("json").outputMode("append").option("path", folder).option("checkpointLocation", state)
 
 
-def apply_once(stream: DataFrame, path: str, state: str, key: str):
-    """STM-05, STM-06: a query that writes each batch by key, so that a batch that is delivered again replaces what it wrote."""
-    from ..sources.sinks import overwrite_by_key
+def applied(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What apply_once() has written, with the run and batch of each row."""
+    return spark.read.schema(StructType([*schema.fields, StructField("run", StringType()), StructField("batch", LongType())])).parquet(path)
+
 
-    return stream.writeStream.foreachBatch(lambda batch, _: overwrite_by_key(batch, path, key)).option("checkpointLocation", state)
+def apply_once(stream: DataFrame, path: str, state: str, keys: list[str]):
+    """STM-05, STM-06: a query that writes each row of a stream once, whatever is delivered again.
+
+    Each batch has a folder of its own, run=<id of the query, kept in its state>/batch=<number>, which it
+    replaces: a batch that comes again after a failure writes the same rows to the same place and takes nothing from others. What
+    another batch, or a run whose state is lost, has written by the same keys is passed over; of rows with equal
+    keys within a batch one is written. Null keys are equal to each other.
+    """
+    schema = stream.schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        new = batch.dropDuplicates(keys)
+        if stored(spark, path):
+            have = applied(spark, path, schema).where((F.col("run") != run) | (F.col("batch") != number)).select(*[F.col(k).alias(f"_{k}") for k in keys])
+            new = new.join(have, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", state)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 from quillforge.operators import extract as E
@@ -10,31 +11,58 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def plain_merge(sizes, least=3, most=20):
-    groups = {k: [k] * n for k, n in sizes.items()}
-    names = {k: [k] for k in sizes}
-    up = lambda k: k.rsplit("/", 1)[0] if "/" in k else G.ROOT
+def parent(directory):
+    return directory.rsplit("/", 1)[0] if "/" in directory else G.ROOT
 
-    def fold(k):
-        groups.setdefault(up(k), []).extend(groups.pop(k))
-        names.setdefault(up(k), []).extend(names.pop(k))
 
-    while small := sorted((k for k, v in groups.items() if k != G.ROOT and len(v) < least), key=lambda k: (-k.count("/"), k)):
-        fold(small[0])
-    while len(groups) > most and (rest := sorted((k for k in groups if k != G.ROOT), key=lambda k: (len(groups[k]), -k.count("/"), k))):
-        fold(rest[0])
-    return {d: k for k, ds in names.items() for d in ds}
+def small_folded(sizes, least):
+    """Where directories end up by the first rule alone, bottom-up: the deepest level first, each level's small groups hand all they hold to their parents."""
+    held = {d: {d} for d in sizes}
+    files = Counter(sizes)
+    for depth in range(max((d.count("/") for d in sizes), default=0), -1, -1):
+        for d in [d for d in held if d != G.ROOT and d.count("/") == depth and files[d] < least]:
+            to = parent(d)
+            held.setdefault(to, set()).update(held.pop(d))
+            files[to] += files.pop(d)
+    return {d: group for group, ds in held.items() for d in ds}
 
 
-def test_merge_groups_against_plain_version():
-    rng = random.Random(9)
+def test_small_directories_are_folded_level_by_level():
     assert G.merge_groups({"a/b/c": 2, "a/b": 2, "a": 3}) == {"a/b/c": "a/b", "a/b": "a/b", "a": "a"}
-    for _ in range(300):
+    for dirs in random_trees(9, 300):
+        assert G.merge_groups(dirs, 3, 1 << 30) == small_folded(dirs, 3), dirs
+
+
+def test_merged_directories_hold_to_their_bounds():
+    """Every directory in one group, itself or one above it; no small group but the root; no more groups than allowed unless the root alone is left; the folded ones were no larger than those kept."""
+    for dirs in random_trees(10, 300):
+        for most in (1, 3, 20):
+            got = G.merge_groups(dirs, 3, most)
+            assert set(got) == set(dirs)
+            assert all(g == d or g == G.ROOT or d.startswith(f"{g}/") for d, g in got.items())
+            files = Counter()
+            for d, g in got.items():
+                files[g] += dirs[d]
+            assert all(n >= 3 for g, n in files.items() if g != G.ROOT)
+            assert len(files) <= most or set(files) == {G.ROOT}
+            first = small_folded(dirs, 3)
+            if len(set(first.values())) <= most:
+                assert got == first
+            whole = Counter()
+            for d, g in first.items():
+                whole[g] += dirs[d]
+            kept = {g for g in files if g in whole and files[g] == whole[g] and g != G.ROOT}
+            gone = {g for g in whole if g != G.ROOT and got[next(d for d in first if first[d] == g)] != g}
+            assert not gone or not kept or min(whole[g] for g in gone) <= min(whole[g] for g in kept)
+
+
+def random_trees(seed, n):
+    rng = random.Random(seed)
+    for _ in range(n):
         dirs = {"/".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): rng.randint(1, 6) for _ in range(rng.randint(0, 40))}
         if rng.random() < 0.5:
             dirs[G.ROOT] = 2
-        most = rng.choice([1, 3, 20])
-        assert G.merge_groups(dirs, 3, most) == plain_merge(dirs, 3, most), (dirs, most)
+        yield dirs
 
 
 def graph(spark, edges, files, externals=()):

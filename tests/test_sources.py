@@ -1,5 +1,7 @@
 import io
+import random
 import zipfile
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -9,6 +11,7 @@ from quillforge.operators import providers as P
 from quillforge.sources import files as S
 from quillforge.sources import sinks
 from quillforge.streaming import operators as T
+from quillforge.streaming import stateful as R
 
 
 def rows(df):
@@ -211,9 +214,106 @@ def test_published_messages_and_redelivered_batches(spark, tmp_path):
     T.publish(read(), str(tmp_path / "out"), str(tmp_path / "s1"), "k", "status", "error").trigger(availableNow=True).start().awaitTermination()
     got = rows(spark.read.schema("k int, message string").json(str(tmp_path / "out")))
     assert got == [(1, '{"status":"ready"}'), (2, '{"status":"failed","error":"why"}')]
-    for state in ("s2", "s3"):  # the second has no memory of the first
-        T.apply_once(read(), str(tmp_path / "t"), str(tmp_path / state), "k").trigger(availableNow=True).start().awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "t")).select("k", "status")) == [(1, "ready"), (2, "failed")]
+
+
+def test_each_row_of_a_stream_is_applied_once(spark, tmp_path):
+    """Two batches over the same ten keys keep all rows; a lost state, repeated and null keys, a batch that comes again."""
+    kind = "id long, k int, v string"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    run = lambda state: T.apply_once(spark.readStream.schema(kind).parquet(source), out, str(tmp_path / state), ["id"]).trigger(availableNow=True).start().awaitTermination()
+    want = []
+    for n in range(3):
+        part = [(50 * n + i, i % 10, f"v{n}") for i in range(50)] + ([(None, 1, "no id"), (3, 3, "v0")] if n != 1 else [])
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(source)
+        want += [r for r in part if r[0] != 3 or n == 0]
+        run("a")
+        if n == 1:
+            assert T.applied(spark, out, spark.createDataFrame([], kind).schema).count() == 101
+    want = sorted(set(want), key=str)
+    now = lambda: sorted((tuple(r)[:3] for r in T.applied(spark, out, spark.createDataFrame([], kind).schema).collect()), key=str)
+    assert now() == want
+    run("a")  # nothing new
+    run("b")  # all again, without memory
+    assert now() == want
+
+
+def test_limits_are_decided_as_calls_come(spark, tmp_path):
+    """Counted over batches by user and hour, a null user too, late calls on."""
+    kind = "u string, at timestamp, id long"
+    hour = lambda h, m: datetime(2024, 1, 1, h, m)
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+    def put(rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+        with R.keyed_state(spark):
+            made = R.limited(spark.readStream.schema(kind).parquet(source), "u", "at", "id", 2)
+            made.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        return {r.id: (r.n, r.allowed) for r in spark.read.parquet(out).collect()}
+
+    got = put([("a", hour(1, 5), 2), ("a", hour(1, 1), 1), ("b", hour(1, 1), 3), (None, hour(1, 1), 4)])
+    assert got == {1: (1, True), 2: (2, True), 3: (1, True), 4: (1, True)}
+    got = put([("a", hour(1, 0), 5), ("a", hour(2, 0), 6), (None, hour(1, 2), 7)])
+    assert got[5] == (3, False) and got[6] == (1, True) and got[7] == (2, True)
+    got = put([("a", datetime(2024, 1, 5), 8)])  # the watermark passes: counts are dropped
+    assert put([("a", hour(1, 30), 9), ("a", datetime(2024, 1, 5, 0, 1), 10)])[10] == (2, True) and 9 not in got
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def plain_subscriber(rows, poll=5):
+    """(tie, status, via) of one key's rows (second, tie, status, via), second by second."""
+    rows, out = sorted(rows, key=lambda r: (r[0], r[1], r[3] != "table")), []
+    if not rows:
+        return out
+    row, timer, end = None, None, max(r[0] for r in rows) + 2 * poll
+    for second in range(rows[0][0], end + 1):
+        if timer is not None and second > timer:  # what comes in the same second comes first
+            if row[1] in T.TERMINAL:
+                return [*out, (*row, "poll")]
+            timer += poll
+        for _, tie, status, via in [r for r in rows if r[0] == second]:
+            if row is not None and row[1] in T.TERMINAL and (via == "table" or tie != row[0]):
+                continue
+            if via == "table":
+                if row is None:
+                    out.append((tie, status, via))
+                    timer = second + poll
+                row = (tie, status)
+            elif row is not None:
+                out.append((tie, status, via))
+                timer = second + poll
+            if out and out[-1][1] in T.TERMINAL:
+                return out
+    return out
+
+
+def test_subscribers_against_a_plain_loop(spark, tmp_path):
+    rng = random.Random(4)
+    kind = "k string, at timestamp, tie long, status string, via string"
+    parts, keys = [[], [], []], {}
+    for k in range(25):
+        t, rows = rng.randint(0, 9), []
+        for tie in range(rng.randint(1, 8)):
+            status = rng.choice([*T.STAGES, *T.TERMINAL]) if rng.random() < 0.5 else rng.choice(T.STAGES)
+            rows.append((t, tie, status, "table"))
+            if rng.random() < 0.6:
+                rows.append((t, tie, status, "message"))
+            if status in T.TERMINAL:
+                break
+            t += rng.choice([1, 3, 5, 7, 12])
+        keys[f"k{k}"] = rows
+        for r in rows:
+            parts[min(r[0] // 12, 2)].append((f"k{k}", datetime(2024, 1, 1) + timedelta(seconds=r[0]), *r[1:]))
+    parts.append([(None, datetime(2030, 1, 1), 0, "pending", "tick")])
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for part in parts:
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(source)
+        with R.keyed_state(spark):
+            made = R.subscribed(spark.readStream.schema(kind).parquet(source), "k", "1 second")
+            made.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.schema("k string, tie long, status string, via string").parquet(out).collect())
+    assert got == sorted((k, *r) for k, rows in keys.items() for r in plain_subscriber(rows))
+    assert {r[3] for r in got} == {"table", "message", "poll"}
 
 
 def test_prompt_versions(tmp_path):
@@ -263,6 +363,63 @@ def test_a_hung_remote_is_killed(tmp_path):
     assert time.monotonic() - began < 20
 
 
+def test_snapshots_are_published_whole(spark, tmp_path):
+    """A version whose second table fails leaves the old one readable, and is written again."""
+    root = str(tmp_path / "s")
+    one = spark.createDataFrame([(1,)], "a int")
+    with pytest.raises(ValueError, match="nothing"):
+        sinks.published(spark, root, "x")
+    sinks.publish({"x": one, "y": one}, root, 1)
+    two = spark.createDataFrame([(2,)], "a int")
+    with pytest.raises(Exception, match="stopped"):
+        sinks.publish({"x": two, "y": one.select(F.raise_error(F.lit("stopped")).alias("a"))}, root, 2)
+    assert rows(sinks.published(spark, root, "x")) == [(1,)]
+    sinks.publish({"x": two, "y": two}, root, 2)
+    assert rows(sinks.published(spark, root, "x")) == rows(sinks.published(spark, root, "y")) == [(2,)]
+    sinks.publish({"x": one, "y": one}, root, 2)  # what is published stays
+    assert rows(sinks.published(spark, root, "y")) == [(2,)] and rows(sinks.published(spark, root, "x", 1)) == [(1,)]
+    with pytest.raises(ValueError, match="7"):
+        sinks.published(spark, root, "x", 7)
+
+
+def test_schema_versions(spark, tmp_path):
+    root = str(tmp_path / "v")
+    put = lambda v, data, kind: spark.createDataFrame(data, kind).write.parquet(f"{root}/schema_version={v}")
+    put(1, [(1, 5)], "id long, n int")
+    put(2, [(2, 6, None), (3, 7, "x")], "id long, n long, s string")
+    kind = spark.createDataFrame([], "id long, n long, s string, f double").schema
+    assert rows(sinks.evolved(spark, root, kind, {"s": F.lit("-")}).na.fill("null", ["s"])) == [(1, 5, "-", None), (2, 6, "null", None), (3, 7, "x", None)]
+    with pytest.raises(ValueError, match="lost"):
+        sinks.evolved(spark, root, spark.createDataFrame([], "id long, n long").schema, {})
+    with pytest.raises(ValueError, match="n is bigint, not int"):
+        sinks.evolved(spark, root, spark.createDataFrame([], "id long, n int, s string").schema, {})
+
+
+def test_calls_are_cached(spark, tmp_path):
+    """Equal inputs are one call; a second run asks only what is new or has failed; another version or model asks anew."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def opened():
+        def rule(t):
+            calls.add(1)
+            if t == "boom":
+                raise ValueError(t)
+            return t.upper()
+
+        return P.Canned(rule)
+
+    cache = str(tmp_path / "c")
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "boom"), (4, "b"), (5, "")], "id int, t string")
+    ask = lambda rows_, version="v1", model="m": P.cached(rows_, "id", "t", opened, "s", version, model, cache)
+    want = [(1, "A"), (2, "A"), (3, "B"), (4, "B"), (4, None), (5, "")]
+    got = lambda x: sorted((tuple(r) for r in x.collect()), key=str)
+    assert got(ask(df)) == want and calls.value == 4
+    assert got(ask(df)) == want and calls.value == 5  # the failed one
+    assert got(ask(df.where("t <> 'boom'").unionByName(df.limit(0)))) == [r for r in want if r[1] is not None] and calls.value == 5
+    ask(df, version="v2"), ask(df, model="n")
+    assert calls.value == 13
+
+
 def test_versioned_update(spark):
     have = spark.createDataFrame([("a", 1, "old"), ("b", 4, "old"), ("c", 2, "old")], "k string, version int, value string")
     writes = spark.createDataFrame([("a", 1, "second", 2), ("a", 1, "first", 1), ("a", 2, "early", 0), ("b", 3, "stale", 1), ("d", 1, "unknown", 1), ("c", None, "blind", 1)], "k string, version int, value string, at int")

@@ -179,3 +179,10 @@ def test_day_labels(spark):
 
     label = lambda at: one(spark, T.day_label(F.lit(at).cast("timestamp_ntz"), F.lit("2024-03-05 10:00:00").cast("timestamp_ntz")))
     assert [label(x) for x in ("2024-03-05 00:00:00", "2024-03-05 09:05:30", "2024-03-06 14:20:00", "2024-03-04 23:59:59", "2024-03-03 09:05:00")] == ["Today, 00:00", "Today, 09:05", "Today, 14:20", "Yesterday, 23:59", "3 Mar, 09:05"]
+
+
+def test_labels_of_any_length(spark):
+    long = "a" * 1_500_000
+    df = spark.createDataFrame([(f"dir/{long}.py", f"x/{long}", f"1 {'b' * 1_500_000}C_d")], "p string, k string, t string")
+    got = df.select(X.fallback_label(F.col("p")), X.fallback_name(F.col("k")), F.size(X.technical_terms(F.col("t")))).first()
+    assert got[0] == got[1] == "A" + long[1:] and got[2] == 1
