@@ -6,8 +6,14 @@ consecutive template tokens are hashed; documents' windows are hash-joined with
 benchmark's. Where a document has enough of an item's windows, the values in the
 placeholders are compared: an item's value must always stand for the same value in
 the document and the other way round. So a question with other numbers or names is
-caught, and a text that only has a similar form is not. Items too short for a
-window, or of little but placeholders, are matched exactly, word by word.
+caught, and a text that only has a similar form is not. What is a name is told by its
+capital, so beside it every item is looked for by windows of its plain words in lower
+case: a copy in capitals, title or lower case has these. Items too short for a template window, or
+of little but placeholders, are matched exactly, word by word.
+
+Items that differ by nothing but the values in their placeholders (and are alike in which
+of them are equal) are one class: their windows are joined once, and a document gives one row for
+the class, however many items it has. item_classes() tells the members.
 
 One pass over the documents, however large the benchmark is: a bit map of the
 benchmark's window hashes, of bounded size, picks the windows that may meet one.
@@ -23,6 +29,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +55,16 @@ _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?:;\n\""]] = True
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with the letters À to Þ in lower case, in UTF-8; A to Z are by the table of hashes."""
+    at = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    if not len(at):
+        return data
+    out = data.copy()
+    out[at] += np.uint8(0x20)
+    return out
+
+
 def _hash_of(words: list[str]) -> np.ndarray:
     data = np.frombuffer("\n".join(words).encode(), np.uint8)
     starts, _, _ = K.spans(data, np.array([0, len(data)]), ~WORD)
@@ -67,7 +84,7 @@ def templates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(starts)
     if not n:
         return np.zeros(0, U), np.zeros(0, np.int8), np.zeros(0, U), counts, np.zeros(0, U), counts
-    h = K.word_hashes(data, starts, _WORDS)
+    h = K.word_hashes(lowered(data), starts, _WORDS)
     of = np.repeat(np.arange(len(counts)), counts)
     first = np.concatenate([[True], of[1:] != of[:-1]])
     sums = lambda mask: np.concatenate([[0], np.cumsum(mask)])
@@ -106,11 +123,22 @@ def _exact_windows(h: np.ndarray, counts: np.ndarray, size: int, least: int) ->
     return tuple(x[whole] for x in got)
 
 
-_ITEM_WINDOWS = "h long, item long, item_id long, place int, n_windows int, size int, kinds binary, slots binary"
+_ITEM_WINDOWS = "h long, cls long, item long, item_id long, first int, place int, n_windows int, size int, kinds binary, slots binary"
+
+
+def _class_of(token: np.ndarray, kind: np.ndarray, value: np.ndarray) -> int:
+    """The same for items with the same template whose placeholders are equal to one another in the same places."""
+    slots = value[kind > 0]
+    _, at, which = np.unique(slots, return_index=True, return_inverse=True)
+    return xxhash.xxh64_intdigest(token.tobytes() + at[which].astype(np.int64).tobytes()) - (1 << 63)
 
 
 def item_windows(benchmark: DataFrame, k: int, least: int) -> DataFrame:
-    """A row for each window of each item: its hash, its place in the item, how many the item has; size 0 and the kinds and values of its k tokens (empty if all are words), or, of an item that is matched exactly, the words of a window."""
+    """A row for each window of each item (first: 1 for one row of each): its hash, its place in the item, how many of the kind the item has.
+
+    size 0 are template windows, with the kinds and values of their k tokens (empty if all are words);
+    size -k windows of plain words of the same items; size > 0 windows of an item that is matched exactly.
+    """
 
     def run(batches):
         for batch in batches:
@@ -120,21 +148,39 @@ def item_windows(benchmark: DataFrame, k: int, least: int) -> DataFrame:
                 end, word_end = np.cumsum(counts), np.cumsum(words)
                 for j, (n, m) in enumerate(zip(counts.tolist(), words.tolist(), strict=True)):
                     item, item_id = batch.column(0)[i + j].as_py(), batch.column(1)[i + j].as_py()
-                    kinds, values = kind[end[j] - n : end[j]], value[end[j] - n : end[j]]
-                    h, at, _ = _template_windows(token[end[j] - n : end[j]], kinds, np.array([n]), k)
+                    tokens, kinds, values, own = token[end[j] - n : end[j]], kind[end[j] - n : end[j]], value[end[j] - n : end[j]], word[word_end[j] - m : word_end[j]]
+                    h, at, _ = _template_windows(tokens, kinds, np.array([n]), k)
+                    cls = _class_of(tokens, kinds, values) if len(h) else _class_of(own, np.zeros(m, np.int8), own)
+                    out = []
                     for x, p in zip(h.view(np.int64).tolist(), at.tolist(), strict=True):
                         slots = kinds[p : p + k].any()
-                        rows.append((x, item, item_id, p, len(h), 0, kinds[p : p + k].tobytes() if slots else b"", values[p : p + k].tobytes() if slots else b""))
-                    if not len(h) and m:
-                        size = min(m, EXACT)
-                        h, at, _ = _exact_windows(word[word_end[j] - m : word_end[j]], np.array([m]), size, least)
-                        rows += [(x, item, item_id, p, len(h), size, b"", b"") for x, p in zip(h.view(np.int64).tolist(), at.tolist(), strict=True)]
-            yield from row_batches(rows, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["h", "item", "item_id", "place", "n_windows", "size", "kinds", "slots"])
+                        out.append((x, p, len(h), 0, kinds[p : p + k].tobytes() if slots else b"", values[p : p + k].tobytes() if slots else b""))
+                    if m:
+                        size = k if len(h) else min(m, EXACT)
+                        g, at, _ = _exact_windows(own, np.array([m]), size, least)
+                        out += [(x, p, len(g), -size if len(h) else size, b"", b"") for x, p in zip(g.view(np.int64).tolist(), at.tolist(), strict=True)]
+                    rows += [(x, cls, item, item_id, int(not r), *rest) for r, (x, *rest) in enumerate(out)]
+            yield from row_batches(rows, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.binary()], ["h", "cls", "item", "item_id", "first", "place", "n_windows", "size", "kinds", "slots"])
 
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
     return items.mapInArrow(run, _ITEM_WINDOWS)
 
 
+def item_classes(benchmark: DataFrame, k: int = 5, least: int = 3) -> DataFrame:
+    """(item_id, class_id) for each item of benchmark(item_id, text) that has words: class_id is the least item_id of those with its template."""
+    items = item_windows(benchmark, k, least).where("first = 1").select("item_id", "cls")
+    return items.join(items.groupBy("cls").agg(F.min("item_id").alias("class_id")), "cls").select("item_id", "class_id")
+
+
+def _class_windows(items: DataFrame) -> DataFrame:
+    """The windows of each class, once: the template windows of its first item, the different word windows of all."""
+    least = items.groupBy("cls").agg(F.min("item").alias("item"), F.min("item_id").alias("item_id"), F.sum("first").cast("long").alias("n_items"))
+    columns = ["h", "item", "item_id", "n_items", "place", "n_windows", "size", "kinds", "slots"]
+    template = items.where("size = 0").drop("item_id").join(least, ["cls", "item"]).select(*columns)
+    words = items.where("size <> 0").groupBy("cls", "h", "place", "size").agg(F.min("n_windows").alias("n_windows"), F.min("kinds").alias("kinds"), F.min("slots").alias("slots"))
+    return template.unionByName(words.join(least, "cls").select(*columns))
+
+
 def _consistent(pairs: dict[int, tuple[int, int]]) -> tuple[int, int, int]:
     """Of the slots compared: how many, how many fit one mapping of values both ways, how many have another value."""
     there, back = defaultdict(Counter), defaultdict(Counter)
@@ -185,46 +231,59 @@ def _new(seen: set, k1: list, k2: list) -> list[bool]:
     return out
 
 
+def _close(along: dict[int, dict], enough: float) -> int:
+    """How many places of an item have a window in alignments up to SHIFT tokens apart, if these are enough, else 0."""
+    most = max(len({p for x in range(shift - SHIFT, shift + SHIFT + 1) if x in along for p in along[x]}) for shift in along)
+    return most if most >= enough else 0
+
+
 def _judged(rows: DataFrame, k: int, coverage: float, agree: float, fewest: int) -> DataFrame:
-    """The items that texts contain. rows: windows that a text (k1, k2) and an item both have, those of one text and item one after the other."""
+    """The items that texts contain. rows: windows that a text (k1, k2) and a class of items both have, those of one text and class one after the other."""
 
     def judge(held: list) -> tuple | None:
-        k1, k2, _, item_id, n_windows, size = held[0][:6]
-        along = defaultdict(dict)
-        for *_, place, at, kinds, mine, its in held:
+        k1, k2, _, item_id, n_items = held[0][:5]
+        along, whole = defaultdict(lambda: defaultdict(dict)), {}
+        for *_, n_windows, size, place, at, kinds, mine, its in held:
             slots = ()
             if any(kinds):
                 a, b = np.frombuffer(mine, np.int64), np.frombuffer(its, np.int64)
                 slots = [(place + t, int(a[t]), int(b[t])) for t in range(k) if kinds[t]]
-            along[at - place][place] = slots
-        n = len({p for own in along.values() for p in own})
-        if size:
-            return (k1, k2, item_id, n, n_windows, 0, 0) if any(len(own) == n_windows for own in along.values()) else None
-        enough = max(coverage * n_windows, min(n_windows, fewest))
-        told = _agreeing(along, enough, agree) if n >= enough else None
-        return told and (k1, k2, item_id, n, n_windows, *told)
+            kind = (size > 0) - (size < 0)
+            along[kind][at - place][place] = slots
+            whole[kind] = min(n_windows, whole.get(kind, n_windows))
+        least = {kind: max(coverage * n, min(n, fewest)) for kind, n in whole.items()}
+        n = {kind: len({p for places in own.values() for p in places}) for kind, own in along.items()}
+        full = {kind: any(len(places) >= whole[kind] for places in own.values()) for kind, own in along.items()}
+        if 1 in along:
+            return (k1, k2, item_id, n_items, n[1], whole[1], 0, 0) if full[1] else None
+        if 0 in along and n[0] >= least[0] and (told := _agreeing(along[0], least[0], agree)):
+            slots, changed = told
+            return k1, k2, item_id, n_items, n[0], whole[0], slots, 0 if full.get(-1) else changed
+        if -1 in along and (close := _close(along[-1], least[-1])):
+            return k1, k2, item_id, n_items, close, whole[-1], 0, 0
+        return None
 
     def run(batches):
-        names = ["k1", "k2", "item_id", "n_windows", "item_windows", "n_slots", "n_changed"]
+        names = ["k1", "k2", "item_id", "n_items", "n_windows", "item_windows", "n_slots", "n_changed"]
         told = []
         each = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True))
         for _, held in groupby(each, key=lambda row: row[:3]):
             if found := judge(list(held)):
                 told.append(found)
             if len(told) == 1024:
-                yield from row_batches(told, [pa.int64()] * 7, names)
+                yield from row_batches(told, [pa.int64()] * 8, names)
                 told = []
-        yield from row_batches(told, [pa.int64()] * 7, names)
+        yield from row_batches(told, [pa.int64()] * 8, names)
 
-    needed = rows.select("k1", "k2", "item", "item_id", "n_windows", "size", "place", "at", "kinds", "slots", "values")
-    return needed.mapInArrow(run, "k1 long, k2 long, item_id long, n_windows long, item_windows long, n_slots long, n_changed long")
+    needed = rows.select("k1", "k2", "item", "item_id", "n_items", "n_windows", "size", "place", "at", "kinds", "slots", "values")
+    return needed.mapInArrow(run, "k1 long, k2 long, item_id long, n_items long, n_windows long, item_windows long, n_slots long, n_changed long")
 
 
 def _found(texts: DataFrame, benchmark: DataFrame, k: int, coverage: float, agree: float, least: int, fewest: int, map_bits: int, copies: bool = False) -> DataFrame:
-    """(k1, k2, item_id, n_windows, item_windows, n_slots, n_changed) for texts with the keys k1 and k2 and a text. copies: rows of one key have one text, which is judged once."""
+    """(k1, k2, item_id, n_items, n_windows, item_windows, n_slots, n_changed) for texts with the keys k1 and k2 and a text. copies: rows of one key have one text, which is judged once."""
     spark = texts.sparkSession
-    items = written(item_windows(benchmark, k, least), "items")
-    sizes = sorted(r["size"] for r in items.where("size > 0").select("size").distinct().collect())  # EXACT at most
+    items = written(_class_windows(written(item_windows(benchmark, k, least), "items")), "item_classes")
+    sizes = sorted(r["size"] for r in items.where("size <> 0").select(F.abs("size").alias("size")).distinct().collect())  # EXACT at most
     sent = spark.sparkContext.broadcast(id_map(items.select("h"), map_bits, each=2048))
 
     def run(batches):
@@ -258,18 +317,20 @@ def _found(texts: DataFrame, benchmark: DataFrame, k: int, coverage: float, agre
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.33, agree: float = 0.8, least: int = 3, fewest: int = 4, map_bits: int = 28) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, n_slots, n_changed): items that documents contain.
+    """(doc_id, item_id, n_items, n_windows, item_windows, n_slots, n_changed): items that documents contain.
 
-    docs has doc_id and text, benchmark item_id and text. An item counts as
+    docs has doc_id and text, benchmark item_id and text. Items of one template are a
+    class: item_id is its least and n_items their number (item_classes() has the members). An item counts as
     contained if at least `coverage` of its windows of k template tokens, and `fewest`
     of them or all, come in the document and at least `agree` of the compared placeholders fit one
     mapping of values at one of the places where it may stand (_agreeing());
-    n_changed tells how many have another value there than in the benchmark (0: a
-    verbatim leak). Windows that are placeholders by more than half don't count. An
+    n_changed tells how many have another value there than in the class's first item (0: a
+    verbatim leak, of any item of the class). It counts as well, in any letter case, if as many of its windows of k plain words come,
+    in alignments up to SHIFT words apart. Windows that are placeholders by more than half don't count. An
     item without any window that does counts as contained where all its words, in
     lower case, come one after the other; one of fewer than `least` words only in a
     document that has no others. Items without words are never matched. Null or
-    empty texts match nothing; repeated documents and items give a row each; null
+    empty texts match nothing; repeated documents give a row each, repeated items are one class; null
     ids stay null; extra columns are left out; an empty table on either side gives
     no rows. map_bits bounds the bit map of the benchmark: a full map costs time only.
     """
