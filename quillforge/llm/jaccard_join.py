@@ -21,15 +21,17 @@ Jaccard similarity reaches a threshold given as a fraction.
    class (pigeonhole; it holds for any order that all documents use alike).
 4. Documents sharing an index entry are joined to the entry's least document
    only, and components of these candidate edges are formed.
-5. In each component every pair is verified by exact overlap counts, in one task
-   while the component is small, else in tasks for pairs of its blocks. A bit map
-   of candidates, of bounded size, keeps other texts out of this shuffle.
+5. In each component pairs are verified by exact overlap counts, in one task
+   while the component is small. A larger one is dealt to levels by the size of the sets, and
+   these to blocks: sets that link are at most two levels apart, so only pairs of blocks that near are
+   tasks. A bit map of candidates, of bounded size, keeps other texts out of this shuffle.
 
 So no link is lost and pairs of documents never become rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -363,9 +365,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rar
     alone = same.select(F.col("rep").alias("node")).distinct().join(candidate, "node", "left_anti")
     candidate = candidate.unionByName(alone.select("node", F.col("node").alias("root")))
     member = candidate.join(classes, F.col("node") == F.col("rep")).select("root", "node", "n", "f1", "f2", "copies")
-    sizes = member.groupBy("root").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
-    member = written(member.join(sizes, "root"), "members").withColumn("parts", F.ceil(F.greatest(F.col("docs") / group_docs, F.col("total") / group_shingles)).cast("int"))
-    found = written(_links(docs, member, k, num, den), "links")
+    member = written(member.withColumn("level", F.floor(F.log("n") * (2 / (math.log(den / num) + 1e-9))) if num < den else F.col("n")), "members")
+    found = written(_links(docs, member, k, num, den, group_docs, group_shingles), "links")
 
     label = components(found.select("a", "b").unionByName(same.select(F.col("least").alias("a"), F.col("rep").alias("b"))))
     links = found.groupBy(F.col("a").alias("rep"), "f1", "f2").agg(F.sum("w").alias("w"))
@@ -376,20 +377,28 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rar
     return full.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
-def _links(docs: DataFrame, member: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The verified links of all candidate components, a task for each component or pair of its blocks."""
-    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    member = member.withColumn("block", block)
-    # within blocks, then between each two: a block is the left side of those after it, the right side of those before
-    within = member.select(F.xxhash64("root", "block").alias("grp"), F.lit(0).alias("side"), "*")
-    later = member.where("parts > 1 and block < parts - 1").select(F.explode(F.expr("sequence(block + 1, parts - 1)")).alias("other"), "*").select(F.xxhash64("root", "block", "other").alias("grp"), F.lit(1).alias("side"), *member.columns)
-    earlier = member.where("parts > 1 and block > 0").select(F.explode(F.expr("sequence(0, block - 1)")).alias("other"), "*").select(F.xxhash64("root", "other", "block").alias("grp"), F.lit(2).alias("side"), *member.columns)
-    rows = within.unionByName(later).unionByName(earlier)
+def _links(docs: DataFrame, member: DataFrame, k: int, num: int, den: int, group_docs: int, group_shingles: int) -> DataFrame:
+    """The verified links of all candidate components: a task for each small component, and for each block and pair of near blocks of a large one. Sets that link differ by two in level at most."""
+    parts = F.ceil(F.greatest(F.col("docs") / group_docs, F.col("total") / group_shingles)).cast("int")
+    count = lambda *keys: member.groupBy(*keys).agg(F.count("*").alias("docs"), F.sum("n").alias("total")).withColumn("parts", parts)
+    large = written(count("root").where("parts > 1").select("root"), "large")
+    dealt = written(count("root", "level").join(large, "root", "left_semi").select("root", "level", "parts"), "levels")
+    row = ["grp", "side", "node", "f1", "f2", "copies"]
+    small = member.join(large, "root", "left_anti").select(F.xxhash64("root").alias("grp"), F.lit(0).alias("side"), *row[2:])
+    own = member.join(dealt, ["root", "level"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    within = own.select(F.xxhash64("root", "level", "block").alias("grp"), F.lit(0).alias("side"), *row[2:])
+    # a block is the left side with those after it, the right side with those before
+    blocks = dealt.select("root", "level", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    other = blocks.select("root", F.col("level").alias("level2"), F.col("block").alias("block2"))
+    after = F.struct("level2", "block2") > F.struct(F.col("level").alias("level2"), F.col("block").alias("block2"))
+    pairs = blocks.join(other, "root").where(after & (F.col("level2") - F.col("level") <= 2)).withColumn("grp", F.xxhash64("root", "level", "block", "level2", "block2"))
+    ends = pairs.select("root", "level", "block", "grp", F.lit(1).alias("side")).unionByName(pairs.select("root", F.col("level2").alias("level"), F.col("block2").alias("block"), "grp", F.lit(2).alias("side")))
+    rows = small.unionByName(within).unionByName(own.join(ends, ["root", "level", "block"]).select(*row))
     sent = docs.sparkSession.sparkContext.broadcast(id_map(member.select("node")))  # 32 MB at most
 
     def candidates(batches):
         for batch in batches:
             yield batch.filter(pa.array(in_map(sent.value, batch.column(0).to_numpy(zero_copy_only=False))))
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(candidates, "node long, text string").join(rows.select("node", "grp", "side", "f1", "f2", "copies"), "node").withColumnRenamed("node", "doc_id")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(candidates, "node long, text string").join(rows, "node").withColumnRenamed("node", "doc_id")
     return _verified(texts.repartition("grp").sortWithinPartitions("grp", "side", "doc_id", "f1", "f2"), k, num, den)
