@@ -22,6 +22,7 @@ run of other signs, and a token that repeats the one before it is a feature of i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -250,7 +251,7 @@ def sharded_nnpu(docs: DataFrame, keys: np.ndarray, positive: list[np.ndarray],
         total = sum(np.frombuffer(x.as_buffer()) for x in t.column("w"))
         return pa.table({"shard": t.column("shard").slice(0, 1), "w": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64())})
 
-    kind = "shard long, w binary, n long"
+    kind, groups = "shard long, w binary, n long", math.isqrt(n_shards - 1) + 1  # as many groups as vectors in each
     dealt = written(docs.mapInArrow(patterns, "shard long, doc_id long, f binary"), "patterns")
 
     def training(w: np.ndarray, bias: float, turn: int):
@@ -263,18 +264,20 @@ def sharded_nnpu(docs: DataFrame, keys: np.ndarray, positive: list[np.ndarray],
         return fit
 
     for turn in range(rounds):
-        got = dealt.groupBy("shard").applyInArrow(training(w, bias, turn), kind).groupBy(F.col("shard") % 64).applyInArrow(add, kind).toArrow()  # 64 vectors at most
+        got = dealt.groupBy("shard").applyInArrow(training(w, bias, turn), kind).groupBy(F.col("shard") % groups).applyInArrow(add, kind).toArrow()
         got = add(got)
         mean = np.frombuffer(got.column("w")[0].as_buffer()) / got.column("n")[0].as_py()
         w, bias = mean[:-1], float(mean[-1])
     return w, bias
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, shard: int = 8000, rounds: int = 8, epochs: int = 10) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, shard: int = 8000, rounds: int = 8, epochs: int = 10, features: int = 4096) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text); labels has doc_id and toxic.
 
     Learns from at most most_positive confirmed toxic rows and from all documents
-    as unlabelled ones, in shards of about `shard`, none of them held out; the class
+    as unlabelled ones, in shards of about `shard`, none of them held out. Its features are the
+    `features` words and beginnings of words, at most, that the confirmed have more often than all documents do, by a
+    chi-square that counts the unlabelled as one shard of them (all, where there are fewer). The class
     prior is the share of toxic rows among the labelled ones that may teach. Several
     labels of one document count as the greatest. Without any such row, or without
     positives, all scores are the prior. A null or empty text scores as one without
@@ -296,7 +299,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, shar
         if len(keys):
             # the unlabelled weigh as a shard of them would, however many there are, so that the test is alike at every size
             weight = min(1.0, shard / n_docs)
-            keys = keys[pick_features(in_p, n_confirmed, unlabelled_counts(teach.select("text"), keys) * weight, n_docs * weight, prior)]
+            keys = keys[pick_features(in_p, n_confirmed, unlabelled_counts(teach.select("text"), keys) * weight, n_docs * weight, prior, features)]
         if len(keys):
             w, bias = sharded_nnpu(teach, keys, _kept_features(confirmed, keys), n_docs, prior, shard, rounds, epochs)
     model = spark.sparkContext.broadcast((keys, w, bias))
