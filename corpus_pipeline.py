@@ -34,16 +34,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of documents linked by five-word Jaccard similarity of 0.8, the one with the least doc_id.
 
     A document is a doc_id with a text: rows equal in both are one, different texts
-    under one doc_id are judged each by itself. Rows with a null doc_id are all kept,
+    under one doc_id are judged each by itself; they are known by two 64-bit hashes. Rows with a null doc_id are all kept,
     and so are those with a null or empty text, one of each doc_id. An empty table
     stays empty; columns other than those of `documents` are left out.
     """
     prepare(spark)
     docs = docs.select(*COLUMNS)
-    named = docs.where("doc_id IS NOT NULL").withColumn("_key", F.xxhash64("doc_id", "text"))
+    two = F.xxhash64(F.lit(1), "doc_id", "text")
+    named = docs.where("doc_id IS NOT NULL").withColumns({"_key": F.xxhash64("doc_id", "text"), "_two": two})
     group = jaccard_join(named.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
     first = named.select("_key", "doc_id").join(group, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("first._key")
-    kept = named.join(first, "_key", "left_semi").dropDuplicates(["_key"])
+    # documents that one hash does not tell apart: no link of theirs is certain, so they stay
+    clash = named.groupBy("_key").agg(F.min("_two").alias("a"), F.max("_two").alias("b")).where("a <> b").select("_key")
+    kept = named.join(first.unionByName(clash), "_key", "left_semi").dropDuplicates(["_key", "_two"])
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
