@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -273,13 +275,30 @@ def build(files: DataFrame, imports: DataFrame, roots: DataFrame) -> tuple[DataF
     return nodes, edges
 
 
+def matched(pairs: DataFrame, key: str) -> DataFrame:
+    """GRF-13: (key, id, drawn): the stable matching of pairs(key, id, drawn, like): no two nodes without each other would both be better off together.
+
+    Of two pairs the one with more `like` is better, then the one with the lesser id, then drawn. In each
+    round the pairs that are the best of both their nodes are matched and all others of these nodes
+    go; the best of the pairs left is always matched, so rounds end. Each is a written table.
+    """
+    left, out, turn = written(pairs, "pairs"), [], 0
+    w = lambda node: Window.partitionBy(key, node).orderBy(F.desc("like"), "id", "drawn")
+    while not left.isEmpty():
+        turn += 1
+        placed = left.withColumns({"_a": F.row_number().over(w("id")), "_b": F.row_number().over(w("drawn"))})
+        best = written(placed.where("_a = 1 AND _b = 1").select(key, "id", "drawn"), f"matched{turn}")
+        out.append(best)
+        left = written(left.join(best.select(key, "id"), [key, "id"], "left_anti").join(best.select(key, "drawn"), [key, "drawn"], "left_anti").select(pairs.columns), f"pairs{turn}")
+    return reduce(DataFrame.unionByName, out) if out else left.select(key, "id", "drawn")
+
+
 def grade_drawing(nodes: DataFrame, edges: DataFrame, drawn_nodes: DataFrame, drawn_edges: DataFrame, key: str, alike: float = 0.8, penalty: float = 0.1) -> DataFrame:
     """GRF-13: (key, node_share, edge_share, extraneous, score) of drawings against reference graphs.
 
-    nodes(key, id, label), edges(key, source, target). A reference node is found
-    in the drawn node whose label is most like its own (one less the edit distance
-    over the longer length, at least `alike`; ties by id), where that drawn node has
-    no reference node more like it. An edge is found if both ends are and the drawn
+    nodes(key, id, label), edges(key, source, target). Reference nodes are matched to
+    drawn ones by labels (one less the edit distance over the longer length, at
+    least `alike`), see matched(): a node that loses its first choice gets its next. An edge is found if both ends are and the drawn
     edge has its direction. Score: 0.6 of the edges' share and 0.4 of the nodes',
     less `penalty` times the share of what is drawn without a counterpart, in 0 to
     1. A reference without edges counts as found in its edges.
@@ -290,8 +309,7 @@ def grade_drawing(nodes: DataFrame, edges: DataFrame, drawn_nodes: DataFrame, dr
     longer = F.greatest(F.length(a), F.length(b), F.lit(1))
     pairs = nodes.join(drawn_nodes.select(key, F.col("id").alias("drawn"), F.col("label").alias("_label")), key).where(F.abs(F.length(a) - F.length(b)) <= F.lit(1 - alike) * longer + F.lit(1e-9))
     pairs = pairs.withColumn("like", 1 - F.levenshtein(a, b) / longer).where(F.col("like") >= alike)
-    best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(key, "id").orderBy(F.desc("like"), "drawn"))).where("_n = 1")
-    best = best.withColumn("_n", F.row_number().over(Window.partitionBy(key, "drawn").orderBy(F.desc("like"), "id"))).where("_n = 1").select(key, "id", "drawn")
+    best = matched(pairs.select(key, "id", "drawn", "like"), key)
     ends = edges.join(best.select(key, F.col("id").alias("source"), F.col("drawn").alias("_source")), [key, "source"]).join(best.select(key, F.col("id").alias("target"), F.col("drawn").alias("_target")), [key, "target"])
     found = ends.select(key, F.col("_source").alias("source"), F.col("_target").alias("target")).distinct().join(drawn_edges, [key, "source", "target"])
     count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))

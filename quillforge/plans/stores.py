@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..io import importable, shared_folder, table
+from ..io import importable, shared_folder, table, written
 from ..operators import extract as E
 from ..operators import providers as P
+from ..sources import archives as Z
 from ..sources import files as S
 from ..sources import repositories as V
 from ..sources import sinks
@@ -89,6 +90,32 @@ def git_source(spark, d):
     return files.select("path", F.decode("content", "UTF-8").alias("text"), (F.col("commit") == first).alias("pinned"), (F.col("reachable") & (F.col("head") == second) & F.col("error").isNull()).alias("at_head"))
 
 
+@register("archive_members", """SELECT 'a' || doc_id // 64 AS archive, 'ok' AS verdict, 'src/d' || doc_id || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS length, sha256(text) AS hash FROM documents WHERE strlen(text) > 100
+UNION ALL SELECT 'none', 'not a zip file', NULL, NULL, NULL UNION ALL SELECT DISTINCT 'x' || doc_id // 640, 'outside', NULL, NULL, NULL FROM documents""")
+def archive_members(spark, d):
+    """SRC-02, SRC-03: the texts in archives of some 64; those of more than 100 bytes are read back by their ranges. Every tenth archive has a twin with a member outside; one address holds nothing."""
+    docs, folder = table(spark, d, "documents").where("text IS NOT NULL"), shared_folder(spark, "archives")
+    file = docs.select(F.concat(F.lit("a"), F.expr("doc_id div 64")).alias("name"), F.concat(F.lit("src/d"), "doc_id", F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    odd = docs.select(F.concat(F.lit("x"), F.expr("doc_id div 640")).alias("name"), F.concat(F.lit("../up"), "doc_id").alias("path"), F.encode("lang", "UTF-8").alias("content")).where("content IS NOT NULL")
+    index = written(Z.pack_zip(file.unionByName(odd), folder), "archive-index").select("archive")
+    missing = spark.range(1).select(F.lit(f"{folder}/none.zip").alias("archive"))
+    got = Z.unzip_members(index.unionByName(missing), F.col("length") > 100)
+    return got.select(F.regexp_extract("archive", r"([^/]*)\.zip$", 1).alias("archive"), "verdict", "path", "length", F.sha2("content", 256).alias("hash"))
+
+
+@register("manifest_items", """SELECT item_id, 'set ' || item_id % 7 AS description, text AS reference, string_split(text, ' ')[1:2] AS vocabulary, false AS broken, true AS right_hash FROM benchmark UNION ALL SELECT NULL, NULL, NULL, NULL, true, true""")
+def manifest_items(spark, d):
+    """SRC-19: the benchmark's items in seven manifests, one file each, and a file that is no manifest."""
+    folder = shared_folder(spark, "manifests")
+    clip = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("reference"), F.slice(F.split("text", " "), 1, 2).alias("vocabulary"))
+    made = table(spark, d, "benchmark").withColumn("k", F.col("item_id") % 7).groupBy("k").agg(F.to_json(F.struct(F.concat(F.lit("set "), F.min("k").cast("string")).alias("description"), F.sort_array(F.collect_list(clip)).alias("clips"))).alias("value"))
+    made = written(made.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit("{ no manifest").alias("value"))), "manifest-texts")
+    made.repartition("k").write.partitionBy("k").text(folder)
+    hashes = made.select(F.left(F.sha2(F.concat("value", F.lit("\n")), 256), F.lit(12)).alias("hash"), F.lit(True).alias("known"))
+    rows = S.manifests(spark, f"{folder}/k=*").join(hashes, "hash", "left")
+    return rows.select(F.col("id").cast("long").alias("item_id"), "description", "reference", "vocabulary", "broken", F.coalesce("known", F.lit(False)).alias("right_hash"))
+
+
 @register("prompt_versions", """SELECT 'nation' || n_regionkey AS name, CAST(max(n_nationkey) AS INTEGER) AS version, 'You know ' || arg_max(n_name, n_nationkey) || '.' AS system, 'Tell.' AS user FROM nation GROUP BY n_regionkey""")
 def prompt_versions(spark, d):
     """SRC-16, UDF-06: prompts as files with versions; the latest of each name."""

@@ -393,7 +393,8 @@ dn AS (SELECT DISTINCT q, id * 10 AS id, CASE id % 3 WHEN 0 THEN upper(label) WH
 
 
 @register("drawing_grade", f"""WITH {_DRAWN}, s AS (SELECT n.q, n.id, dn.id AS drawn, 1 - levenshtein(lower(n.label), lower(dn.label)) / greatest(length(n.label), length(dn.label)) AS alike FROM n JOIN dn ON n.q = dn.q),
-b AS (SELECT * FROM (SELECT * FROM s WHERE alike >= 0.8 QUALIFY row_number() OVER (PARTITION BY q, id ORDER BY alike DESC, drawn) = 1) QUALIFY row_number() OVER (PARTITION BY q, drawn ORDER BY alike DESC, id) = 1),
+m AS (SELECT q, list_reduce(list([id, -drawn] ORDER BY alike DESC, id, drawn), lambda acc, p: CASE WHEN list_has_any(acc, p) THEN acc ELSE list_concat(acc, p) END, CAST([] AS BIGINT[])) AS acc FROM (SELECT q, CAST(id AS BIGINT) AS id, CAST(drawn AS BIGINT) AS drawn, alike FROM s WHERE alike >= 0.8) GROUP BY q),
+b AS (SELECT q, acc[2 * i - 1] AS id, -acc[2 * i] AS drawn FROM (SELECT q, acc, unnest(range(1, len(acc) // 2 + 1)) AS i FROM m)),
 f AS (SELECT DISTINCT e.q, x.drawn AS source, y.drawn AS target FROM e JOIN b x ON e.q = x.q AND e.source = x.id JOIN b y ON e.q = y.q AND e.target = y.id JOIN de ON de.q = e.q AND de.source = x.drawn AND de.target = y.drawn),
 c AS (SELECT q, count(*) AS nodes, (SELECT count(*) FROM e WHERE e.q = n.q) AS edges, (SELECT count(*) FROM b WHERE b.q = n.q) AS met, (SELECT count(*) FROM f WHERE f.q = n.q) AS found, (SELECT count(*) FROM dn WHERE dn.q = n.q) AS drawn, (SELECT count(*) FROM de WHERE de.q = n.q) AS arrows FROM n GROUP BY q),
 g AS (SELECT q, met / nodes AS node_share, CASE WHEN edges > 0 THEN found / edges ELSE CAST(1 AS DOUBLE) END AS edge_share, drawn - met + arrows - found AS extraneous, drawn + arrows AS whole FROM c)

@@ -190,6 +190,18 @@ def unzip(archives: DataFrame, max_files: int = 5000, max_bytes: int = 50 << 20)
     return archives.select("archive", "content").mapInPandas(run, "archive string, path string, content binary, length long, verdict string")
 
 
+MANIFEST = "description string, clips array<struct<id string, reference string, category string, source string, expected_identifiers array<string>, vocabulary array<string>>>"
+
+
+def manifests(spark: SparkSession, path: str, schema: str = MANIFEST, items: str = "clips") -> DataFrame:
+    """SRC-19: (file, hash, description, item..., broken) of evaluation manifests, one JSON document a file, below a path: a row for each item, with the first 12 digits of its file's SHA-256; a file that is no such document gives one row with broken = true and no item."""
+    docs = spark.read.schema(f"{schema}, _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path).select("*", F.col("_metadata.file_path").alias("file"))
+    bytes_ = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_path"), F.left(F.sha2("content", 256), F.lit(12)).alias("hash"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    joined = docs.join(bytes_, plain(F.col("file")) == plain(F.col("_path")))
+    return joined.select("file", "hash", "description", F.explode_outer(items).alias("_i"), F.col("_broken").isNotNull().alias("broken")).select("file", "hash", "description", "_i.*", "broken")
+
+
 def package_json_entry_points(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """SRC-12: main and the scripts start, dev and serve; nothing for malformed documents."""
     doc = F.try_parse_json(F.col(text))

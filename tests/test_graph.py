@@ -167,6 +167,23 @@ def test_bfs_follows_a_long_chain_to_its_end(spark):
     assert {r.id: r.depth for r in bfs_depth(nodes, edges, entries).collect()} == {f"n{i}": i for i in range(25)} | {"n25": 1 << 30}
 
 
+def test_matching_is_stable(spark):
+    """Equal to taking the best pair left again and again; a chain where each loses its first choice to the one before."""
+    rng = random.Random(6)
+    pairs = [("chain", i, i + d, 1 - (2 * i + d) / 100) for i in range(12) for d in (0, 1)]
+    for k in range(40):
+        pairs += list({(f"q{k}", i, d): (f"q{k}", i, d, rng.choice([0.8, 0.85, 0.9, 1.0])) for i in range(rng.randint(1, 5)) for d in range(rng.randint(1, 5)) if rng.random() < 0.7}.values())
+    want = set()
+    for q in {p[0] for p in pairs}:
+        taken = set()
+        for _, i, d, _ in sorted((p for p in pairs if p[0] == q), key=lambda p: (-p[3], p[1], p[2])):
+            if not {("i", i), ("d", d)} & taken:
+                taken |= {("i", i), ("d", d)}
+                want.add((q, i, d))
+    assert set(rows(G.matched(spark.createDataFrame(pairs, "q string, id long, drawn long, like double"), "q"))) == want
+    assert G.matched(spark.createDataFrame([], "q string, id long, drawn long, like double"), "q").count() == 0
+
+
 def test_drawings(spark):
     """A missing edge and a mislabelled node; labels alike; two reference nodes like one drawn node; nothing drawn; no edges."""
     frame = lambda rows, kind: spark.createDataFrame(rows, kind)

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import random
 import zipfile
@@ -46,6 +47,46 @@ def test_unzip(spark):
     assert got == [("bad", None, "not a zip file"), ("big", None, "too large"), ("ok", "a/b.py", "ok"), ("ok", "c", "ok"), ("up", None, "outside")]
 
 
+def test_archives_by_members(spark, tmp_path):
+    """Ranges, filters before reading, a broken member, stored and packed ones, folders, guards, files that are no archives."""
+    from quillforge.sources import archives as Z
+
+    text = {f"d/{i}.txt": (f"{i} " * i).encode() for i in range(200)}
+    with zipfile.ZipFile(tmp_path / "good.zip", "w") as z:
+        z.writestr("d/", b"")
+        for i, (p, c) in enumerate(text.items()):
+            z.writestr(p, c, zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED)
+        z.writestr("odd.lzma", b"x", zipfile.ZIP_LZMA)
+    data = bytearray((tmp_path / "good.zip").read_bytes())
+    at = data.index(b"150 150")
+    data[at : at + 3] = b"051"
+    (tmp_path / "broken.zip").write_bytes(data)
+    (tmp_path / "plain.zip").write_bytes(b"no archive")
+    with zipfile.ZipFile(tmp_path / "up.zip", "w") as z:
+        z.writestr("../x", b"1")
+    names = [str(tmp_path / f"{n}.zip") for n in ("good", "broken", "plain", "up", "gone")] + [None]
+    archives = spark.createDataFrame([(n,) for n in names], "archive string")
+    got = Z.zip_contents(Z.zip_directory(archives.where("archive LIKE '%good.zip' OR archive LIKE '%broken.zip'")), range_bytes=500).collect()
+    good = {r.path: (bytes(r.content) if r.content is not None else None, r.error) for r in got if "good" in r.archive}
+    assert good == {p: (c, None) for p, c in text.items()} | {"odd.lzma": (None, "method 14")}
+    broken = {r.path: r.error for r in got if "broken" in r.archive}
+    assert broken == dict.fromkeys(text) | {"d/150.txt": "wrong checksum", "odd.lzma": "method 14"}
+    few = Z.unzip_members(archives, F.col("path").endswith("/7.txt") | F.col("path").endswith("/8.txt"))
+    assert sorted((str(r.archive).rsplit("/", 1)[-1], r.verdict, r.path) for r in few.collect()) == sorted(
+        [(f"{n}.zip", "ok", p) for n in ("good", "broken") for p in ("d/7.txt", "d/8.txt")] + [("plain.zip", "not a zip file", None), ("gone.zip", "not a zip file", None), ("None", "not a zip file", None), ("up.zip", "outside", None)], key=str)
+    assert {r.verdict for r in Z.unzip_members(archives.where("archive LIKE '%good.zip'"), max_files=100).collect()} == {"too many files"}
+    assert Z.unzip_members(archives.limit(0)).count() == 0
+
+
+def test_manifests(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.json").write_text('{\n "description": "d",\n "clips": [{"id": "1", "reference": "x", "other": 3}, {"id": "2"}]}')
+    (tmp_path / "m" / "b.json").write_text("{")
+    got = {(r.file.rsplit("/", 1)[-1], r.hash, r.id, r.reference, r.broken) for r in S.manifests(spark, str(tmp_path / "m")).collect()}
+    digest = lambda n: hashlib.sha256((tmp_path / "m" / n).read_bytes()).hexdigest()[:12]
+    assert got == {("a.json", digest("a.json"), "1", "x", False), ("a.json", digest("a.json"), "2", None, False), ("b.json", digest("b.json"), None, None, True)}
+
+
 def test_python_units(spark):
     src = '"""Mod."""\nimport a.b as c\nfrom ..x import y as z\n\n@deco(1)\ndef f(a,\n      b=2):\n    """ Doc. """\n    def inner(): pass\n    return g.h(i())\n\nclass WorkerSettings:\n    async def m(self): return FastAPI()\n\nif "__main__" == __name__:\n    uvicorn.run(app)\n'
     facts = E.parse_python(src)
