@@ -48,11 +48,11 @@ def top(df: DataFrame, order: list, n: int, name: str = "position") -> DataFrame
 
 
 def chunk(df: DataFrame, group: str, order: list, size: int) -> DataFrame:
-    """WIN-08: (group, chunk_index, n) for the groups' rows in chunks of `size`; a row whose `is_unit` is false only makes its group known."""
-    units = df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(F.col("is_unit").desc(), *order)))
-    return units.groupBy(group, F.when(F.col("is_unit"), F.ceil(F.col("_n") / size)).otherwise(1).cast("int").alias("chunk_index")).agg(F.count_if("is_unit").alias("n")).where(
-        (F.col("n") > 0) | (F.col("chunk_index") == 1)
-    )
+    """WIN-08: (group, chunk_index, n) for the groups' rows in chunks of `size`; a row whose `is_unit` is false only makes its group known. Units are numbered by sorted ranges, so a group of any size is no single task's; order must be total within a group."""
+    units = position_in_group(df.where("is_unit"), [group], order, "_n")
+    full = units.groupBy(group, F.ceil(F.col("_n") / size).cast("int").alias("chunk_index")).agg(F.count("*").alias("n"))
+    known = df.groupBy(group).agg(F.coalesce(F.max("is_unit"), F.lit(False)).alias("_any")).where("NOT _any")
+    return full.unionByName(known.select(group, F.lit(1).alias("chunk_index"), F.lit(0).cast("long").alias("n")))
 
 
 def count_chunks(chunks: DataFrame, group: str) -> DataFrame:
@@ -70,15 +70,13 @@ def take_while_total(df: DataFrame, keys: list, order: list, cost: Column, most:
     return df.withColumn("_total", F.sum(cost).over(w)).where(F.col("_total") <= most).drop("_total")
 
 
-def guard_archive(df: DataFrame, keys: list, order: list, size: str, path: str, max_files: int, max_bytes: int) -> DataFrame:
-    """SRC-03: one row for each archive of entries: ok, or the first rule that it breaks in directory order."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def guard_archive(df: DataFrame, keys: list, size: str, path: str, max_files: int, max_bytes: int) -> DataFrame:
+    """SRC-03: one row for each archive of entries: ok, or the first rule that it breaks: too many files, too large (sizes are not negative), a path outside. Sums only, so no archive is one task's."""
     part = F.split(F.col(path), "/")
     outside = F.col(path).startswith("/") | (F.aggregate(part, F.lit(0), lambda d, p: F.when(d < 0, d).when(p == "..", d - 1).when(p.isin("", "."), d).otherwise(d + 1)) < 0)
-    rows = df.withColumns({"_total": F.sum(size).over(w), "_out": outside})
-    found = rows.groupBy(*keys).agg(F.count("*").alias("entries"), F.max("_total").alias("total"), F.max((F.col("_total") > max_bytes).cast("int")).alias("_big"), F.max(F.col("_out").cast("int")).alias("_outside"))
-    verdict = F.when(F.col("entries") > max_files, "too many files").when(F.col("_big") == 1, "too large").when(F.col("_outside") == 1, "outside").otherwise("ok")
-    return found.withColumn("verdict", verdict).drop("_big", "_outside")
+    found = df.groupBy(*keys).agg(F.count("*").alias("entries"), F.sum(size).alias("total"), F.max(outside.cast("int")).alias("_outside"))
+    verdict = F.when(F.col("entries") > max_files, "too many files").when(F.col("total") > max_bytes, "too large").when(F.col("_outside") == 1, "outside").otherwise("ok")
+    return found.withColumn("verdict", verdict).drop("_outside")
 
 
 def page(df: DataFrame, order: list, n: int) -> DataFrame:

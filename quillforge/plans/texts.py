@@ -286,7 +286,7 @@ def zip_guard(spark, d):
     i = F.col("event_id")
     path = F.when(i % 97 == 0, "../up").when(i % 89 == 0, "/abs").otherwise(F.concat(F.lit("a/../b/"), i.cast("string")))
     e = table(spark, d, "events").select("user_id", "event_id", path.alias("path"), F.floor(F.col("value") * 100).cast("long").alias("size"))
-    return R.guard_archive(e, ["user_id"], ["event_id"], "size", "path", 70, 330000)
+    return R.guard_archive(e, ["user_id"], "size", "path", 70, 330000)
 
 
 _FILES = r"""f AS (SELECT page_id, ['src/', 'node_modules/x/', 'a/build/', 'lib/'][page_id % 4 + 1] || 'f' || page_id || ['.py', '.ts', '.png', '', '.md', '.jsx'][page_id % 6 + 1] AS path, CASE WHEN page_id % 6 = 3 THEN ['#!/usr/bin/env python3', '#!/usr/bin/node', '#!/bin/sh', 'text'][page_id % 8 // 2 + 1] ELSE html END || chr(10) || CASE page_id % 10 WHEN 0 THEN 'CMD ["uvicorn", "x"]' WHEN 1 THEN '  ENTRYPOINT celery -A x' WHEN 2 THEN 'CMD python x.py' ELSE 'run' END AS text FROM pages)"""

@@ -107,7 +107,7 @@ def unzip_members(archives: DataFrame, where: Column | None = None, max_files: i
     """
     listed = zip_directory(archives)
     bad = listed.where("error IS NOT NULL").select("archive", F.lit("not a zip file").alias("verdict"))
-    judged = guard_archive(listed.where("error IS NULL"), ["archive"], ["position"], "length", "path", max_files, max_bytes).select("archive", "verdict")
+    judged = guard_archive(listed.where("error IS NULL"), ["archive"], "length", "path", max_files, max_bytes).select("archive", "verdict")
     fine = listed.join(judged.where("verdict = 'ok'").select("archive"), "archive", "left_semi")
     got = zip_contents(fine if where is None else fine.where(where)).select("archive", F.lit("ok").alias("verdict"), "path", "length", "content", "error")
     refused = judged.where("verdict <> 'ok'").unionByName(bad)

@@ -107,8 +107,8 @@ def language(path: Column, content: Column) -> Column:
     return F.when(extension(path) != "", F.try_element_at(by_extension, extension(path))).otherwise(by_line)
 
 
-def _matcher(text: str):
-    """Whether a path is ignored by the lines of a .gitignore file; the last line that matches decides."""
+def _rules(text: str) -> list[tuple[str, bool]]:
+    """The lines of a .gitignore file as patterns of whole paths, and whether they take a path in again; the last line that matches decides."""
     rules = []
     for line in text.splitlines():
         line = line.rstrip()
@@ -121,7 +121,14 @@ def _matcher(text: str):
         line = line.strip("/")
         parts = ["(?:.*/)?" if p == "**" else "/".join([re.sub(r"\(\?s:(.*)\)\\[zZ]", r"\1", fnmatch.translate(p)).replace(".*", "[^/]*")]) + "/" for p in line.split("/")]
         pattern = "".join(parts).removesuffix("/")
-        rules.append((re.compile(("" if anchored else "(?:.*/)?") + pattern + ("/.*" if dirs else "(?:/.*)?") + "$", re.S), keep))
+        rules.append((("" if anchored else "(?:.*/)?") + pattern + ("/.*" if dirs else "(?:/.*)?") + "$", keep))
+
+    return rules
+
+
+def _matcher(text: str):
+    """The rules of a .gitignore text as a function of a path."""
+    rules = [(re.compile(pattern, re.S), keep) for pattern, keep in _rules(text)]
 
     def ignored(path: str) -> bool:
         out = False
@@ -133,14 +140,12 @@ def _matcher(text: str):
     return ignored
 
 
-def gitignored(rules: str):
-    """SRC-06: a pandas function from paths to whether the root .gitignore text excludes them."""
-
-    @F.pandas_udf(T.BooleanType())
-    def run(paths: pd.Series) -> pd.Series:
-        return paths.map(_matcher(rules))
-
-    return run
+def gitignored(text: str, path: Column) -> Column:
+    """SRC-06: whether the root .gitignore text excludes a path; the last rule that fits decides."""
+    out = F.lit(False)
+    for pattern, keep in _rules(text):
+        out = F.when(path.rlike(f"(?s)^(?:{pattern})"), F.lit(not keep)).otherwise(out)
+    return out
 
 
 def walk(files: DataFrame, gitignore: str | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -148,7 +153,7 @@ def walk(files: DataFrame, gitignore: str | None = None, most_bytes: int = MOST_
     importable(files.sparkSession)
     kept = files.where(~in_ignored_dir(F.col("path")) & (F.col("length") > 0) & (F.col("length") <= most_bytes) & ~looks_binary(F.col("path"), F.col("content")))
     if gitignore:
-        kept = kept.where(~gitignored(gitignore)(F.col("path")))
+        kept = kept.where(~gitignored(gitignore, F.col("path")))
     return kept.withColumn("language", language(F.col("path"), F.col("content")))
 
 

@@ -34,6 +34,15 @@ def test_gitignore_forms():
     assert [ignored(p) for p in ("top", "a/top", "build/x", "a/build/x", "docs/a.md", "docs/x/a.md", "q/deep", "a/b.tmp", "a/b.txt")] == [True, False, True, True, True, False, True, True, False]
 
 
+def test_gitignore_as_columns(spark):
+    """The same by column expressions as by Python's patterns."""
+    text = "*.log\n!keep.log\n/build\ndocs/\na/**/z\n[!x]y?\n# no\n\\#odd\nsrc/*.py\n"
+    paths = ["a.log", "keep.log", "d/keep.log", "build", "build/x", "x/build", "docs/a", "docs", "x/docs/b/c", "a/z", "a/b/c/z", "ayb", "xyb", "d/zyq/f", "#odd", "src/a.py", "src/b/a.py", "a\n.log", "é.log"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = {r.p: r.x for r in df.select("p", S.gitignored(text, F.col("p")).alias("x")).collect()}
+    assert got == {p: S._matcher(text)(p) for p in paths} and {True, False} == set(got.values())
+
+
 def test_unzip(spark):
     def archive(names):
         out = io.BytesIO()
