@@ -61,7 +61,7 @@ def near_words(words: DataFrame, group: int = 64) -> DataFrame:
     A pair that meets under one key in a few ways is still one row: an exchange
     meets at the key without the two letters only, a removal at the shorter word's own key only.
     """
-    rows = entries(words)
+    rows = written(entries(words), "entries")  # read several times below
     large = written(rows.groupBy("akey").agg(F.count("*").alias("m")).where(F.col("m") > group).select("akey"), "large_keys")
     few = rows.join(large, "akey", "left_anti")
     # halves of the shorter word's length, for keys of more than `group` entries
