@@ -1,4 +1,4 @@
-"""Queries about graphs and versions. Parts are files (externals from size 45 on); consecutive parts of an order are edges; a brand and size is a group, to which nine in ten parts belong; line items before and from June 1998 are two versions."""
+"""Queries about graphs and versions. Parts are files (externals from size 45 on); consecutive parts of an order are edges; a brand and size is a group, to which nine in ten parts belong; line items before and from June 1998 (for groups: June 2001) are two versions."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from ..operators import joins as J
 from .catalog import register
 
 CUT = "1998-06-01"
+#: For versions of groups: what is left of the time after it is short, so that not every part comes again.
+LAST = "2001-06-01"
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
@@ -177,11 +179,11 @@ def _members(spark, d, when):
 
 
 def _versions(spark, d):
-    at = F.col("l_shipdate") < F.lit(CUT).cast("timestamp_ntz")
+    at = F.col("l_shipdate") < F.lit(LAST).cast("timestamp_ntz")
     return _members(spark, d, at), _members(spark, d, ~at)
 
 
-_VERSIONS = f"v AS (SELECT p_brand || '/' || p_size AS key, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS m, l_shipdate FROM lineitem JOIN part ON l_partkey = p_partkey), b AS (SELECT key, list_sort(list(DISTINCT m)) AS mem FROM v WHERE l_shipdate < '{CUT}' GROUP BY key), a AS (SELECT key, list_sort(list(DISTINCT m)) AS mem FROM v WHERE l_shipdate >= '{CUT}' GROUP BY key)"
+_VERSIONS = f"v AS (SELECT p_brand || '/' || p_size AS key, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS m, l_shipdate FROM lineitem JOIN part ON l_partkey = p_partkey), b AS (SELECT key, list_sort(list(DISTINCT m)) AS mem FROM v WHERE l_shipdate < '{LAST}' GROUP BY key), a AS (SELECT key, list_sort(list(DISTINCT m)) AS mem FROM v WHERE l_shipdate >= '{LAST}' GROUP BY key)"
 
 
 @register("subsystem_diff", f"""WITH {_VERSIONS}, j AS (SELECT coalesce(a.key, b.key) AS key, a.mem AS am, b.mem AS bm FROM a FULL JOIN b ON a.key = b.key)

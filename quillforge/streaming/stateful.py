@@ -29,43 +29,62 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
 
 
 class _Limiter(StatefulProcessor):
-    """The number of each event in its user's hour; forgotten a while after the first one, however many followed."""
+    """The number of each event in its user's hour; an hour is forgotten a while after its first event, however many followed. One read and one write of the state for a key and batch."""
 
     def __init__(self, tie: str, ttl_ms: int):
         self.tie, self.ttl_ms = tie, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.count = handle.getValueState("count", "n long")
+        self.hours = handle.getValueState("hours", "hours array<string>, counts array<long>, ends array<long>")
+
+    def _put(self, have: dict[str, tuple[int, int]], timer: int | None) -> None:
+        """Keeps hours with their counts and ends; timer: the one that is set."""
+        if not have:
+            self.hours.clear()
+            return
+        counts, ends = zip(*have.values(), strict=True)
+        self.hours.update((list(have), list(counts), list(ends)))
+        if min(ends) != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(min(ends))
+
+    def _have(self) -> dict[str, tuple[int, int]]:
+        return {h: (n, end) for h, n, end in zip(*self.hours.get(), strict=True)} if self.hours.exists() else {}
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["at_ms", self.tie], kind="stable")
-        n = self.count.get()[0] if self.count.exists() else 0
-        if not n:
-            self.handle.registerTimer(int(frame["at_ms"].iloc[0]) + self.ttl_ms)
-        self.count.update((n + len(frame),))
-        frame["n"] = range(n + 1, n + len(frame) + 1)
-        yield frame.drop(columns="at_ms")
+        have = self._have()
+        timer = min((end for _, end in have.values()), default=None)
+        frame["n"] = frame.groupby("hour").cumcount() + 1 + frame["hour"].map(lambda h: have.get(h, (0, 0))[0])
+        for hour, n, first in frame.groupby("hour").agg(n=("n", "max"), first=("at_ms", "min")).itertuples():
+            have[hour] = int(n), have[hour][1] if hour in have else int(first) + self.ttl_ms
+        self._put(have, timer)
+        yield frame[[c for c in frame.columns if c not in ("at_ms", "share")]]
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.count.clear()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        self._put({h: (n, end) for h, (n, end) in self._have().items() if end > now}, None)
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def limited(stream: DataFrame, user: str, at: str, tie: str, limit: int, ttl_s: int = 3660, late: str = "1 day") -> DataFrame:
+def limited(stream: DataFrame, user: str, at: str, tie: str, limit: int, ttl_s: int = 3660, late: str = "1 day", shares: int = 4) -> DataFrame:
     """STM-04 as a stream that decides: (user, at, tie, hour, n, allowed) for each event in the batch that it comes in.
 
     n counts before it is compared, so the call beyond `limit` is the first one
     refused. Calls are counted by user and the hour of `at`; a count is dropped when the watermark, `late`
     behind the latest call, is ttl_s seconds past its first one. Calls that come later than the
-    watermark are dropped. Within a batch calls count in order of (at, tie). A null user is a user. State is kept for each user and hour.
+    watermark are dropped. Within a batch calls count in order of (at, tie). A null user is a user. State is kept for each
+    user, in `shares` parts by the hour, so that a user of very many calls is several tasks'.
     """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    named = stream.select(user, at, tie, hour_key(F.col(at)).alias("hour"), F.unix_millis(at).alias("at_ms")).withWatermark(at, late)
-    out = named.groupBy(user, "hour").transformWithStateInPandas(_Limiter(tie, ttl_s * 1000), f"{user} {kinds[user]}, {at} {kinds[at]}, {tie} {kinds[tie]}, hour string, n long", "append", "eventTime")
+    hour = hour_key(F.col(at))
+    named = stream.select(user, at, tie, hour.alias("hour"), F.unix_millis(at).alias("at_ms"), F.pmod(F.hash(hour), F.lit(shares)).alias("share")).withWatermark(at, late)
+    out = named.groupBy(user, "share").transformWithStateInPandas(_Limiter(tie, ttl_s * 1000), f"{user} {kinds[user]}, {at} {kinds[at]}, {tie} {kinds[tie]}, hour string, n long", "append", "eventTime")
     return out.withColumn("allowed", F.col("n") <= limit)
 
 
