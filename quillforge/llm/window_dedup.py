@@ -8,16 +8,21 @@ has a word sequence that also starts in a document with a smaller doc_id.
    sends the counters that are not 0, about two bytes each, to hash buckets, where
    the partitions' counters are added. A counter never underestimates, so a
    window with a counter of 1 in some row is unique. Counters of 2 or more are
-   folded into a bit map for each row.
+   folded into a bit map for each row. The places of the fullest counters, 2^20 at
+   most, are the frequent ones.
 2. Exact pass: only windows that the map holds to be repeated are grouped, by 96
    bits of hash, after each task has reduced its own to one least doc_id for each
-   window and block of documents. A window that a task sees in many blocks is
-   sent once, and answered to all blocks, so that a hot passage stays small.
+   window and block of documents. A window at a frequent place is sent without its
+   blocks, once by each task, so that a hot passage stays small.
 3. Each block of documents gets the windows that some smaller document outside
-   it has, adds those repeated within it, and removes the words they cover.
-
-The bit maps have 32 MB at any size of the input. On a corpus of far more repeated
-windows they fill up and send more windows to the exact pass, but never lose one.
+   it has; the frequent windows' least doc_ids, which number little more than
+   2^20, are told to all tasks. A block adds those repeated within it, and removes
+   the words they cover.
+
+The bit maps have 32 MB and the frequent windows some 16 MB at any size of the
+input; entries and answers for all others are at most one for each occurrence. On a
+corpus of far more repeated windows the maps fill up and send more windows to the
+exact pass, but never lose one. Which windows count as frequent changes no result.
 """
 
 from __future__ import annotations
@@ -31,15 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import Keys, block_of, key_plan, packed_texts, prepare, row_batches, unpacked_texts
+from .common import Keys, block_of, key_plan, packed_texts, prepare, row_batches, unpacked_texts, written
 
 U = np.uint64
 #: Bits of the map that a row of the sketch is folded into.
 MAP_BITS = 27
 _SALT = K.splitmix(29, 8)
 ENTRIES = 1 << 20
-#: A window that a task meets in more blocks than this is sent once for all.
-HOT_BLOCKS = 16
+#: Counters above this may be frequent, and so many of them are at most.
+HOT_BLOCKS, FREQUENT = 16, 1 << 20
 #: Stands for a null doc_id.
 LAST = (1 << 63) - 1
 
@@ -51,10 +56,11 @@ def _windows(texts, k: int) -> Iterator[tuple]:
         yield i, j, data, offs, counts, words, *K.windows(words, counts, k)
 
 
-def repeated_map(docs: DataFrame, k: int, plan: Keys, rows: int) -> list[np.ndarray]:
-    """For each row of the merged sketch a bit map: a bit is set if a window there may come twice or more."""
+def repeated_map(docs: DataFrame, k: int, plan: Keys, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each row of the merged sketch a bit map: a bit is set if a window there may come twice or more; and the places of the fullest counters of the first row, ascending."""
     spare = U(plan.bits + plan.width - MAP_BITS)
     slice_bits = MAP_BITS - plan.bits
+    each = max(1, FREQUENT >> plan.bits)
 
     def sketch(held: list) -> Iterator[pa.RecordBatch]:
         """A partition's share: its counters that are not 0, those of 1 and those above apart."""
@@ -91,18 +97,23 @@ def repeated_map(docs: DataFrame, k: int, plan: Keys, rows: int) -> list[np.ndar
         order = np.argsort(keys)
         keys, count = keys[order], count[order]
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        twice = keys[at][np.add.reduceat(count.astype(np.int64), at) > 1]
+        keys, count = keys[at], np.add.reduceat(count.astype(np.int64), at)
+        twice = keys[count > 1]
         bits = np.zeros(1 << slice_bits, dtype=bool)
         bits[(twice >> spare).astype(np.int64)] = True
-        return pa.table({"row": t.column("row").slice(0, 1), "bucket": t.column("bucket").slice(0, 1), "map": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        full = keys[count > HOT_BLOCKS] if t.column("row")[0].as_py() == 0 else keys[:0]
+        if len(full) > each:
+            full = full[np.argpartition(-count[count > HOT_BLOCKS], each)[:each]]
+        return pa.table({"row": t.column("row").slice(0, 1), "bucket": t.column("bucket").slice(0, 1), "map": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "full": pa.array([full.astype(np.uint32).tobytes()], pa.binary())})
 
     sketches = docs.select("text").mapInArrow(run, "row int, bucket int, high binary, low binary, counts binary")
-    found = sketches.groupBy("row", "bucket").applyInArrow(merge, "row int, bucket int, map binary").toArrow()
+    found = sketches.groupBy("row", "bucket").applyInArrow(merge, "row int, bucket int, map binary, full binary").toArrow()
     out = [np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8) for _ in range(rows)]
     step = 1 << (slice_bits - 3)
     for row, bucket, own in zip(found.column("row").to_pylist(), found.column("bucket").to_pylist(), found.column("map"), strict=True):
         out[row][bucket * step : (bucket + 1) * step] = np.frombuffer(own.as_buffer(), np.uint8)
-    return out
+    full = [np.frombuffer(x.as_buffer(), np.uint32).astype(U) | U(b) << U(plan.width) for b, x in zip(found.column("bucket").to_pylist(), found.column("full"), strict=True)]
+    return out, np.sort(np.concatenate([np.zeros(0, U), *full]))
 
 
 def _in_row(h: np.ndarray, row: int) -> np.ndarray:
@@ -119,15 +130,24 @@ def _may_repeat(maps: list[np.ndarray], h: np.ndarray) -> np.ndarray:
     return may
 
 
+def _among(held: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each x is in `held`, ascending, and where."""
+    if not len(held):
+        return np.zeros(len(x), dtype=bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(held, x), len(held) - 1)
+    return held[at] == x, at
+
+
 def _ids(doc: np.ndarray) -> bytes:
     """In four bytes each where all fit, else in eight."""
     return doc.astype(np.uint32 if 0 <= doc.min() and doc.max() < 1 << 32 else np.int64).tobytes()
 
 
-def _earlier(docs: DataFrame, k: int, bits: int, n_blocks: int, sent) -> DataFrame:
-    """(block, windows, hot, least): hashes of windows that come in a smaller document outside the block; hot windows with their least document."""
+def _earlier(docs: DataFrame, k: int, plan: Keys, n_blocks: int, sent) -> DataFrame:
+    """(block, windows, least): hashes of windows that come in a smaller document outside the block; for block -1, the frequent windows and their least documents."""
+    bits = plan.bits
 
-    def send(held: list) -> Iterator[pa.RecordBatch]:
+    def send(held: list, full: np.ndarray) -> Iterator[pa.RecordBatch]:
         h, h2, doc = (np.concatenate(x) for x in zip(*held, strict=True))
         block = block_of(doc, n_blocks)
         order = np.lexsort((doc, block, h2, h))
@@ -137,7 +157,7 @@ def _earlier(docs: DataFrame, k: int, bits: int, n_blocks: int, sent) -> DataFra
         h, h2, doc, new = h[first], h2[first], doc[first], new[first]
         at = np.flatnonzero(new)
         size = np.diff(np.concatenate([at, [len(h)]]))
-        hot = size > HOT_BLOCKS
+        hot = _among(full, plan.of(h[at]))[0]
         least = np.minimum.reduceat(doc, at)
         keep = np.repeat(~hot, size)
         parts = [(h[keep], h2[keep], doc[keep], 0), (h[at[hot]], h2[at[hot]], least[hot], 1)]
@@ -147,7 +167,7 @@ def _earlier(docs: DataFrame, k: int, bits: int, n_blocks: int, sent) -> DataFra
             yield from row_batches(rows, [pa.int32(), pa.int32(), *[pa.binary()] * 3], ["bucket", "hot", "h", "h2", "doc"])
 
     def run(batches):
-        bitmap = sent.value
+        bitmap, full = sent.value
         held, total = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -158,10 +178,10 @@ def _earlier(docs: DataFrame, k: int, bits: int, n_blocks: int, sent) -> DataFra
                     held.append((h[may], h2, ids[i:j][of[may]]))
                     total += len(h2)
                 if total >= ENTRIES:
-                    yield from send(held)
+                    yield from send(held, full)
                     held, total = [], 0
         if total:
-            yield from send(held)
+            yield from send(held, full)
 
     def meet(t: pa.Table) -> pa.Table:
         join = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in t.column(c)]
@@ -174,18 +194,32 @@ def _earlier(docs: DataFrame, k: int, bits: int, n_blocks: int, sent) -> DataFra
         h, h2, doc, block, flag = h[order], h2[order], doc[order], block[order], flag[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
         at, group = np.flatnonzero(new), np.cumsum(new) - 1
-        least, hot = np.minimum.reduceat(doc, at), np.maximum.reduceat(flag, at) == 1
+        least, hot = np.minimum.reduceat(doc, at), np.maximum.reduceat(flag, at) == 1  # a window is frequent in all tasks or in none
         first = new | np.concatenate([[True], block[1:] != block[:-1]])
         told = first & (doc > least[group]) & ~hot[group]  # the block's least document comes after another block's
         order = np.argsort(block[told], kind="stable")
         h_told, of = h[told][order], block[told][order]
-        hot_h, hot_least = h[at[hot]].tobytes(), least[hot].tobytes()
-        to = np.arange(n_blocks) if hot.any() else np.unique(of)
+        to = np.unique(of)
         a, z = np.searchsorted(of, to), np.searchsorted(of, to, side="right")
-        return pa.table({"block": pa.array(to, pa.int64()), "windows": pa.array([h_told[x:y].tobytes() for x, y in zip(a, z, strict=True)], pa.binary()), "hot": pa.array([hot_h] * len(to), pa.binary()), "least": pa.array([hot_least] * len(to), pa.binary())})
+        rows = [(b, h_told[x:y].tobytes(), b"") for b, x, y in zip(to.tolist(), a.tolist(), z.tolist(), strict=True)]
+        if hot.any():
+            rows.append((FOR_ALL, h[at[hot]].tobytes(), least[hot].tobytes()))
+        return pa.Table.from_batches(row_batches(rows, [pa.int64(), pa.binary(), pa.binary()], _TOLD), pa.schema(list(zip(_TOLD, [pa.int64(), pa.binary(), pa.binary()], strict=True))))
 
     packed = docs.select("doc_id", "text").mapInArrow(run, "bucket int, hot int, h binary, h2 binary, doc binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "block long, windows binary, hot binary, least binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "block long, windows binary, least binary")
+
+
+_TOLD = ["block", "windows", "least"]
+FOR_ALL = -1
+
+
+def _frequent(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent windows, ascending, and their least documents."""
+    rows = told.where(F.col("block") == FOR_ALL).select("windows", "least").toArrow()
+    h, least = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in rows.column(c))]) for c, kind in (("windows", U), ("least", np.int64)))
+    order = np.argsort(h)
+    return h[order], least[order]
 
 
 def window_dedup(docs: DataFrame, k: int = 13, block_bytes: int = 1 << 23, rows: int = 2) -> DataFrame:
@@ -207,16 +241,15 @@ def window_dedup(docs: DataFrame, k: int = 13, block_bytes: int = 1 << 23, rows:
     n_blocks = 8 + int(total // block_bytes)
     plan = key_plan(total)
     sent = spark.sparkContext.broadcast(repeated_map(docs, k, plan, rows))
-    earlier = _earlier(docs, k, plan.bits, n_blocks, sent)
+    told = written(_earlier(docs, k, plan, n_blocks, sent), "told")
+    shared = spark.sparkContext.broadcast(_frequent(told))
+    earlier = told.where(F.col("block") != FOR_ALL).select("block", "windows")
 
     def finish(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
-        bitmap = sent.value
+        (bitmap, _), (hot, least) = sent.value, shared.value
         none = np.repeat(texts.column("none").to_numpy(zero_copy_only=False), [len(x.as_buffer()) // 8 for x in texts.column("ids")])
         doc, arr = unpacked_texts(texts)
-        join = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in told.column(c))])
-        outer, hot, least = np.sort(join("windows", U)), join("hot", U), join("least", np.int64)
-        order = np.argsort(hot)
-        hot, least = hot[order], least[order]
+        outer = np.sort(np.concatenate([np.zeros(0, U), *(np.frombuffer(x.as_buffer(), U) for x in told.column("windows"))]))
         got = []
         for i, j, _, _, counts, _, h, at, of in _windows(arr, k):
             may = _may_repeat(bitmap, h)
@@ -229,12 +262,10 @@ def window_dedup(docs: DataFrame, k: int = 13, block_bytes: int = 1 << 23, rows:
             first = np.full(len(value), np.iinfo(np.int64).max)
             np.minimum.at(first, inverse, doc[of])
             out = first[inverse] < doc[of]
-            if len(outer):
-                p = np.minimum(np.searchsorted(outer, value), len(outer) - 1)
-                out |= (outer[p] == value)[inverse]
-            if len(hot):
-                p = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
-                out |= (hot[p] == value)[inverse] & (least[p][inverse] < doc[of])
+            out |= _among(outer, value)[0][inverse]
+            found, at = _among(hot, value)
+            if found.any():
+                out |= found[inverse] & (least[at][inverse] < doc[of])
         rows, used = [], 0
         for (g, at, own), (i, j, data, offs) in zip(got, K.blocks(arr), strict=True):
             hit = out[used : used + len(g)]

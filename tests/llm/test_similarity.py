@@ -212,6 +212,28 @@ def test_window_dedup_with_other_sketches(spark, rows, monkeypatch):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == brute_windows(docs, 5)
 
 
+def test_window_dedup_frequent_windows(spark, monkeypatch):
+    """Only some of many hot windows are told to all; results stay, no block gets a row for a window that it has not, and what is told to all has its bound."""
+    monkeypatch.setattr(W, "HOT_BLOCKS", 2)
+    monkeypatch.setattr(W, "FREQUENT", 1)
+    rng = random.Random(23)
+    passage = [f"p{i}" for i in range(600)]
+    docs = [(i, " ".join(passage if i % 3 == 0 else [f"u{rng.randrange(10**9)}" for _ in range(40)])) for i in range(60)]
+    got = W.window_dedup(frame(spark, docs), 5, block_bytes=2000).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == brute_windows(docs, 5)
+    plan, n_blocks = K2(8, 24), 500
+    maps, full = W.repeated_map(frame(spark, docs), 5, plan, 2)
+    assert 0 < len(full) <= 1 << plan.bits
+    told = W._earlier(frame(spark, docs), 5, plan, n_blocks, spark.sparkContext.broadcast((maps, full)))
+    holders = set(W.block_of(np.array([i for i, _ in docs if i % 3 == 0]), n_blocks).tolist())
+    rows = told.collect()
+    assert {r.block for r in rows} <= holders | {W.FOR_ALL}
+    hot, least = W._frequent(told)
+    assert 0 < len(hot) < 596  # 596 windows come in 20 documents each
+    assert set(least.tolist()) == {0}
+    assert len(set(hot.tolist())) + len({x for r in rows if r.block != W.FOR_ALL for x in np.frombuffer(r.windows, np.uint64).tolist()}) == 596
+
+
 def test_window_dedup_empty(spark):
     assert W.window_dedup(frame(spark, [])).collect() == []
 
