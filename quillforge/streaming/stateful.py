@@ -13,19 +13,27 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 from ..io import importable
 from .operators import TERMINAL, hour_key
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PROVIDER, _PARTITIONS = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
 
 
 @contextmanager
-def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """The state store that these operators need, for streams that start and end within; what the session had before comes back."""
+def keyed_state(spark: SparkSession, parts: int | None = None) -> Iterator[None]:
+    """The state store that these operators need, for streams that start and end within; what the session had before comes back.
+
+    parts: partitions of the state, each a store that is opened and committed in every
+    batch, and which adaptive execution doesn't merge: by default one for each core. A
+    stream that goes on from a checkpoint keeps the number that it began with.
+    """
     importable(spark)
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    new = {_PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", _PARTITIONS: str(parts or spark.sparkContext.defaultParallelism)}
+    before = {name: spark.conf.get(name) for name in new}
+    for name, value in new.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class _Limiter(StatefulProcessor):
@@ -57,14 +65,18 @@ class _Limiter(StatefulProcessor):
         frame = pd.concat(list(rows)).sort_values(["at_ms", self.tie], kind="stable")
         have = self._have()
         timer = min((end for _, end in have.values()), default=None)
-        frame["n"] = frame.groupby("hour").cumcount() + 1 + frame["hour"].map(lambda h: have.get(h, (0, 0))[0])
-        for hour, n, first in frame.groupby("hour").agg(n=("n", "max"), first=("at_ms", "min")).itertuples():
-            have[hour] = int(n), have[hour][1] if hour in have else int(first) + self.ttl_ms
+        numbers = []
+        for hour, ms in zip(frame["hour"], frame["at_ms"].tolist(), strict=True):
+            n, end = have.get(hour, (0, ms + self.ttl_ms))
+            have[hour] = n + 1, end
+            numbers.append(n + 1)
+        frame["n"] = numbers
         self._put(have, timer)
         yield frame[[c for c in frame.columns if c not in ("at_ms", "share")]]
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        """Forgets all hours that are over by the watermark, so that one timer a key fires in a batch, not one for each hour."""
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         self._put({h: (n, end) for h, (n, end) in self._have().items() if end > now}, None)
         return iter(())
 

@@ -292,7 +292,8 @@ def test_limits_are_decided_as_calls_come(spark, tmp_path):
     kind = "u string, at timestamp, id long"
     hour = lambda h, m: datetime(2024, 1, 1, h, m)
     source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    settings = ["spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(x) for x in settings]
 
     def put(rows):
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
@@ -307,7 +308,12 @@ def test_limits_are_decided_as_calls_come(spark, tmp_path):
     assert got[5] == (3, False) and got[6] == (1, True) and got[7] == (2, True)
     got = put([("a", datetime(2024, 1, 5), 8)])  # the watermark passes: counts are dropped
     assert put([("a", hour(1, 30), 9), ("a", datetime(2024, 1, 5, 0, 1), 10)])[10] == (2, True) and 9 not in got
-    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    # several hours of one user are over at once, the last one is not: only its count goes on
+    got = put([("c", datetime(2024, 1, 6, h), 20 + h) for h in (1, 3, 5)] + [("c", datetime(2024, 1, 7, 5, 30), 30)])
+    assert [got[x][0] for x in (21, 23, 25, 30)] == [1, 1, 1, 1]
+    got = put([("c", datetime(2024, 1, 7, 5, 31), 31), ("c", datetime(2024, 1, 6, 5, 40), 32)])
+    assert got[31] == (2, True) and got[32] == (2, True)
+    assert [spark.conf.get(x) for x in settings] == before
 
 
 def plain_subscriber(rows, poll=5):
