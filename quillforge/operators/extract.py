@@ -123,7 +123,7 @@ def entry_points(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """TVF-10, JON-11: (file, kind, reason) of Python files."""
     py = files.where(F.col("path").endswith(".py"))
     manage = py.where(F.substring_index("path", "/", -1) == "manage.py").select(F.col("path").alias("file"), F.lit("cli").alias("kind"), F.lit("manage.py (Django management entrypoint)").alias("reason"))
-    facts = py.select("path").join(parsed, "path")
+    facts = parsed.join(py.select("path"), "path", "left_semi")  # files that share a path stay apart
     guard = facts.where("main_guard").select(F.col("path").alias("file"), F.lit("cli").alias("kind"), F.lit('if __name__ == "__main__": guard').alias("reason"))
     called = facts.select("path", F.explode("calls").alias("call"))
     known = F.create_map(*[x for k, (a, b) in {**CONSTRUCTORS}.items() for x in (F.lit(k), F.struct(F.lit(a).alias("kind"), F.lit(b).alias("reason")))])

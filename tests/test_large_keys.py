@@ -39,3 +39,8 @@ def compare(spark, d, name):
 @pytest.mark.parametrize("name", GRAPH)
 def test_long_keys_in_graphs(spark, folder, name):
     compare(spark, folder, name)
+
+
+@pytest.mark.parametrize("name", ["source_entry_points", "source_units"])
+def test_long_keys_in_sources(spark, folder, name):
+    compare(spark, folder, name)
