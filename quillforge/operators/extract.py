@@ -101,14 +101,20 @@ def parse_javascript(text: str) -> dict:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """One row of facts for each of files(path, language, text); a blank file has no units."""
-    importable(files.sparkSession)
+    """One row of facts for each of files(path, language, text); a blank file has no units.
+
+    The work is a parse for each file, however few bytes they have as a table, so files are dealt to
+    as many parts as a shuffle has, four for each core at least; a small table would be one task.
+    """
+    spark = files.sparkSession
+    importable(spark)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([{"path": p, **(parse_python(t or "") if lang == "python" else parse_javascript(t or ""))} for p, lang, t in zip(batch["path"], batch["language"], batch["text"], strict=True)], columns=["path", "main_guard", "calls", "imports", "units"])
 
-    return files.where(F.col("language").isNotNull()).select("path", "language", "text").mapInPandas(run, FACTS)
+    return files.where(F.col("language").isNotNull()).select("path", "language", "text").repartition(parts, "path").mapInPandas(run, FACTS)
 
 
 def units(parsed: DataFrame) -> DataFrame:
