@@ -37,66 +37,74 @@ def keyed_state(spark: SparkSession, parts: int | None = None) -> Iterator[None]
 
 
 class _Limiter(StatefulProcessor):
-    """The number of each event in its user's hour; an hour is forgotten a while after its first event, however many followed. One read and one write of the state for a key and batch."""
+    """The number of each event in its user's hour; an hour is forgotten a while after its first event, however many followed. A share holds the hours of many users: one read and one write of the state, and one timer, for a share and batch."""
 
-    def __init__(self, tie: str, ttl_ms: int):
-        self.tie, self.ttl_ms = tie, ttl_ms
+    def __init__(self, user: str, kind: str, tie: str, ttl_ms: int):
+        self.user, self.kind, self.tie, self.ttl_ms = user, kind, tie, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.hours = handle.getValueState("hours", "hours array<string>, counts array<long>, ends array<long>")
-
-    def _put(self, have: dict[str, tuple[int, int]], timer: int | None) -> None:
-        """Keeps hours with their counts and ends; timer: the one that is set."""
-        if not have:
+        self.hours = handle.getValueState("hours", f"users array<{self.kind}>, hours array<string>, counts array<long>, ends array<long>")
+
+    def _put(self, have: dict[tuple, tuple[int, int]], timer: int | None) -> None:
+        """Keeps users' hours with their counts and ends; timer: the one that is set."""
+        first = min((end for _, end in have.values()), default=None)
+        if have:
+            users, hours = zip(*have, strict=True)
+            counts, ends = zip(*have.values(), strict=True)
+            self.hours.update((list(users), list(hours), list(counts), list(ends)))
+        else:
             self.hours.clear()
-            return
-        counts, ends = zip(*have.values(), strict=True)
-        self.hours.update((list(have), list(counts), list(ends)))
-        if min(ends) != timer:
+        if first != timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(min(ends))
+            if first is not None:
+                self.handle.registerTimer(first)
 
-    def _have(self) -> dict[str, tuple[int, int]]:
-        return {h: (n, end) for h, n, end in zip(*self.hours.get(), strict=True)} if self.hours.exists() else {}
+    def _have(self) -> dict[tuple, tuple[int, int]]:
+        kept = self.hours.get()
+        return {(u, h): (n, end) for u, h, n, end in zip(*kept, strict=True)} if kept else {}
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["at_ms", self.tie], kind="stable")
         have = self._have()
         timer = min((end for _, end in have.values()), default=None)
+        # a share is of no null user or of that one alone, so that a column of numbers stays one
+        users = [None] * len(frame) if key[0] < 0 else frame[self.user].tolist()
         numbers = []
-        for hour, ms in zip(frame["hour"], frame["at_ms"].tolist(), strict=True):
-            n, end = have.get(hour, (0, ms + self.ttl_ms))
-            have[hour] = n + 1, end
+        for user, hour, ms in zip(users, frame["hour"], frame["at_ms"].tolist(), strict=True):
+            n, end = have.get((user, hour), (0, ms + self.ttl_ms))
+            have[user, hour] = n + 1, end
             numbers.append(n + 1)
         frame["n"] = numbers
         self._put(have, timer)
         yield frame[[c for c in frame.columns if c not in ("at_ms", "share")]]
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Forgets all hours that are over by the watermark, so that one timer a key fires in a batch, not one for each hour."""
+        """Forgets all hours that are over by the watermark, so that one timer a share fires in a batch, not one for each hour."""
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        self._put({h: (n, end) for h, (n, end) in self._have().items() if end > now}, None)
+        self._put({k: (n, end) for k, (n, end) in self._have().items() if end > now}, None)
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def limited(stream: DataFrame, user: str, at: str, tie: str, limit: int, ttl_s: int = 3660, late: str = "1 day", shares: int = 4) -> DataFrame:
+def limited(stream: DataFrame, user: str, at: str, tie: str, limit: int, ttl_s: int = 3660, late: str = "1 day", shares: int = 256) -> DataFrame:
     """STM-04 as a stream that decides: (user, at, tie, hour, n, allowed) for each event in the batch that it comes in.
 
     n counts before it is compared, so the call beyond `limit` is the first one
     refused. Calls are counted by user and the hour of `at`; a count is dropped when the watermark, `late`
     behind the latest call, is ttl_s seconds past its first one. Calls that come later than the
     watermark are dropped. Within a batch calls count in order of (at, tie). A null user is a user. State is kept for each
-    user, in `shares` parts by the hour, so that a user of very many calls is several tasks'.
+    of `shares` by user and hour (and as many for the null user), so that a batch costs by its calls and not by its users, and a user
+    of very many calls is several tasks'. A share holds the hours that are not over, and a task a share's calls of a batch: many more users want more shares.
     """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
     hour = hour_key(F.col(at))
-    named = stream.select(user, at, tie, hour.alias("hour"), F.unix_millis(at).alias("at_ms"), F.pmod(F.hash(hour), F.lit(shares)).alias("share")).withWatermark(at, late)
-    out = named.groupBy(user, "share").transformWithStateInPandas(_Limiter(tie, ttl_s * 1000), f"{user} {kinds[user]}, {at} {kinds[at]}, {tie} {kinds[tie]}, hour string, n long", "append", "eventTime")
+    share = F.when(F.col(user).isNull(), -1 - F.pmod(F.hash(hour), F.lit(shares))).otherwise(F.pmod(F.xxhash64(user, hour), F.lit(shares)).cast("int"))
+    named = stream.select(user, at, tie, hour.alias("hour"), F.unix_millis(at).alias("at_ms"), share.alias("share")).withWatermark(at, late)
+    out = named.groupBy("share").transformWithStateInPandas(_Limiter(user, kinds[user], tie, ttl_s * 1000), f"{user} {kinds[user]}, {at} {kinds[at]}, {tie} {kinds[tie]}, hour string, n long", "append", "eventTime")
     return out.withColumn("allowed", F.col("n") <= limit)
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 from quillforge.operators import extract as E
+from quillforge.streaming import stateful as R
 
 
 def test_files_are_parsed_by_many_tasks(spark):
@@ -9,3 +10,16 @@ def test_files_are_parsed_by_many_tasks(spark):
     tasks = E.parse(files).groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert sum(r["count"] for r in tasks) == 400 and len(tasks) >= 2 * spark.sparkContext.defaultParallelism
     assert max(r["count"] for r in tasks) < 100
+
+
+def test_limits_keep_state_for_shares_not_users(spark, tmp_path):
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    calls = spark.range(3000).select(F.col("id").alias("u"), F.timestamp_seconds(F.col("id") % 60 + 1_700_000_000).alias("at"), "id")
+    calls.coalesce(1).write.parquet(source)
+    with R.keyed_state(spark):
+        made = R.limited(spark.readStream.schema(calls.schema).parquet(source), "u", "at", "id", 2)
+        query = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+    kept = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+    assert 0 < kept <= 4 * 256
+    assert spark.read.parquet(out).where("n = 1 AND allowed").count() == 3000
