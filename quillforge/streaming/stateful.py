@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -118,15 +118,16 @@ class _Subscriber(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", f"started boolean, over boolean, base long, due long, status string, at long, tie {self.kinds['tie']}")
 
-    def _out(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        if rows:
-            yield pd.DataFrame([(key[0], *r) for r in rows], columns=[self.key, "tie", "status", "via"])
+    def _out(self, key: tuple, rows: list[tuple]) -> Iterator[Row]:
+        return (Row(**{self.key: key[0], "tie": tie, "status": status, "via": via}) for tie, status, via in rows)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ms", "tie", "via"], ascending=[True, True, False], kind="stable")  # the table before the message
-        started, over, base, due, status, row_at, row_tie = self.seen.get() if self.seen.exists() else (False, False, 0, 0, None, 0, 0)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        news = sorted(((r["ms"], r["tie"], r["status"], r["via"]) for r in rows), key=lambda r: (r[0], r[1], r[3] != "table"))  # the table before the message
+        started, over, base, due, status, row_at, row_tie = self.seen.get() or (False, False, 0, 0, None, 0, 0)
+        if over:  # told all there is to tell
+            return iter(())
         before, out = due, []
-        for ms, tie, what, via in zip(frame["ms"], frame["tie"], frame["status"], frame["via"], strict=True):
+        for ms, tie, what, via in news:
             if not over and due and due < ms:
                 out.append((row_tie, status, "poll"))
                 over = True
@@ -152,7 +153,7 @@ class _Subscriber(StatefulProcessor):
             self.handle.registerTimer(due)
         return self._out(key, out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         started, over, base, due, status, row_at, row_tie = self.seen.get()
         if over or not due:
             return iter(())
@@ -175,4 +176,4 @@ def subscribed(stream: DataFrame, key: str, late: str = "1 hour", poll_s: int =
     """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
     rows = stream.select(key, "at", F.unix_millis("at").alias("ms"), "tie", "status", "via").withWatermark("at", late).groupBy(key)
-    return rows.transformWithStateInPandas(_Subscriber(kinds, key, poll_s * 1000), f"{key} {kinds[key]}, tie {kinds['tie']}, status string, via string", "append", "eventTime")
+    return rows.transformWithState(_Subscriber(kinds, key, poll_s * 1000), f"{key} {kinds[key]}, tie {kinds['tie']}, status string, via string", "append", "eventTime")
