@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import log, main, told
 from quillforge.functions import text as X
-from quillforge.io import importable
+from quillforge.io import importable, many_parts
 from quillforge.operators import aggregates as A
 from quillforge.sources import sinks
 
@@ -30,8 +30,11 @@ REPORT = ", ".join(["category string", "n_plain long", "n_hinted long", *[f"{m}_
 
 
 def pairs(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, ..., ref, hyp): each turn with the next; joined by conversation and number, so that a long conversation is no single task's. A null text is empty."""
-    spoken = turns.where("role IN ('user', 'assistant')").withColumn("ref", X.fold_accents(F.coalesce("text", F.lit(""))))
+    """(conv_id, turn, role, ..., ref, hyp): each turn with the next; joined by conversation and number, so that a long conversation is no single task's. A null text is empty.
+
+    Turns are dealt to many tasks first: comparing two of them takes time by their words, and a table of few bytes would be one task.
+    """
+    spoken = turns.where("role IN ('user', 'assistant')").repartition(many_parts(turns.sparkSession), "conv_id", "turn").withColumn("ref", X.fold_accents(F.coalesce("text", F.lit(""))))
     following = spoken.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp"))
     return spoken.join(following, ["conv_id", "turn"])
 
@@ -68,7 +71,7 @@ def run(spark: SparkSession, conversations: str, output: str, settings: dict = D
     importable(spark)
     turns = spark.read.parquet(conversations).select("conv_id", F.col("turn").cast("int").alias("turn"), "role", "text")
     n = told(turns, "read", conversations)
-    scored(turns, settings).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("backend", "category").parquet(f"{output}/scores")
+    scored(turns, settings).hint("rebalance", "backend", "category").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("backend", "category").parquet(f"{output}/scores")
     scores = read_scores(spark, output)
     m = told(scores, "holds", f"{output}/scores")
     report = A.compared(scores, ["backend"], "category", "hinted", ["wer", "recall"], "tokens")

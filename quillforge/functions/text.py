@@ -198,8 +198,10 @@ def word_error_rate(ref: Column, hyp: Column) -> Column:
 
     def rate(p: Column) -> Column:
         place = lambda t: F.lit(32) + F.array_position(p["words"], t)
-        code = lambda t: F.lpad(F.hex(place(t) + F.when(place(t) >= 0xD800, 0x800).otherwise(0)), 8, "0")
-        coded = lambda a: F.decode(F.unhex(F.array_join(F.transform(a, code), "")), "UTF-32")
+        few = lambda t: F.lpad(F.hex(place(t)), 8, "0")
+        many = lambda t: F.lpad(F.hex(place(t) + F.when(place(t) >= 0xD800, 0x800).otherwise(0)), 8, "0")
+        codes = lambda a: F.when(F.size(p["words"]) < 0xD800 - 32, F.transform(a, few)).otherwise(F.transform(a, many))
+        coded = lambda a: F.decode(F.unhex(F.array_join(codes(a), "")), "UTF-32")
         r, h = p["r"], p["h"]
         return F.when(F.size(r) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(coded(r), coded(h)) / F.size(r))
 

@@ -67,6 +67,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def many_parts(spark: SparkSession) -> int:
+    """Into how many parts to deal rows that are much work each, however few bytes they have as a table: as many as a shuffle has, four for each core at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def stored(spark: SparkSession, path: str) -> bool:
     """Whether there is any file below a path."""
     try:

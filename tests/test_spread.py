@@ -1,5 +1,6 @@
 """Work that a table's few bytes would leave to one task."""
 
+from jobs import transcripts
 from pyspark.sql import functions as F
 from quillforge.operators import extract as E
 from quillforge.streaming import stateful as R
@@ -23,3 +24,10 @@ def test_limits_keep_state_for_shares_not_users(spark, tmp_path):
     kept = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
     assert 0 < kept <= 4 * 256
     assert spark.read.parquet(out).where("n = 1 AND allowed").count() == 3000
+
+
+def test_turns_are_compared_by_many_tasks(spark):
+    turns = spark.range(400).select((F.col("id") / 8).cast("long").alias("conv_id"), (F.col("id") % 8).cast("int").alias("turn"), F.lit("user").alias("role"), F.lit("a few words").alias("text")).coalesce(1)
+    tasks = transcripts.pairs(turns).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == 350 and len(tasks) >= 2 * spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in tasks) < 100
