@@ -280,16 +280,19 @@ def matched(pairs: DataFrame, key: str) -> DataFrame:
 
     Of two pairs the one with more `like` is better, then the one with the lesser id, then drawn. In each
     round the pairs that are the best of both their nodes are matched and all others of these nodes
-    go; the best of the pairs left is always matched, so rounds end. Each is a written table.
+    go; the best of the pairs left is always matched, so rounds end. Each round is one written table of its matches and of the pairs left.
     """
-    left, out, turn = written(pairs, "pairs"), [], 0
-    w = lambda node: Window.partitionBy(key, node).orderBy(F.desc("like"), "id", "drawn")
+    left, out, turn = written(pairs.select(key, "id", "drawn", "like"), "pairs"), [], 0
+    w = lambda node, *more: Window.partitionBy(key, node).orderBy(F.desc("like"), "id", "drawn", *more)
+    taken = lambda node: F.max("_best").over(Window.partitionBy(key, node))
     while not left.isEmpty():
         turn += 1
-        placed = left.withColumns({"_a": F.row_number().over(w("id")), "_b": F.row_number().over(w("drawn"))})
-        best = written(placed.where("_a = 1 AND _b = 1").select(key, "id", "drawn"), f"matched{turn}")
-        out.append(best)
-        left = written(left.join(best.select(key, "id"), [key, "id"], "left_anti").join(best.select(key, "drawn"), [key, "drawn"], "left_anti").select(pairs.columns), f"pairs{turn}")
+        # rows that are alike in all are told apart by _a, so that one of them is the first in both orders
+        placed = left.withColumn("_a", F.row_number().over(w("id"))).withColumn("_b", F.row_number().over(w("drawn", "_a")))
+        placed = placed.withColumn("_best", (F.col("_a") == 1) & (F.col("_b") == 1)).withColumn("_gone", taken("drawn")).withColumn("_gone", F.col("_gone") | taken("id"))
+        turned = written(placed.where("_best OR NOT _gone").select(key, "id", "drawn", "like", "_best"), f"matched{turn}")
+        out.append(turned.where("_best").select(key, "id", "drawn"))
+        left = turned.where("NOT _best").drop("_best")
     return reduce(DataFrame.unionByName, out) if out else left.select(key, "id", "drawn")
 
 
@@ -303,20 +306,27 @@ def grade_drawing(nodes: DataFrame, edges: DataFrame, drawn_nodes: DataFrame, dr
     less `penalty` times the share of what is drawn without a counterpart, in 0 to
     1. A reference without edges counts as found in its edges.
     """
-    nodes, drawn_nodes = (n.select(key, "id", "label").distinct() for n in (nodes, drawn_nodes))
+    low, size = F.lower("label").alias("_low"), F.length(F.lower("label")).alias("_size")
+    nodes, drawn_nodes = (written(n.select(key, "id", "label").distinct(), name) for n, name in ((nodes, "nodes"), (drawn_nodes, "drawn")))
     edges, drawn_edges = (e.select(key, "source", "target").distinct() for e in (edges, drawn_edges))
-    a, b = F.lower("label"), F.lower("_label")
-    longer = F.greatest(F.length(a), F.length(b), F.lit(1))
-    pairs = nodes.join(drawn_nodes.select(key, F.col("id").alias("drawn"), F.col("label").alias("_label")), key).where(F.abs(F.length(a) - F.length(b)) <= F.lit(1 - alike) * longer + F.lit(1e-9))
-    pairs = pairs.withColumn("like", 1 - F.levenshtein(a, b) / longer).where(F.col("like") >= alike)
+    drawn = drawn_nodes.select(F.col(key), F.col("id").alias("drawn"), F.lower("label").alias("_as"), F.length(F.lower("label")).alias("_long"))
+    longer = F.greatest("_size", "_long", F.lit(1))
+    pairs = nodes.select(key, "id", low, size).join(drawn, key).where(F.abs(F.col("_size") - F.col("_long")) <= F.lit(1 - alike) * longer + F.lit(1e-9))
+    # the distance need not be known beyond what is alike (-1 there, one more for rounding)
+    most = (F.floor(F.lit(1 - alike) * longer) + 1).cast("int")
+    apart = F.when(F.col("_low") == F.col("_as"), 0).otherwise(F.nullif(F.call_function("levenshtein", F.col("_low"), F.col("_as"), most), F.lit(-1)))
+    pairs = pairs.withColumn("like", 1 - apart / longer).where(F.col("like") >= alike)
     best = matched(pairs.select(key, "id", "drawn", "like"), key)
-    ends = edges.join(best.select(key, F.col("id").alias("source"), F.col("drawn").alias("_source")), [key, "source"]).join(best.select(key, F.col("id").alias("target"), F.col("drawn").alias("_target")), [key, "target"])
-    found = ends.select(key, F.col("_source").alias("source"), F.col("_target").alias("target")).distinct().join(drawn_edges, [key, "source", "target"])
-    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
-    out = count(nodes, "_nodes")
-    for df, name in ((edges, "_edges"), (best, "_met"), (found, "_found"), (drawn_nodes, "_drawn"), (drawn_edges, "_arrows")):
-        out = out.join(count(df, name), key, "left")
-    out = out.na.fill(0)
+    # matches are one to one, so that each edge and each drawn edge is one row of the outer join
+    ends = edges.join(best.select(key, F.col("id").alias("source"), F.col("drawn").alias("_source")), [key, "source"], "left").join(best.select(key, F.col("id").alias("target"), F.col("drawn").alias("_target")), [key, "target"], "left")
+    ends = ends.select(key, F.col("_source").alias("source"), F.col("_target").alias("target"), F.lit(True).alias("_edge"))
+    both = ends.join(drawn_edges.withColumn("_arrow", F.lit(True)), [key, "source", "target"], "full_outer")
+    names = ["_nodes", "_edges", "_met", "_found", "_drawn", "_arrows"]
+    flags = lambda df, **on: df.select(key, *[on.get(n, F.lit(False)).alias(n) for n in names])
+    edge, arrow, known = F.col("_edge").isNotNull(), F.col("_arrow").isNotNull(), F.col(key).isNotNull()
+    seen = flags(nodes, _nodes=F.lit(True)).unionByName(flags(best, _met=F.lit(True))).unionByName(flags(drawn_nodes.where(known), _drawn=F.lit(True)))
+    seen = seen.unionByName(flags(both.where(known), _edges=edge, _arrows=arrow, _found=edge & arrow))
+    out = seen.groupBy(key).agg(*[F.count_if(F.col(n)).alias(n) for n in names]).where("_nodes > 0")
     node_share = F.col("_met") / F.col("_nodes")
     edge_share = F.when(F.col("_edges") > 0, F.col("_found") / F.col("_edges")).otherwise(1.0)
     extra = F.col("_drawn") - F.col("_met") + F.col("_arrows") - F.col("_found")

@@ -2,8 +2,12 @@
 
 from jobs import transcripts
 from pyspark.sql import functions as F
+from quillforge import io
 from quillforge.operators import extract as E
+from quillforge.operators import graph as G
+from quillforge.plans import catalog
 from quillforge.streaming import stateful as R
+from test_queries import SF
 
 
 def test_files_are_parsed_by_many_tasks(spark):
@@ -31,3 +35,11 @@ def test_turns_are_compared_by_many_tasks(spark):
     tasks = transcripts.pairs(turns).groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert sum(r["count"] for r in tasks) == 350 and len(tasks) >= 2 * spark.sparkContext.defaultParallelism
     assert max(r["count"] for r in tasks) < 100
+
+
+def test_drawings_are_read_from_the_lines_once(spark):
+    """What follows reads the tables written by then, and each round of the matching is one of them."""
+    assert not [f for f in catalog.queries()["drawing_grade"](spark, SF).inputFiles() if "lineitem" in f]
+    before = len(io._made)
+    assert G.matched(spark.createDataFrame([("q", 1, 10, 1.0)], "q string, id long, drawn long, like double"), "q").count() == 1
+    assert len(io._made) - before == 2
