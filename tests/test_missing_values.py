@@ -17,6 +17,6 @@ def folder(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["graph_contraction", "leftover_groups"])
+@pytest.mark.parametrize("name", ["dependency_diff", "graph_contraction", "leftover_groups"])
 def test_parts_without_brand_or_size(spark, folder, name):
     compare(spark, folder, name)
