@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_large_keys import compare
 from test_queries import SF
 
-NAMES = "bfs_depth".split()
+NAMES = "bfs_depth decision_points".split()
 
 
 def stored(spark, d, part, line):
