@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_large_keys import compare
 from test_queries import SF
 
-NAMES = "bfs_depth decision_points degree_all degree_internal diagram_edges diagram_nodes".split()
+NAMES = "bfs_depth decision_points degree_all degree_internal diagram_edges diagram_nodes import_lists".split()
 
 
 def stored(spark, d, part, line):
